@@ -76,7 +76,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(column) else data[:0], offsets - (offsets[0] if len(column) else 0)
 
 
-def text_chunks(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of a string column as ``(first, end, bytes, offsets)``, of about ``most`` bytes each.
 
     Bounds the memory of whole-array work: temporaries grow with a chunk, not with a batch.

@@ -16,7 +16,8 @@ from .heavy import heavy_hitters
 SHINGLE = 5
 #: A pair links when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-BITS = 2048
+#: Bits of a bitmap for each element of its set, and the least and the most bits of one.
+BITS_EACH, LEAST_BITS, MOST_BITS = 4, 512, 1 << 17
 #: First keys of a document by which most links are found, before all of its keys are looked at.
 HEAD = 4
 #: Documents that one tree holds; a larger block is cut into slices, and all pairs of slices meet.
@@ -70,11 +71,32 @@ def node_of(found: np.ndarray) -> int:
         return int(mix64(np.array([np.add.reduce(mix64(found)) + np.uint64(len(found)) * _ODD[1]], np.uint64)).view(np.int64)[0])
 
 
+def width(n: int) -> int:
+    """Bits of the bitmap of a set of n elements: a power of two, so sets that may link differ by one step at most."""
+    return min(max(1 << (BITS_EACH * n - 1).bit_length(), LEAST_BITS), MOST_BITS)
+
+
 def bitmap(found: np.ndarray) -> np.ndarray:
     """A bit for each value of an element's low bits, in 64-bit words."""
-    bits = np.zeros(BITS, np.uint8)
-    bits[(found % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+    bits = np.zeros(width(len(found)), np.uint8)
+    bits[(found & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def candidate_pairs(sizes: np.ndarray, maps: list[np.ndarray], groups: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of members that may link and aren't in one group: a tree for each width of bitmaps.
+
+    It holds the sets of that width and those of twice the width, folded: all pairs in which one
+    set has the width itself. Members should come in an order that has similar ones side by side.
+    """
+    words = np.array([len(m) for m in maps])
+    for w in np.unique(words).tolist():
+        here = np.flatnonzero((words == w) | (words == 2 * w))
+        if len(here) < 2:
+            continue
+        stacked = np.stack([maps[k] if len(maps[k]) == w else maps[k][:w] | maps[k][w:] for k in here.tolist()])
+        a, b = Tree(sizes[here], stacked, groups[here]).pairs(words[here] == w)
+        yield from zip(here[a].tolist(), here[b].tolist(), strict=True)
 
 
 class Groups:
@@ -169,8 +191,7 @@ def tree_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     found = np.array([groups.find(i) for i in order], np.int64)
     if (found == found[0]).all():
         return out
-    tree = Tree(np.array([len(sets[i]) for i in order], np.int64), np.stack([bitmap(sets[i]) for i in order]), found)
-    for x, y in zip(*(z.tolist() for z in tree.pairs()), strict=True):
+    for x, y in candidate_pairs(np.array([len(sets[i]) for i in order], np.int64), [bitmap(sets[i]) for i in order], found):
         i, j = order[x], order[y]
         if groups.find(i) != groups.find(j) and linked(sets[i], sets[j]):
             groups.join(i, j)
@@ -221,17 +242,19 @@ def _head_work(parts: list[pa.RecordBatch]) -> tuple[list, list]:
 
 def _rest_work(parts: list[pa.RecordBatch]) -> tuple[list, list]:
     nodes, comps, sizes, sides = (_numpy(parts, n) for n in ("node", "comp", "n", "side"))
-    maps = np.stack([np.frombuffer(m.as_buffer(), np.uint64) for p in parts for m in p.column("bits")])
+    maps = [np.frombuffer(m.as_buffer(), np.uint64) for p in parts for m in p.column("bits")]
     order = np.lexsort((nodes, comps, sizes))
-    nodes, comps, sizes, sides, maps = nodes[order], comps[order], sizes[order].astype(np.int64), sides[order], maps[order]
+    nodes, comps, sizes, sides = nodes[order], comps[order], sizes[order].astype(np.int64), sides[order]
     _, groups = np.unique(comps, return_inverse=True)
     # Pairs of two rows of the largest component (side 0) are in one group; with two slices
     # (sides 1 and 2) pairs within a slice are another tile's.
-    i, j = Tree(sizes, maps, groups.astype(np.int64)).pairs()
-    if (sides == 2).any():
-        keep = sides[i] != sides[j]
-        i, j = i[keep], j[keep]
-    return nodes[i].tolist(), nodes[j].tolist()
+    two = bool((sides == 2).any())
+    a, b = [], []
+    for i, j in candidate_pairs(sizes, [maps[k] for k in order.tolist()], groups.astype(np.int64)):
+        if not two or sides[i] != sides[j]:
+            a.append(int(nodes[i]))
+            b.append(int(nodes[j]))
+    return a, b
 
 
 def _keyed(df: DataFrame, keys: DataFrame, on: str, how: str = "leftsemi") -> DataFrame:
@@ -252,10 +275,10 @@ def _hashes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n", "node"])
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[dict]:
-        for _, _, data, offsets in text_chunks(batch.column("text"), 1 << 23):
+        for _, _, data, offsets in text_chunks(batch.column("text"), 1 << 21):
             every = np.concatenate([*shingle_sets(data, offsets), np.zeros(0, np.uint64)])
             keys, counts = np.unique(every, return_counts=True)
-            many = counts > 2
+            many = counts > 1
             yield dict(zip(keys[many].view(np.int64).tolist(), counts[many].tolist(), strict=True))
 
     frequent = heavy_hitters(docs.select("text"), keys_of, "long", FREQUENT)
@@ -263,8 +286,22 @@ def _hashes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return rows, np.sort(np.array([k for k, _ in frequent], np.int64).view(np.uint64))
 
 
-def _profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def _one_of_each(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` without further documents of a set, if doc_ids tell documents apart; and whether they do.
+
+    Copies are left out by their ids, so that no profile is shuffled.
+    """
+    if rows.where("doc_id is null").limit(1).count() or rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return docs, False
+    known = rows.where("node is not null")
+    first = known.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = materialise(known.join(first.select("node", "first"), "node").where("doc_id <> first").select("doc_id"), "copies")
+    return _keyed(docs, copies, "doc_id", "leftanti"), True
+
+
+def _profiles(docs: DataFrame, rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     """``node, n, head, keys, bits`` of every distinct set: its first keys, its prefix, its bitmap."""
+    docs, single = _one_of_each(docs, rows)
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +325,8 @@ def _profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     maps.append(bitmap(s).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), long_lists(heads), long_lists(keys), pa.array(maps, pa.binary())], ["node", "n", "head", "keys", "bits"])
 
-    return docs.select("text").mapInArrow(run, "node long, n long, head array<long>, keys array<long>, bits binary").dropDuplicates(["node"])
+    made = docs.select("text").mapInArrow(run, "node long, n long, head array<long>, keys array<long>, bits binary")
+    return made if single else made.dropDuplicates(["node"])
 
 
 def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -377,7 +415,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     docs = doc_columns(docs, "doc_id", "text")
     rows, frequent = _hashes(docs)
-    profiles = materialise(_profiles(docs, frequent), "profiles")
+    profiles = materialise(_profiles(docs, rows, frequent), "profiles")
     near = materialise(_head_links(docs, rows, profiles), "head-links")
     pairs = materialise(_other_pairs(profiles, components(near)), "pairs")
     rest = _verified(docs, rows, pairs)
