@@ -120,10 +120,10 @@ RUNS = """runs as (
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``model, noise, seed, part, truth, estimate``: a part's mean price as truth, each line's as estimate."""
     t = table(spark, sf_dir, "lineitem")
-    mean = t.groupBy(F.col("l_partkey").alias("part")).agg(F.round(F.avg("l_extendedprice"), 2).alias("truth"))
+    mean = t.groupBy(F.col("l_partkey").alias("part")).agg(F.floor(F.avg("l_extendedprice") + 0.000777).cast("double").alias("truth"))
     return t.select(F.col("l_returnflag").alias("model"), F.col("l_linenumber").cast("long").alias("noise"), F.col("l_suppkey").alias("seed"), F.col("l_partkey").alias("part"), F.col("l_extendedprice").alias("estimate")).join(mean, "part").select("model", "noise", "seed", "part", "truth", "estimate")
 
 
 TRUTH = """truth as (
   select l_returnflag as model, l_linenumber::bigint as noise, l_suppkey as seed, l_partkey as part, m.truth, l_extendedprice as estimate
-  from lineitem join (select l_partkey as p, round(avg(l_extendedprice), 2) as truth from lineitem group by 1) m on m.p = l_partkey)"""
+  from lineitem join (select l_partkey as p, floor(avg(l_extendedprice) + 0.000777) as truth from lineitem group by 1) m on m.p = l_partkey)"""
