@@ -41,8 +41,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8MB") -> None:
+    """Python workers get at most so many rows and bytes at once: their memory doesn't grow with texts' lengths.
+
+    Session settings that are smaller already stay.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+_kept: dict = {}
+
+
+def worker_cache(name: tuple | None = None, make=None):
+    """What a Python worker keeps from task to task: one thing at a time.
+
+    Workers are reused by whatever runs next; the cache of another operator goes when one starts.
+    """
+    if name not in _kept:
+        _kept.clear()
+        if name is not None:
+            _kept[name] = make()
+    return _kept.get(name)
+
+
 def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
-    """Just the named columns in their standard types; a missing one is null."""
+    """Just the named columns in their standard types, a missing one null; read in small batches by Python."""
+    small_batches(docs.sparkSession)
     kinds = {"doc_id": "long", "page_id": "long", "n_chars": "long"}
     have = {c.lower(): c for c in docs.columns}
     picked = []
@@ -52,10 +78,13 @@ def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*picked)
 
 
-def slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``most`` bytes each; a longer row is a range of its own."""
+def slices(lengths: np.ndarray, most: int, each: int = 2048) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` bytes each; a longer row is a range of its own.
+
+    A row counts as ``each`` bytes more than it has, which bounds what is kept for rows, however short.
+    """
     start, total = 0, 0
-    for i, n in enumerate(lengths.tolist()):
+    for i, n in enumerate((lengths + each).tolist()):
         if i > start and total + n > most:
             yield start, i
             start, total = i, 0

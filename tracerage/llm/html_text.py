@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns
+from .common import doc_columns, worker_cache
 
 #: HTML element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -316,6 +316,7 @@ def extract(pages: DataFrame, model: Crf | None = None) -> DataFrame:
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         for batch in batches:
             texts = [main_text(x.as_py(), sent.value) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])

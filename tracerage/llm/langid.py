@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_columns, materialise, text_chunks
+from .common import doc_columns, materialise, small_batches, text_chunks, worker_cache
 
 DIM = 4096
 UNKNOWN = "und"
@@ -128,6 +128,7 @@ def fit(docs: DataFrame, per_language: int = 1000) -> Model:
     drawn = usable.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("most"))
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         for batch in batches:
             at = 0
             for x in vectors(batch.column("text")):
@@ -177,10 +178,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     nothing else. Repeated rows give repeated rows; an empty table gives an empty table.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         for batch in batches:
             texts = batch.column("text")
             found = [sent.value.predict(x) for x in vectors(texts)]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, slices
+from .common import doc_columns, slices, utf8, worker_cache
 
 #: Magic bytes of media formats, and where in the file they stand.
 MAGIC = [
@@ -192,6 +192,7 @@ def sniff_media(df: DataFrame, key: str, content: str = "content", declared: str
     names = ["key", "part", "start", "length", "declared_type", "media_type", "corrected", "media"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         found = automaton()
         for batch in batches:
             rows = []
@@ -221,9 +222,10 @@ def store_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     names = ["doc_id", "n_bytes", "declared_type", "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         for batch in batches:
             texts, ids = batch.column("text"), batch.column("doc_id")
-            sizes = np.array([len(t) for t in (x.as_py() or "" for x in texts)], np.int64) if len(texts) else np.zeros(0, np.int64)
+            sizes = np.diff(utf8(texts)[1])
             for lo, hi in slices(sizes, 1 << 23):
                 made = [payload_of(t, block) for t in texts[lo:hi].to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array([n for _, n in made], pa.int64()), pa.array(["application/octet-stream"] * len(made)), pa.array([to_wav(p) for p, _ in made], pa.binary())], names)
@@ -241,6 +243,7 @@ def read_back(stored: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         found = automaton()
         for batch in batches:
             rows = []

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, long_lists, lower_ascii, materialise, mix64, split_rows, text_chunks, word_hashes
+from .common import doc_columns, long_lists, lower_ascii, materialise, mix64, split_rows, text_chunks, word_hashes, worker_cache
 from .components import components
 from .heavy import heavy_hitters
 
@@ -266,6 +266,7 @@ def _hashes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """``doc_id, n, node`` of every row, and the frequent shingles, ascending. One pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         for batch in batches:
             sizes, nodes = [], []
             for _, _, data, offsets in text_chunks(batch.column("text")):
@@ -305,6 +306,7 @@ def _profiles(docs: DataFrame, rows: DataFrame, frequent: np.ndarray) -> DataFra
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         late = sent.value
         for batch in batches:
             nodes, sizes, heads, keys, maps = [], [], [], [], []
@@ -334,6 +336,7 @@ def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = materialise(_keyed(rows.where("node is not null"), nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column("text")):
                 sets = [s for s in shingle_sets(data, offsets) if len(s)]
@@ -391,6 +394,7 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         for batch in batches:
             keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("fa"), batch.column("fb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP, doc_columns, hash_order, materialise, range_slot, running_sum
+from .common import GROUP, doc_columns, hash_order, materialise, range_slot, running_sum, worker_cache
 from .token_counts import tokenizer_path
 
 END = b"\0\0\0\0"
@@ -95,17 +95,12 @@ class WordIds:
         return out
 
 
-_worker: dict = {}
-
-
 def pieces(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: documents' ids and an id 0, cut if longer than a sequence."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _worker:
-            _worker[tokenizer] = WordIds(tokenizer_path(tokenizer))
-        words = _worker[tokenizer]
+        words = worker_cache(("packing", tokenizer), lambda: WordIds(tokenizer_path(tokenizer)))
         for batch in batches:
             rows = []
             texts, doc_ids = batch.column("text"), batch.column("doc_id").to_pylist()

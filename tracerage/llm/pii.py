@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_columns, materialise
+from .common import doc_columns, materialise, worker_cache
 
 KEY = b"tracerage surrogates"
 
 #: First names by gender, and titles.
-FEMALE = "Alice Anna Beatrice Carmen Charlotte Clara Elena Elisabeth Emma Eva Greta Hannah Ines Isabel Julia Karin Laura Lucia Maria Marie Martha Mia Nadia Nora Olivia Paula Petra Rosa Sara Sophie".split()
+FEMALE = "Alice Anna Beatrice Carmen Charlotte Clara Elena Elisabeth Emma Eva Greta Hannah Irene Isabel Julia Karin Laura Lucia Maria Marie Martha Mia Nadia Nora Olivia Paula Petra Rosa Sara Sophie".split()
 MALE = "Adam Alexander Andreas Anton Carlos Daniel David Diego Emil Felix Frank Georg Hans Hugo Ivan Jack James John Jorge Karl Louis Luis Marc Martin Max Oscar Paul Peter Thomas Victor".split()
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "x", "Prof": "x", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f"}
 
@@ -214,6 +214,7 @@ def detect(docs: DataFrame) -> DataFrame:
     """``doc_id, entities`` of the documents that have any: places in code points, kinds, values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
         for batch in batches:
             ids, out = [], []
@@ -226,7 +227,7 @@ def detect(docs: DataFrame) -> DataFrame:
     return doc_columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id long, entities {ENTITY}")
 
 
-def surrogate_map(entities: DataFrame, key: bytes = KEY, attempts: int = 8) -> DataFrame:
+def surrogate_map(entities: DataFrame, key: bytes = KEY, attempts: int = 8, make=surrogate) -> DataFrame:
     """``kind, value, attempt``: the distinct entities whose first surrogate collides.
 
     A surrogate collides if another entity of its kind has it too or if the corpus has it as a real
@@ -238,7 +239,7 @@ def surrogate_map(entities: DataFrame, key: bytes = KEY, attempts: int = 8) -> D
     def draw(kind, value, attempt):
         import pandas as pd
 
-        return pd.Series([surrogate(k, v, key, a) for k, v, a in zip(kind, value, attempt, strict=True)])
+        return pd.Series([make(k, v, key, a) for k, v, a in zip(kind, value, attempt, strict=True)])
 
     now = entities.select(F.explode("entities").alias("e")).select("e.kind", "e.value").distinct().withColumn("attempt", F.lit(0))
     values = now.select("kind", F.col("value").alias("drawn"), F.lit(True).alias("real"))
@@ -275,6 +276,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     schema = T.StructType([*kept.drop("__again").schema.fields, *T.StructType.fromDDL(f"entities {ENTITY}").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         import json
 
         kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))

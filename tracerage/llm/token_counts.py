@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import doc_columns
+from .common import doc_columns, worker_cache
 from .heavy import heavy_hitters
 
 META = "▁"
@@ -82,15 +82,6 @@ class Lookup(dict):
         return self.misses[key]
 
 
-_worker: dict = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if ("encoder", path) not in _worker:
-        _worker["encoder", path] = Encoder(path)
-    return _worker["encoder", path]
-
-
 def frequent_table(docs: DataFrame, size: int, longest: int, path: str) -> tuple[bytes, bytes]:
     """Lengths of frequent pre-tokens as one compact blob, of at most ``size`` keys of ``longest`` characters."""
 
@@ -104,7 +95,7 @@ def frequent_table(docs: DataFrame, size: int, longest: int, path: str) -> tuple
                     counts = Counter()
         yield {k: c for k, c in counts.items() if c > 1 and len(k) <= longest and "\0" not in k}
 
-    encoder = _encoder(path)
+    encoder = Encoder(path)
     keys = sorted(k for k, _ in heavy_hitters(docs, keys_of, "string", size))
     return "\0".join(keys).encode(), np.array([encoder.length(k) for k in keys], np.uint16).tobytes()
 
@@ -121,15 +112,13 @@ def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", limit:
     """
     spark, docs = docs.sparkSession, doc_columns(docs, "doc_id", "text")
     path = tokenizer_path(tokenizer)
-    if not _encoder(path).additive:
+    if not Encoder(path).additive:
         raise ValueError(f"{tokenizer} has pieces that cross words; its lengths don't add up")
     table = spark.sparkContext.broadcast(frequent_table(docs.select("text"), table_size, longest_key, path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path(tokenizer))
-        if "misses" not in _worker:
-            _worker["misses"] = Misses(encoder)
-        get = Lookup(table.value, _worker["misses"]).__getitem__
+        misses = worker_cache(("token_counts", tokenizer), lambda: Misses(Encoder(tokenizer_path(tokenizer))))
+        get = Lookup(table.value, misses).__getitem__
         for batch in batches:
             n_bytes, n_tokens = [], []
             for text in batch.column("text").to_pylist():

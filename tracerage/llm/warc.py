@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_columns
+from .common import doc_columns, worker_cache
 from .html_text import leaf_blocks
 
 DATE = "1970-01-01T00:00:00Z"
@@ -141,6 +141,7 @@ def build_derivatives(warcs: DataFrame, key: str, content: str = "content") -> D
     schema = RECORDS.format(kind=df_kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         for batch in batches:
             rows = []
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -162,6 +163,7 @@ def pages_as_warc(pages: DataFrame, date: str = DATE) -> DataFrame:
     """``page_id, url, content``: a gzipped response record for each page. Null html is an empty body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
         for batch in batches:
             made = [gzip.compress(response_of(p, u, h.as_py(), date), 1, mtime=0) for p, u, h in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(made, pa.binary())], ["page_id", "url", "content"])

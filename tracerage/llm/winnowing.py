@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, mix64
+from .common import doc_columns, mix64, worker_cache
 
 GRAM, WINDOW = 24, 64
 
@@ -128,6 +128,7 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     docs = doc_columns(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache()
         held: tuple | None = None  # bucket, doc_id, text, chosen
 
         def finish(doc: tuple, following: tuple) -> tuple:
