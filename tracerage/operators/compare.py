@@ -45,7 +45,7 @@ def vs_reference(df: DataFrame, case: str, run: str, reference: str, value: str,
     """Every other run of a case against its reference run: difference, relative difference, whether within a limit."""
     ref = df.where(F.col(run) == reference).select(case, F.col(value).alias("reference"))
     rows = df.where(F.col(run) != reference).join(ref, case)
-    relative = (F.col(value) - F.col("reference")) / F.col("reference")
+    relative = F.try_divide(F.col(value) - F.col("reference"), F.col("reference"))
     return rows.withColumn("difference", F.col(value) - F.col("reference")).withColumn("relative", relative).withColumn("within", F.abs(relative) <= limit)
 
 

@@ -86,7 +86,7 @@ def ess(draws: DataFrame, max_lag: int = 200) -> DataFrame:
     rho = mean.join(w0, KEYS).join(per, KEYS)
     var = (F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b")
     scale = F.col("n") / (F.col("n") - 1)
-    rho = rho.withColumn("rho", F.when(F.col("lag") == 0, 1.0).otherwise(1 - (F.col("w") - F.col("acov") * scale * (F.col("n") - 1) / F.col("n")) / var))
+    rho = rho.withColumn("rho", F.when(F.col("lag") == 0, 1.0).otherwise(1 - F.try_divide(F.col("w") - F.col("acov") * scale * (F.col("n") - 1) / F.col("n"), var)))
     pairs = rho.groupBy(*KEYS, F.floor(F.col("lag") / 2).alias("pair")).agg(F.sum("rho").alias("s"), F.count("*").alias("c"), F.max("w").alias("w"), F.max("n").alias("n"), F.max("k").alias("k")).where("c = 2")
     o = Window.partitionBy(*KEYS).orderBy("pair")
     run = o.rowsBetween(Window.unboundedPreceding, 0)

@@ -85,7 +85,7 @@ def objective_diagnostic(df: DataFrame, keys: list[str]) -> DataFrame:
 def information_gain(a: DataFrame, b: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Deviation, RMSE and correlation of two campaigns and the relative reductions from a to b."""
     stats = lambda df, s: df.groupBy(*keys).agg(F.stddev_samp(x).alias(f"sd_{s}"), F.sqrt(F.avg(F.pow(F.col(x) - F.col(y), F.lit(2.0)))).alias(f"rmse_{s}"), F.corr(x, y).alias(f"corr_{s}"))
-    return stats(a, "a").join(stats(b, "b"), keys).withColumns({"sd_reduction": 1 - F.col("sd_b") / F.col("sd_a"), "rmse_reduction": 1 - F.col("rmse_b") / F.col("rmse_a")})
+    return stats(a, "a").join(stats(b, "b"), keys).withColumns({"sd_reduction": 1 - F.try_divide("sd_b", "sd_a"), "rmse_reduction": 1 - F.try_divide("rmse_b", "rmse_a")})
 
 
 def variability(df: DataFrame, keys: list[str], seed: str, value: str) -> DataFrame:
@@ -109,7 +109,7 @@ def target_stats(draws: DataFrame, truth: DataFrame, keys: list[str]) -> DataFra
     """Mean of each parameter against its target: difference, ratio, relative deviation; distance over parameters."""
     rows = draws.groupBy(*keys, "param").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")).join(F.broadcast(truth), "param")
     d = F.col("mean") - F.col("target")
-    return rows.groupBy(*keys).agg(F.sqrt(F.sum(d * d)).alias("distance"), F.max(F.abs(d)).alias("max_difference"), F.avg(F.col("mean") / F.col("target")).alias("mean_ratio"), F.avg(F.col("std") / F.col("target")).alias("std_ratio"))
+    return rows.groupBy(*keys).agg(F.sqrt(F.sum(d * d)).alias("distance"), F.max(F.abs(d)).alias("max_difference"), F.avg(F.try_divide("mean", "target")).alias("mean_ratio"), F.avg(F.try_divide("std", "target")).alias("std_ratio"))
 
 
 def trend(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -195,7 +195,7 @@ def representative_draw(wide: DataFrame, keys: list[str], params: list[str], ord
     """The draw nearest to the medians of all parameters, each scaled by its deviation."""
     mid = wide.groupBy(*keys).agg(*(F.expr(f"median({p})").alias(f"__m_{p}") for p in params), *(F.stddev_samp(p).alias(f"__s_{p}") for p in params))
     rows = wide.join(F.broadcast(mid), keys)
-    d = sum((F.pow((F.col(p) - F.col(f"__m_{p}")) / F.col(f"__s_{p}"), F.lit(2.0)) for p in params), F.lit(0.0))
+    d = sum((F.coalesce(F.pow(F.try_divide(F.col(p) - F.col(f"__m_{p}"), F.col(f"__s_{p}")), F.lit(2.0)), F.lit(0.0)) for p in params), F.lit(0.0))
     return rows.withColumn("distance", d).groupBy(*keys).agg(F.min_by(F.struct(*order), F.struct(F.round("distance", 9), *order)).alias("draw"), F.min("distance").alias("distance")).select(*keys, "draw.*", "distance")
 
 
@@ -208,7 +208,7 @@ def change_audit(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def relative_uncertainty(df: DataFrame, keys: list[str]) -> DataFrame:
     t = 2 * F.col("target")
-    return df.select(*keys, ((F.col("q90") - F.col("q10")) / t).alias("u80"), ((F.col("q975") - F.col("q025")) / t).alias("u95"), (F.col("sd") / F.col("mean")).alias("cv"))
+    return df.select(*keys, F.try_divide(F.col("q90") - F.col("q10"), t).alias("u80"), F.try_divide(F.col("q975") - F.col("q025"), t).alias("u95"), F.try_divide("sd", "mean").alias("cv"))
 
 
 def accuracy_summary(df: DataFrame, keys: list[str], error: str, name: str) -> DataFrame:
