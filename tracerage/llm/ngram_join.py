@@ -18,8 +18,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Bits of a bitmap for each element of its set, and the least and the most bits of one.
 BITS_EACH, LEAST_BITS, MOST_BITS = 4, 512, 1 << 17
-#: First keys of a document by which most links are found, before all of its keys are looked at.
+#: Least hashes of a set by which most links are found, before all of its keys are looked at.
 HEAD = 4
+#: Leaders of a slice: its most typical members, which meet all other slices of their block.
+LEADERS = 4
 #: Documents that one tree holds; a larger block is cut into slices, and all pairs of slices meet.
 SLICE = 1024
 #: Shingles that may be told to be frequent (ordered last, which never changes a result).
@@ -322,7 +324,7 @@ def _profiles(docs: DataFrame, rows: DataFrame, frequent: np.ndarray) -> DataFra
                     first = first[: prefix_size(len(s))]
                     nodes.append(node_of(s))
                     sizes.append(len(s))
-                    heads.append(first[:HEAD])
+                    heads.append(s[:HEAD])
                     keys.append(first)
                     maps.append(bitmap(s).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), long_lists(heads), long_lists(keys), pa.array(maps, pa.binary())], ["node", "n", "head", "keys", "bits"])
@@ -350,19 +352,49 @@ def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return _keyed(found, wanted.select("node"), "node").dropDuplicates(["node"])
 
 
+def _leader_work(parts: list[pa.RecordBatch]) -> tuple[list, list]:
+    """The most typical members: those with the most elements that half of the tile has, less their others."""
+    nodes, sets = [], []
+    for p in parts:
+        nodes += p.column("node").to_pylist()
+        sets += [np.frombuffer(found.as_buffer(), np.uint64) for found in p.column("found")]
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    common = values[2 * counts >= len(sets)]
+    score = [2 * len(np.intersect1d(s, common, assume_unique=True)) - len(s) for s in sets]
+    best = sorted(range(len(nodes)), key=lambda i: (-score[i], nodes[i]))[:LEADERS]
+    return [nodes[i] for i in best], [parts[0].column("tile")[0].as_py()] * len(best)
+
+
+def _in_tiles(members: DataFrame, sets: DataFrame, work: Callable) -> DataFrame:
+    """``work`` on each tile of ``members`` (tile, node) with its sets: rows ``a, b``."""
+    tiles = members.join(sets, "node").select("tile", "node", "found")
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: by_tile(batches, work), "a long, b long")
+
+
 def _head_links(docs: DataFrame, rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Links among sets that share one of their first keys, within slices of at most about SLICE sets."""
-    keyed = profiles.select("node", F.posexplode("head").alias("turn", "key"))
+    """Links among sets that share one of their least hashes.
+
+    Blocks are cut in slices, which are trees of their own. The leaders of all slices of a block
+    then meet each of its slices: copies of one text link to it wherever it stands. What is missed
+    here is found by the prefixes.
+    """
+    keyed = profiles.select("node", F.explode("head").alias("key"))
     sign = [F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x")]
     blocks = keyed.groupBy("key").agg(*sign).where("c > 1")
     # Near copies meet under several keys in the same company: one block of each company is enough.
-    blocks = materialise(blocks.groupBy("c", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "c"), "head-blocks")
-    members = keyed.join(blocks, "key").withColumn("slice", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("c") / SLICE)))
-    members = materialise(members.select(F.xxhash64("key", "slice").alias("tile"), "node"), "head-members")
-    sets = _sets_of(docs, rows, members.select("node").distinct())
-    tiles = members.join(sets, "node").select("tile", "node", "found")
-    dealt = tiles.repartition("tile").sortWithinPartitions("tile")
-    return dealt.mapInArrow(lambda batches: by_tile(batches, _head_work), "a long, b long")
+    blocks = materialise(blocks.groupBy("c", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / SLICE).alias("slices")), "head-blocks")
+    members = keyed.join(blocks, "key").withColumn("slice", F.pmod(F.xxhash64("node", "key"), F.col("slices")))
+    members = materialise(members.select("key", "slices", F.xxhash64("key", "slice").alias("tile"), "node"), "head-members")
+    links = _in_tiles(members.select("tile", "node"), _sets_of(docs, rows, members.select("node").distinct()), _head_work)
+    large = members.where("slices > 1")
+    if large.limit(1).count() == 0:
+        return links
+    sets = materialise(_sets_of(docs, rows, large.select("node").distinct()), "large-sets")
+    leaders = _in_tiles(large.select("tile", "node"), sets, _leader_work).select(F.col("a").alias("node"), F.col("b").alias("tile"))
+    slices = large.select("key", "tile").distinct()
+    everywhere = leaders.join(slices, "tile").select("key", "node").distinct().join(slices, "key").select("tile", "node")
+    again = _in_tiles(large.select("tile", "node").unionByName(everywhere), sets, _head_work)
+    return links.unionByName(again)
 
 
 def _other_pairs(profiles: DataFrame, comps: DataFrame) -> DataFrame:
