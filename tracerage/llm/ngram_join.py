@@ -17,7 +17,7 @@ SHINGLE = 5
 #: A pair links when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Bits of a bitmap for each element of its set, and the least and the most bits of one.
-BITS_EACH, LEAST_BITS, MOST_BITS = 4, 512, 1 << 17
+BITS_EACH, LEAST_BITS, MOST_BITS = 2, 512, 1 << 17
 #: Least hashes of a set by which most links are found, before all of its keys are looked at.
 HEAD = 4
 #: Leaders of a slice: its most typical members, which meet all other slices of their block.
