@@ -395,6 +395,21 @@ def test_surrogates_are_one_to_one():
     assert len({pii.permute(i, 10, 37, b"k", "t") for i in range(370)}) == 370
 
 
+def test_addresses_stay_in_their_class_one_to_one():
+    ranges = {"192.168": (192, 168, 168), "169.254": (169, 254, 254), "172.16": (172, 16, 31)}
+    for a, lo, hi in ranges.values():
+        ips = [f"{a}.{b}.{c}.{d}" for b in range(lo, hi + 1) for c in range(0, 256, 5) for d in range(0, 256, 51)]
+        made = [pii.surrogate("ipv4", ip) for ip in ips]
+        assert len(set(made)) == len(ips)
+        for ip in made:
+            x, y, *_ = map(int, ip.split("."))
+            assert x == a and lo <= y <= hi
+    assert len({pii._permute_ip(f"192.168.{c}.{d}", b"k", "t") for c in range(256) for d in range(256)}) == 1 << 16
+    public = [pii.surrogate("ipv4", f"{a}.{b}.3.4") for a in (8, 171, 172, 192, 223) for b in range(32, 100)]
+    assert len(set(public)) == len(public)
+    assert not any(pii._address_class(sum(int(x) << s for x, s in zip(ip.split("."), (24, 16, 8, 0), strict=True))) for ip in public)
+
+
 def test_colliding_surrogates_draw_again(spark):
     rows = [(1, [(0, 5, "ssn", "a"), (6, 5, "ssn", "b"), (6, 5, "ssn", "c")])]
     found = spark.createDataFrame(rows, f"doc_id long, entities {pii.ENTITY}")

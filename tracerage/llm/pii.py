@@ -140,24 +140,35 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _walk(text: str, step, good) -> str:
-    """The first following image that ``good`` accepts: a permutation of the accepted texts."""
-    out = step(text)
-    for _ in range(10_000):
-        if good(out):
-            return out
+def _walk(value, step, good):
+    """The first following image that ``good`` accepts: a permutation of the accepted ones.
+
+    It ends, as ``step`` is one-to-one and ``good`` accepts ``value``, which closes the cycle.
+    """
+    out = step(value)
+    while not good(out):
         out = step(out)
     return out
 
 
-def _address_kind(ip: str) -> tuple:
-    a, b, *_ = map(int, ip.split("."))
-    return (a == 10, a == 127, (a, b) == (192, 168), a == 172 and 16 <= b < 32, a >= 224, a == 0, a == 169 and b == 254)
+#: First address and number of addresses of each class that isn't public.
+_CLASSES = [(10 << 24, 1 << 24), (127 << 24, 1 << 24), (192 << 24 | 168 << 16, 1 << 16), (172 << 24 | 16 << 16, 1 << 20), (224 << 24, 1 << 29), (0, 1 << 24), (169 << 24 | 254 << 16, 1 << 16)]
+
+
+def _address_class(v: int) -> tuple[int, int] | None:
+    return next(((low, n) for low, n in _CLASSES if low <= v < low + n), None)
 
 
 def _permute_ip(ip: str, key: bytes, tweak: str) -> str:
+    """Another address of the class: permuted over the class's own range; public ones walk past the classes."""
     a, b, c, d = map(int, ip.split("."))
-    v = permute((a << 24) + (b << 16) + (c << 8) + d, 1 << 16, 1 << 16, key, tweak)
+    v = (a << 24) + (b << 16) + (c << 8) + d
+    if found := _address_class(v):
+        low, n = found
+        right = 1 << (n.bit_length() - 1) // 2
+        v = low + permute(v - low, n // right, right, key, f"{tweak}\0{low}")
+    else:
+        v = _walk(v, lambda x: permute(x, 1 << 16, 1 << 16, key, tweak), lambda x: not _address_class(x))
     return ".".join(str(v >> s & 255) for s in (24, 16, 8, 0))
 
 
@@ -193,8 +204,7 @@ def surrogate(kind: str, text: str, key: bytes = KEY, attempt: int = 0) -> str:
     if kind == "mac":
         return scramble(text, key, tweak, lambda c: None if c in ":-" else HEX_LOWER if text == text.lower() else HEX_UPPER)
     if kind == "ipv4":
-        plain = ".".join(str(int(x)) for x in text.split("."))
-        return _walk(plain, lambda x: _permute_ip(x, key, tweak), lambda x: _address_kind(x) == _address_kind(plain))
+        return _permute_ip(text, key, tweak)
     if kind == "card":
         ok = luhn(re.sub(r"\D", "", text))
         return _walk(text, lambda x: scramble(x, key, tweak), lambda x: luhn(re.sub(r"\D", "", x)) == ok)
