@@ -257,6 +257,20 @@ def test_links_at_the_threshold_and_in_large_groups(spark, monkeypatch):
     assert kept == set(comps)
 
 
+def test_large_components_are_dealt_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SLICE", 16)
+    bits = bytearray(b"\xff" * 8)
+    profiles = spark.createDataFrame([(i, 60, [7], bits) for i in range(240)], "node long, n long, keys array<long>, bits binary")
+    for outsiders in (1, 40):
+        many = profiles.where(f"node < {200 + outsiders}")
+        comps = many.select("node", F.when(F.col("node") < 200, 0).otherwise(F.col("node")).alias("comp"))
+        want = {(a, b) for b in range(200, 200 + outsiders) for a in range(b)}
+        assert {tuple(r) for r in ngram_join._other_pairs(many, comps).collect()} == want
+        with monkeypatch.context() as patch:
+            patch.setattr(ngram_join, "_rest_work", lambda parts: ([0], [sum(p.num_rows for p in parts)]))
+            assert max(r.b for r in ngram_join._other_pairs(many, comps).collect()) <= 3 * 16
+
+
 def test_tree_pairs_lose_no_link():
     rng = np.random.default_rng(6)
     sets = []

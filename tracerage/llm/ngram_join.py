@@ -248,8 +248,8 @@ def _rest_work(parts: list[pa.RecordBatch]) -> tuple[list, list]:
     order = np.lexsort((nodes, comps, sizes))
     nodes, comps, sizes, sides = nodes[order], comps[order], sizes[order].astype(np.int64), sides[order]
     _, groups = np.unique(comps, return_inverse=True)
-    # Pairs of two rows of the largest component (side 0) are in one group; with two slices
-    # (sides 1 and 2) pairs within a slice are another tile's.
+    # Pairs of two rows of the largest component are in one group; with two slices (sides 1 and 2)
+    # pairs within a slice are another tile's.
     two = bool((sides == 2).any())
     a, b = [], []
     for i, j in candidate_pairs(sizes, [maps[k] for k in order.tolist()], groups.astype(np.int64)):
@@ -407,12 +407,20 @@ def _other_pairs(profiles: DataFrame, comps: DataFrame) -> DataFrame:
     sign = [F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x")]
     once = rows.groupBy("key").agg(*sign).groupBy("c", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "c")
     largest = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"), F.col("m.count").alias("most"))
-    blocks = once.join(largest, "key").select("key", "main", F.ceil((F.col("c") - F.col("most")) / SLICE).alias("slices"))
+    most, rest = F.ceil(F.col("most") / SLICE).cast("int"), F.ceil((F.col("c") - F.col("most")) / SLICE).cast("int")
+    blocks = once.join(largest, "key").select("key", "main", most.alias("mains"), rest.alias("slices"))
     members = rows.join(blocks, "key")
-    # The largest component meets every slice of the others, and slices meet each other.
-    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-    tiles = F.when(F.col("comp") == F.col("main"), F.transform(F.sequence(F.lit(0), (F.col("slices") - 1).cast("int")), lambda i: F.struct(i.alias("i"), i.alias("j"), F.lit(0).alias("side"))))
-    tiles = tiles.otherwise(F.transform(F.sequence(F.lit(0), (F.col("slices") - 1).cast("int")), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"), F.when(own <= i, 1).otherwise(2).alias("side"))))
+    # Each slice of the largest component meets every slice of the others, its first one (side 0)
+    # where a slice of the others meets itself; slices of the others meet each other. No tile holds
+    # more than two slices.
+    is_main = F.col("comp") == F.col("main")
+    own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("mains")).otherwise(F.col("slices"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("slices") - 1)
+    first, side = own == 0, F.when(own == 0, 0).otherwise(1)
+    tiles = F.when(is_main, F.transform(others, lambda i: F.struct(F.when(first, i).otherwise(-own).alias("i"), i.alias("j"), side.alias("side"))))
+    met = F.transform(others, lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"), F.when(own <= i, 1).otherwise(2).alias("side")))
+    later = F.filter(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: m > 0)
+    tiles = tiles.otherwise(F.concat(met, F.transform(later, lambda m: F.struct((-m).alias("i"), own.alias("j"), F.lit(2).alias("side")))))
     members = members.withColumn("t", F.explode(tiles)).select(F.xxhash64("key", "t.i", "t.j").alias("tile"), "node", "t.side")
     full = members.join(marked.select("node", "comp", "n", "bits"), "node").select("tile", "node", "comp", "n", "side", "bits")
     dealt = full.repartition("tile").sortWithinPartitions("tile")
