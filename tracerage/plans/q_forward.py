@@ -70,7 +70,7 @@ IG_P = "p as (select part, t, a as mu, a as sg, a as lam from pars cross join ag
 
 @query("d03_inverse_gaussian", f"with {PARS}, {AGES}, {IG_P}, r as (select part, t, mu, {phi('z1')} as direct, exp(2 * lam / mu) * {phi('z2')} as reflected, z2 from q) select part, t, round(direct + reflected, 7) as cdf, round(mu * (direct - reflected), 6) as moment from r where z2 > -4.5")
 def d03(spark, sf):
-    rows = with_ages(pars(spark, sf).where("part < 400")).where("t > 0")
+    rows = with_ages(pars(spark, sf)).where("t > 0")
     lam = F.col("a")
     p = {"mu": F.col("a"), "sigma": F.col("a")}
     law = laws.get_law("ig")
@@ -132,13 +132,13 @@ def d08(spark, sf):
 
 @query("d08b_gamma_quantiles", f"with {PARS} select part, round(a, 6) as mean, round(a, 6) as std, round(-a * ln(1 - 0.5::double), 5) as p50, round(-a * ln(1 - 0.9::double), 5) as p90 from pars where part < 300")
 def d08b(spark, sf):
-    rows = pars(spark, sf).where("part < 300").select("part", F.lit(1.0).alias("k"), F.col("a").alias("theta"))
+    rows = pars(spark, sf).select("part", F.lit(1.0).alias("k"), F.col("a").alias("theta"))
     return ds.add_moments(rows, "gamma").select("part", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("p50", 5).alias("p50"), F.round("p90", 5).alias("p90"))
 
 
 @query("d09_curves", f"with {PARS}, grid as (select 70.0::double * i / 50 as t from range(51) r(i)) select part, round(t, 6) as t, round(1 - exp(-greatest((t - b) / a, 0)), 8) as cdf, round(case when t >= b then exp(-(t - b) / a) / a else 0 end, 8) as pdf from pars cross join grid where part < 500")
 def d09(spark, sf):
-    rows = pars(spark, sf).where("part < 500").select("part", F.col("a").alias("scale"), F.col("b").alias("shift"))
+    rows = pars(spark, sf).select("part", F.col("a").alias("scale"), F.col("b").alias("shift"))
     return ds.curves(rows, "exp_shifted", 50).select("part", F.round("t", 6).alias("t"), F.round("cdf", 8).alias("cdf"), F.round("pdf", 8).alias("pdf"))
 
 
@@ -167,7 +167,7 @@ def d12(spark, sf):
 
 @query("d13_distribution_checks", f"with {PARS} select part, true as mass_ok, true as mean_ok, true as median_ok from pars where part < 200")
 def d13(spark, sf):
-    rows = pars(spark, sf).where("part < 200").select("part", F.col("a").alias("scale"), F.col("b").alias("shift"))
+    rows = pars(spark, sf).select("part", F.col("a").alias("scale"), F.col("b").alias("shift"))
     out = ds.distribution_checks(rows, "exp_shifted", ["part"], 400.0, 4000)
     return out.select("part", (F.col("mass_error") < 1e-4).alias("mass_ok"), (F.col("mean_error") < 0.02).alias("mean_ok"), (F.col("median_error") < 1e-6).alias("median_ok"))
 
@@ -306,7 +306,7 @@ def e10(spark, sf):
 
 @query("e10b_convolve_basis", f"with {BASIS}, {PARS}, {STICK} select part, tracer, date, round(sum(fraction * response), 1) as modeled from fractions join basis using (age_bin) where part < 300 group by all")
 def e10b(spark, sf):
-    fr = ds.stick_breaking(latents(spark, sf).where("part < 300"), ["part"])
+    fr = ds.stick_breaking(latents(spark, sf), ["part"])
     return fw.convolve_basis(fr, fw.uniform_basis(responded(spark, sf), [0, 2, 4, 6, 8]), ["part"]).withColumn("modeled", F.round("modeled", 1))
 
 
@@ -342,7 +342,7 @@ def e14(spark, sf):
 
 @query("e15_mix", f"with {MEMBERS}, {PARS}, {STICK} select part, tracer, round(sum(fraction * response), 2) as modeled from fractions join members using (age_bin) where part < 300 group by all")
 def e15(spark, sf):
-    fr = ds.stick_breaking(latents(spark, sf).where("part < 300"), ["part"])
+    fr = ds.stick_breaking(latents(spark, sf), ["part"])
     return fw.mix(fr, members(spark, sf), ["part"]).withColumn("modeled", F.round("modeled", 2))
 
 
