@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,9 +326,11 @@ def test_word_ids_equal_the_library_on_odd_texts():
     rng = random.Random(9)
     texts = ["It's DON'T x²½ ÀÉ <|endoftext|> a", "ΑΣ Σ", "İ", "áb", "a\x0bb\x1cc", "a\xa0b", "!!'s 12 ŉ ª", "''ss 'RE", ""]
     texts += ["".join(rng.choice("aB'sStTdD !.1é²\n\t-ßÞ") for _ in range(rng.randint(0, 12))) for _ in range(800)]
+    texts += ["one. Two, Two... x?. y.), ΑΣ. É. <|endoftext|>. a.b c'. d.'s", "z" * 5000, None]
     for lo in range(0, len(texts), 64):
-        for text, got in zip(texts[lo : lo + 64], ids.ids(texts[lo : lo + 64]), strict=True):
-            assert got == ids.whole(text), repr(text)
+        got, counts = ids.ids(pa.array(texts[lo : lo + 64], pa.string()))
+        for text, part in zip(texts[lo : lo + 64], np.split(got, np.cumsum(counts)[:-1]), strict=True):
+            assert part.tolist() == ids.model.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
 # Language

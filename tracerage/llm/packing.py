@@ -10,13 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP, doc_columns, hash_order, materialise, range_slot, running_sum, worker_cache
+from .common import GROUP, doc_columns, hash_order, materialise, range_slot, running_sum, slices, worker_cache
 from .token_counts import tokenizer_path
 
-END = b"\0\0\0\0"
+#: The id that ends each document.
+END = 0
 _LOW = [chr(i) for i in range(0x21, 0x180) if not 0x7F <= i <= 0xA0]
 
 
@@ -26,19 +28,33 @@ def _set(kind: str) -> str:
 
 #: The pre-tokens of the vocabulary file, for texts of plain Latin letters and signs.
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_set('L')}]+|[{_set('N')}]|[^\\s{_set('L')}{_set('N')}]+")
-#: Anything else goes to the library as a whole: other scripts, marks, controls, a capital whose
+#: A word with anything else goes to the library as it is: other scripts, marks, controls, a capital whose
 #: lower case is two characters, and what may be a special token.
-ODD = re.compile("[^\t\n\r -~\xa1-įı-ſ]|<\\|")
+ODD = re.compile("[^!-~\xa1-įı-ſ]|<\\|")
+#: A letter, then stops up to white space: between them is always a border of pre-tokens.
+STOPS = r"(\pL)([.,;:!?]+)(\s|$)"
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
 class WordIds:
-    """Ids of texts as little-endian 32-bit integers, word by word from bounded caches of the worker.
+    """Ids of texts, word by word from a worker's cache that holds about ``most`` bytes.
 
-    No pre-token crosses white space, so a text's ids are its words' ids in a row. A slice's unknown
-    pre-tokens go to the library as one text; tokens that end a pre-token tell where each one stops.
+    No pre-token crosses white space, so a text's ids are its words' ids in a row. A word is a run
+    of bytes without ASCII white space, or the stops at its end; all distinct words of a chunk of
+    texts are looked up at once. Pre-tokens of unknown words go to the library as one text, in which
+    tokens that end a pre-token tell where each one stops. A word with any odd character goes to it
+    by itself. When the cache is full, the half of the words that was not met for longest goes.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    #: About what a key takes beside its characters: two objects, their places, some ids.
+    EACH = 200
+
+    def __init__(self, path: str, most: int = 128 << 20):
         from tokenizers import Tokenizer
 
         self.model, self.most = Tokenizer.from_file(path), most
@@ -47,71 +63,118 @@ class WordIds:
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > self.most:
-            self.words.clear()
-        if len(self.parts) + len(words) > self.most:
-            self.parts.clear()
-        split = {w: SPLIT.findall(w.lower()) for w in words}
-        new = list({p for ps in split.values() for p in ps if p not in self.parts})
-        ids = np.array(self.model.encode(" ".join(new), add_special_tokens=False).ids if new else [], "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(new):
-            data, at = ids.tobytes(), 0
-            for part, stop in zip(new, stops.tolist(), strict=True):
-                self.parts[part] = data[4 * at : 4 * stop]
-                at = stop
-        else:
-            self.parts |= {p: self.whole(p) for p in new}
-        self.words |= {w: b"".join([self.parts[p] for p in ps]) for w, ps in split.items()}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        again, missing = {}, set()
-        for i, text in enumerate(texts):
-            if ODD.search(text):
-                out.append(self.whole(text))
-                continue
-            words = text.split()
-            found = list(map(self.words.get, words))
-            if None in found:
-                again[i] = words
-                missing.update([w for w, f in zip(words, found, strict=True) if f is None])
-                out.append(b"")
+        self.slots: dict[str, int] = {"": 0}
+        self.starts, self.lengths, self.met = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.store, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.turn = self.held = 0
+
+    def forget(self) -> None:
+        kept = self.met > np.median(self.met)
+        kept[0] = True
+        places = np.cumsum(kept) - 1
+        self.slots = {w: int(places[s]) for w, s in self.slots.items() if kept[s]}
+        lengths = self.lengths[kept]
+        ids = self.store[_ranges(self.starts[kept], lengths)]
+        self.store, self.used = ids.copy(), len(ids)
+        self.starts, self.lengths, self.met = np.cumsum(lengths) - lengths, lengths, self.met[kept]
+        self.held = sum(map(len, self.slots)) + self.EACH * len(self.slots)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """New slots for words that have none."""
+        if self.used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store[: self.used], np.zeros(self.used + len(ids), np.uint32)])
+        self.store[self.used : self.used + len(ids)] = ids
+        self.slots |= dict(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.met = np.concatenate([self.met, np.full(len(words), self.turn)])
+        self.used += len(ids)
+        self.held += sum(map(len, words)) + self.EACH * len(words)
+
+    def learn(self, words: list[str]) -> None:
+        odd = [w for w in words if ODD.search(w)]
+        if odd:
+            made = [self.encode(w) for w in odd]
+            self.keep(odd, np.concatenate(made), np.array([len(m) for m in made]))
+        splits = {}
+        for w in words if not odd else [w for w in words if w not in self.slots]:
+            low = w.lower()
+            if low.isalpha():
+                splits[w] = (low,)
+            elif low[:-1].isalpha() and not low[-1].isalnum():
+                splits[w] = (low[:-1], low[-1])
             else:
-                out.append(b"".join(found))
-        if missing:
-            if len(self.words) + len(missing) > self.most:  # learn() would forget words of this slice
-                missing.update(w for words in again.values() for w in words)
+                splits[w] = SPLIT.findall(low)
+        new = list({p for parts in splits.values() for p in parts if p not in self.slots})
+        if new:
+            ids = self.encode(" ".join(new))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(new):
+                made = [self.encode(p) for p in new]
+                ids, stops = np.concatenate(made), np.cumsum([len(m) for m in made])
+            self.keep(new, ids, np.diff(stops, prepend=0))
+        rest = [w for w in splits if w not in self.slots]
+        if rest:
+            parts = np.array([self.slots[p] for w in rest for p in splits[w]], np.int64)
+            lengths = self.lengths[parts]
+            ids = self.store[_ranges(self.starts[parts], lengths)]
+            before = np.concatenate([[0], np.cumsum(lengths)])
+            self.keep(rest, ids, np.diff(before[np.cumsum([len(splits[w]) for w in rest])], prepend=0))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and how many each text has. A null text has none."""
+        texts = pc.replace_substring_regex(texts.fill_null("").cast(pa.large_string()), STOPS, r"\1 \2\3")
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.held > self.most:
+            self.forget()
+        self.turn += 1
+        slots = list(map(self.slots.get, words))
+        if None in slots:
+            missing = [w for w, s in zip(words, slots, strict=True) if s is None]
             self.learn(missing)
-            for i, words in again.items():
-                out[i] = b"".join(map(self.words.__getitem__, words))
-        return out
+            slots = list(map(self.slots.__getitem__, words))
+        here = np.array(slots, np.int64)
+        self.met[here] = self.turn
+        at = here[coded.indices.to_numpy()]
+        lengths = self.lengths[at]
+        ids = self.store[_ranges(self.starts[at], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return ids, np.diff(ends)
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32``: documents' ids and an id 0, cut if longer than a sequence."""
+def pieces(docs: DataFrame, tokenizer: str, size: int, chunk: int = 4 << 20) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32``: documents' ids and an id 0, cut if longer than a sequence.
+
+    Texts are taken in chunks of about ``chunk`` bytes, which bounds the memory of a worker by that
+    or by the longest text.
+    """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
+    def cut(doc_ids: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+        full = np.full(len(ids) + len(counts), END, "<u4")
+        full[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+        counts = counts + 1
+        first = np.cumsum(counts) - counts
+        pieces_of = -(-counts // size)
+        doc = np.repeat(np.arange(len(counts)), pieces_of)
+        piece = _ranges(np.zeros(len(counts), np.int64), pieces_of)
+        start = piece * size
+        length = np.minimum(size, counts[doc] - start)
+        data = memoryview(full.tobytes())
+        sums = [zlib.crc32(data[4 * lo : 4 * hi]) for lo, hi in zip((first[doc] + start).tolist(), (first[doc] + start + length).tolist(), strict=True)]
+        return [doc_ids.take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_cache(("packing", tokenizer), lambda: WordIds(tokenizer_path(tokenizer)))
         for batch in batches:
-            rows = []
-            texts, doc_ids = batch.column("text"), batch.column("doc_id").to_pylist()
-            for lo in range(0, len(texts), 128):
-                for doc_id, ids in zip(doc_ids[lo : lo + 128], words.ids([t or "" for t in texts[lo : lo + 128].to_pylist()]), strict=True):
-                    ids += END
-                    for i, at in enumerate(range(0, len(ids), 4 * size)):
-                        part = ids[at : at + 4 * size]
-                        rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+            for lo, hi in slices(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(), chunk):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays(cut(part.column("doc_id"), *words.ids(part.column("text"))), names)
 
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
