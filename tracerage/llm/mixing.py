@@ -89,18 +89,13 @@ def mix(docs: DataFrame, block: int = 256, seed: int = 0, weights: tuple[float,
     documents: ``row, doc_id, size, source_size, target, taken``, one row for each document.
     mix: ``position, source, doc (= row), epoch, words``: the pieces of the mix in order of position.
 
-    Deterministic in the rows and the seed. Repeated rows are documents of their own: they are
-    told apart by their number among equals. A null text has no words; a null source is a source.
-    Sources without words have target 0. An empty table gives empty tables.
+    Deterministic in the rows and the seed. Repeated rows are documents of their own: ``row`` holds
+    the doc_id, the source, a hash of the text and the number among rows equal in these, so it
+    names one row whatever its hash. A null text has no words; a null source is a source. Sources without words
+    have target 0. An empty table gives empty tables. Other columns are ignored.
     """
-    rows = doc_columns(docs, "doc_id", "text", "source").select("doc_id", "source", word_count().alias("size"), F.xxhash64("text", F.lit(seed)).alias("content"))
-    return _mix(rows, block, seed, weights, total, most)
-
-
-def _mix(rows: DataFrame, block: int, seed: int, weights: tuple[float, ...], total: float, most: float) -> tuple[DataFrame, DataFrame]:
-    twin = Window.partitionBy("doc_id", "source", "content").orderBy("size")
-    rows = materialise(rows.withColumn("twin", F.row_number().over(twin)), "mix-sizes")
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "source", "content", "twin"))
+    rows = doc_columns(docs, "doc_id", "text", "source").select("source", word_count().alias("size"), key_of(seed))
+    rows = numbered(materialise(rows, "mix-sizes")).withColumn("row", F.struct("key", "twin")).withColumn("doc_id", F.col("key.doc_id"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(sizes, weights, total, most).join(sizes.select("source", "n").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plan = plan.withColumn("blocks", F.ceil(F.round("target") / block)).withColumn("slots", F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP)).cast("long"))
@@ -115,16 +110,46 @@ def _mix(rows: DataFrame, block: int, seed: int, weights: tuple[float, ...], tot
     return out.select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), mixed
 
 
+def key_of(seed: int):
+    """What tells documents apart, beside their number among equals. Nulls are equal within a struct."""
+    doc_id, text, source = F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")
+    return F.struct(doc_id.alias("doc_id"), source.alias("source"), F.xxhash64(text, F.lit(seed)).alias("content")).alias("key")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Stored ``rows`` with ``twin``: their number, from 0, among rows of the same ``key``.
+
+    Only keys that come again are numbered, within partitions and over them, so that one row
+    repeated any number of times is spread over tasks. Which of them gets which number is open.
+    """
+    again = materialise(rows.groupBy("key").count().where("count > 1").select("key"), "mix-repeated-keys")
+    if again.limit(1).count() == 0:
+        return rows.withColumn("twin", F.lit(0).cast("long"))
+    single = rows.join(again, "key", "leftanti").withColumn("twin", F.lit(0).cast("long"))
+    several = materialise(rows.join(again, "key").withColumn("slot", F.spark_partition_id()).withColumn("one", F.lit(1)), "mix-repeated")
+    several = running_sum(several, ["key"], ["one"], "one", "twin").drop("slot", "one")
+    return materialise(single.unionByName(several), "mix-numbered")
+
+
 def mixed_documents(docs: DataFrame, block: int = 256, seed: int = 0) -> DataFrame:
     """All columns of ``docs``: the mix as whole documents.
 
     A document comes once for each epoch of which the mix takes at least half of its words, so a
-    source is within half a document of its target. Documents without words don't come.
+    source is within half a document of its target. Documents without words don't come. Doc_ids of
+    any integer type, columns of any name and repeated rows (each a document of its own; those with
+    equal doc_id, source and text share their copies evenly) are kept; an empty table gives an
+    empty table. Texts are shuffled once, to meet their number of copies.
     """
-    keyed = docs.withColumn("__content", F.xxhash64(F.col("text"), F.lit(seed)))
-    twin = Window.partitionBy("doc_id", "source", "__content").orderBy("doc_id")
-    keyed = keyed.withColumn("__twin", F.row_number().over(twin)).withColumn("__row", F.xxhash64("doc_id", "source", "__content", "__twin"))
-    _, mixed = mix(docs, block, seed)
-    epochs = mixed.groupBy("doc", "epoch").agg(F.sum("words").alias("words"))
-    chosen = keyed.join(epochs, F.col("__row") == F.col("doc")).where(F.col("words") * 2 >= word_count())
-    return chosen.select(*docs.columns)
+    documents, _ = mix(docs, block, seed)
+    first = F.least("taken", "size")
+    copies = (2 * first >= F.col("size")).cast("int") + (2 * (F.col("taken") - first) >= F.col("size")).cast("int")
+    wanted = documents.select("row.key", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"))
+    wanted = wanted.groupBy("key").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).where("copies > 0")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), key_of(seed))
+    chosen = whole.join(wanted, "key")
+    several = chosen.where("n > 1")
+    rows = chosen.where("n = 1").withColumn("own", F.col("copies"))
+    if wanted.where("n > 1").limit(1).count():
+        several = numbered(materialise(several, "mix-repeated-documents"))
+        rows = rows.unionByName(several.withColumn("own", F.expr("copies div n + int(twin < copies % n)")).drop("twin"))
+    return rows.where("own > 0").select("whole", F.explode(F.sequence(F.lit(1), F.col("own").cast("int")))).select("whole.*")
