@@ -116,6 +116,28 @@ def test_mix_meets_targets_and_repeats_itself(docs, rows, empty):
     assert mixing.mix(empty)[0].count() == 0
 
 
+def test_mixed_documents_keep_columns_ids_and_repeats(spark):
+    rng = random.Random(2)
+    rows = [(i, words(rng, rng.randint(1, 40)), f"s{i % 3}" if i % 5 else None, "w", "d", "e", i) for i in range(60)]
+    rows += [rows[4]] * 7 + [(None, "null id here", "s1", "w", "d", "e", 1), (61, None, "s1", "w", "d", "e", 1), (62, " \n", None, "w", "d", "e", 1)]
+    shape = "doc_id int, text string, source string, words string, doc string, epoch string, key int"
+    docs = spark.createDataFrame(rows, shape).repartition(3)
+    got = mixing.mixed_documents(docs, block=16)
+    assert got.columns == docs.columns and got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    made = sorted(map(str, map(tuple, got.collect())))
+    assert made == sorted(map(str, map(tuple, mixing.mixed_documents(docs.repartition(5), block=16).collect())))
+    copies = {}
+    for r in mixing.mix(docs, block=16)[0].collect():
+        first = min(r.taken, r["size"])
+        n = (2 * first >= r["size"]) + (2 * (r.taken - first) >= r["size"]) if r["size"] else 0
+        copies[str(r.doc_id)] = copies.get(str(r.doc_id), 0) + n
+    seen = {}
+    for r in got.collect():
+        seen[str(r.doc_id)] = seen.get(str(r.doc_id), 0) + 1
+    assert seen == {k: n for k, n in copies.items() if n} and seen["4"] > 7
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
 def test_schedule_keeps_shares_at_every_point(docs):
     _, mixed = mixing.mix(docs, block=16)
     seen, slots = {}, sorted({(r.position, r.source or "") for r in mixed.select("position", "source").collect()})
@@ -260,33 +282,63 @@ def test_links_at_the_threshold_and_in_large_groups(spark, monkeypatch):
 
 def test_large_components_are_dealt_over_tiles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SLICE", 16)
-    bits = bytearray(b"\xff" * 8)
-    profiles = spark.createDataFrame([(i, 60, [7], bits) for i in range(240)], "node long, n long, keys array<long>, bits binary")
+    profiles = spark.createDataFrame([(i, 60, [7]) for i in range(240)] + [(500, 9, [7]), (501, 60, [8])], "node long, n long, keys array<long>")
     for outsiders in (1, 40):
-        many = profiles.where(f"node < {200 + outsiders}")
+        many = profiles.where(f"node < {200 + outsiders} or node >= 500")
         comps = many.select("node", F.when(F.col("node") < 200, 0).otherwise(F.col("node")).alias("comp"))
-        want = {(a, b) for b in range(200, 200 + outsiders) for a in range(b)}
-        assert {tuple(r) for r in ngram_join._other_pairs(many, comps).collect()} == want
-        with monkeypatch.context() as patch:
-            patch.setattr(ngram_join, "_rest_work", lambda parts: ([0], [sum(p.num_rows for p in parts)]))
-            assert max(r.b for r in ngram_join._other_pairs(many, comps).collect()) <= 3 * 16
+        tiles = {}
+        for r in ngram_join._other_tiles(many, comps)[0].collect():
+            tiles.setdefault(r.tile, []).append((r.node, r.side))
+        met = set()
+        for rows in tiles.values():
+            assert len(rows) <= 3 * 16
+            two = any(side == 2 for _, side in rows)
+            met |= {tuple(sorted((a, b))) for a, x in rows for b, y in rows if a != b and not (two and x == y)}
+        assert {(a, b) for b in range(200, 200 + outsiders) for a in range(b)} <= met
+        assert not any({500, 501} & set(pair) for pair in met)  # another size, another key
+
+
+def random_sets(rng, n, size):
+    return [np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64)) for _ in range(n)]
 
 
 def test_tree_pairs_lose_no_link():
     rng = np.random.default_rng(6)
     sets = []
     for _ in range(25):
-        n = int(rng.integers(1, 900))
-        base = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        base = random_sets(rng, 1, int(rng.integers(1, 900)))[0]
         sets.append(base)
         for share in (0.02, 0.1, 0.25):
             other = base.copy()
             at = rng.random(len(other)) < share
             other[at] = rng.integers(0, 1 << 62, at.sum()).astype(np.uint64)
             sets.append(np.unique(other))
-    found = set(ngram_join.candidate_pairs(np.array([len(s) for s in sets]), [ngram_join.bitmap(s) for s in sets], np.arange(len(sets))))
+    found = {tuple(sorted(p)) for p in ngram_join.candidate_pairs(sets, np.arange(len(sets)))}
     links = {(i, j) for j in range(len(sets)) for i in range(j) if ngram_join.linked(sets[i], sets[j])}
     assert links and links <= found and len(found) < 4 * len(links) + 20
+    spanned = ngram_join.Groups(len(sets))
+    for i, j in ngram_join.tree_links(sets):
+        spanned.join(i, j)
+    assert all(spanned.find(i) == spanned.find(j) for i, j in links)
+
+
+def test_inner_nodes_prune_unrelated_sets():
+    rng = np.random.default_rng(7)
+    passage = random_sets(rng, 1, 60)[0]
+    for shared in (passage[:0], passage):  # nothing in common, and a fifth of each set
+        sets = [np.unique(np.concatenate([s, shared])) for s in random_sets(rng, 1024, 300)]
+        copies = [np.unique(np.concatenate([s[8:], random_sets(rng, 1, 8)[0]])) for s in sets[:40]]
+        every = sets + copies
+        order = ngram_join.by_similarity(every)
+        tree = ngram_join.Tree([every[k] for k in order], np.arange(len(every)), np.ones(len(every), bool))
+        a, b = tree.pairs()
+        got = {tuple(sorted((order[i], order[j]))) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        assert {(i, 1024 + i) for i in range(40)} <= got and len(got) < 60
+        (all_top, kept_top), *_, (leaves, _) = tree.met
+        # Of pairs of two different top nodes at least nine tenths go, and few leaves are looked at.
+        top = len(tree.levels[-1][1])
+        assert all_top == top * (top + 1) // 2 and kept_top - top <= 0.1 * (all_top - top)
+        assert leaves <= 0.01 * len(every) ** 2 / 2
 
 
 def test_components_of_a_long_path(spark):
@@ -386,12 +438,15 @@ def test_sniffing_carves_valid_media_only():
 # Personal data
 
 
+KEY = b"a key of tests"
+
+
 def test_surrogates_keep_format_distinctness_and_coreference(spark):
     text = "Mail ann.lee+1@mail.example.com or Dr. Anna Smith, tel +1 (212) 555-0101; ip 10.1.2.3 and 8.8.4.4, card 4111 1111 1111 1111."
-    rows = [(1, text, "a", "x"), (2, "Mr Smith wrote to ann.lee+1@mail.example.com from 8.8.4.4", "b", "x"), (3, "plain words, version 2.0. only", "c", "x"), (4, None, None, "x"), (4, "", "d", "x"), (None, "key = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff end", "e", "x"), (6, "call 10.1.2.4 " * 300, "f", "x")]
+    rows = [(1, text, "a", "x"), (2, "Mr Smith wrote to ann.lee+1@mail.example.com from 8.8.4.4", "b", "x"), (3, "plain words, version 2.0. only", "c", "x"), (4, None, None, "x"), (4, "", "d", "x"), (None, "key = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff end", "e", "x"), (6, "call 10.1.2.4 " * 300, "f", "x"), (7, "z" * 300_000 + " 10.9.9.9", "g", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, entities string, attempt string")
-    got = {r.doc_id: r for r in pii.pseudonymise(docs).collect() if r.doc_id != 4}
-    assert pii.pseudonymise(docs).count() == 7 and got[3].text == rows[2][1] and got[3].entities == []
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, KEY).collect() if r.doc_id != 4}
+    assert pii.pseudonymise(docs, KEY).count() == 8 and got[3].text == rows[2][1] and got[3].entities == [] and "10.9.9.9" not in got[7].text
     new = {(e.kind, i): e.value for i in (1, 2) for e in got[i].entities}
     for i in (1, 2, None, 6):
         for e in got[i].entities:
@@ -403,36 +458,94 @@ def test_surrogates_keep_format_distinctness_and_coreference(spark):
     card = new["card", 1]
     assert [c.isdigit() for c in card] == [c.isdigit() for c in "4111 1111 1111 1111"] and pii.luhn(card.replace(" ", ""))
     assert got[1].text.count("10.") >= 1  # private addresses stay private
-    assert pii.pseudonymise(docs.limit(0)).count() == 0
+    assert pii.pseudonymise(docs.limit(0), KEY).count() == 0
+    with pytest.raises(ValueError, match="secret"):
+        pii.pseudonymise(docs)
+
+
+def test_nothing_stored_holds_a_value(spark):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.rglob("*.parquet"))
+    docs = spark.createDataFrame([(1, "Dr Anna Quixotix, 10.1.2.3, jo@mail.example.com")], "doc_id long, text string")
+    assert "Quixotix" not in pii.pseudonymise(docs, KEY).first().text
+    files = [f.read_bytes() for f in set(shared.rglob("*.parquet")) - before if f.is_file()]
+    assert files and not any(w in f for f in files for w in (b"Quixotix", b"10.1.2.3", b"jo@mail"))
 
 
 def test_surrogates_are_one_to_one():
-    made = {pii.surrogate("ssn", f"{i:03d}-{j:02d}-0000") for i in range(0, 1000, 13) for j in range(0, 100, 7)}
+    made = {pii.surrogate("ssn", f"{i:03d}-{j:02d}-0000", KEY) for i in range(0, 1000, 13) for j in range(0, 100, 7)}
     assert len(made) == 77 * 15
     assert len({pii.permute(i, 10, 37, b"k", "t") for i in range(370)}) == 370
+    assert len({pii.scramble(a + b, KEY, "t") for a in "абвгдежз" for b in "ийклмноп"}) == 64
+    short = [pii.draw("surname", a + b, KEY) for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]
+    assert sorted(short) == sorted(a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz")
 
 
 def test_addresses_stay_in_their_class_one_to_one():
     ranges = {"192.168": (192, 168, 168), "169.254": (169, 254, 254), "172.16": (172, 16, 31)}
     for a, lo, hi in ranges.values():
         ips = [f"{a}.{b}.{c}.{d}" for b in range(lo, hi + 1) for c in range(0, 256, 5) for d in range(0, 256, 51)]
-        made = [pii.surrogate("ipv4", ip) for ip in ips]
+        made = [pii.surrogate("ipv4", ip, KEY) for ip in ips]
         assert len(set(made)) == len(ips)
         for ip in made:
             x, y, *_ = map(int, ip.split("."))
             assert x == a and lo <= y <= hi
     assert len({pii._permute_ip(f"192.168.{c}.{d}", b"k", "t") for c in range(256) for d in range(256)}) == 1 << 16
-    public = [pii.surrogate("ipv4", f"{a}.{b}.3.4") for a in (8, 171, 172, 192, 223) for b in range(32, 100)]
+    public = [pii.surrogate("ipv4", f"{a}.{b}.3.4", KEY) for a in (8, 171, 172, 192, 223) for b in range(32, 100)]
     assert len(set(public)) == len(public)
     assert not any(pii._address_class(sum(int(x) << s for x, s in zip(ip.split("."), (24, 16, 8, 0), strict=True))) for ip in public)
 
 
+def test_check_digits_and_scripts_are_kept():
+    made = set()
+    for i in range(200):
+        body = f"WEST{i:014d}"
+        iban = f"GB{98 - pii._mod97('GB00' + body):02d}{body}"
+        new = pii.surrogate("iban", iban, KEY)
+        assert pii._mod97(new) == 1 and new[:2] == "GB" and len(new) == len(iban)
+        made.add(new)
+    assert len(made) == 200 and pii._mod97(pii.surrogate("iban", "GB00WEST12345698765432", KEY)) != 1
+    cases = {"Иван Петров пришёл. Петров ушёл": 2, "Κώστας Παππάς ήρθε": 1, "Dr Łukasz Żółty": 1, "+33 1 23 45 67 89": 1, "1-800-555-1234": 1, "01 23 45 67 89": 1, "0171 1234567": 1, "3782 822463 10005": 1, "fe80::1ff:fe23:4567:890a": 1, "2001:0db8:85a3:0000:0000:8a2e:0370:7334": 1, "٠١٢-٣٤٥-٦٧٨٩": 1, "at 10:30:20, a::b": 0, "Dr Anna Smith. Smith, said smith": 2}
+    for text, n in cases.items():
+        spans = pii.find(text)
+        assert len(spans) == n, text
+        for a, b, kind in spans:
+            new = pii.surrogate(kind, text[a:b], KEY)
+            assert new != text[a:b]
+            if kind == "name":
+                assert [c.isascii() for c in new.split()[-1][:1]] == [c.isascii() for c in text[a:b].split()[-1][:1]] or "Ł" in text or "Ż" in text
+            else:
+                assert [c.isalnum() for c in new] == [c.isalnum() for c in text[a:b]]
+    cyrillic = pii.surrogate("name", "Иван Петров", KEY).split()
+    assert cyrillic[0] in pii.MALE_CYRILLIC and all(0x400 <= ord(c) < 0x460 for c in cyrillic[1])
+    first, later = ("Dr Anna Smith. Later Smith went"[a:b] for a, b, _ in pii.find("Dr Anna Smith. Later Smith went"))
+    assert pii.surrogate("name", first, KEY).split()[-1] == pii.surrogate("name", later, KEY)
+
+
 def test_colliding_surrogates_draw_again(spark):
-    rows = [(1, [(0, 5, "ssn", "a"), (6, 5, "ssn", "b"), (6, 5, "ssn", "c")])]
-    found = spark.createDataFrame(rows, f"doc_id long, entities {pii.ENTITY}")
-    table = {("a", 0): "x", ("b", 0): "x", ("c", 0): "a"}
-    made = pii.surrogate_map(found, make=lambda kind, value, key, attempt: table.get((value, attempt), f"{value}!{attempt}"))
-    assert {r.value: r.attempt for r in made.collect()} == {"b": 1, "c": 1}
+    docs = spark.createDataFrame([(1, "Dr Aa, Dr Bb"), (2, "Mr Cc and 10.0.0.1"), (None, "Dr Bb")], "doc_id long, text string")
+    table = {("Aa", 0): "X", ("Bb", 0): "X", ("Cc", 0): "Aa"}
+    make = lambda kind, value, key, attempt: table.get((value, attempt), f"{value}!{attempt}") if kind == "surname" else "10.0.0.1"
+    met = pii.drawn_units(docs, KEY, make).cache()
+    odd = {(r.kind, bytes(r.value)): r.attempt for r in pii.further_attempts(docs, met, KEY, make).collect()}
+    names = {v: pii.digest("surname", v, KEY) for v in ("Aa", "Bb", "Cc")}
+    kept = min(("Aa", "Bb"), key=names.get)
+    other = "Bb" if kept == "Aa" else "Aa"
+    assert odd == {("surname", names[other]): 1, ("surname", names["Cc"]): 1}
+    with pytest.raises(RuntimeError):
+        pii.further_attempts(docs, pii.drawn_units(docs, KEY, lambda *_: "same"), KEY, lambda *_: "same", rounds=2)
+
+
+def test_documents_take_their_further_attempts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Dr Aa, Dr Bb"), (2, "Mr Cc")], "doc_id long, text string")
+    found = pii.pseudonymise(docs, KEY).collect()
+    words = sorted(e.value.split()[-1] for r in found for e in r.entities)
+    assert len(set(words)) == 3 and not set(words) & {"Aa", "Bb", "Cc"}
+    many = spark.createDataFrame([(i, f"Dr {chr(65 + i // 26)}{chr(97 + i % 26)} said") for i in range(676)], "doc_id long, text string")
+    new = [r.entities[0].value.split()[-1] for r in pii.pseudonymise(many, KEY).collect()]
+    assert len(set(new)) == 676 and not set(new) & {f"{chr(65 + i // 26)}{chr(97 + i % 26)}" for i in range(676)}
 
 
 # HTML

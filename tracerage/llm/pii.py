@@ -3,39 +3,64 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_columns, materialise, worker_cache
+from .common import doc_columns, materialise, small_batches, worker_cache
 
-KEY = b"tracerage surrogates"
+#: Session setting that holds the secret key of surrogates.
+KEY_SETTING = "spark.tracerage.surrogates.key"
+#: For the synthetic sample tables alone: whoever knows a key can undo its surrogates.
+SAMPLE_KEY = b"key of the sample tables"
 
-#: First names by gender, and titles.
+#: First names by gender in Latin, Cyrillic and Greek script, and titles.
 FEMALE = "Alice Anna Beatrice Carmen Charlotte Clara Elena Elisabeth Emma Eva Greta Hannah Irene Isabel Julia Karin Laura Lucia Maria Marie Martha Mia Nadia Nora Olivia Paula Petra Rosa Sara Sophie".split()
 MALE = "Adam Alexander Andreas Anton Carlos Daniel David Diego Emil Felix Frank Georg Hans Hugo Ivan Jack James John Jorge Karl Louis Luis Marc Martin Max Oscar Paul Peter Thomas Victor".split()
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "x", "Prof": "x", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f"}
+FEMALE_CYRILLIC = "Анна Дарья Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна".split()
+MALE_CYRILLIC = "Александр Алексей Андрей Дмитрий Иван Михаил Николай Олег Павел Сергей".split()
+FEMALE_GREEK = "Άννα Βασιλική Γεωργία Δήμητρα Ελένη Ειρήνη Κατερίνα Μαρία Σοφία Χριστίνα".split()
+MALE_GREEK = "Αλέξανδρος Ανδρέας Βασίλης Γιάννης Γιώργος Δημήτρης Κώστας Μιχάλης Νίκος Παύλος".split()
+FIRST_NAMES = [FEMALE, MALE, FEMALE_CYRILLIC, MALE_CYRILLIC, FEMALE_GREEK, MALE_GREEK]
+TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora Господин Госпожа Доктор Κύριος Κυρία Δρ".split()
+_GIVEN = {name: names for names in FIRST_NAMES for name in names}
 
-_NAME = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
+
+def _letters(first: int, last: int, kind: str) -> str:
+    return "".join(c for c in map(chr, range(first, last)) if unicodedata.category(c) == kind)
+
+
+#: Ranges of lower and upper case letters: Latin, Greek, Cyrillic.
+_LOWER = [_letters(lo, hi, "Ll") for lo, hi in ((0x61, 0x7B), (0xDF, 0x100), (0x100, 0x180), (0x3AC, 0x3CF), (0x430, 0x460))]
+_UPPER = [_letters(lo, hi, "Lu") for lo, hi in ((0x41, 0x5B), (0xC0, 0xDF), (0x100, 0x180), (0x386, 0x3AC), (0x400, 0x430))]
+_CASES = [(f"[{''.join(_UPPER[i:j])}]", f"[{''.join(_LOWER[i:j])}]+") for i, j in ((0, 3), (3, 4), (4, 5))]
+_NAME = "(?:" + "|".join(f"{u}{low}(?:-{u}{low})?" for u, low in _CASES) + ")"
 #: Kinds in order of precedence. A match of an earlier one hides later ones that overlap it.
 PATTERNS = [
     ("email", r"(?<![\w.+%-])[\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:ghp|gho|ghs)_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])"),
-    ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
+    ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     ("mac", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z:])"),
-    ("ipv4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"),
-    ("card", r"(?<![\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)"),
-    ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"),
+    ("ipv6", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9A-Za-z:])[0-9A-Fa-f]{4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
+    ("ipv4", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])"),
+    ("card", r"(?<![\d.])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|3\d{3}[ -]\d{6}[ -]\d{5})(?!\d)"),
+    (
+        "phone",
+        r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{1,8}){2,6}(?!\d)"
+        r"|(?<![\d.-])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<![\w.,-])0\d(?:[ .]\d{2}){4}(?![\d-])|(?<![\w.,-])0\d{2,4}[ /-]\d{6,8}(?![\d-])",
+    ),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("name", rf"(?<!\w)(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?(?!\w)|(?<!\w)(?:{'|'.join(FEMALE + MALE)}) {_NAME}(?!\w)"),
+    ("name", rf"(?<!\w)(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?(?!\w)|(?<!\w)(?:{'|'.join(_GIVEN)}) {_NAME}(?!\w)"),
 ]
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
-_SIGN = re.compile("[0-9@]")
+_SIGN = re.compile(r"[\d@]|[0-9A-Fa-f]:[0-9A-Fa-f:]")
 
 
 @lru_cache(1)
@@ -44,7 +69,7 @@ def _words():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for word in [*TITLES, *FEMALE, *MALE]:
+    for word in [*TITLES, *_GIVEN]:
         found.add_word(word, len(word))
     found.make_automaton()
     return found
@@ -72,19 +97,48 @@ def find(text: str) -> list[tuple[int, int, str]]:
         if start >= at:
             out.append((start, end, m.lastgroup))
             at = end
-    return out
+    return _with_bare_surnames(text, out)
+
+
+def _surname_of(name: str) -> str:
+    return name.split(" ")[-1]
+
+
+def _with_bare_surnames(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """``found`` and, wherever a found person's surname stands by itself in the text, that too."""
+    surnames = {_surname_of(text[a:b]) for a, b, kind in found if kind == "name"}
+    surnames = sorted(s for s in surnames if len(s) > 2)
+    if not surnames:
+        return found
+    bare = re.compile(rf"(?<![\w@.-])(?:{'|'.join(map(re.escape, surnames))})(?![\w@-])")
+    out, k = [], 0
+    for m in bare.finditer(text):
+        while k < len(found) and found[k][1] <= m.start():
+            out.append(found[k])
+            k += 1
+        if k == len(found) or found[k][0] >= m.end():
+            out.append((*m.span(), "name"))
+    return out + found[k:]
 
 
 def _alphabets() -> dict[str, str]:
     """Each letter's or digit's alphabet: characters of one script, case and kind stay among each other."""
-    rows = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
-    rows.append("".join(c for c in map(chr, range(0xDF, 0x100)) if c != "÷"))
-    rows.append("".join(c for c in map(chr, range(0xC0, 0xDF)) if c != "×"))
-    rows += ["".join(map(chr, r)) for r in (range(0x3B1, 0x3CA), range(0x391, 0x3A2), range(0x430, 0x450), range(0x410, 0x430), range(0x5D0, 0x5EB), range(0x621, 0x63B), range(0x905, 0x93A), range(0x3041, 0x3097), range(0x30A1, 0x30F7), range(0x4E00, 0x9FA6), range(0xAC00, 0xD7A4))]
+    rows = [*_LOWER, *_UPPER]
+    rows += ["".join(map(chr, r)) for r in (range(0x5D0, 0x5EB), range(0x621, 0x63B), range(0x905, 0x93A), range(0x3041, 0x3097), range(0x30A1, 0x30F7), range(0x4E00, 0x9FA6), range(0xAC00, 0xD7A4))]
     return {c: row for row in rows for c in row}
 
 
-ALPHABET = _alphabets()
+_LETTERS = _alphabets()
+
+
+def alphabet_of(c: str) -> str | None:
+    """The characters that may take the place of ``c``, itself among them; decimal digits stay in their script."""
+    if c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    return _LETTERS.get(c)
+
+
 HEX_LOWER, HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
 
 
@@ -109,7 +163,7 @@ def permute(value: int, below_left: int, below_right: int, key: bytes, tweak: st
     return left * below_right + right
 
 
-def scramble(text: str, key: bytes, tweak: str, alphabet=ALPHABET.get) -> str:
+def scramble(text: str, key: bytes, tweak: str, alphabet=alphabet_of) -> str:
     """Another text of the same layout: each letter or digit from its own alphabet, the rest as it is.
 
     One-to-one among texts of a layout, so distinct texts keep distinct surrogates.
@@ -172,37 +226,54 @@ def _permute_ip(ip: str, key: bytes, tweak: str) -> str:
     return ".".join(str(v >> s & 255) for s in (24, 16, 8, 0))
 
 
-def _surrogate_name(text: str, key: bytes, tweak: str) -> str:
-    """The title stays; a listed first name gives one of the same gender; a surname of the same layout.
+def _mod97(iban: str) -> int:
+    """An account number's remainder, with the country and its check digits moved to the end."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
-    A surname's surrogate doesn't depend on what stands before it, so "Dr Smith" and "Anna Smith"
-    still share theirs.
-    """
+
+def _permute_iban(text: str, key: bytes, tweak: str) -> str:
+    """Another account of the country and layout, with right check digits if and only if ``text`` has them."""
+    head, body = text[:4], text[4:]
+    if _mod97(text.replace(" ", "")) == 1:
+        body = scramble(body, key, tweak)
+        plain = body.replace(" ", "")
+        return f"{head[:2]}{98 - _mod97(head[:2] + '00' + plain):02d}{body}"
+    return _walk(text, lambda x: x[:2] + scramble(x[2:], key, tweak), lambda x: _mod97(x.replace(" ", "")) != 1)
+
+
+def units(kind: str, text: str) -> list[tuple[str, str]]:
+    """What of an entity is drawn, and drawn again on a collision, as one: a name's words, else all of it."""
+    if kind != "name":
+        return [(kind, text)]
     words = text.split(" ")
-    out = [words.pop(0)] if words[0].rstrip(".") in TITLES else []
-    if len(words) > 1 or words[0] in FEMALE or words[0] in MALE:
-        first = words.pop(0)
-        names = next((n for n in (FEMALE, MALE) if first in n), None)
-        out.append(names[permute(names.index(first), 5, len(names) // 5, key, tweak + "first")] if names else scramble(first, key, tweak + "first"))
-    return " ".join(out + [scramble(w, key, tweak + "last") for w in words])
+    words = words[1:] if words[0].rstrip(".") in TITLES else words
+    return [("surname", w) for i, w in enumerate(words) if i or w not in _GIVEN]
+
 
+def draw(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
+    """The surrogate of a unit. Units of a kind and layout are permuted: distinct ones stay distinct.
 
-@lru_cache(100_000)
-def surrogate(kind: str, text: str, key: bytes = KEY, attempt: int = 0) -> str:
-    """The replacement of an entity. The same text always gets the same one."""
+    From attempt 8 on, surnames and mailboxes get a letter more for every eight attempts, so that
+    short layouts can't run out.
+    """
     tweak = f"{kind}{attempt}"
+    longer = attempt // 8
+    if kind == "surname":
+        return scramble(text + text[-1] * longer, key, tweak)
     if kind == "email":
         name, _, host = text.rpartition("@")
         site, _, top = host.rpartition(".")
-        return f"{scramble(name, key, tweak + 'name')}@{scramble(site, key, tweak + 'site')}.{top}"
+        return f"{scramble(name + 'a' * longer, key, tweak + 'name')}@{scramble(site, key, tweak + 'site')}.{top}"
     if kind == "secret":
         body = re.search(r"(?:AKIA|gh[pos]_|sk-)?", text).end()
         hexes = HEX_LOWER if re.fullmatch("[0-9a-f]+", text) else HEX_UPPER if re.fullmatch("[0-9A-F]+", text) else None
         return scramble(text, key, tweak, (lambda c: hexes)) if hexes else text[:body] + scramble(text[body:], key, tweak)
     if kind == "iban":
-        return text[:2] + scramble(text[2:], key, tweak)
-    if kind == "mac":
-        return scramble(text, key, tweak, lambda c: None if c in ":-" else HEX_LOWER if text == text.lower() else HEX_UPPER)
+        return _permute_iban(text, key, tweak)
+    if kind in ("mac", "ipv6"):
+        hexes = HEX_LOWER if text == text.lower() else HEX_UPPER
+        head = 4 if kind == "ipv6" and re.match("(?i)f[cdef]|0*:", text) else 1 if kind == "ipv6" else 0  # local prefixes stay
+        return text[:head] + scramble(text[head:], key, tweak + text[:head], lambda c: None if c in ":-" else hexes)
     if kind == "ipv4":
         return _permute_ip(text, key, tweak)
     if kind == "card":
@@ -212,100 +283,189 @@ def surrogate(kind: str, text: str, key: bytes = KEY, attempt: int = 0) -> str:
         country = re.match(r"\+\d{1,3}(?=[ .(-])", text)
         at = country.end() if country else 0
         return text[:at] + scramble(text[at:], key, tweak)
-    if kind == "name":
-        return _surrogate_name(text, key, tweak)
     return scramble(text, key, tweak)
 
 
+def surrogate(kind: str, text: str, key: bytes, attempts: dict[tuple[str, str], int] | None = None) -> str:
+    """The replacement of an entity. The same text always gets the same one.
+
+    In a name the title stays, a listed first name gives one of the same gender and script, and a
+    surname's surrogate doesn't depend on what stands before it, so "Dr Smith" and "Anna Smith"
+    still share theirs.
+    """
+    tries = attempts or {}
+    if kind != "name":
+        return draw(kind, text, key, tries.get((kind, text), 0))
+    words = text.split(" ")
+    out = [words.pop(0)] if words[0].rstrip(".") in TITLES else []
+    if words and words[0] in _GIVEN:
+        names = _GIVEN[words[0]]
+        out.append(names[permute(names.index(words.pop(0)), 5, len(names) // 5, key, "first")])
+    return " ".join(out + [draw("surname", w, key, tries.get(("surname", w), 0)) for w in words])
+
+
+def unbound(kind: str, text: str) -> bool:
+    """Whether a surrogate may also be a real value: an address that isn't public means nothing elsewhere."""
+    if kind != "ipv4":
+        return False
+    a, b, c, d = map(int, text.split("."))
+    return _address_class((a << 24) + (b << 16) + (c << 8) + d) is not None
+
+
+def digest(kind: str, text: str, key: bytes) -> bytes:
+    """128 keyed bits that stand for a unit where it is stored."""
+    return hashlib.blake2b(f"{kind}\0{text}".encode(), key=key[:64], digest_size=16).digest()
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session is set to; without one there are no surrogates."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"set {KEY_SETTING} to a secret: surrogates are made with it")
+    return key.encode()
+
+
+def sample_key(spark: SparkSession) -> bytes:
+    """The session's key, or the open one of the sample tables."""
+    return session_key(spark) if spark.conf.get(KEY_SETTING, None) else SAMPLE_KEY
+
+
 ENTITY = "array<struct<start:int,length:int,kind:string,value:string>>"
+_ENTITY_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """``doc_id, entities`` of the documents that have any: places in code points, kinds, values."""
+    """``doc_id, entities`` of the documents that have any: places in code points, kinds, values.
+
+    For reports; pseudonymise() never stores values. Null and empty texts have none; repeated rows
+    and null doc_ids are kept; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
         for batch in batches:
             ids, out = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if text and (spans := find(text)):
                     ids.append(doc_id)
                     out.append([{"start": a, "length": b - a, "kind": k, "value": text[a:b]} for a, b, k in spans])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, kind)], ["doc_id", "entities"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, _ENTITY_TYPE)], ["doc_id", "entities"])
 
     return doc_columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id long, entities {ENTITY}")
 
 
-def surrogate_map(entities: DataFrame, key: bytes = KEY, attempts: int = 8, make=surrogate) -> DataFrame:
-    """``kind, value, attempt``: the distinct entities whose first surrogate collides.
+DRAWN = "doc_id long, kind string, value binary, drawn binary, attempt int, free boolean"
+
+
+def drawn_units(docs: DataFrame, key: bytes, make=draw) -> DataFrame:
+    """``doc_id, kind, value, drawn, attempt, free``: digests of the units of each document and of their surrogates.
 
-    A surrogate collides if another entity of its kind has it too or if the corpus has it as a real
-    value; such entities draw again with another tweak (of equals, the least value keeps its own),
-    until none collides. Surrogates are one-to-one within a layout, so this is rare.
+    A text in ``__tries`` (digests and attempts as JSON) says which units are drawn again; a
+    document with that column gives those units alone.
     """
+    has = "__tries" in docs.columns
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(["__tries"] if has else []))
+    small_batches(docs.sparkSession)
 
-    @F.pandas_udf("string")
-    def draw(kind, value, attempt):
-        import pandas as pd
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
+        for batch in batches:
+            tries = batch.column("__tries").to_pylist() if has else [None] * batch.num_rows
+            rows = []
+            for doc_id, text, again in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), tries, strict=True):
+                wanted = _tries(again)
+                found = dict.fromkeys(u for a, b, k in (find(text) if text else ()) for u in units(k, text[a:b]))
+                for kind, value in found:
+                    own = digest(kind, value, key)
+                    if again is None or own in wanted:
+                        attempt = wanted.get(own, 0)
+                        rows.append((doc_id, kind, own, digest(kind, make(kind, value, key, attempt), key), attempt, unbound(kind, value)))
+            kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "kind", "value", "drawn", "attempt", "free"])
+
+    return read.mapInArrow(run, DRAWN)
+
+
+def _tries(text: str | None) -> dict[bytes, int]:
+    """Attempts by digest, from the JSON that the plan carries."""
+    return {bytes.fromhex(x["value"]): x["attempt"] for x in json.loads(text)} if text else {}
 
-        return pd.Series([make(k, v, key, a) for k, v, a in zip(kind, value, attempt, strict=True)])
 
-    now = entities.select(F.explode("entities").alias("e")).select("e.kind", "e.value").distinct().withColumn("attempt", F.lit(0))
-    values = now.select("kind", F.col("value").alias("drawn"), F.lit(True).alias("real"))
-    for _ in range(attempts):
-        drawn = materialise(now.withColumn("drawn", draw("kind", "value", "attempt")), "surrogates")
-        first = drawn.groupBy("kind", "drawn").agg(F.min("value").alias("keeps"), F.count("*").alias("n"))
-        judged = drawn.join(first, ["kind", "drawn"]).join(values, ["kind", "drawn"], "left")
-        clash = (F.col("n") > 1) & (F.col("value") != F.col("keeps")) | F.col("real").isNotNull()
-        now = materialise(judged.select("kind", "value", (F.col("attempt") + clash.cast("int")).alias("attempt"), clash.alias("again")), "surrogates")
-        if now.where("again").limit(1).count() == 0:
-            break
-        now = now.drop("again")
-    return now.where("attempt > 0").select("kind", "value", "attempt")
+def _with_tries(docs: DataFrame, where: DataFrame, tries: DataFrame, how: str) -> DataFrame:
+    """``docs`` with ``__tries`` of the documents in ``where`` (doc_id, kind, value) that ``tries`` names."""
+    lists = where.select("doc_id", "kind", "value").distinct().join(tries.select("kind", "value", "attempt"), ["kind", "value"])
+    lists = lists.groupBy(F.col("doc_id").alias("__doc")).agg(F.to_json(F.collect_set(F.struct(F.hex("value").alias("value"), "attempt"))).alias("__tries"))
+    return docs.join(lists, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), how).drop("__doc")
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def further_attempts(docs: DataFrame, units_of: DataFrame, key: bytes, make=draw, rounds: int = 64) -> DataFrame:
+    """``kind, value, attempt``: the units (by digest) whose first surrogates collide.
+
+    A surrogate collides if another unit of its kind has it too (of equals, the least attempt and
+    then digest keeps it), or if the corpus has it as a real value. Such units draw again until no
+    surrogate collides; only their documents are read for that. Fails, rather than leave a
+    collision, if that takes more than ``rounds`` rounds.
+    """
+    now = materialise(units_of.groupBy("kind", "value").agg(F.first("drawn").alias("drawn"), F.first("free").alias("free")).withColumn("attempt", F.lit(0)), "surrogates")
+    real = now.select("kind", F.col("value").alias("drawn"), F.lit(True).alias("real"))
+    for _ in range(rounds):
+        first = now.groupBy("kind", "drawn").agg(F.min(F.struct("attempt", "value")).alias("keeps"), F.count("*").alias("n"))
+        judged = now.join(first, ["kind", "drawn"]).join(real, ["kind", "drawn"], "left")
+        clash = (F.col("n") > 1) & (F.struct("attempt", "value") != F.col("keeps")) | (F.col("real").isNotNull() & ~F.col("free"))
+        again = materialise(judged.where(clash).select("kind", "value", "free", (F.col("attempt") + 1).alias("attempt")), "surrogates")
+        if again.limit(1).count() == 0:
+            return now.where("attempt > 0").select("kind", "value", "attempt")
+        redrawn = drawn_units(_with_tries(docs, units_of, again, "inner"), key, make).groupBy("kind", "value").agg(F.first("drawn").alias("drawn"), F.first("free").alias("free"), F.first("attempt").alias("attempt"))
+        now = materialise(now.join(again.select("kind", "value"), ["kind", "value"], "leftanti").unionByName(redrawn), "surrogates")
+    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """All columns of ``docs`` with surrogates in ``text``, and ``entities``: what was replaced.
 
     ``entities`` has start (in the new text, in code points), length, kind and the surrogate. Equal
-    values get equal surrogates everywhere, different ones different ones. A null text stays null;
-    a text without entities stays as it is with an empty list. Rows stay one to one, repeated ones
-    and null doc_ids too; a table without rows gives none. A column named entities is replaced.
+    values get equal surrogates everywhere, different ones different ones. The key is the session's
+    (KEY_SETTING) unless given. What is stored on the way are keyed digests, never values.
+
+    A null text stays null; a text without entities stays as it is with an empty list. Rows stay
+    one to one, repeated ones and null doc_ids too; a table without rows gives none. A column
+    named entities is replaced.
     """
-    found = materialise(detect(docs), "entities")
-    odd = surrogate_map(found, key)
-    kept = docs.drop("entities")
-    if odd.limit(1).count():
-        # Only documents that hold such an entity take part in the join.
-        again = found.select("doc_id", F.explode("entities").alias("e")).join(odd.withColumnRenamed("kind", "k").withColumnRenamed("value", "v"), (F.col("e.kind") == F.col("k")) & (F.col("e.value") == F.col("v")))
-        again = again.groupBy(F.col("doc_id").alias("__doc")).agg(F.to_json(F.collect_set(F.struct("k", "v", "attempt"))).alias("__again"))
-        kept = kept.join(again, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
-    else:
-        kept = kept.withColumn("__again", F.lit(None).cast("string"))
-    schema = T.StructType([*kept.drop("__again").schema.fields, *T.StructType.fromDDL(f"entities {ENTITY}").fields])
+    key = key or session_key(docs.sparkSession)
+    plain = docs.drop("entities")
+    met = materialise(drawn_units(plain, key), "units")
+    odd = further_attempts(plain, met, key)
+    kept = _with_tries(plain, met, odd, "left") if odd.limit(1).count() else plain.withColumn("__tries", F.lit(None).cast("string"))
+    schema = T.StructType([*plain.schema.fields, *T.StructType.fromDDL(f"entities {ENTITY}").fields])
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache()
-        import json
-
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
+        made: dict[tuple[str, str], str] = worker_cache(("surrogates", key), dict)
         for batch in batches:
             texts, lists = [], []
-            for text, odd_ones in zip(batch.column("text").to_pylist(), batch.column("__again").to_pylist(), strict=True):
+            for text, again in zip(batch.column("text").to_pylist(), batch.column("__tries").to_pylist(), strict=True):
                 spans = find(text) if text else []
-                tries = {(x["k"], x["v"]): x["attempt"] for x in json.loads(odd_ones)} if odd_ones else {}
-                parts, made, at, size = [], [], 0, 0
+                wanted = _tries(again)
+                parts, found, at, size = [], [], 0, 0
                 for a, b, what in spans:
-                    new = surrogate(what, text[a:b], key, tries.get((what, text[a:b]), 0))
+                    old = text[a:b]
+                    if wanted:
+                        new = surrogate(what, old, key, {u: wanted.get(digest(*u, key), 0) for u in units(what, old)})
+                    elif (new := made.get((what, old))) is None:
+                        if len(made) >= 50_000:
+                            made.clear()
+                        new = surrogate(what, old, key)
+                        if len(old) <= 200:
+                            made[what, old] = new
                     parts += [text[at:a], new]
                     size += a - at
-                    made.append({"start": size, "length": len(new), "kind": what, "value": new})
+                    found.append({"start": size, "length": len(new), "kind": what, "value": new})
                     size += len(new)
                     at = b
                 texts.append("".join([*parts, text[at:]]) if spans else text)
-                lists.append(made)
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names if n != "__again"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lists, kind)], [*(n for n in batch.schema.names if n != "__again"), "entities"])
+                lists.append(found)
+            names = [n for n in batch.schema.names if n != "__tries"]
+            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lists, _ENTITY_TYPE)], [*names, "entities"])
 
     return kept.mapInArrow(run, schema)

@@ -46,7 +46,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.sample_key(spark))
     return made.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.concat_ws(",", F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["length"]))).alias("spans"))
 
 
