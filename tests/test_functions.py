@@ -92,6 +92,33 @@ def test_refined_grid_meets_a_decayed_input_in_closed_form(spark):
     assert got == pytest.approx(want, rel=2e-3)
 
 
+def test_refinement_fails_where_it_does_not_converge(spark):
+    knots = spark.createDataFrame([("a", 1990.0, 0.0), ("a", 2000.0, 5.0)], "tracer string, date double, value double")
+    tracers = spark.createDataFrame([("a", "u", "chronicle", None, None, None)], "name string, unit string, mode string, constant double, production_rate double, decay_rate double")
+    pairs = spark.createDataFrame([("a", 2000.0)], "tracer string, date double")
+    bins = fw.base_edges(pairs, knots, tracers)
+    with pytest.raises(ValueError, match="a at 2000.0 aren't fine after 3 steps"):
+        fw.refine(bins, knots, tracers, levels=3)
+    with pytest.raises(ValueError, match="bins"):
+        fw.refine(bins, knots, tracers, most=20)
+    fine = fw.refine(bins, knots, tracers).orderBy("left").collect()
+    assert fine[0]["left"] == 0 and fine[-1]["right"] == 10 and all(a["right"] == b["left"] for a, b in zip(fine, fine[1:], strict=False))
+    assert all(abs(r["k_left"] - r["k_right"]) <= 5e-4 * 5 + 0.02 * max(r["k_left"], r["k_right"]) + 1e-12 for r in fine)
+    assert fw.refine(bins.limit(0), knots, tracers).count() == 0
+
+
+def test_refined_predictions_meet_the_exact_integral(spark):
+    # A ramp of slope 1 from 1990 on and exponential ages: the integral has a closed form.
+    knots = spark.createDataFrame([("a", 1990.0, 0.0), ("a", 2020.0, 30.0)], "tracer string, date double, value double")
+    tracers = spark.createDataFrame([("a", "u", "chronicle", None, None, None)], "name string, unit string, mode string, constant double, production_rate double, decay_rate double")
+    obs = spark.createDataFrame([("a", 2015.0)], "element string, date double")
+    draws = spark.createDataFrame([(i, 2.0 + 6 * i) for i in range(4)], "draw long, scale double")
+    for r in fw.predict(draws, obs, knots, tracers, "exp", ["draw"]).collect():
+        m = 2.0 + 6 * r["draw"]
+        want = 25 - m * (1 - math.exp(-25 / m))
+        assert r["concentration"] == pytest.approx(want, rel=5e-4)
+
+
 def test_stick_breaking_sums_to_one(spark):
     lat = spark.createDataFrame([(1, i, v) for i, v in enumerate((-2.0, 0.0, 30.0))], "k long, age_bin int, latent double")
     got = [r["fraction"] for r in ds.stick_breaking(lat, ["k"]).orderBy("age_bin").collect()]
@@ -113,6 +140,55 @@ def test_diagnostics_of_degenerate_chains(spark):
     assert {r["param"]: r["ess"] for r in dg.ess(d, 5).collect()}["x"] == 0.0
 
 
+def test_ranked_quantiles_and_places_equal_numpy(spark):
+    import numpy as np
+
+    from tracerage.operators import order
+
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v)) for k in "ab" for v in (*rng.normal(size=301), *[0.5] * 200)] + [("c", 2.0), ("c", None), ("c", float("nan"))]
+    d = spark.createDataFrame(rows, "k string, value double").repartition(3)
+    got = {r["k"]: r for r in order.quantiles(d, ["k"], "value", {"lo": 0.03, "mid": 0.5, "hi": 0.97}).collect()}
+    for k in "ab":
+        values = [v for g, v in rows if g == k]
+        assert [got[k]["lo"], got[k]["mid"], got[k]["hi"]] == pytest.approx(np.quantile(values, [0.03, 0.5, 0.97]).tolist())
+    assert got["c"]["mid"] == 2.0
+    assert order.quantiles(d, [], "value", {"mid": 0.5}).first()["mid"] == pytest.approx(np.quantile([v for _, v in rows[:-2]], 0.5))
+    ranks = [r["rank"] for r in order.average_rank(d.where("k = 'a'"), ["k"], "value").orderBy("value").collect()]
+    assert len(ranks) == 501 and sum(ranks) == 501 * 502 / 2
+
+
+def test_autocovariances_run_over_segments_and_rounds(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(dg, "SEGMENT", 16)
+    monkeypatch.setattr(dg, "FIRST_LAGS", 4)
+    rng = np.random.default_rng(4)
+    x = np.zeros((2, 150))
+    for i in range(1, 150):  # slowly mixing chains
+        x[:, i] = 0.9 * x[:, i - 1] + rng.normal(size=2)
+    rows = [("c", "p", c, i + 1, float(x[c, i])) for c in range(2) for i in range(150)]
+    d = spark.createDataFrame(rows, "case_id string, param string, chain long, step long, value double").repartition(3)
+    cov = {(r["chain"], r["lag"]): r["acov"] for r in dg.acf(d, 15).collect()}
+    for c in range(2):
+        z = x[c] - x[c].mean()
+        for lag in range(16):
+            assert cov[c, lag] == pytest.approx(float(z[: 150 - lag] @ z[lag:]) / 150)
+    tau = {r["chain"]: r for r in dg.iact(d).collect()}
+    for c in range(2):
+        z = x[c] - x[c].mean()
+        rho = [float(z[: 150 - k] @ z[k:]) / float(z @ z) for k in range(150)]
+        total, low = 0.0, float("inf")
+        for k in range(0, 150, 2):
+            s = rho[k] + rho[k + 1]
+            if s <= 0:
+                break
+            low = min(low, s)
+            total += low
+        assert tau[c]["tau"] == pytest.approx(2 * total - 1) and tau[c]["tau"] > 4 and not tau[c]["truncated"]
+    assert dg.ess(d, 3).first()["truncated"]
+
+
 def test_effective_size_of_independent_draws_is_near_their_number(spark):
     d = spark.range(4000).select(F.lit("c").alias("case_id"), F.lit("x").alias("param"), (F.col("id") % 4).alias("chain"), F.floor(F.col("id") / 4).alias("step"), F.randn(5).alias("value"))
     d = spark.createDataFrame(d.collect(), d.schema)
@@ -131,3 +207,35 @@ def test_grid_posterior_is_shifted_and_normalised(spark):
     s = spark.createDataFrame([("a", 0, 2000.0, 1.0), ("a", 1, 2002.0, 2.0), ("b", 0, 4.0, 1.0)], "case_id string, grid_id long, chi2 double, x double")
     w = {(r["case_id"], r["grid_id"]): r["weight"] for r in po.grid_posterior(s).collect()}
     assert w["a", 0] == pytest.approx(1 / (1 + math.exp(-1))) and w["b", 0] == 1.0
+
+
+def test_tables_reject_what_is_incomplete(spark):
+    from tracerage.operators import clean
+
+    tools = spark.createDataFrame([("m", i, 10.0, 10.0 + i, 9.0 + i) for i in range(3)], "model string, seed long, truth double, a double, b double")
+    row = su.tool_table(tools, ["model"], ["a", "b"], 3, 0.11).first()
+    assert row["a_bias"] == pytest.approx(1) and row["b_minus_a"] == pytest.approx(-1) and row["a_passes"] == 2
+    assert su.tool_table(tools, ["model"], ["a", "b"], 4, 0.1, strict=False).first()["a_mean"] is None
+    with pytest.raises(Exception, match="incomplete campaign: 3 of 4"):
+        su.tool_table(tools, ["model"], ["a", "b"], 4, 0.1).collect()
+    obs = spark.createDataFrame([(1, "x", "true"), (2, "y", "false")], "well long, element string, enabled string")
+    assert clean.subset(obs, [1], ["x"]).count() == 1
+    with pytest.raises(ValueError, match="2"):
+        clean.subset(obs, [1, 2])
+    times = spark.sql("select 'e' as experiment_id, timestamp'2020-01-01 00:00:00' as started, timestamp'2020-01-01 01:30:00' as finished")
+    matrix = spark.createDataFrame([("e", "f")], "experiment_id string, family string")
+    assert su.campaign_inventory(times, matrix).first()["runtime_hours"] == 1.5
+    with pytest.raises(Exception, match="not in the matrix"):
+        su.campaign_inventory(times, matrix.where("family = 'g'")).collect()
+
+
+def test_units_pass_as_the_contract_has_them(spark):
+    from tracerage.operators import clean
+
+    rows = spark.createDataFrame([(u,) for u in ("Bq/L", "bq/l", "mol", "dpm/ccKr", "TU_equivalent", "%modern", "furlong", " N/A ", "0", None)], "unit string")
+    got = {r["unit"]: (r["canonical"], r["status"]) for r in clean.check_units(rows).collect()}
+    assert got["Bq/L"] == ("Bq/L", "ok") and got["bq/l"] == ("Bq/L", "recase") and got["%modern"] == ("pmC", "recase")
+    assert all(got[u][1] == "ok" for u in ("mol", "dpm/ccKr", "TU_equivalent")) and got["furlong"] == (None, "custom")
+    assert all(got[u][1] == "placeholder" for u in (" N/A ", "0", None))
+    air = spark.createDataFrame([(8.0,), (-12.0,), (25.0,), (None,)], "d double").select(sc.screen_delta("d").alias("s"))
+    assert [r["s"] for r in air.collect()] == ["limited_air_effects", "moderate_air_effects", "strong_air_effects", "not_available"]

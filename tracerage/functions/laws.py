@@ -40,6 +40,10 @@ def register_law(name: str, law: Law) -> None:
     _laws[name] = law
 
 
+def unregister_law(name: str) -> None:
+    del _laws[name]
+
+
 def get_law(name: str) -> Law:
     try:
         return _laws[name]

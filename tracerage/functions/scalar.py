@@ -62,9 +62,9 @@ def observation_key(element="element", date="date", index=None) -> Column:
 
 
 def screen_delta(col) -> Column:
-    """By absolute value: up to 0.1, up to 0.2, above; ``not_available`` without one."""
+    """Air effects by the absolute excess in percent: up to 10, up to 20, above; ``not_available`` without one."""
     x = F.abs(c(col))
-    return F.when(x.isNull() | F.isnan(x), "not_available").when(x <= 0.1, "within_10_percent").when(x <= 0.2, "within_20_percent").otherwise("above_20_percent")
+    return F.when(x.isNull() | F.isnan(x), "not_available").when(x <= 10, "limited_air_effects").when(x <= 20, "moderate_air_effects").otherwise("strong_air_effects")
 
 
 def uniform(*key) -> Column:

@@ -19,18 +19,25 @@ def segments(chronicle: DataFrame) -> DataFrame:
     return rows.withColumn("year", F.explode(F.sequence(F.floor("d1").cast("int"), F.floor("d2").cast("int"))))
 
 
-def interpolate(points: DataFrame, chronicle: DataFrame, at: str = "x", out: str = "value") -> DataFrame:
-    """``out``: the history of ``tracer`` at ``at``, linear between knots, 0 outside of them."""
+def with_segment(points: DataFrame, chronicle: DataFrame, at: str = "x", out: str = "segment") -> DataFrame:
+    """``out``: the history's segment (``d1, v1, d2, v2, last``) that holds ``at``, null outside of the history."""
     s = segments(chronicle).select("tracer", "year", F.struct("d1", "v1", "d2", "v2", "last").alias("s"))
     # A year holds a few segments: one row a tracer and year, so no point meets another's segments.
     s = s.groupBy("tracer", "year").agg(F.array_sort(F.collect_list("s")).alias("ss"))
     rows = points.withColumn("year", F.floor(at).cast("int")).join(s, ["tracer", "year"], "left")
     x = F.col(at)
     inside = lambda g: (g["d1"] <= x) & ((x < g["d2"]) | ((x == g["d2"]) & (g["d2"] == g["last"])))
-    rows = rows.withColumn("__s", F.try_element_at(F.filter("ss", inside), F.lit(1)))
-    g = F.col("__s")
-    value = g["v1"] + (g["v2"] - g["v1"]) * (x - g["d1"]) / (g["d2"] - g["d1"])
-    return rows.withColumn(out, F.coalesce(value, F.lit(0.0))).drop("__s", "ss", "year")
+    return rows.withColumn(out, F.try_element_at(F.filter("ss", inside), F.lit(1))).drop("ss", "year")
+
+
+def on_segment(g: Column, x: Column) -> Column:
+    """The value at x of a segment's line; 0 without a segment."""
+    return F.coalesce(g["v1"] + (g["v2"] - g["v1"]) * (x - g["d1"]) / (g["d2"] - g["d1"]), F.lit(0.0))
+
+
+def interpolate(points: DataFrame, chronicle: DataFrame, at: str = "x", out: str = "value") -> DataFrame:
+    """``out``: the history of ``tracer`` at ``at``, linear between knots, 0 outside of them."""
+    return with_segment(points, chronicle, at, "__s").withColumn(out, on_segment(F.col("__s"), F.col(at))).drop("__s")
 
 
 def interpolate_hold(points: DataFrame, chronicle: DataFrame, left_fill: float, at: str = "x", out: str = "value") -> DataFrame:
@@ -61,6 +68,19 @@ def register_tracer(name: str, builder: Callable[[Column, Column], Column]) -> N
     _responses[name] = builder
 
 
+def unregister_tracer(name: str) -> None:
+    del _responses[name]
+
+
+def response_of(tracer: Column, date: Column, age: Column, history: Column, mode: Column, const: Column, prod: Column, rate: Column) -> Column:
+    """A response from the history's value and a catalogue row's columns; registered tracers take their own builder."""
+    base = F.when(mode == "constant", const).otherwise(history)
+    k = decay(F.coalesce(base, F.lit(0.0)), rate, age) + produce(prod, rate, age)
+    for name, builder in _responses.items():
+        k = F.when(tracer == name, builder(date, age)).otherwise(k)
+    return k
+
+
 def tracer_response(points: DataFrame, chronicle: DataFrame, tracers: DataFrame, date: str = "date", age: str = "age", out: str = "k") -> DataFrame:
     """``out``: the response at a sampling date to an age: history or constant, decayed, and production.
 
@@ -69,11 +89,8 @@ def tracer_response(points: DataFrame, chronicle: DataFrame, tracers: DataFrame,
     rows = interpolate(points.withColumn("__x", F.col(date) - F.col(age)), chronicle, "__x", "__in")
     cat = tracers.select(F.col("name").alias("tracer"), F.col("mode").alias("__mode"), F.col("constant").alias("__const"), F.col("production_rate").alias("__prod"), F.col("decay_rate").alias("__rate"))
     rows = rows.join(cat, "tracer", "left")
-    base = F.when(F.col("__mode") == "constant", F.col("__const")).otherwise(F.col("__in"))
-    k = decay(F.coalesce(base, F.lit(0.0)), F.col("__rate"), F.col(age)) + produce(F.col("__prod"), F.col("__rate"), F.col(age))
-    for name, builder in _responses.items():
-        k = F.when(F.col("tracer") == name, builder(F.col(date), F.col(age))).otherwise(k)
-    return rows.withColumn(out, k).drop("__x", "__in", "__mode", "__const", "__prod", "__rate")
+    of = {n: F.col(f"__{n}") for n in ("mode", "const", "prod", "rate")}
+    return rows.withColumn(out, response_of(F.col("tracer"), F.col(date), F.col(age), F.col("__in"), **of)).drop("__x", "__in", "__mode", "__const", "__prod", "__rate")
 
 
 def parent_daughter(points: DataFrame, chronicle: DataFrame, half_life: float, delay: float, decay_in_delay: bool, left_fill: float = 0.0) -> DataFrame:

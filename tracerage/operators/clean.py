@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import c, to_num
+from .order import quantiles
 
-#: What units may not be, and canonical labels with their other spellings.
+#: What units may not be, canonical labels, and other names of theirs.
 PLACEHOLDERS = ["", "0", "-", "n/a", "na", "none", "null", "unknown"]
-CANONICAL = {"pcm%": "pmC", "%modern": "pmC", "pmc": "pmC", "pptv": "pptv", "tu": "TU", "dpm": "dpm", "cm3/g": "cm3/g", "pmcmodern": "pmC"}
+UNITS = ["pptv", "TU", "pmC", "fraction_modern", "mol/l", "mol", "Bq/L", "dpm/ccKr", "TU_equivalent"]
+CANONICAL = {"pcm%": "pmC", "%modern": "pmC"} | {u.lower(): u for u in UNITS}
 
 
 def rule_rows(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
@@ -24,8 +28,8 @@ def validate_observations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     error = to_num("error")
     rules = {"concentration_not_finite": number.isNull(), "error_not_finite": error.isNull(), "error_negative": error < 0, "element_blank": F.coalesce(F.trim("element"), F.lit("")) == ""}
     bad = rule_rows(df, ["well", "obs_id"], rules)
-    clean = df.join(bad.select("well", "obs_id").distinct(), ["well", "obs_id"], "left_anti")
-    return bad, clean.withColumn("element", F.trim("element"))
+    broken = reduce(lambda x, y: x | F.coalesce(y, F.lit(False)), rules.values(), F.lit(False))
+    return bad, df.where(~broken).withColumn("element", F.trim("element"))
 
 
 def normalize_series(df: DataFrame) -> DataFrame:
@@ -37,11 +41,11 @@ def normalize_series(df: DataFrame) -> DataFrame:
 
 
 def check_units(df: DataFrame, unit: str = "unit") -> DataFrame:
-    """``canonical`` and ``status``: ok, recase (other spelling of a known unit), placeholder or unknown."""
+    """``canonical`` and ``status``: ok, recase (other spelling of a known unit), placeholder, or custom (any other label, compared exactly)."""
     pairs = F.create_map(*(F.lit(x) for kv in CANONICAL.items() for x in kv))
     low = F.lower(F.trim(F.coalesce(c(unit), F.lit(""))))
     out = df.withColumn("canonical", F.try_element_at(pairs, low))
-    status = F.when(low.isin(PLACEHOLDERS), "placeholder").when(F.col("canonical").isNull(), "unknown").when(F.col("canonical") == F.trim(c(unit)), "ok").otherwise("recase")
+    status = F.when(low.isin(PLACEHOLDERS), "placeholder").when(F.col("canonical").isNull(), "custom").when(F.col("canonical") == F.trim(c(unit)), "ok").otherwise("recase")
     return out.withColumn("status", status)
 
 
@@ -85,6 +89,34 @@ def select_window(obs: DataFrame, cases: DataFrame) -> DataFrame:
     return cases.join(obs, "well").where("date >= start and date <= `end` + 1")
 
 
+def subset(df: DataFrame, wells: list | None = None, elements: list | None = None, enabled: bool = True) -> DataFrame:
+    """Rows of the given wells and elements, and of enabled ones if there is such a column; a well that isn't there is an error."""
+    if enabled and "enabled" in df.columns:
+        df = df.where(F.lower(F.col("enabled").cast("string")) == "true")
+    if elements is not None:
+        df = df.where(F.col("element").isin(elements))
+    if wells is None:
+        return df
+    rows = df.where(F.col("well").isin(wells))
+    found = {r["well"] for r in rows.select("well").distinct().collect()}  # at most as many as were asked for
+    if gone := sorted(set(wells) - found):
+        raise ValueError(f"wells without rows: {gone}")
+    return rows
+
+
+def parse_keys(df: DataFrame, key: str = "key") -> DataFrame:
+    """``element, date, index`` of ``element@date#index`` or ``element@date`` keys."""
+    part = lambda i: F.nullif(F.regexp_extract(c(key), r"^(.*)@([^@#]*)(?:#(\d+))?$", i), F.lit(""))
+    return df.withColumns({"element": part(1), "date": part(2).cast("double"), "index": part(3).cast("long")})
+
+
+def checked_keys(parsed: DataFrame, obs: DataFrame, keys: list[str], tol: float = 1e-8) -> DataFrame:
+    """Parsed keys with ``matches``: whether the observation of their index (within ``keys``) has their element and date."""
+    own = obs.select(*keys, F.col("obs_id").alias("index"), F.col("element").alias("__element"), F.col("date").alias("__date"))
+    same = (F.col("element") == F.col("__element")) & (F.abs(F.col("date") - F.col("__date")) <= tol + 1e-5 * F.abs("__date"))
+    return parsed.join(own, [*keys, "index"], "left").withColumn("matches", F.coalesce(same, F.lit(False))).drop("__element", "__date")
+
+
 def select_rows(df: DataFrame, selectors: dict[str, str]) -> DataFrame:
     """Rows whose ``+``-lists hold the given values."""
     for column, value in selectors.items():
@@ -103,7 +135,7 @@ def helium_diagnostics(df: DataFrame, mean_life: float) -> DataFrame:
 
     A missing daughter error is the median of the positive ones; ``error_source`` tells.
     """
-    median = df.where("he_err > 0").agg(F.expr("median(he_err)").alias("typical"))
+    median = quantiles(df.where("he_err > 0"), [], "he_err", {"typical": 0.5})
     rows = df.crossJoin(median).withColumn("error_source", F.when(F.col("he_err") > 0, "reported").otherwise("median"))
     rows = rows.withColumn("he_error", F.when(F.col("he_err") > 0, F.col("he_err")).otherwise(F.col("typical"))).drop("typical")
     rows = rows.withColumn("initial", F.col("h") + F.col("he")).withColumn("initial_error", F.hypot("h_err", "he_error"))

@@ -1,7 +1,8 @@
 """Convergence diagnostics over draw tables (J rows).
 
-Input is ``case_id, param, chain, step, value``. Everything is a window or an aggregate per case
-and parameter; autocovariances work on one array a chain.
+Input is ``case_id, param, chain, step, value``. Ranks and quantiles come from places of distinct
+values, spread over tasks whatever a group's size; autocovariances are sums of products over
+segments of a chain.
 """
 
 from __future__ import annotations
@@ -10,35 +11,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_inverse
-from .order import average_rank
+from ..sources.io import stored
+from .order import quantiles, value_places
 
 KEYS = ["case_id", "param"]
+#: Draws of a chain that one array holds, and lags of the first round of products; later rounds double.
+SEGMENT, FIRST_LAGS = 4096, 64
 
 
 def split_chains(draws: DataFrame) -> DataFrame:
     """The first and the last floor(n/2) draws of each chain as chains of their own, steps from 1.
 
     Chains of a case are cut to the shortest one's length first: diagnostics need equal counts.
+    Draws are numbered in order of their step, within ranges of steps and over them.
     """
-    w = Window.partitionBy(*KEYS, "chain")
-    rows = draws.withColumn("__at", F.row_number().over(w.orderBy("step"))).withColumn("__n", F.count("*").over(w))
-    short = rows.groupBy("case_id").agg(F.min("__n").alias("__m"))
-    rows = rows.join(F.broadcast(short), "case_id").where("__at <= __m").withColumn("__h", F.floor(F.col("__m") / 2))
+    chain = [*KEYS, "chain"]
+    rows = draws.select(*chain, "step", "value").withColumn("__slot", F.floor(F.col("step") / SEGMENT))
+    slots = rows.groupBy(*chain, "__slot").agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*chain)
+    slots = slots.withColumn("__ahead", F.coalesce(F.sum("__c").over(w.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.sum("__c").over(w))
+    slots = slots.withColumn("__m", F.min("__n").over(Window.partitionBy("case_id"))).drop("__c", "__n")
+    at = F.row_number().over(Window.partitionBy(*chain, "__slot").orderBy("step"))
+    rows = rows.withColumn("__at", at).join(slots, [*chain, "__slot"]).withColumn("__at", F.col("__at") + F.col("__ahead"))
+    rows = rows.where("__at <= __m").withColumn("__h", F.floor(F.col("__m") / 2))
     rows = rows.where((F.col("__at") <= F.col("__h")) | (F.col("__at") > F.col("__m") - F.col("__h")))
     late = F.col("__at") > F.col("__h")
     return rows.select(*KEYS, F.concat_ws(".", F.col("chain").cast("string"), F.when(late, "2").otherwise("1")).alias("chain"), F.when(late, F.col("__at") - (F.col("__m") - F.col("__h"))).otherwise(F.col("__at")).cast("long").alias("step"), "value")
 
 
+def normal_scores(draws: DataFrame) -> DataFrame:
+    """``case_id, param, value, score``: normal scores of the average ranks of distinct values: (r - 3/8) / (n + 1/4)."""
+    rank = F.col("before") + (F.col("count") + 1) / 2
+    return stored(value_places(draws, KEYS, "value").select(*KEYS, "value", normal_inverse((rank - 0.375) / (F.col("total") + 0.25)).alias("score")), "scores")
+
+
 def rank_normalize(draws: DataFrame) -> DataFrame:
-    """Values become normal scores of their average ranks over all chains: (r - 3/8) / (n + 1/4)."""
-    rows = average_rank(draws, KEYS, "value", "__r")
-    n = F.count("*").over(Window.partitionBy(*KEYS))
-    return rows.withColumn("value", normal_inverse((F.col("__r") - 0.375) / (n + 0.25))).drop("__r")
+    """Values become normal scores of their average ranks over all chains."""
+    return draws.join(normal_scores(draws), [*KEYS, "value"]).withColumn("value", F.col("score")).drop("score")
+
 
+def basic_rhat(draws: DataFrame, count: str | None = None) -> DataFrame:
+    """``rhat`` from the variances within and between chains; infinite if all chains are constant but differ, null if equal.
 
-def basic_rhat(draws: DataFrame) -> DataFrame:
-    """``rhat`` from the variances within and between chains; infinite if all chains are constant but differ, null if equal."""
-    chains = draws.groupBy(*KEYS, "chain").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
+    With ``count`` a row stands for so many equal draws of its chain.
+    """
+    if count is None:
+        chains = draws.groupBy(*KEYS, "chain").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
+    else:
+        c, x = F.col(count), F.col("value")
+        chains = draws.groupBy(*KEYS, "chain").agg(F.sum(c).alias("n"), F.sum(c * x).alias("s"), F.sum(c * x * x).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+        spread = F.when(F.col("lo") == F.col("hi"), 0.0).otherwise((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1))
+        chains = chains.select(*KEYS, "chain", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("s") / F.col("n")).alias("m"), F.when(F.col("n") > 1, spread).alias("v"), "n")
     per = chains.groupBy(*KEYS).agg(F.avg("v").alias("w"), F.var_samp("m").alias("b"), F.max("n").alias("n"))
     value = F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b")) / F.col("w"))
     return per.select(*KEYS, F.when(F.col("w") > 0, value).when(F.col("b") > 0, F.lit(float("inf"))).alias("rhat"))
@@ -46,86 +69,174 @@ def basic_rhat(draws: DataFrame) -> DataFrame:
 
 def folded(draws: DataFrame) -> DataFrame:
     """Absolute distances from the median over all chains."""
-    mid = draws.groupBy(*KEYS).agg(F.expr("median(value)").alias("__m"))
-    return draws.join(F.broadcast(mid), KEYS).withColumn("value", F.abs(F.col("value") - F.col("__m"))).drop("__m")
+    mid = quantiles(draws, KEYS, "value", {"__m": 0.5})
+    return draws.join(mid, KEYS).withColumn("value", F.abs(F.col("value") - F.col("__m"))).drop("__m")
 
 
 def split_rhat(draws: DataFrame) -> DataFrame:
-    """The greater of the rank-normalised R-hats of split chains and of their folded values."""
-    s = split_chains(draws)
-    a = basic_rhat(rank_normalize(s)).withColumnRenamed("rhat", "a")
-    b = basic_rhat(rank_normalize(folded(s))).withColumnRenamed("rhat", "b")
+    """The greater of the rank-normalised R-hats of split chains and of their folded values.
+
+    Both work on how often a chain has each distinct value: draws are read once and never joined
+    with their ranks one by one.
+    """
+    counts = stored(split_chains(draws).groupBy(*KEYS, "chain", "value").agg(F.count("*").alias("count")), "chain-values")
+    places = _weighted_places(counts)
+    mid = places.groupBy(*KEYS).agg(*_middle())
+    far = counts.join(mid, KEYS).withColumn("value", F.abs(F.col("value") - F.col("__m"))).drop("__m")
+    far = stored(far.groupBy(*KEYS, "chain", "value").agg(F.sum("count").alias("count")), "chain-distances")
+    a, b = (basic_rhat(_scored(c, p), "count").withColumnRenamed("rhat", n) for c, p, n in ((counts, places, "a"), (far, _weighted_places(far), "b")))
     inf = F.lit(float("inf"))
     return a.join(b, KEYS).select(*KEYS, F.greatest(F.coalesce("a", inf), F.coalesce("b", inf)).alias("rhat"))
 
 
-def acf(draws: DataFrame, max_lag: int) -> DataFrame:
-    """``case_id, param, chain, lag, acov``: autocovariances (divided by n) up to a lag, one array a chain."""
-    rows = draws.groupBy(*KEYS, "chain").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda x: x["value"]).alias("x"), F.avg("value").alias("m"))
-    rows = rows.withColumn("n", F.size("x")).withColumn("x", F.transform("x", lambda v: v - F.col("m")))
+def _weighted_places(counts: DataFrame) -> DataFrame:
+    return stored(value_places(counts, KEYS, "value", "count"), "places")
+
+
+def _middle() -> list[Column]:
+    at = (F.col("total") - 1) * 0.5
+    held = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("count")), F.col("value")))
+    return [((held(F.floor(at)) + held(F.ceil(at))) / 2).alias("__m")]
+
+
+def _scored(counts: DataFrame, places: DataFrame) -> DataFrame:
+    rank = F.col("before") + (F.col("count") + 1) / 2
+    scores = places.select(*KEYS, "value", normal_inverse((rank - 0.375) / (F.col("total") + 0.25)).alias("score"))
+    return counts.join(scores, [*KEYS, "value"]).select(*KEYS, "chain", F.col("score").alias("value"), "count")
+
+
+def lagged(draws: DataFrame, by: list[str], first: int, last: int) -> DataFrame:
+    """``by, lag, products``: sums of x(i) * x(i + lag) of draws less their chain's mean, for lags in [first, last].
+
+    A chain is cut in segments of SEGMENT steps. A draw is in its own segment, and shifted by
+    ``first`` in the one that its partners are in and, near a segment's start, in the one before;
+    so each segment has all of its products, and partial sums add up. ``draws`` have successive
+    steps from ``s0`` on, and ``n`` and ``m``, the chain's length and mean.
+    """
+    span = last - first
+    place = F.col("step") - F.col("s0")
+    x = F.col("value") - F.col("m")
+    own = F.struct(F.floor(place / SEGMENT).alias("segment"), F.lit(0).alias("role"), F.pmod(place, F.lit(SEGMENT)).alias("at"))
+    moved = place - first
+    home = F.floor(moved / SEGMENT)
+    partner = F.struct(home.alias("segment"), F.lit(1).alias("role"), F.pmod(moved, F.lit(SEGMENT)).alias("at"))
+    also = F.struct((home - 1).alias("segment"), F.lit(1).alias("role"), (F.pmod(moved, F.lit(SEGMENT)) + SEGMENT).alias("at"))
+    roles = F.array(own, F.when(moved >= 0, partner), F.when((home >= 1) & (F.pmod(moved, F.lit(SEGMENT)) < span), also))
+    rows = draws.select(*by, x.alias("x"), F.explode(F.array_compact(roles)).alias("r")).select(*by, "r.segment", "r.role", "r.at", "x")
+    arrays = rows.groupBy(*by, "segment").agg(*(F.array_sort(F.collect_list(F.when(F.col("role") == k, F.struct("at", "x")))).alias(n) for k, n in enumerate(("a", "b"))))
+    arrays = arrays.select(*by, F.transform("a", lambda s: s["x"]).alias("a"), F.transform("b", lambda s: s["x"]).alias("b"))
 
     def at(k: Column) -> Column:
-        pairs = F.zip_with(F.slice("x", F.lit(1), F.col("n") - k), F.slice("x", k + 1, F.col("n") - k), lambda a, b: a * b)
-        return F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + v) / F.col("n")
+        pairs = F.zip_with(F.col("a"), F.slice("b", k + 1, F.greatest(F.size("a"), F.lit(1))), lambda u, v: F.coalesce(u * v, F.lit(0.0)))
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + v)
+
+    sums = arrays.select(*by, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(span)), at)).alias("k", "s"))
+    return sums.groupBy(*by, (F.col("k") + first).cast("int").alias("lag")).agg(F.sum("s").alias("products"))
+
+
+def with_means(draws: DataFrame, by: list[str]) -> DataFrame:
+    per = draws.groupBy(*by).agg(F.avg("value").alias("m"), F.count("*").alias("n"), F.min("step").alias("s0"))
+    return draws.join(per, by)
 
-    lags = F.sequence(F.lit(0), F.least(F.lit(max_lag), F.col("n") - 1))
-    return rows.select(*KEYS, "chain", "n", F.posexplode(F.transform(lags, at)).alias("lag", "acov"))
 
+def acf(draws: DataFrame, max_lag: int, first: int = 0) -> DataFrame:
+    """``case_id, param, chain, n, lag, acov``: autocovariances (divided by n) from lag ``first`` up to ``max_lag``.
 
-def ess(draws: DataFrame, max_lag: int = 200) -> DataFrame:
+    Steps of a chain are successive, as those of split_chains() are.
+    """
+    by = [*KEYS, "chain"]
+    rows = with_means(draws, by)
+    sums = lagged(rows, [*by, "n"], first, max_lag)
+    return sums.where("lag < n").select(*by, "n", "lag", (F.col("products") / F.col("n")).alias("acov"))
+
+
+def _monotone(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, t, stopped``: pair sums (``pair, s``) up to the first that isn't positive, never growing, added up."""
+    run = Window.partitionBy(*keys).orderBy("pair").rowsBetween(Window.unboundedPreceding, 0)
+    pairs = pairs.withColumn("positive", F.min(F.when(F.col("s") > 0, 1).otherwise(0)).over(run)).withColumn("mono", F.min("s").over(run))
+    return pairs.groupBy(*keys).agg(F.sum(F.when(F.col("positive") == 1, F.col("mono")).otherwise(0.0)).alias("t"), (F.min("positive") == 0).alias("stopped"))
+
+
+def _in_rounds(draws: DataFrame, by: list[str], keys: list[str], pairs_of, max_lag: int | None) -> DataFrame:
+    """``keys, t, stopped`` from pair sums of lags in rounds: those of a group whose sums are still positive go on.
+
+    Rounds double, so there are few even for chains that mix slowly; without ``max_lag`` they end
+    with the chains. ``pairs_of`` makes pair sums of a round's autocovariances.
+    """
+    rows = stored(with_means(draws, by), "chains")
+    longest = rows.agg(F.max("n")).first()[0]
+    if longest is None:
+        longest = 1
+    limit = longest - 1 if max_lag is None else min(max_lag, longest - 1)
+    first, width, pairs = 0, FIRST_LAGS, None
+    while True:
+        last = min(first + width - 1, max(limit, 0))
+        sums = lagged(rows, [*by, "n"], first, last).where("lag < n").select(*by, "n", "lag", (F.col("products") / F.col("n")).alias("acov"))
+        more = pairs_of(sums, rows)
+        pairs = stored(more if pairs is None else pairs.unionByName(more), "pair-sums")
+        state = _monotone(pairs, keys)
+        first, width = last + 1, 2 * width
+        if first > limit:
+            return state
+        open_ = stored(state.where("not stopped").select(*keys), "open-groups")
+        if open_.limit(1).count() == 0:
+            return state
+        rows = rows.join(open_, keys, "left_semi")
+
+
+def ess(draws: DataFrame, max_lag: int | None = None) -> DataFrame:
     """``ess, truncated``: effective sizes over (split) chains by Geyer's initial monotone sequence.
 
     Pairs of successive lags are summed until one isn't positive, never growing. ``truncated``: the
-    longest lag came first. Constant quantities have 0.
+    chains' length, or ``max_lag`` if given, came first. Constant quantities have 0.
     """
-    cov = acf(draws, max_lag)
-    chains = draws.groupBy(*KEYS, "chain").agg(F.avg("value").alias("m"), F.count("*").alias("n"))
-    per = chains.groupBy(*KEYS).agg(F.coalesce(F.var_samp("m"), F.lit(0.0)).alias("b"), F.max("n").alias("n"), F.count("*").alias("k"))
-    mean = cov.groupBy(*KEYS, "lag").agg(F.avg(F.col("acov") * F.col("n") / (F.col("n") - 1)).alias("unbiased"), F.avg("acov").alias("acov"))
-    w0 = mean.where("lag = 0").select(*KEYS, F.col("unbiased").alias("w"))
-    rho = mean.join(w0, KEYS).join(per, KEYS)
-    var = (F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b")
-    scale = F.col("n") / (F.col("n") - 1)
-    rho = rho.withColumn("rho", F.when(F.col("lag") == 0, 1.0).otherwise(1 - F.try_divide(F.col("w") - F.col("acov") * scale * (F.col("n") - 1) / F.col("n"), var)))
-    pairs = rho.groupBy(*KEYS, F.floor(F.col("lag") / 2).alias("pair")).agg(F.sum("rho").alias("s"), F.count("*").alias("c"), F.max("w").alias("w"), F.max("n").alias("n"), F.max("k").alias("k")).where("c = 2")
-    o = Window.partitionBy(*KEYS).orderBy("pair")
-    run = o.rowsBetween(Window.unboundedPreceding, 0)
-    pairs = pairs.withColumn("positive", F.min(F.when(F.col("s") > 0, 1).otherwise(0)).over(run)).withColumn("mono", F.min("s").over(run))
-    out = pairs.groupBy(*KEYS).agg(F.sum(F.when(F.col("positive") == 1, F.col("mono")).otherwise(0.0)).alias("t"), F.min("positive").alias("__stopped"), F.max("w").alias("w"), F.max("n").alias("n"), F.max("k").alias("k"))
+    chain = [*KEYS, "chain"]
+    chains = draws.groupBy(*chain).agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
+    per = stored(chains.groupBy(*KEYS).agg(F.coalesce(F.var_samp("m"), F.lit(0.0)).alias("b"), F.avg("v").alias("w"), F.max("n").alias("n"), F.count("*").alias("k")), "chain-sizes")
+
+    def pairs_of(cov: DataFrame, _: DataFrame) -> DataFrame:
+        mean = cov.groupBy(*KEYS, "lag").agg(F.avg("acov").alias("acov"))
+        rho = mean.join(per, KEYS)
+        var = (F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b")
+        rho = rho.withColumn("rho", F.when(F.col("lag") == 0, 1.0).otherwise(1 - F.try_divide(F.col("w") - F.col("acov"), var)))
+        return rho.groupBy(*KEYS, F.floor(F.col("lag") / 2).alias("pair")).agg(F.sum("rho").alias("s"), F.count("*").alias("c")).where("c = 2").drop("c")
+
+    out = per.join(_in_rounds(draws, chain, KEYS, pairs_of, max_lag), KEYS, "left")
     total = F.col("n") * F.col("k")
-    tau = F.greatest(2 * F.col("t") - 1, 1 / F.log10(total))
-    return out.select(*KEYS, F.when(F.col("w") > 0, total / tau).otherwise(0.0).alias("ess"), (F.col("__stopped") == 1).alias("truncated"))
+    tau = F.greatest(2 * F.coalesce("t", F.lit(0.0)) - 1, 1 / F.log10(total))
+    return out.select(*KEYS, F.when(F.col("w") > 0, total / tau).otherwise(0.0).alias("ess"), ((F.col("w") > 0) & ~F.coalesce("stopped", F.lit(False))).alias("truncated"))
 
 
-def bulk_ess(draws: DataFrame, max_lag: int = 200) -> DataFrame:
-    return ess(rank_normalize(split_chains(draws)), max_lag).withColumnRenamed("ess", "bulk_ess")
+def bulk_ess(draws: DataFrame, max_lag: int | None = None) -> DataFrame:
+    return ess(rank_normalize(split_chains(draws)), max_lag).withColumnsRenamed({"ess": "bulk_ess", "truncated": "bulk_truncated"})
 
 
-def tail_ess(draws: DataFrame, max_lag: int = 200) -> DataFrame:
+def tail_ess(draws: DataFrame, max_lag: int | None = None) -> DataFrame:
     """The smaller effective size of being at or under the 5 % and the 95 % quantile."""
-    s = split_chains(draws)
-    q = s.groupBy(*KEYS).agg(F.expr("percentile(value, array(0.05, 0.95))").alias("q"))
-    rows = s.join(F.broadcast(q), KEYS)
-    low = ess(rows.withColumn("value", (F.col("value") <= F.col("q")[0]).cast("double")), max_lag).select(*KEYS, F.col("ess").alias("a"))
-    high = ess(rows.withColumn("value", (F.col("value") <= F.col("q")[1]).cast("double")), max_lag).select(*KEYS, F.col("ess").alias("b"))
-    return low.join(high, KEYS).select(*KEYS, F.least("a", "b").alias("tail_ess"))
-
-
-def mcse(draws: DataFrame, max_lag: int = 200) -> DataFrame:
-    s = split_chains(draws)
-    return ess(s, max_lag).join(s.groupBy(*KEYS).agg(F.stddev_samp("value").alias("sd")), KEYS).select(*KEYS, (F.col("sd") / F.sqrt("ess")).alias("mcse"), "sd")
-
-
-def iact(draws: DataFrame, max_lag: int = 200) -> DataFrame:
-    """``tau, ess`` of each chain: twice the monotone positive pair sums of its autocorrelations, less one."""
-    cov = acf(draws, max_lag)
-    zero = cov.where("lag = 0").select(*KEYS, "chain", F.col("acov").alias("c0"))
-    rows = cov.join(zero, [*KEYS, "chain"]).where("c0 > 0").withColumn("rho", F.col("acov") / F.col("c0"))
-    pairs = rows.groupBy(*KEYS, "chain", F.floor(F.col("lag") / 2).alias("pair")).agg(F.sum("rho").alias("s"), F.count("*").alias("c"), F.max("n").alias("n")).where("c = 2")
-    run = Window.partitionBy(*KEYS, "chain").orderBy("pair").rowsBetween(Window.unboundedPreceding, 0)
-    pairs = pairs.withColumn("positive", F.min(F.when(F.col("s") > 0, 1).otherwise(0)).over(run)).withColumn("mono", F.min("s").over(run))
-    out = pairs.groupBy(*KEYS, "chain").agg((2 * F.sum(F.when(F.col("positive") == 1, F.col("mono")).otherwise(0.0)) - 1).alias("tau"), F.max("n").alias("n"))
-    return out.withColumn("tau", F.greatest("tau", F.lit(1e-3))).withColumn("ess", F.col("n") / F.col("tau")).drop("n")
+    s = stored(split_chains(draws), "split-chains")
+    rows = s.join(quantiles(s, KEYS, "value", {"lo": 0.05, "hi": 0.95}), KEYS)
+    parts = [ess(rows.withColumn("value", (F.col("value") <= F.col(q)).cast("double")), max_lag).toDF(*KEYS, q, f"{q}_truncated") for q in ("lo", "hi")]
+    return parts[0].join(parts[1], KEYS).select(*KEYS, F.least("lo", "hi").alias("tail_ess"), (F.col("lo_truncated") | F.col("hi_truncated")).alias("tail_truncated"))
+
+
+def mcse(draws: DataFrame, max_lag: int | None = None) -> DataFrame:
+    """``mcse, sd, mcse_truncated`` of the mean: deviation over the square root of the effective size."""
+    s = stored(split_chains(draws), "split-chains")
+    return ess(s, max_lag).join(s.groupBy(*KEYS).agg(F.stddev_samp("value").alias("sd")), KEYS).select(*KEYS, (F.col("sd") / F.sqrt("ess")).alias("mcse"), "sd", F.col("truncated").alias("mcse_truncated"))
+
+
+def iact(draws: DataFrame, max_lag: int | None = None) -> DataFrame:
+    """``tau, ess, truncated`` of each chain: twice the monotone positive pair sums of its autocorrelations, less one."""
+    chain = [*KEYS, "chain"]
+    zero = stored(draws.groupBy(*chain).agg(F.var_pop("value").alias("c0"), F.count("*").alias("n")).where("c0 > 0"), "chain-variances")
+
+    def pairs_of(cov: DataFrame, _: DataFrame) -> DataFrame:
+        rows = cov.join(zero.drop("n"), chain).withColumn("rho", F.col("acov") / F.col("c0"))
+        return rows.groupBy(*chain, F.floor(F.col("lag") / 2).alias("pair")).agg(F.sum("rho").alias("s"), F.count("*").alias("c")).where("c = 2").drop("c")
+
+    out = zero.join(_in_rounds(draws, chain, chain, pairs_of, max_lag), chain)
+    tau = F.greatest(2 * F.col("t") - 1, F.lit(1e-3))
+    return out.select(*chain, tau.alias("tau"), (F.col("n") / tau).alias("ess"), (~F.col("stopped")).alias("truncated"))
 
 
 def diagnostic_quantities(draws: DataFrame) -> DataFrame:

@@ -34,48 +34,78 @@ def base_edges(pairs: DataFrame, chronicle: DataFrame, tracers: DataFrame, n: in
     return edges.select("tracer", "date", F.col("age").alias("left"), F.lead("age").over(w).alias("right")).where("right is not null")
 
 
+def _on_lines(bins: DataFrame, chronicle: DataFrame, tracers: DataFrame) -> DataFrame:
+    """Bins with ``line``: the segment of the history that they lie on and the tracer's catalogue row."""
+    cat = tracers.select(F.col("name").alias("tracer"), "mode", F.col("constant").alias("const"), F.col("production_rate").alias("prod"), F.col("decay_rate").alias("rate"))
+    rows = ch.with_segment(bins.withColumn("__mid", F.col("date") - (F.col("left") + F.col("right")) / 2), chronicle, "__mid", "segment").drop("__mid")
+    return rows.join(cat, "tracer", "left").select(*bins.columns, F.struct("segment", "mode", "const", "prod", "rate").alias("line"))
+
+
+def _responses(rows: DataFrame) -> DataFrame:
+    line = F.col("line")
+    of = {n: line[n] for n in ("mode", "const", "prod", "rate")}
+    at = lambda age: ch.response_of(F.col("tracer"), F.col("date"), age, ch.on_segment(line["segment"], F.col("date") - age), **of)
+    mid = (F.col("left") + F.col("right")) / 2
+    return rows.withColumns({"k_left": at(F.col("left")), "k_mid": at(mid), "k_right": at(F.col("right"))})
+
+
 def with_responses(bins: DataFrame, chronicle: DataFrame, tracers: DataFrame) -> DataFrame:
-    """Bins with ``k_left, k_mid, k_right``: one exploded look-up of all three ages.
+    """Bins with ``k_left, k_mid, k_right``. Bins must not cross a knot, as those of base_edges() don't.
 
-    At the newest knot the response jumps to what lies outside: a bin's right end there is taken
-    from inside its own bin.
+    A bin is looked up once and evaluated on its own line: where the response jumps, at the ends of
+    a history, each of the two bins has the value on its own side.
     """
-    last = chronicle.groupBy("tracer").agg(F.max("date").alias("__last"))
-    mid = (F.col("left") + F.col("right")) / 2
-    rows = bins.join(last, "tracer", "left")
-    outside = F.col("right") <= F.col("date") - F.col("__last") + 1e-9
-    right = F.when(outside, F.col("right") - 1e-9 * (F.col("right") - F.col("left")) - 1e-9).otherwise(F.col("right"))
-    ages = rows.select("tracer", "date", "left", "right", F.posexplode(F.array(F.col("left"), mid, F.greatest(right, F.col("left")))).alias("at", "age"))
-    k = ch.tracer_response(ages, chronicle, tracers)
-    return k.groupBy("tracer", "date", "left", "right").agg(*(F.max(F.when(F.col("at") == i, F.col("k"))).alias(n) for i, n in enumerate(("k_left", "k_mid", "k_right"))))
+    return _responses(_on_lines(bins, chronicle, tracers)).drop("line")
 
 
-def refine(bins: DataFrame, chronicle: DataFrame, tracers: DataFrame, global_tol: float = GLOBAL_TOL, local_tol: float = LOCAL_TOL, levels: int = MAX_LEVELS, most: int = MAX_BINS) -> DataFrame:
+def refine(bins: DataFrame, chronicle: DataFrame, tracers: DataFrame, global_tol: float = GLOBAL_TOL, local_tol: float = LOCAL_TOL, levels: int = MAX_LEVELS, most: int = MAX_BINS, at_once: int = 4) -> DataFrame:
     """Bins split at their middle until the responses in each vary little; with responses.
 
     A bin is fine when its responses range over no more than ``global_tol`` of the pair's greatest
-    response so far plus ``local_tol`` of its own. At most ``levels`` steps, each one a DataFrame
-    job whose result is stored; more than ``most`` bins of a pair fail the job.
+    response so far plus ``local_tol`` of its own. The history is looked up once; halves keep their
+    bin's line. Bins are dealt by pair once and stay so: ``at_once`` levels are one stored job. A
+    pair with a bin that isn't fine after ``levels`` steps, or with more than ``most`` bins, fails
+    the job.
     """
-    keys = ["tracer", "date"]
-    open_, done, peak = with_responses(bins, chronicle, tracers), None, None
-    for level in range(levels + 1):
-        top = F.greatest(F.abs("k_left"), F.abs("k_mid"), F.abs("k_right"))
-        high = open_.groupBy(*keys).agg(F.max(top).alias("peak"))
-        peak = high if peak is None else peak.unionByName(high).groupBy(*keys).agg(F.max("peak").alias("peak"))
-        spread = F.greatest("k_left", "k_mid", "k_right") - F.least("k_left", "k_mid", "k_right")
-        judged = stored(open_.join(peak, keys).withColumn("fine", spread <= global_tol * F.col("peak") + local_tol * top), "bins")
-        peak = stored(peak, "peaks")
-        fine = judged.where("fine" if level < levels else "true").drop("fine", "peak")
-        done = fine if done is None else done.unionByName(fine)
-        rest = judged.where("not fine")
-        if level == levels or rest.limit(1).count() == 0:
-            break
-        mid = (F.col("left") + F.col("right")) / 2
-        halves = rest.select(*keys, F.explode(F.array(F.struct("left", mid.alias("right")), F.struct(mid.alias("left"), "right"))).alias("b")).select(*keys, "b.left", "b.right")
-        open_ = with_responses(halves, chronicle, tracers)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return done.withColumn("__n", n).where(F.when(F.col("__n") <= most, True).otherwise(F.raise_error(F.lit("too many age bins")).cast("boolean"))).drop("__n")
+    here = Window.partitionBy("tracer", "date")
+    mid = (F.col("left") + F.col("right")) / 2
+    top = F.greatest(F.abs("k_left"), F.abs("k_mid"), F.abs("k_right"))
+    spread = F.greatest("k_left", "k_mid", "k_right") - F.least("k_left", "k_mid", "k_right")
+
+    def judged(rows: DataFrame) -> DataFrame:
+        """Rows that aren't ``fine`` yet get responses and are judged by the greatest so far."""
+        new = _responses(rows.withColumns({f"was_{n}": F.col(n) for n in ("k_left", "k_mid", "k_right")}))
+        rows = new.withColumns({n: F.when(F.col("fine"), F.col(f"was_{n}")).otherwise(F.col(n)) for n in ("k_left", "k_mid", "k_right")}).drop("was_k_left", "was_k_mid", "was_k_right")
+        rows = rows.withColumn("peak", F.greatest("peak", F.max(F.when(~F.col("fine"), top)).over(here)))
+        return rows.withColumn("fine", F.col("fine") | (spread <= global_tol * F.col("peak") + local_tol * top))
+
+    def halved(rows: DataFrame) -> DataFrame:
+        halves = F.array(F.struct("left", mid.alias("right")), F.struct(mid.alias("left"), "right"))
+        parts = F.when(F.col("fine"), F.array(F.struct("left", "right"))).otherwise(halves)
+        return rows.select("tracer", "date", "line", "k_left", "k_mid", "k_right", "peak", "fine", F.inline(parts))
+
+    none = F.lit(None).cast("double")
+    rows = _on_lines(bins, chronicle, tracers).withColumns({"k_left": none, "k_mid": none, "k_right": none, "peak": F.lit(0.0), "fine": F.lit(False)})
+    rows, done = stored(judged(rows), "bins"), 0
+    while True:
+        pairs = rows.groupBy("tracer", "date").agg(F.count("*").alias("bins"), F.count_if(~F.col("fine")).alias("open"), F.max(F.when(~F.col("fine"), spread)).alias("range"))
+        worst = pairs.orderBy(F.col("bins") <= most, F.desc_nulls_last("range")).first()
+        if worst is None or (worst["bins"] <= most and not worst["open"]):
+            return rows.select("tracer", "date", "left", "right", "k_left", "k_mid", "k_right")
+        if worst["bins"] > most or done == levels:
+            raise ValueError(f"age bins of {worst['tracer']} at {worst['date']} aren't fine after {done} steps: {worst['bins']} bins, responses range over {worst['range']} in one")
+        for _ in range(min(at_once, levels - done)):
+            rows, done = judged(halved(rows)), done + 1
+        rows = stored(rows, "bins")
+
+
+def every_pair(draws: DataFrame, table: DataFrame) -> DataFrame:
+    """Draws x rows of a table that is bounded per pair, not over all pairs.
+
+    The table is stored first, so Spark knows its size: it is sent to all tasks only below the
+    session's broadcast threshold, and partitions meet partitions beyond it.
+    """
+    return draws.crossJoin(stored(table, "pairs"))
 
 
 def _params(law: Law) -> dict[str, Column]:
@@ -91,25 +121,29 @@ def bin_weights(draws: DataFrame, bins: DataFrame, model: str) -> DataFrame:
     law = get_law(model)
     p = _params(law)
     clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    rows = draws.crossJoin(F.broadcast(bins))
+    rows = every_pair(draws, bins)
     rows = rows.withColumn("__raw", clip(law.cdf(p, F.col("right"))) - clip(law.cdf(p, F.col("left"))))
     rows = rows.withColumn("w", F.greatest(F.col("__raw"), F.lit(0.0))).withColumn("clipped", F.col("__raw") < 0)
     centred = law.moment(p, F.col("right")) - law.moment(p, F.col("left")) - F.col("left") * F.col("w")
     return rows.withColumn("centred", F.least(F.greatest(centred, F.lit(0.0)), (F.col("right") - F.col("left")) * F.col("w"))).drop("__raw")
 
 
+def bent(global_tol: float = GLOBAL_TOL, local_tol: float = LOCAL_TOL) -> Column:
+    """Whether a bin's middle response is off its chord by a tenth of the tolerance: then it counts by its middle."""
+    top = F.greatest(F.abs("k_left"), F.abs("k_mid"), F.abs("k_right"))
+    return F.abs(F.col("k_mid") - (F.col("k_left") + F.col("k_right")) / 2) > 0.1 * (global_tol + local_tol) * top
+
+
 def contribution(global_tol: float = GLOBAL_TOL, local_tol: float = LOCAL_TOL) -> Column:
     """A bin's part of the prediction: linear where its responses are, its middle response otherwise."""
     slope = (F.col("k_right") - F.col("k_left")) / (F.col("right") - F.col("left"))
-    top = F.greatest(F.abs("k_left"), F.abs("k_mid"), F.abs("k_right"))
-    bent = F.abs(F.col("k_mid") - (F.col("k_left") + F.col("k_right")) / 2) > 0.1 * (global_tol + local_tol) * top
-    return F.when(bent, F.col("k_mid") * F.col("w")).otherwise(F.col("k_left") * F.col("w") + slope * F.col("centred"))
+    return F.when(bent(global_tol, local_tol), F.col("k_mid") * F.col("w")).otherwise(F.col("k_left") * F.col("w") + slope * F.col("centred"))
 
 
 def convolve(draws: DataFrame, bins: DataFrame, model: str, keys: list[str]) -> DataFrame:
     """``keys, tracer, date, modeled, window_mass, n_bins, n_clipped`` of each draw and pair.
 
-    Bins are per pair and bounded, so they are broadcast; partial sums collapse them in each task.
+    Draws stay where they are and meet the bins; partial sums collapse bins in each task.
     Mass older than the history counts 0 and isn't spread over the rest.
     """
     rows = bin_weights(draws, bins, model).withColumn("part", contribution())
@@ -120,7 +154,7 @@ def window_mass(draws: DataFrame, pairs: DataFrame, model: str) -> DataFrame:
     """Draws x pairs (``tracer, date, upper``) with the share of the law that the history covers."""
     law = get_law(model)
     p = _params(law)
-    rows = draws.crossJoin(F.broadcast(pairs))
+    rows = every_pair(draws, pairs)
     low = law.cdf(p, F.lit(0.0)) if law.continuous else F.lit(0.0)
     return rows.withColumn("window_mass", F.when(F.col("upper") <= 0, 0.0).otherwise(F.least(F.greatest(law.cdf(p, F.col("upper")) - low, F.lit(0.0)), F.lit(1.0))))
 
@@ -131,7 +165,7 @@ def convolve_dirac(draws: DataFrame, pairs: DataFrame, chronicle: DataFrame, tra
     ``ages`` has an age column's name and its weight.
     """
     points = F.array(*(F.struct(F.col(a).alias("age"), w.alias("weight")) for a, w in ages.items()))
-    rows = draws.crossJoin(F.broadcast(pairs)).select(*keys, "tracer", "date", "upper", F.inline(points))
+    rows = every_pair(draws, pairs).select(*keys, "tracer", "date", "upper", F.inline(points))
     k = ch.tracer_response(rows, chronicle, tracers)
     inside = (F.col("age") >= 0) & (F.col("age") <= F.col("upper"))
     return k.groupBy(*keys, "tracer", "date").agg(F.sum(F.when(inside, F.col("k") * F.col("weight")).otherwise(0.0)).alias("modeled"), F.sum(F.when(inside, F.col("weight")).otherwise(0.0)).alias("window_mass"))
@@ -147,32 +181,36 @@ def convolve_mixed(draws: DataFrame, bins: DataFrame, pairs: DataFrame, chronicl
 
 
 def uniform_basis(bins: DataFrame, edges: list[float]) -> DataFrame:
-    """``tracer, date, age_bin, response``: the mean response of each age interval, once for all draws."""
+    """``tracer, date, age_bin, response``: the mean response of each age interval, once for all draws.
+
+    A bin counts by the same rule as for any law: linear, or by its middle where it is bent.
+    """
     limits = F.array(*(F.struct(F.lit(i).alias("age_bin"), F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
     rows = bins.select("*", F.inline(limits)).withColumn("a", F.greatest("left", "lo")).withColumn("b", F.least("right", "hi")).where("b > a")
     slope = (F.col("k_right") - F.col("k_left")) / (F.col("right") - F.col("left"))
-    mean = F.col("k_left") + slope * ((F.col("a") + F.col("b")) / 2 - F.col("left"))
+    mean = F.when(bent(), F.col("k_mid")).otherwise(F.col("k_left") + slope * ((F.col("a") + F.col("b")) / 2 - F.col("left")))
     return rows.groupBy("tracer", "date", "age_bin").agg(F.sum(mean * (F.col("b") - F.col("a")) / (F.col("hi") - F.col("lo"))).alias("response"))
 
 
 def convolve_basis(fractions: DataFrame, basis: DataFrame, keys: list[str]) -> DataFrame:
     """Fractions (``keys, age_bin, fraction``) times responses, summed."""
-    return fractions.join(F.broadcast(basis), "age_bin").groupBy(*keys, "tracer", "date").agg(F.sum(F.col("fraction") * F.col("response")).alias("modeled"))
+    return fractions.join(stored(basis, "basis"), "age_bin").groupBy(*keys, "tracer", "date").agg(F.sum(F.col("fraction") * F.col("response")).alias("modeled"))
 
 
-def predict(draws: DataFrame, obs: DataFrame, chronicle: DataFrame, tracers: DataFrame, model: str, keys: list[str], fine: bool = False) -> DataFrame:
+def predict(draws: DataFrame, obs: DataFrame, chronicle: DataFrame, tracers: DataFrame, model: str, keys: list[str], fine: bool = True) -> DataFrame:
     """Predictions in the form of observations: ``keys, element, date, concentration, unit, window_mass``.
 
-    Every pair of an observation has a row; one without a window has 0.
+    Every pair of an observation has a row; one without a window has 0. Bins are refined unless
+    ``fine`` is false.
     """
-    pairs = obs.select(F.col("element").alias("tracer"), "date").distinct()
+    pairs = stored(obs.select(F.col("element").alias("tracer"), "date").distinct(), "pairs")
     bins = base_edges(pairs, chronicle, tracers)
-    bins = refine(bins, chronicle, tracers) if fine else with_responses(bins, chronicle, tracers)
+    bins = refine(bins, chronicle, tracers) if fine else stored(with_responses(bins, chronicle, tracers), "bins")
     got = convolve(draws, bins, model, keys).select(*keys, "tracer", "date", "modeled", "window_mass")
-    every = draws.select(*keys).crossJoin(F.broadcast(pairs)).join(got, [*keys, "tracer", "date"], "left")
-    units = tracers.select(F.col("name").alias("tracer"), "unit")
-    out = every.join(units, "tracer", "left")
-    return out.select(*keys, F.col("tracer").alias("element"), "date", F.coalesce("modeled", F.lit(0.0)).alias("concentration"), "unit", F.coalesce("window_mass", F.lit(0.0)).alias("window_mass"))
+    none = pairs.join(bins.select("tracer", "date").distinct(), ["tracer", "date"], "left_anti")
+    zero = every_pair(draws.select(*keys), none).withColumns({"modeled": F.lit(0.0), "window_mass": F.lit(0.0)})
+    out = got.unionByName(zero).join(tracers.select(F.col("name").alias("tracer"), "unit"), "tracer", "left")
+    return out.select(*keys, F.col("tracer").alias("element"), "date", F.col("modeled").alias("concentration"), "unit", "window_mass")
 
 
 def predict_range(draws: DataFrame, tracers: DataFrame, chronicle: DataFrame, first: float, last: float, model: str, keys: list[str], n: int = 50) -> DataFrame:
@@ -217,7 +255,7 @@ def qualify_forward(df: DataFrame, relative: float, absolute: float, least: floa
 
 
 def forward_identities(draws: DataFrame, bins: DataFrame, model: str, keys: list[str], constant: float, a: float, b: float) -> DataFrame:
-    """Absolute errors of two identities that hold for any law.
+    """``flat, ramp`` and their absolute errors: two identities that hold for any law.
 
     A constant input gives constant * window mass; a response a + b * age gives
     a * window mass + b * the partial first moment.
@@ -229,4 +267,4 @@ def forward_identities(draws: DataFrame, bins: DataFrame, model: str, keys: list
     ramp = F.sum((a + b * F.col("left")) * F.col("w") + b * F.col("centred"))
     got = rows.groupBy(*keys, *law.parameters, "tracer", "date").agg(flat.alias("flat"), ramp.alias("ramp"), F.max("right").alias("upper"))
     mass, moment = law.cdf(p, F.col("upper")) - law.cdf(p, F.lit(0.0)), law.moment(p, F.col("upper")) - law.moment(p, F.lit(0.0))
-    return got.select(*keys, "tracer", "date", F.abs(F.col("flat") - constant * mass).alias("constant_error"), F.abs(F.col("ramp") - (a * mass + b * moment)).alias("affine_error"))
+    return got.select(*keys, "tracer", "date", "flat", "ramp", F.abs(F.col("flat") - constant * mass).alias("constant_error"), F.abs(F.col("ramp") - (a * mass + b * moment)).alias("affine_error"))

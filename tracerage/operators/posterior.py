@@ -27,8 +27,13 @@ def parameter_grid(catalogue: DataFrame, n: int, params: list[str]) -> DataFrame
 
 
 def misfit(pred: DataFrame, obs: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
-    """``keys, n, chi2, rms``: squared normalised residuals of predictions (``modeled``) summed per draw."""
-    rows = pred.join(obs.select(*on, "concentration", "error"), on)
+    """``keys, n, chi2, rms``: squared normalised residuals of predictions (``modeled``) summed per draw.
+
+    Predictions are the bounded side (a grid times sampling dates): stored, they are sent to the
+    observations only below the session's broadcast threshold. Keys may come from either side.
+    """
+    more = [k for k in keys if k in obs.columns and k not in on]
+    rows = obs.select(*on, *more, "concentration", "error").join(stored(pred, "predictions"), on)
     checked = F.when(F.col("error") > 0, F.col("error")).otherwise(F.raise_error(F.lit("an error is not positive")).cast("double"))
     r = (F.col("modeled") - F.col("concentration")) / checked
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(r * r).alias("chi2")).withColumn("rms", F.sqrt(F.col("chi2") / F.col("n")))
@@ -39,16 +44,26 @@ def objective_surface(df: DataFrame) -> DataFrame:
     return df.withColumn("objective", 0.5 * F.log(F.greatest(F.col("chi2"), F.lit(2.2250738585072014e-308)))).withColumn("j", F.col("chi2") / 2)
 
 
+def reachable(pred: DataFrame, a: str, b: str, digits: int | None = None) -> DataFrame:
+    """``grid_id, a, b``: what a grid predicts for two tracers side by side, a row for each point."""
+    value = F.col("modeled") if digits is None else F.round("modeled", digits)
+    return pred.groupBy("grid_id").agg(*(F.max(F.when(F.col("tracer") == t, value)).alias(t) for t in (a, b)))
+
+
 def surface_matrix(df: DataFrame, x: str, y: str, v: str, values: list) -> DataFrame:
     return df.groupBy(y).pivot(x, values).agg(F.first(v))
 
 
-def truth_surface(grid: DataFrame, truth: DataFrame, relative: float, floor: float, key: str = "case_id") -> DataFrame:
-    """Grid points and the true point against the truth's data, scaled by max(relative * obs, floor * history's top)."""
-    rows = grid.join(truth, key)
+def truth_surface(grid: DataFrame, truth: DataFrame, relative: float, floor: float, on: list[str]) -> DataFrame:
+    """``case_id, least, best``: the grid point that fits a case's own data best.
+
+    Data meet predictions by ``on`` (a case's id and what names a datum); residuals are scaled by
+    max(relative * observed, floor * the history's top).
+    """
+    rows = grid.join(truth, on)
     scale = F.greatest(relative * F.abs("observed"), floor * F.col("top"))
-    got = rows.groupBy(key, "grid_id").agg(F.sum(F.pow((F.col("modeled") - F.col("observed")) / scale, F.lit(2.0))).alias("chi2"))
-    return got.groupBy(key).agg(F.min("chi2").alias("least"), F.min_by("grid_id", F.struct("chi2", "grid_id")).alias("best"))
+    got = rows.groupBy("case_id", "grid_id").agg(F.sum(F.pow((F.col("modeled") - F.col("observed")) / scale, F.lit(2.0))).alias("chi2"))
+    return got.groupBy("case_id").agg(F.min("chi2").alias("least"), F.min_by("grid_id", F.struct("chi2", "grid_id")).alias("best"))
 
 
 def log_prior(draws: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,7 +71,7 @@ def log_prior(draws: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFr
 
     ``catalogue`` has ``param, prior, mean, std, cal_lo, cal_hi``.
     """
-    rows = draws.join(F.broadcast(catalogue), "param")
+    rows = draws.join(catalogue, "param")
     x = F.col("value")
     inside = x.between(F.col("cal_lo"), F.col("cal_hi"))
     normal = -0.5 * F.pow((x - F.col("mean")) / F.col("std"), F.lit(2.0)) - F.log(F.col("std")) - 0.5 * math.log(2 * math.pi)
@@ -168,14 +183,15 @@ def resample_obs(obs: DataFrame, n: int, seed: int, keys: list[str]) -> DataFram
     """n resamplings of each observation from its normal error, cut off at 0."""
     rows = obs.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample"))
     u = uniform("noise", seed, *(F.col(k) for k in keys), F.col("sample"))
-    low = normal_cdf(-F.col("concentration") / F.col("error"))
-    return rows.withColumn("resampled", F.greatest(F.col("concentration") + F.col("error") * normal_inverse(low + (1 - low) * u), F.lit(0.0)))
+    # Columns of their own: the inverse uses its argument many times.
+    rows = rows.withColumn("__low", normal_cdf(-F.col("concentration") / F.col("error"))).withColumn("__p", F.col("__low") + (1 - F.col("__low")) * u)
+    return rows.withColumn("resampled", F.greatest(F.col("concentration") + F.col("error") * normal_inverse(F.col("__p")), F.lit(0.0))).drop("__low", "__p")
 
 
 def fuq(pred: DataFrame, resampled: DataFrame, on: list[str]) -> DataFrame:
     """The best grid point of each resampling: ``case_id, sample, grid_id, chi2``."""
     r = (F.col("modeled") - F.col("resampled")) / F.col("error")
-    chi = pred.join(resampled, on).groupBy("case_id", "sample", "grid_id").agg(F.sum(r * r).alias("chi2"))
+    chi = resampled.join(stored(pred, "predictions"), on).groupBy("case_id", "sample", "grid_id").agg(F.sum(r * r).alias("chi2"))
     return chi.groupBy("case_id", "sample").agg(F.min_by("grid_id", F.struct(F.round("chi2", 9), "grid_id")).alias("grid_id"), F.min("chi2").alias("chi2"))
 
 
@@ -183,11 +199,12 @@ def best_fit(data: DataFrame, lo: float, hi: float, model, levels: int = 6, n: i
     """``case_id, x, objective``: nested one-parameter grids for all cases at once.
 
     ``data`` has ``case_id, at, observed, error``; ``model(x, at)`` is a Column. Each level lays n
-    intervals over a case's range and goes on one interval to both sides of the best point; at most
-    8 levels, each a stored job.
+    intervals over a case's range and goes on one interval to both sides of the best point. Data
+    are stored by case once; each level is a stored job of one row a case.
     """
     ranges = data.select("case_id").distinct().withColumns({"lo": F.lit(lo), "hi": F.lit(hi)})
-    for _ in range(min(levels, 8)):
+    data = stored(data.repartition("case_id"), "best-fit-data")
+    for _ in range(levels):
         grid = ranges.select("*", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("i")).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / n)
         rows = grid.join(data, "case_id")
         r = (model(F.col("x"), F.col("at")) - F.col("observed")) / F.col("error")
@@ -278,8 +295,8 @@ def synthetic_cases(catalogue: DataFrame, n: int, seed: int) -> DataFrame:
 def add_noise(df: DataFrame, regimes: DataFrame, seed: int, keys: list[str]) -> DataFrame:
     """``noisy``: value * (1 + N(0, sigma)) for each noise regime (``regime, sigma``)."""
     rows = df.crossJoin(F.broadcast(regimes))
-    z = normal_inverse(uniform("regime", seed, F.col("regime"), *(F.col(k) for k in keys)))
-    return rows.withColumn("noisy", F.col("value") * (1 + F.col("sigma") * z))
+    rows = rows.withColumn("__u", uniform("regime", seed, F.col("regime"), *(F.col(k) for k in keys)))
+    return rows.withColumn("noisy", F.col("value") * (1 + F.col("sigma") * normal_inverse(F.col("__u")))).drop("__u")
 
 
 def nearest_row(grid: DataFrame, ref: DataFrame, params: list[str], key: str) -> DataFrame:

@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import quantiles as ranked_quantiles
+
 
 def quantiles(value: str, probabilities: list[float]) -> Column:
-    """Exact quantiles with linear interpolation, as an array."""
+    """Exact quantiles with linear interpolation, as an array; for groups of a bounded size, as draws of one observation."""
     return F.expr(f"percentile({value}, array({', '.join(map(str, probabilities))}))")
 
 
+def with_quantiles(rows: DataFrame, df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``rows`` (one a key) with exact quantiles of groups of any size: no group's values are in one buffer."""
+    return rows.join(ranked_quantiles(df, keys, value, shares), keys, "left")
+
+
 def describe_table(draws: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Count, mean, sample deviation, least, quartiles and greatest per key."""
-    rows = draws.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), quantiles(value, [0.25, 0.5, 0.75]).alias("q"), F.max(value).alias("max"))
-    return rows.select(*keys, "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    rows = draws.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return with_quantiles(rows, draws, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).select(*keys, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def posterior_summary(draws: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    rows = draws.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), quantiles(value, [0.025, 0.1, 0.25, 0.5, 0.75, 0.9, 0.975]).alias("q"))
-    return rows.select(*keys, "mean", "sd", *(F.col("q")[i].alias(n) for i, n in enumerate(("q025", "q10", "q25", "median", "q75", "q90", "q975"))))
+    rows = draws.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return with_quantiles(rows, draws, keys, value, {"q025": 0.025, "q10": 0.1, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9, "q975": 0.975})
 
 
 def prediction_envelope(pred: DataFrame, by: list[str], realisation: str, value: str) -> DataFrame:
@@ -38,7 +47,7 @@ def histogram(draws: DataFrame, keys: list[str], n: int = 100, value: str = "val
     flat = F.col("lo") == F.col("hi")
     span = span.select(*keys, F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"), "total").withColumn("w", (F.col("hi") - F.col("lo")) / n)
     at = F.least(F.floor((F.col(value) - F.col("lo")) / F.col("w")) + 1, F.lit(n))
-    counts = draws.join(F.broadcast(span), keys).withColumn("bin", at).groupBy(*keys, "bin").agg(F.count("*").alias("count"))
+    counts = draws.join(span, keys).withColumn("bin", at).groupBy(*keys, "bin").agg(F.count("*").alias("count"))
     bins = span.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("bin"))
     rows = bins.join(counts, [*keys, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return rows.select(*keys, "bin", (F.col("lo") + (F.col("bin") - 1) * F.col("w")).alias("left"), "count", (F.col("count") / (F.col("total") * F.col("w"))).alias("density"))
@@ -46,7 +55,7 @@ def histogram(draws: DataFrame, keys: list[str], n: int = 100, value: str = "val
 
 def range_histogram(draws: DataFrame, catalogue: DataFrame, keys: list[str], n: int = 100) -> DataFrame:
     """Counts in n bins of the calibration range (``param, cal_lo, cal_hi``)."""
-    rows = draws.join(F.broadcast(catalogue), [k for k in keys if k in catalogue.columns])
+    rows = draws.join(catalogue, [k for k in keys if k in catalogue.columns])
     return rows.withColumn("bin", F.floor((F.col("value") - F.col("cal_lo")) / ((F.col("cal_hi") - F.col("cal_lo")) / n))).groupBy(*keys, "bin").agg(F.count("*").alias("count"))
 
 
@@ -58,8 +67,8 @@ def age_stats(draws: DataFrame, keys: list[str], columns: list[str]) -> DataFram
 def recovery_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     """Estimates against the truth: mean, sd, bias, RMSE, quantiles, range."""
     e = F.col("estimate") - F.col("truth")
-    rows = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("estimate").alias("mean"), F.stddev_samp("estimate").alias("sd"), F.avg(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"), quantiles("estimate", [0.025, 0.5, 0.975]).alias("q"), F.min("estimate").alias("min"), F.max("estimate").alias("max"))
-    return rows.select(*keys, "n", "mean", "sd", "bias", "rmse", F.col("q")[0].alias("q025"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q975"), "min", "max")
+    rows = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("estimate").alias("mean"), F.stddev_samp("estimate").alias("sd"), F.avg(e).alias("bias"), F.sqrt(F.avg(e * e)).alias("rmse"), F.min("estimate").alias("min"), F.max("estimate").alias("max"))
+    return with_quantiles(rows, df, keys, "estimate", {"q025": 0.025, "median": 0.5, "q975": 0.975})
 
 
 def paired_stats(df: DataFrame, keys: list[str], a: str, b: str, expected: int | None = None) -> DataFrame:
@@ -101,13 +110,13 @@ def rank_configs(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
 def comparability(df: DataFrame, keys: list[str], case: str, passed: str, runtime: str) -> DataFrame:
     """All passed, pass rate, cases with any pass, median and deviation of runtimes."""
     any_ = df.groupBy(*keys, case).agg(F.bool_or(passed).alias("any")).groupBy(*keys).agg(F.count_if("any").alias("cases_with_pass"))
-    rows = df.groupBy(*keys).agg(F.bool_and(passed).alias("all_pass"), F.avg(F.col(passed).cast("int")).alias("pass_rate"), F.countDistinct(case).alias("n_cases"), F.expr(f"median({runtime})").alias("median_runtime"), F.stddev_samp(runtime).alias("sd_runtime"))
-    return rows.join(any_, keys)
+    rows = df.groupBy(*keys).agg(F.bool_and(passed).alias("all_pass"), F.avg(F.col(passed).cast("int")).alias("pass_rate"), F.countDistinct(case).alias("n_cases"), F.stddev_samp(runtime).alias("sd_runtime"))
+    return with_quantiles(rows.join(any_, keys), df, keys, runtime, {"median_runtime": 0.5})
 
 
 def target_stats(draws: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     """Mean of each parameter against its target: difference, ratio, relative deviation; distance over parameters."""
-    rows = draws.groupBy(*keys, "param").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")).join(F.broadcast(truth), "param")
+    rows = draws.groupBy(*keys, "param").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")).join(truth, "param")
     d = F.col("mean") - F.col("target")
     return rows.groupBy(*keys).agg(F.sqrt(F.sum(d * d)).alias("distance"), F.max(F.abs(d)).alias("max_difference"), F.avg(F.try_divide("mean", "target")).alias("mean_ratio"), F.avg(F.try_divide("std", "target")).alias("std_ratio"))
 
@@ -136,15 +145,16 @@ def predictive_check(pred: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def share_below(df: DataFrame, keys: list[str], value: str, limit: float) -> DataFrame:
-    rows = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("min"), quantiles(value, [0.05, 0.5]).alias("q"), F.avg((F.col(value) < limit).cast("int")).alias("share_below"))
-    return rows.select(*keys, "n", "min", F.col("q")[0].alias("q05"), F.col("q")[1].alias("median"), "share_below")
+    rows = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.avg((F.col(value) < limit).cast("int")).alias("share_below"))
+    return with_quantiles(rows, df, keys, value, {"q05": 0.05, "median": 0.5})
 
 
 def fraction_errors(df: DataFrame, keys: list[str], a: str, b: str, limits: list[float]) -> DataFrame:
     """Absolute errors of two columns: mean, median, RMS, greatest, and counts within limits."""
     e = F.abs(F.col(a) - F.col(b))
     rows = df.withColumn("__e", e)
-    return rows.groupBy(*keys).agg(F.avg("__e").alias("mae"), F.expr("median(__e)").alias("median_ae"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"), F.max("__e").alias("max_ae"), *(F.count_if(F.col("__e") <= x).alias(f"within_{i}") for i, x in enumerate(limits)))
+    out = rows.groupBy(*keys).agg(F.avg("__e").alias("mae"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"), F.max("__e").alias("max_ae"), *(F.count_if(F.col("__e") <= x).alias(f"within_{i}") for i, x in enumerate(limits)))
+    return with_quantiles(out, rows, keys, "__e", {"median_ae": 0.5})
 
 
 def prior_sensitivity(a: DataFrame, b: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
@@ -193,8 +203,10 @@ def argmin_column(df: DataFrame, columns: list[str], out: str = "best") -> DataF
 
 def representative_draw(wide: DataFrame, keys: list[str], params: list[str], order: list[str]) -> DataFrame:
     """The draw nearest to the medians of all parameters, each scaled by its deviation."""
-    mid = wide.groupBy(*keys).agg(*(F.expr(f"median({p})").alias(f"__m_{p}") for p in params), *(F.stddev_samp(p).alias(f"__s_{p}") for p in params))
-    rows = wide.join(F.broadcast(mid), keys)
+    mid = wide.groupBy(*keys).agg(*(F.stddev_samp(p).alias(f"__s_{p}") for p in params))
+    for p in params:
+        mid = with_quantiles(mid, wide, keys, p, {f"__m_{p}": 0.5})
+    rows = wide.join(mid, keys)
     d = sum((F.coalesce(F.pow(F.try_divide(F.col(p) - F.col(f"__m_{p}"), F.col(f"__s_{p}")), F.lit(2.0)), F.lit(0.0)) for p in params), F.lit(0.0))
     return rows.withColumn("distance", d).groupBy(*keys).agg(F.min_by(F.struct(*order), F.struct(F.round("distance", 9), *order)).alias("draw"), F.min("distance").alias("distance")).select(*keys, "draw.*", "distance")
 
@@ -212,5 +224,87 @@ def relative_uncertainty(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def accuracy_summary(df: DataFrame, keys: list[str], error: str, name: str) -> DataFrame:
-    rows = df.groupBy(*keys).agg(F.count("*").alias("n"), quantiles(error, [0.5, 0.95, 0.99]).alias("q"), F.max(error).alias("max"), F.max_by(name, F.struct(error, name)).alias("worst"))
-    return rows.select(*keys, "n", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), "max", "worst")
+    rows = df.groupBy(*keys).agg(F.count("*").alias("n"), F.max(error).alias("max"), F.max_by(name, F.struct(error, name)).alias("worst"))
+    return with_quantiles(rows, df, keys, error, {"median": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+def coverage_mass(df: DataFrame, keys: list[str], mass: str) -> DataFrame:
+    """The median covered mass of each group, and how many rows it has."""
+    return with_quantiles(df.groupBy(*keys).agg(F.count(mass).alias("n")), df, keys, mass, {"covered": 0.5})
+
+
+def rank_conventions(df: DataFrame, convention: str, a: str, b: str) -> DataFrame:
+    """Errors of each convention's values, with its ``place`` by RMSE; the best one has 1."""
+    rows = fraction_errors(df, [convention], a, b, [])
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("rmse", convention)))  # one row a convention
+
+
+def error_sensitivity(df: DataFrame, by: list[str], case: str, value: str) -> DataFrame:
+    """The mean of case means at each error level, so that cases count alike."""
+    per = df.groupBy(*by, case).agg(F.avg(value).alias("m"))
+    return per.groupBy(*by).agg(F.count("*").alias("n_cases"), F.avg("m").alias("mean"))
+
+
+def study_tables(stats: DataFrame, tables: dict[str, dict]) -> DataFrame:
+    """``table`` and a statistics row for each table that the row is in, in one pass.
+
+    A table is given by ``prefixes`` of its experiments and by allowed values of other columns.
+    """
+    named = []
+    for name, rule in tables.items():
+        inside = reduce(lambda x, y: x | y, (F.col("experiment_id").startswith(p) for p in rule["prefixes"]))
+        for column, allowed in rule.items():
+            if column != "prefixes":
+                inside = inside & F.col(column).isin(allowed)
+        named.append(F.when(inside, F.lit(name)))
+    return stats.select(F.explode(F.array_compact(F.array(*named))).alias("table"), "*")
+
+
+def campaign_inventory(manifests: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Manifests with their row of the matrix and ``runtime_hours``; an experiment that the matrix lacks is an error."""
+    rows = manifests.join(matrix.withColumn("__known", F.lit(True)), "experiment_id", "left")
+    hours = (F.unix_micros("finished") - F.unix_micros("started")) / 3.6e9
+    known = F.when(F.col("__known"), F.col("experiment_id")).otherwise(F.raise_error(F.concat(F.lit("not in the matrix: "), F.col("experiment_id").cast("string"))))
+    return rows.withColumn("runtime_hours", hours).withColumn("experiment_id", known.cast(manifests.schema["experiment_id"].dataType)).drop("__known")
+
+
+def publication_cases(draws: DataFrame, acceptance: DataFrame, params: list[str], least: float = 0.05) -> DataFrame:
+    """A row for each case: window, best objective, statistics of each parameter, acceptance and whether it is low.
+
+    ``draws`` has ``well, mode, start, end, lpm, obj_function`` and the parameters; of a well's full
+    spans only the longest count. ``acceptance`` has a rate for each case.
+    """
+    case = ["well", "mode", "start", "end", "lpm"]
+    span = draws.where("mode = 'span_full'").groupBy("well", "lpm").agg(F.max(F.col("end") - F.col("start")).alias("__longest"))
+    kept = draws.join(span, ["well", "lpm"], "left").where("mode <> 'span_full' or `end` - start = __longest").drop("__longest")
+    rows = kept.groupBy(*case).agg(F.count("*").alias("samples"), F.min("obj_function").alias("best"), *(x for p in params for x in (F.avg(p).alias(f"{p}_mean"), F.stddev_samp(p).alias(f"{p}_sd"))))
+    for p in params:
+        rows = with_quantiles(rows, kept, case, p, {f"{p}_q10": 0.1, f"{p}_median": 0.5, f"{p}_q90": 0.9})
+    return rows.join(acceptance, case, "left").withColumn("low_acceptance", F.col("acceptance") < least)
+
+
+def well_table(comparison: DataFrame, diagnostics: DataFrame, fractions: list[str], values: list[str]) -> DataFrame:
+    """A row for each well: a column for each fraction and value, and the roll-up of its convergence."""
+    wide = comparison.groupBy("well").agg(*(F.max(F.when(F.col("fraction") == f, F.col(v))).alias(f"{f}_{v}") for f in fractions for v in values))
+    roll = diagnostics.groupBy("well").agg(F.max("rhat").alias("max_rhat"), F.min("ess").alias("min_ess"), F.bool_and("converged").alias("converged"))
+    return wide.join(roll, "well", "left")
+
+
+def tool_table(df: DataFrame, keys: list[str], tools: list[str], expected: int, within: float, strict: bool = True) -> DataFrame:
+    """Tools side by side against the truth: statistics of each, how many pass, and paired differences.
+
+    ``df`` has a row for each seed with ``truth`` and a column for each tool. A campaign of another
+    size than ``expected`` is an error, or with ``strict`` off is marked and has no statistics.
+    """
+    whole = F.count("*") == expected
+    checked = F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("incomplete campaign: "), F.count("*").cast("string"), F.lit(f" of {expected}"))).cast("boolean")) if strict else whole
+    stats = []
+    for t in tools:
+        e = F.col(t) - F.col("truth")
+        stats += [F.avg(t).alias(f"{t}_mean"), F.stddev_samp(t).alias(f"{t}_sd"), F.avg(e).alias(f"{t}_bias"), F.sqrt(F.avg(e * e)).alias(f"{t}_rmse"), F.count_if(F.abs(e) <= within * F.abs("truth")).alias(f"{t}_passes")]
+    for t in tools[1:]:
+        d = F.col(t) - F.col(tools[0])
+        stats += [F.avg(d).alias(f"{t}_minus_{tools[0]}"), F.sqrt(F.avg(d * d)).alias(f"{t}_rms_to_{tools[0]}")]
+    rows = df.groupBy(*keys).agg(F.count("*").alias("n"), checked.alias("complete"), *stats)
+    names = [c for c in rows.columns if c not in (*keys, "n", "complete")]
+    return rows.select(*keys, "n", "complete", *(F.when(F.col("complete"), F.col(c)).alias(c) for c in names))

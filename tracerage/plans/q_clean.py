@@ -43,7 +43,7 @@ def unit_rows(spark, sf):
     return fx.table(spark, sf, "orders").withColumn("unit", F.when(k == 0, "pptv").when(k == 1, " PPTV ").when(k == 2, "n/a").when(k == 3, "%modern").when(k == 4, "furlong").when(k == 5, F.lit(None)).otherwise("pmC"))
 
 
-@query("b03_check_units", f"with {UNIT_ROWS} select coalesce(unit, '?') as unit, case lower(trim(unit)) when 'pptv' then 'pptv' when '%modern' then 'pmC' when 'pmc' then 'pmC' end as canonical, case when unit is null or unit = 'n/a' then 'placeholder' when unit = 'furlong' then 'unknown' when unit in (' PPTV ') then 'ok' when unit = '%modern' then 'recase' else 'ok' end as status0, count(*) as n from units group by all".replace("when unit in (' PPTV ') then 'ok'", "when unit = ' PPTV ' then 'recase'").replace("status0", "status"))
+@query("b03_check_units", f"with {UNIT_ROWS} select coalesce(unit, '?') as unit, case lower(trim(unit)) when 'pptv' then 'pptv' when '%modern' then 'pmC' when 'pmc' then 'pmC' end as canonical, case when unit is null or unit = 'n/a' then 'placeholder' when unit = 'furlong' then 'custom' when unit in (' PPTV ') then 'ok' when unit = '%modern' then 'recase' else 'ok' end as status0, count(*) as n from units group by all".replace("when unit in (' PPTV ') then 'ok'", "when unit = ' PPTV ' then 'recase'").replace("status0", "status"))
 def b03(spark, sf):
     rows = clean.check_units(unit_rows(spark, sf).select("unit"))
     return rows.groupBy(F.coalesce("unit", F.lit("?")).alias("unit"), "canonical", "status").agg(F.count("*").alias("n"))
@@ -103,11 +103,12 @@ def b13(spark, sf):
     return clean.error_provenance(fx.observations(spark, sf).withColumn("error_method", F.when(F.col("error") == 0, "mean_response").otherwise("given")))
 
 
-@query("b14_observation_keys", f"with {fx.OBS} select well, obs_id, element || '@' || floor(date)::bigint::varchar || '#' || obs_id::varchar as key, element, true as matches from obs")
+@query("b14_observation_keys", f"with {fx.OBS} select well, obs_id, case when obs_id % 10 = 0 then 'X' else element end || '@' || floor(date)::bigint::varchar || '#' || obs_id::varchar as key, case when obs_id % 10 = 0 then 'X' else element end as element, floor(date)::double as date, obs_id as index, obs_id % 10 <> 0 as matches from obs")
 def b14(spark, sf):
-    rows = fx.observations(spark, sf).select("well", "obs_id", F.col("element").alias("own"), sc.observation_key("element", F.floor("date"), F.col("obs_id")).alias("key"))
-    parsed = rows.withColumn("element", F.regexp_extract("key", r"^(.*)@([^@#]*)(?:#(\d+))?$", 1)).withColumn("index", F.regexp_extract("key", r"#(\d+)$", 1).cast("long"))
-    return parsed.select("well", "obs_id", "key", "element", ((F.col("element") == F.col("own")) & (F.col("index") == F.col("obs_id"))).alias("matches"))
+    obs = fx.observations(spark, sf).select("well", "obs_id", "element", F.floor("date").alias("date"))
+    own = F.when(F.col("obs_id") % 10 == 0, "X").otherwise(F.col("element"))  # a tenth of the keys don't match
+    keyed = obs.withColumn("key", sc.observation_key(own, F.col("date"), F.col("obs_id"))).select("well", "obs_id", "key")
+    return clean.checked_keys(clean.parse_keys(keyed), obs, ["well"]).select("well", "obs_id", "key", "element", "date", "index", "matches")
 
 
 CASES = "cases as (select s_suppkey as well, 1995 + (s_suppkey % 4) as start, 1996 + (s_suppkey % 5) as end_ from supplier)"
@@ -129,6 +130,14 @@ def b16(spark, sf):
     return clean.select_rows(rows, {"wells": "2"})
 
 
+@query("b16b_subset", f"with {fx.OBS} select well, element, count(*) as n, round(sum(concentration), 4) as total from obs where well in (select distinct well from obs order by well limit 3) and element in ('1-URGENT', '5-LOW') and obs_id % 2 = 0 group by all")
+def b16b(spark, sf):
+    obs = fx.observations(spark, sf).withColumn("enabled", F.when(F.col("obs_id") % 2 == 0, "True").otherwise("false"))
+    wells = [r["well"] for r in obs.select("well").distinct().orderBy("well").limit(3).collect()]
+    rows = clean.subset(obs, wells, ["1-URGENT", "5-LOW"])
+    return rows.groupBy("well", "element").agg(F.count("*").alias("n"), F.round(F.sum("concentration"), 4).alias("total"))
+
+
 RULES = [("1-URGENT", 0.01, "fraction", "percent_to_fraction"), ("2-HIGH", 0.118, "Bq/l", "TU_to_Bq")]
 
 
@@ -139,23 +148,23 @@ def b17(spark, sf):
     return rows.groupBy("well", "applied", "unit_out").agg(F.count("*").alias("n"), F.round(F.avg("converted"), 6).alias("converted"))
 
 
-@query("b18_screen_delta", f"with {fx.RUNS} select a.well, a.element, case when b.mean is null then 'not_available' when abs(b.mean / a.mean - 1) <= 0.1 then 'within_10_percent' when abs(b.mean / a.mean - 1) <= 0.2 then 'within_20_percent' else 'above_20_percent' end as screen from runs a left join runs b on b.run = 'B' and a.well = b.well and a.element = b.element where a.run = 'A'")
+@query("b18_screen_delta", f"with {fx.RUNS} select a.well, a.element, case when b.mean is null then 'not_available' when abs(100.0::double * (b.mean / a.mean - 1)) <= 10 then 'limited_air_effects' when abs(100.0::double * (b.mean / a.mean - 1)) <= 20 then 'moderate_air_effects' else 'strong_air_effects' end as screen from runs a left join runs b on b.run = 'B' and a.well = b.well and a.element = b.element where a.run = 'A'")
 def b18(spark, sf):
     r = fx.runs(spark, sf)
     a, b = r.where("run = 'A'").select("well", "element", F.col("mean").alias("ma")), r.where("run = 'B'").select("well", "element", F.col("mean").alias("mb"))
-    return a.join(b, ["well", "element"], "left").select("well", "element", sc.screen_delta(F.col("mb") / F.col("ma") - 1).alias("screen"))
+    return a.join(b, ["well", "element"], "left").select("well", "element", sc.screen_delta(100.0 * (F.col("mb") / F.col("ma") - 1)).alias("screen"))
 
 
-@query("b19_helium_diagnostics", "with h as (select l_orderkey, l_linenumber, l_partkey, l_extendedprice / 1000 as h, l_quantity as he, 0.5::double as h_err, l_discount as he_err, l_tax * 100 as reported_age from lineitem where l_suppkey < 20), m as (select median(he_err) as typical from h where he_err > 0) select l_partkey, case when he_err > 0 then 'reported' else 'median' end as error_source, count(*) as n, round(sum(h + he), 5) as initial, round(avg(sqrt(h_err * h_err + pow(case when he_err > 0 then he_err else typical end, 2))), 6) as initial_error, round(avg(17.77::double * ln(1 + he / h)), 6) as ratio_age, round(avg(reported_age - 17.77::double * ln(1 + he / h)), 6) as delta from h cross join m group by all")
+@query("b19_helium_diagnostics", "with h as (select l_orderkey, l_linenumber, l_partkey, l_extendedprice / 1000 as h, l_quantity as he, 0.5::double as h_err, l_discount as he_err, l_tax * 100 as reported_age from lineitem), m as (select median(he_err) as typical from h where he_err > 0) select l_partkey, case when he_err > 0 then 'reported' else 'median' end as error_source, count(*) as n, round(sum(h + he), 5) as initial, round(avg(sqrt(h_err * h_err + pow(case when he_err > 0 then he_err else typical end, 2))), 6) as initial_error, round(avg(17.77::double * ln(1 + he / h)), 6) as ratio_age, round(avg(reported_age - 17.77::double * ln(1 + he / h)), 6) as delta from h cross join m group by all")
 def b19(spark, sf):
     rows = fx.table(spark, sf, "lineitem").select("l_partkey", (F.col("l_extendedprice") / 1000).alias("h"), F.col("l_quantity").alias("he"), F.lit(0.5).alias("h_err"), F.col("l_discount").alias("he_err"), (F.col("l_tax") * 100).alias("reported_age"))
     out = clean.helium_diagnostics(rows, 17.77).groupBy("l_partkey", "error_source")
     return out.agg(F.count("*").alias("n"), F.round(F.sum("initial"), 5).alias("initial"), *(F.round(F.avg(x), 6).alias(x) for x in ("initial_error", "ratio_age", "delta")))
 
 
-@query("b20_dataset_rules", f"with {fx.OBS} select 'element_unknown' as rule, count(*) filter (element not in ('1-URGENT', '2-HIGH')) as n from obs union all select 'null_value', 0 union all select 'error_not_positive', count(*) filter (error <= 0) from obs union all select 'value_negative', 0 union all select 'unit_wrong', count(*) filter (element = '2-HIGH') from obs union all select 'date_outside', count(*) filter (not date between 1996 and 2000) from obs union all select 'count_unexpected', (count(*) <> 60000)::bigint from obs union all select 'duplicate_key', count(*) from (select 1 from obs group by well, element, date having count(*) > 1)")
+@query("b20_dataset_rules", f"with {fx.OBS} select 'element_unknown' as rule, count(*) filter (element not in ('1-URGENT', '2-HIGH')) as n from obs union all select 'null_value', 0 union all select 'error_not_positive', count(*) filter (error <= 0) from obs union all select 'value_negative', 0 union all select 'unit_wrong', count(*) filter (element = '2-HIGH') from obs union all select 'date_outside', count(*) filter (not date between 1996 and 2000) from obs union all select 'count_unexpected', (count(*) <> (select count(*) from lineitem))::bigint from obs union all select 'duplicate_key', count(*) from (select 1 from obs group by well, element, date having count(*) > 1)")
 def b20(spark, sf):
-    return clean.dataset_rules(fx.observations(spark, sf), {"1-URGENT": "pptv", "2-HIGH": "TU"}, (1996.0, 2000.0), 60000)
+    return clean.dataset_rules(fx.observations(spark, sf), {"1-URGENT": "pptv", "2-HIGH": "TU"}, (1996.0, 2000.0), fx.table(spark, sf, "lineitem").count())
 
 
 @query("b21_in_bounds", f"with {fx.DRAWS}, {CATALOGUE} select case_id, chain, in_domain, in_range, count(*) as n from (select case_id, chain, draws.step, bool_and(value between lo and hi) as in_domain, bool_and(value between cal_lo and cal_hi * 0.9) as in_range from draws join spec on model = case_id and name = param group by all) group by all")
@@ -182,7 +191,7 @@ def b24(spark, sf):
     return clean.duplicate_keys(fx.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("b25_grid_gaps", f"with {fx.OBS}, have as (select distinct well, element from obs where well <> 3 or element <> '2-HIGH'), grid as (select well, element from (select distinct well from obs where well < 50) cross join (select distinct element from obs)) select *, 'missing' as problem from (select * from grid except select * from have) union all select *, 'extra' from (select * from have except select * from grid)")
+@query("b25_grid_gaps", f"with {fx.OBS}, have as (select distinct well, element from obs where well <> 3 or element <> '2-HIGH'), grid as (select well, element from (select distinct well from obs) cross join (select distinct element from obs)) select *, 'missing' as problem from (select * from grid except select * from have) union all select *, 'extra' from (select * from have except select * from grid)")
 def b25(spark, sf):
     obs = fx.observations(spark, sf)
     have = obs.where("well <> 3 or element <> '2-HIGH'")
@@ -209,7 +218,9 @@ def b28(spark, sf):
     return clean.matrix_rules(matrix, configs)
 
 
-@query("b29_validate_draws", f"with {fx.DRAWS}, {CATALOGUE} select model as case_id, 'x' as param, 'missing' as problem from (select distinct model from spec)")
+@query("b29_validate_draws", f"with {fx.DRAWS}, {CATALOGUE}, more as (select * from draws union all select * from draws where case_id = 'A' and param = 'q' and step % 100 = 0), ex as (select distinct model as case_id, name as param from spec union select distinct model, 'x' from spec) select case_id, param, 'missing' as problem from (select * from ex except select case_id, param from more) union all select distinct case_id, param, 'duplicate' from (select case_id, param from more group by case_id, param, chain, step having count(*) > 1)")
 def b29(spark, sf):
+    draws = fx.draws(spark, sf)
+    more = draws.unionByName(draws.where("case_id = 'A' and param = 'q' and step % 100 = 0"))
     expected = catalogue(spark, sf).select(F.col("model").alias("case_id"), F.explode(F.array(F.col("name"), F.lit("x"))).alias("param")).distinct()
-    return clean.validate_draws(fx.draws(spark, sf), expected, ["case_id", "param"])
+    return clean.validate_draws(more, expected, ["case_id", "param"])

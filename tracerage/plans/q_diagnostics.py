@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnostics as dg
 from ..operators import fingerprint as fp
-from ..operators import summaries as su
 from ..sources import fixtures as fx
 from ..sources import io
+from . import sql as sq
 from .registry import query
 
 SPLIT = f"{fx.DRAWS}, nn as (select *, count(*) over (partition by case_id, param, chain) as n from draws), mm as (select *, min(n) over (partition by case_id) as m from nn), sp as (select case_id, param, chain::varchar || case when step > m // 2 then '.2' else '.1' end as chain, case when step > m // 2 then step - (m - m // 2) else step end as step, value from mm where step <= m and (step <= m // 2 or step > m - m // 2))"
@@ -18,10 +18,16 @@ def j01(spark, sf):
     return dg.split_chains(fx.draws(spark, sf)).groupBy("case_id", "param", "chain").agg(F.count("*").alias("n"), F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("j02_rank_normalize", f"with {SPLIT} select case_id, param, count(*) as n, true as centred, true as unit from sp group by all")
+def scores_sql(table: str, name: str) -> str:
+    """SQL: ``name``, a table's rows with the normal scores of average ranks as values."""
+    return f"{name}_p as (select *, (rank() over (partition by case_id, param order by value) + (count(*) over (partition by case_id, param, value) - 1) / 2.0::double - 0.375::double) / (count(*) over (partition by case_id, param) + 0.25::double) as p from {table}), {name} as (select case_id, param, chain, step, {sq.normal_inverse('p')} as value from {name}_p)"
+
+
+@query("j02_rank_normalize", f"with {SPLIT}, {scores_sql('sp', 'z')} select case_id, param, count(*) as n, round(min(value), 7) as lowest, round(max(value), 7) as highest, round(sum(value * value), 4) as squares, round(sum(value * step), 2) as trend from z group by all")
 def j02(spark, sf):
     z = dg.rank_normalize(dg.split_chains(fx.draws(spark, sf)))
-    return z.groupBy("case_id", "param").agg(F.count("*").alias("n"), (F.abs(F.avg("value")) < 0.02).alias("centred"), (F.abs(F.stddev_samp("value") - 1) < 0.1).alias("unit"))
+    x = F.col("value")
+    return z.groupBy("case_id", "param").agg(F.count("*").alias("n"), F.round(F.min(x), 7).alias("lowest"), F.round(F.max(x), 7).alias("highest"), F.round(F.sum(x * x), 4).alias("squares"), F.round(F.sum(x * F.col("step")), 2).alias("trend"))
 
 
 @query("j03_basic_rhat", f"with {SPLIT} select case_id, param, round(rhat, 7) as rhat from {RHAT.format(t='sp')}")
@@ -29,41 +35,57 @@ def j03(spark, sf):
     return dg.basic_rhat(dg.split_chains(fx.draws(spark, sf))).withColumn("rhat", F.round("rhat", 7))
 
 
-@query("j04_split_rhat", f"with {fx.DRAWS} select distinct case_id, param, true as close_to_one from draws")
+FOLDED = "fo as (select case_id, param, chain, step, abs(value - median(value) over (partition by case_id, param)) as value from sp)"
+
+
+@query("j04_split_rhat", f"with {SPLIT}, {FOLDED}, {scores_sql('sp', 'z')}, {scores_sql('fo', 'zf')} select a.case_id, a.param, round(greatest(a.rhat, b.rhat), 7) as rhat from {RHAT.format(t='z')} a join {RHAT.format(t='zf')} b using (case_id, param)")
 def j04(spark, sf):
-    return dg.split_rhat(fx.draws(spark, sf)).select("case_id", "param", F.col("rhat").between(0.99, 1.05).alias("close_to_one"))
+    return dg.split_rhat(fx.draws(spark, sf)).withColumn("rhat", F.round("rhat", 7))
 
 
-SMALL = f"{SPLIT.replace('from lineitem),', 'from lineitem where l_linenumber <= 3),', 1)}, s as (select * from sp where param = 'q' and step <= 60), c as (select case_id, chain, avg(value) as mu, count(*) as n from s group by all), ac as (select a.case_id, a.chain, l.lag, sum((a.value - mu) * (b.value - mu)) / any_value(n) as acov from s a join c using (case_id, chain) cross join (select unnest(range(0, 11)) as lag) l join s b on b.case_id = a.case_id and b.chain = a.chain and b.step = a.step + l.lag group by all)"
+#: Lags in the SQL: pair sums of these draws stop far before; the operators have no such limit.
+LAGS = 40
 
 
-def short(spark, sf):
-    return dg.split_chains(fx.draws(spark, sf).where("chain <= 3")).where("param = 'q' and step <= 60")
+def acov_sql(table: str, name: str, lags: int = LAGS) -> str:
+    """SQL: ``name``, autocovariances of a table's chains."""
+    return f"{name}_c as (select case_id, param, chain, avg(value) as mu, var_samp(value) as v, count(*) as n from {table} group by all), {name}_x as (select case_id, param, chain, n, list(value - mu order by step) as xs from {table} join {name}_c using (case_id, param, chain) group by all), {name} as (select case_id, param, chain, lag, n, list_dot_product(xs[1 : n - lag], xs[1 + lag : n]) / n as acov from {name}_x cross join (select unnest(range(0, {lags})) as lag) l where lag < n)"
 
 
-@query("j07_acf", f"with {SMALL} select case_id, chain, lag::integer as lag, round(acov, 6) as acov from ac")
-def j07(spark, sf):
-    return dg.acf(short(spark, sf), 10).select("case_id", "chain", "lag", F.round("acov", 6).alias("acov"))
+def geyer_sql(name: str, keys: str) -> str:
+    """SQL: ``name``_t, monotone positive pair sums of ``name``_r (keys, lag, rho)."""
+    return f"{name}_s as (select {keys}, lag // 2 as pair, sum(rho) as s from {name}_r group by all having count(*) = 2), {name}_m as (select *, min((s > 0)::integer) over (partition by {keys} order by pair) as pos, min(s) over (partition by {keys} order by pair) as mono from {name}_s), {name}_t as (select {keys}, sum(case when pos = 1 then mono else 0 end) as t, min(pos) = 1 as truncated from {name}_m group by all)"
+
 
+def ess_sql(table: str, name: str) -> str:
+    """SQL: ``name``_e, effective sizes of a table's quantities."""
+    return f"{acov_sql(table, name)}, {name}_k as (select case_id, param, avg(v) as w, coalesce(var_samp(mu), 0) as b, max(n) as n, count(*) as k from {name}_c group by all), {name}_r as (select case_id, param, lag, case when lag = 0 then 1.0::double else 1 - (w - avg(acov)) / ((k.n - 1.0::double) / k.n * w + b) end as rho from {name} join {name}_k k using (case_id, param) group by case_id, param, lag, w, b, k.n), {geyer_sql(name, 'case_id, param')}, {name}_e as (select case_id, param, case when w > 0 then n * k / greatest(2 * t - 1, 1 / log10(n * k)) else 0 end as ess, w > 0 and truncated as truncated from {name}_k join {name}_t using (case_id, param))"
 
-ESS = f"{SMALL}, ml as (select case_id, lag, avg(acov) as acov, avg(acov * 60.0 / 59) as ub from ac group by all), bb as (select case_id, var_samp(mu) as b, count(*) as k from c group by 1), rh as (select m.case_id, lag, case when lag = 0 then 1.0::double else 1 - (w - acov) / (59.0::double / 60 * w + b) end as rho, k from ml m join (select case_id, ub as w from ml where lag = 0) using (case_id) join bb using (case_id)), pr as (select case_id, lag // 2 as p, sum(rho) as s, any_value(k) as k from rh group by all having count(*) = 2), rn as (select *, min((s > 0)::integer) over (partition by case_id order by p) as pos, min(s) over (partition by case_id order by p) as mono from pr)"
 
+@query("j07_acf", f"with {SPLIT}, {acov_sql('sp', 'ac', 11)} select case_id, param, chain, n, lag::integer as lag, round(acov, 8) as acov from ac")
+def j07(spark, sf):
+    return dg.acf(dg.split_chains(fx.draws(spark, sf)), 10).withColumn("acov", F.round("acov", 8))
 
-@query("j05_ess", f"with {ESS} select case_id, round(60 * any_value(k) / greatest(2 * sum(case when pos = 1 then mono else 0 end) - 1, 1 / log10(60 * any_value(k))), 4) as ess, min(pos) = 1 as truncated from rn group by 1")
+
+@query("j05_ess", f"with {SPLIT}, {ess_sql('sp', 'ac')} select case_id, param, round(ess, 4) as ess, truncated from ac_e")
 def j05(spark, sf):
-    return dg.ess(short(spark, sf), 10).select("case_id", F.round("ess", 4).alias("ess"), "truncated")
+    return dg.ess(dg.split_chains(fx.draws(spark, sf))).withColumn("ess", F.round("ess", 4))
+
+
+TAILS = "tq as (select case_id, param, quantile_cont(value, 0.05) as lo, quantile_cont(value, 0.95) as hi from sp group by all), tl as (select case_id, param, chain, step, (value <= lo)::integer::double as value from sp join tq using (case_id, param)), th as (select case_id, param, chain, step, (value <= hi)::integer::double as value from sp join tq using (case_id, param))"
 
 
-@query("j06_bulk_tail_mcse", f"with {fx.DRAWS} select distinct case_id, param, true as bulk_ok, true as tail_ok, true as mcse_ok from draws where param = 'q'")
+@query("j06_bulk_tail_mcse", f"with {SPLIT}, {scores_sql('sp', 'z')}, {TAILS}, {ess_sql('z', 'zb')}, {ess_sql('tl', 'zl')}, {ess_sql('th', 'zh')}, {ess_sql('sp', 'zs')}, sds as (select case_id, param, stddev_samp(value) as sd from sp group by all) select b.case_id, b.param, round(b.ess, 4) as bulk_ess, round(least(l.ess, h.ess), 4) as tail_ess, round(sd / sqrt(s.ess), 10) as mcse, b.truncated or l.truncated or h.truncated or s.truncated as truncated from zb_e b join zl_e l using (case_id, param) join zh_e h using (case_id, param) join zs_e s using (case_id, param) join sds using (case_id, param)")
 def j06(spark, sf):
-    d = fx.draws(spark, sf).where("param = 'q'")
-    rows = dg.bulk_ess(d, 20).join(dg.tail_ess(d, 20), dg.KEYS).join(dg.mcse(d, 20), dg.KEYS)
-    return rows.select("case_id", "param", (F.col("bulk_ess") > 100).alias("bulk_ok"), (F.col("tail_ess") > 100).alias("tail_ok"), (F.col("mcse") < F.col("sd") / 10).alias("mcse_ok"))
+    d = fx.draws(spark, sf)
+    rows = dg.bulk_ess(d).join(dg.tail_ess(d), dg.KEYS).join(dg.mcse(d), dg.KEYS)
+    cut = F.col("bulk_truncated") | F.col("tail_truncated") | F.col("mcse_truncated")
+    return rows.select("case_id", "param", F.round("bulk_ess", 4).alias("bulk_ess"), F.round("tail_ess", 4).alias("tail_ess"), F.round("mcse", 10).alias("mcse"), cut.alias("truncated"))
 
 
-@query("j08_iact", f"with {SMALL}, rh as (select a.case_id, a.chain, a.lag, a.acov / z.acov as rho from ac a join ac z on z.case_id = a.case_id and z.chain = a.chain and z.lag = 0), pr as (select case_id, chain, lag // 2 as p, sum(rho) as s from rh group by all having count(*) = 2), rn as (select *, min((s > 0)::integer) over (partition by case_id, chain order by p) as pos, min(s) over (partition by case_id, chain order by p) as mono from pr) select case_id, chain, round(greatest(2 * sum(case when pos = 1 then mono else 0 end) - 1, 1e-3), 6) as tau from rn group by all")
+@query("j08_iact", f"with {SPLIT}, {acov_sql('sp', 'ac')}, ac_r as (select a.case_id, a.param, a.chain, a.lag, a.acov / z.acov as rho from ac a join ac z on z.case_id = a.case_id and z.param = a.param and z.chain = a.chain and z.lag = 0), {geyer_sql('ac', 'case_id, param, chain')} select case_id, param, chain, round(greatest(2 * t - 1, 1e-3), 7) as tau, truncated from ac_t")
 def j08(spark, sf):
-    return dg.iact(short(spark, sf), 10).select("case_id", "chain", F.round("tau", 6).alias("tau"))
+    return dg.iact(dg.split_chains(fx.draws(spark, sf))).select("case_id", "param", "chain", F.round("tau", 7).alias("tau"), "truncated")
 
 
 @query("j09_diagnostic_quantities", f"with {fx.DRAWS}, c as (select case_id, param, chain, count(*) as n, min(value) as lo, max(value) as hi from draws group by all) select case_id, param, min(lo) <> max(hi) as included, min(n) = max(n) as equal_counts, min(n) as min_n from c group by all")
@@ -122,13 +144,13 @@ def k02(spark, sf):
     return fp.fingerprint_diff(sides(o), sides(changed), ["o_custkey"], ["values", "labels"])
 
 
-@query("k03_file_inventory", "select l_linenumber::varchar as part, true as hashed from lineitem group by 1")
+@query("k03_file_inventory", "select o_orderpriority as part, count(*) + 1 as length, sha256(string_agg(chr(97 + (o_orderkey % 26)::integer), '' order by o_orderkey) || chr(10)) as sha256 from orders group by 1")
 def k03(spark, sf):
+    # A file for each priority holds a letter for each order: its length and digest follow from the table.
+    o = fx.table(spark, sf, "orders")
+    letters = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.char((97 + k % 26).cast("long")))
     path = io.scratch(spark, "k03")
-    fx.table(spark, sf, "lineitem").select("l_linenumber", "l_quantity").repartition(1).write.partitionBy("l_linenumber").parquet(path)
-    files = fp.file_inventory(spark, path).where("path like '%.parquet'")
-    part = F.regexp_extract("path", r"l_linenumber=(\d+)/", 1)
-    return files.groupBy(part.alias("part")).agg(F.bool_and((F.length("sha256") == 64) & (F.col("length") > 0)).alias("hashed"))
-
-
-__all__ = ["su"]
+    o.groupBy("o_orderpriority").agg(F.array_join(letters, "").alias("value")).repartition(1).write.partitionBy("o_orderpriority").text(path)
+    files = fp.file_inventory(spark, path).where("path like '%.txt'")
+    part = F.expr("regexp_replace(regexp_extract(path, 'o_orderpriority=([^/]+)/', 1), '%20', ' ')")
+    return files.select(part.alias("part"), "length", "sha256")

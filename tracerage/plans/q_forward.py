@@ -65,16 +65,14 @@ def phi(z: str) -> str:
     return f"(0.5 + sign({z}) * {half})"
 
 
-IG_P = "p as (select part, t, a as mu, a as sg, a as lam from pars cross join ages where t > 0 and part < 400), q as (select *, sqrt(lam / t) * (t / mu - 1) as z1, -sqrt(lam / t) * (t / mu + 1) as z2 from p)"
+IG_P = "p as (select part, t, a as mu, a as sg, a as lam from pars cross join ages where t > 0), q as (select *, sqrt(lam / t) * (t / mu - 1) as z1, -sqrt(lam / t) * (t / mu + 1) as z2 from p)"
 
 
-@query("d03_inverse_gaussian", f"with {PARS}, {AGES}, {IG_P}, r as (select part, t, mu, {phi('z1')} as direct, exp(2 * lam / mu) * {phi('z2')} as reflected, z2 from q) select part, t, round(direct + reflected, 7) as cdf, round(mu * (direct - reflected), 6) as moment from r where z2 > -4.5")
+@query("d03_inverse_gaussian", f"with {PARS}, {AGES}, {IG_P}, r as (select part, t, mu, {phi('z1')} as direct, exp(2 * lam / mu) * {phi('z2')} as reflected, z2 from q) select part, t, round(direct + reflected, 7) as cdf, round(mu * (direct - reflected), 6) as moment from r")
 def d03(spark, sf):
     rows = with_ages(pars(spark, sf)).where("t > 0")
-    lam = F.col("a")
     p = {"mu": F.col("a"), "sigma": F.col("a")}
     law = laws.get_law("ig")
-    rows = rows.where(-F.sqrt(lam / F.col("t")) * (F.col("t") / F.col("a") + 1) > -4.5)
     return rows.select("part", "t", F.round(law.cdf(p, F.col("t")), 7).alias("cdf"), F.round(law.moment(p, F.col("t")), 6).alias("moment"))
 
 
@@ -130,13 +128,13 @@ def d08(spark, sf):
     return ds.add_moments(rows, "exp_shifted").drop("scale", "shift").withColumns({c: F.round(c, 6) for c in ds.MOMENTS})
 
 
-@query("d08b_gamma_quantiles", f"with {PARS} select part, round(a, 6) as mean, round(a, 6) as std, round(-a * ln(1 - 0.5::double), 5) as p50, round(-a * ln(1 - 0.9::double), 5) as p90 from pars where part < 300")
+@query("d08b_gamma_quantiles", f"with {PARS} select part, round(a, 6) as mean, round(a, 6) as std, round(-a * ln(1 - 0.5::double), 5) as p50, round(-a * ln(1 - 0.9::double), 5) as p90 from pars")
 def d08b(spark, sf):
     rows = pars(spark, sf).select("part", F.lit(1.0).alias("k"), F.col("a").alias("theta"))
     return ds.add_moments(rows, "gamma").select("part", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("p50", 5).alias("p50"), F.round("p90", 5).alias("p90"))
 
 
-@query("d09_curves", f"with {PARS}, grid as (select 70.0::double * i / 50 as t from range(51) r(i)) select part, round(t, 6) as t, round(1 - exp(-greatest((t - b) / a, 0)), 8) as cdf, round(case when t >= b then exp(-(t - b) / a) / a else 0 end, 8) as pdf from pars cross join grid where part < 500")
+@query("d09_curves", f"with {PARS}, grid as (select 70.0::double * i / 50 as t from range(51) r(i)) select part, round(t, 6) as t, round(1 - exp(-greatest((t - b) / a, 0)), 8) as cdf, round(case when t >= b then exp(-(t - b) / a) / a else 0 end, 8) as pdf from pars cross join grid")
 def d09(spark, sf):
     rows = pars(spark, sf).select("part", F.col("a").alias("scale"), F.col("b").alias("shift"))
     return ds.curves(rows, "exp_shifted", 50).select("part", F.round("t", 6).alias("t"), F.round("cdf", 8).alias("cdf"), F.round("pdf", 8).alias("pdf"))
@@ -165,27 +163,32 @@ def d12(spark, sf):
     return ds.fractions_from_cumulative(cum, ["part"]).withColumn("fraction", F.round("fraction", 8))
 
 
-@query("d13_distribution_checks", f"with {PARS} select part, true as mass_ok, true as mean_ok, true as median_ok from pars where part < 200")
+@query("d13_distribution_checks", f"with {PARS}, g as (select part, a, b, 400.0::double * i / 4000 as t, case when i in (0, 4000) then 0.05::double else 0.1 end as w from pars cross join range(4001) r(i)), s as (select part, a, b, sum(w * case when t >= b then exp(-(t - b) / a) / a else 0 end) as mass, sum(w * t * case when t >= b then exp(-(t - b) / a) / a else 0 end) as mean from g group by all) select part, round(mass, 8) as mass, round(mean, 7) as mean, round(b + a * ln(2.0::double), 8) as median, abs(mass - 1) <= 0.05 / a + 1e-4 and abs(mean - a - b) <= 0.1 * (a + b) / a + 0.02 as fits from s")
 def d13(spark, sf):
     rows = pars(spark, sf).select("part", F.col("a").alias("scale"), F.col("b").alias("shift"))
     out = ds.distribution_checks(rows, "exp_shifted", ["part"], 400.0, 4000)
-    return out.select("part", (F.col("mass_error") < 1e-4).alias("mass_ok"), (F.col("mean_error") < 0.02).alias("mean_ok"), (F.col("median_error") < 1e-6).alias("median_ok"))
+    fits = (F.col("mass_error") <= 1e-4) & (F.col("mean_error") <= 0.02)
+    return out.select("part", F.round("mass", 8).alias("mass"), F.round("mean", 7).alias("mean"), F.round("median", 8).alias("median"), fits.alias("fits"))
 
 
 @query("n01_law_registry", f"with {PARS}, {AGES} select part, t, round(1 - exp(-pow(t / a, 2)), 8) as cdf from pars cross join ages")
 def n01(spark, sf):
-    if "rayleigh" not in laws.list_laws():
-        square = lambda p, t: F.pow(t / p["scale"], F.lit(2.0))
-        laws.register_law("rayleigh", laws.Law(("scale",), lambda p, t: -F.expm1(-square(p, t)), lambda p, t: p["scale"] * sp.gamma(F.lit(1.5)) * sp.gamma_p(F.lit(1.5), square(p, t)), lambda p: p["scale"] * sp.gamma(F.lit(1.5)), lambda p: p["scale"]))
-    return with_ages(pars(spark, sf)).select("part", "t", F.round(laws.get_law("rayleigh").cdf({"scale": F.col("a")}, F.col("t")), 8).alias("cdf"))
+    square = lambda p, t: F.pow(t / p["scale"], F.lit(2.0))
+    laws.register_law("rayleigh", laws.Law(("scale",), lambda p, t: -F.expm1(-square(p, t)), lambda p, t: p["scale"] * sp.gamma(F.lit(1.5)) * sp.gamma_p(F.lit(1.5), square(p, t)), lambda p: p["scale"] * sp.gamma(F.lit(1.5)), lambda p: p["scale"]))
+    try:
+        return with_ages(pars(spark, sf)).select("part", "t", F.round(laws.get_law("rayleigh").cdf({"scale": F.col("a")}, F.col("t")), 8).alias("cdf"))
+    finally:
+        laws.unregister_law("rayleigh")
 
 
 @query("n02_tracer_registry", f"with {PARS}, {AGES} select part, t, round(100 * exp(-t / b) + 0.5 * t, 6) as k from pars cross join ages")
 def n02(spark, sf):
-    if "own" not in ch._responses:
-        ch.register_tracer("own", lambda date, age: 100 * F.exp(-age / (date - 2000)) + 0.5 * age)
-    rows = with_ages(pars(spark, sf)).select("part", "t", F.lit("own").alias("tracer"), F.col("t").alias("age"), (2000 + F.col("b")).alias("date"))
-    return ch.tracer_response(rows, fx.chronicle(spark, sf), tracers(spark)).select("part", "t", F.round("k", 6).alias("k"))
+    ch.register_tracer("own", lambda date, age: 100 * F.exp(-age / (date - 2000)) + 0.5 * age)
+    try:
+        rows = with_ages(pars(spark, sf)).select("part", "t", F.lit("own").alias("tracer"), F.col("t").alias("age"), (2000 + F.col("b")).alias("date"))
+        return ch.tracer_response(rows, fx.chronicle(spark, sf), tracers(spark)).select("part", "t", F.round("k", 6).alias("k"))
+    finally:
+        ch.unregister_tracer("own")
 
 
 # Forward model: a 1-D grid of mean ages against three sampling dates of each tracer.
@@ -217,7 +220,30 @@ def base(spark, sf):
 
 
 def responded(spark, sf):
-    return fw.with_responses(base(spark, sf), fx.chronicle(spark, sf), tracers(spark))
+    return fw.refine(base(spark, sf), fx.chronicle(spark, sf), tracers(spark))
+
+
+#: SQL: the same refinement as a recursion over levels; each bin keeps the segment that it lies on.
+LINE = "tracer, date, mode, constant, rate, stable, prod, d1, v1, d2, v2"
+TOP = "greatest(abs(k_left), abs(k_mid), abs(k_right))"
+FINE = f"greatest(k_left, k_mid, k_right) - least(k_left, k_mid, k_right) <= 0.0005::double * peak + 0.02::double * {TOP} as fine"
+
+
+def line_at(age: str) -> str:
+    return f"((case when mode = 'constant' then constant else coalesce(v1 + (v2 - v1) * ((date - {age}) - d1) / (d2 - d1), 0.0) end) * exp(-rate * {age}) + case when stable then prod * {age} else prod * (1 - exp(-rate * {age})) / rate end)"
+
+
+KS = f"{line_at('lft')} as k_left, {line_at('((lft + rgt) / 2)')} as k_mid, {line_at('rgt')} as k_right"
+LINES = f"""{EDGES}, sb as (select b.tracer, b.date, lft, rgt, mode, constant, coalesce(decay_rate, 0) as rate, decay_rate is null as stable, coalesce(production_rate, 0) as prod, d1, v1, d2, v2
+  from bins b join tracers t on t.name = b.tracer left join seg s on s.tracer = b.tracer and d1 <= b.date - (lft + rgt) / 2 and b.date - (lft + rgt) / 2 < d2)"""
+REFINED = f"""{LINES}, levels as (
+  select *, {FINE} from (select *, max({TOP}) over (partition by tracer, date) as peak from (select 0 as level, {LINE}, lft, rgt, {KS} from sb))
+  union all
+  select level, {LINE}, lft, rgt, k_left, k_mid, k_right, peak, {FINE} from (select *, greatest(before, max({TOP}) over (partition by tracer, date)) as peak from (
+    select level, {LINE}, lft, rgt, before, {KS} from (
+      select level + 1 as level, {LINE}, case when half = 0 then lft else (lft + rgt) / 2 end as lft, case when half = 0 then (lft + rgt) / 2 else rgt end as rgt, peak as before
+      from levels cross join (values (0), (1)) h(half) where not fine))))
+, kk as (select tracer, date, lft, rgt, k_left, k_mid, k_right from levels where fine)"""
 
 
 @query("e01_base_edges", f"with {EDGES} select tracer, date, round(lft, 8) as lft, round(rgt, 8) as rgt from bins")
@@ -225,21 +251,16 @@ def e01(spark, sf):
     return base(spark, sf).select("tracer", "date", F.round("left", 8).alias("lft"), F.round("right", 8).alias("rgt"))
 
 
-@query("e02_refine", f"with {EDGES} select tracer, date, true as ends_kept, true as all_fine, true as no_fewer from samples")
+@query("e02_refine", f"with recursive {REFINED} select tracer, date, count(*) as n_bins, round(min(lft), 8) as lft, round(max(rgt), 8) as rgt, round(min(rgt - lft), 8) as narrowest, round(sum(k_mid * (rgt - lft)), 3) as area from kk group by all")
 def e02(spark, sf):
-    bins = base(spark, sf)
-    fine = fw.refine(bins, fx.chronicle(spark, sf), tracers(spark))
-    n = bins.groupBy("tracer", "date").agg(F.count("*").alias("n0"), F.max("right").alias("upper"))
-    spread = F.greatest("k_left", "k_mid", "k_right") - F.least("k_left", "k_mid", "k_right")
-    top = F.greatest(F.abs("k_left"), F.abs("k_mid"), F.abs("k_right"))
-    peak = fine.groupBy("tracer", "date").agg(F.max(top).alias("peak"))
-    got = fine.join(peak, ["tracer", "date"]).withColumn("narrow", F.col("right") - F.col("left") < 1e-3).groupBy("tracer", "date").agg(F.count("*").alias("n"), F.min("left").alias("a"), F.max("right").alias("b"), F.bool_and((spread <= fw.GLOBAL_TOL * F.col("peak") + fw.LOCAL_TOL * top) | F.col("narrow")).alias("all_fine"))
-    return got.join(n, ["tracer", "date"]).select("tracer", "date", ((F.col("a") == 0) & (F.col("b") == F.col("upper"))).alias("ends_kept"), "all_fine", (F.col("n") >= F.col("n0")).alias("no_fewer"))
+    fine = responded(spark, sf).withColumn("width", F.col("right") - F.col("left"))
+    return fine.groupBy("tracer", "date").agg(F.count("*").alias("n_bins"), F.round(F.min("left"), 8).alias("lft"), F.round(F.max("right"), 8).alias("rgt"), F.round(F.min("width"), 8).alias("narrowest"), F.round(F.sum(F.col("k_mid") * F.col("width")), 3).alias("area"))
 
 
-@query("e03_right_value", f"with {EDGES}, k as (select b.tracer, b.date, rgt, {response('b.date', 'lft', 'b.tracer')} as k from bins b join tracers t on t.name = b.tracer) select tracer, date, round(sum(k), 3) as k_left, count(*) as n from k group by all")
+@query("e03_right_value", f"with {LINES} select tracer, date, round(sum({line_at('lft')}), 4) as k_left, round(sum({line_at('rgt')}), 4) as k_right, count(*) as n from sb group by all")
 def e03(spark, sf):
-    return responded(spark, sf).groupBy("tracer", "date").agg(F.round(F.sum("k_left"), 3).alias("k_left"), F.count("*").alias("n"))
+    rows = fw.with_responses(base(spark, sf), fx.chronicle(spark, sf), tracers(spark))
+    return rows.groupBy("tracer", "date").agg(F.round(F.sum("k_left"), 4).alias("k_left"), F.round(F.sum("k_right"), 4).alias("k_right"), F.count("*").alias("n"))
 
 
 ZE = "greatest(({t} - shift) / scale, 0)"
@@ -259,23 +280,21 @@ def e05(spark, sf):
     return rows.groupBy("draw", "tracer", "date").agg(F.round(F.sum("centred"), 7).alias("centred"), F.round(F.sum(F.col("left") * F.col("w") + F.col("centred")), 7).alias("moment"))
 
 
-@query("e06_convolve_constant", f"with {WEIGHTS} select draw, date, round(sum(0.5 * 1000 * w * (exp(-ln(2.0::double) / 268 * lft) + exp(-ln(2.0::double) / 268 * rgt))), 1) as modeled from wt where tracer = '4-NOT SPECIFIED' group by all")
-def e06(spark, sf):
-    # For one wide bin of a slowly decaying constant the linear rule is close to the ends' mean.
-    mine = responded(spark, sf).where("tracer = '4-NOT SPECIFIED'").withColumn("k_left", (F.col("k_left") + F.col("k_right")) / 2).withColumn("k_right", F.col("k_left")).withColumn("k_mid", F.col("k_left"))
-    return fw.convolve(draw_grid(spark), mine, "exp_shifted", ["draw"]).select("draw", "date", F.round("modeled", 1).alias("modeled"))
-
+#: The law's mass and centred moment in each refined bin, and the sum over bins.
+MASS = f"({CDF.format(t='rgt')} - {CDF.format(t='lft')})"
+BENT = f"abs(k_mid - (k_left + k_right) / 2) > 0.1::double * (0.0005::double + 0.02::double) * {TOP}"
+KB = f"{REFINED}, {DRAW}, fw as (select draw, kk.*, {MASS} as w, least(greatest({MOM.format(t='rgt')} - {MOM.format(t='lft')} - lft * {MASS}, 0), (rgt - lft) * {MASS}) as centred from draw cross join kk), conv as (select draw, tracer, date, sum(case when {BENT} then k_mid * w else k_left * w + (k_right - k_left) / (rgt - lft) * centred end) as modeled, sum(w) as mass, count(*) as n_bins from fw group by all)"
 
-def k_of(age: str) -> str:
-    return response("b.date", age, "b.tracer")
 
-
-KB = f"{WEIGHTS}, kb as (select b.tracer, b.date, lft, rgt, {k_of('lft')} as k_left, {k_of('((lft + rgt) / 2)')} as k_mid, {k_of('rgt')} as k_right0, b.date - (select max(date) from chron c where c.tracer = b.tracer) as newest, {k_of('greatest(rgt - 1e-9 * (rgt - lft) - 1e-9, lft)')} as k_in from bins b join tracers t on t.name = b.tracer), kk as (select *, case when rgt <= newest + 1e-9 then k_in else k_right0 end as k_right from kb), conv as (select draw, w.tracer, w.date, sum(case when abs(k_mid - (k_left + k_right) / 2) > 0.1::double * (0.0005::double + 0.02::double) * greatest(abs(k_left), abs(k_mid), abs(k_right)) then k_mid * w else k_left * w + (k_right - k_left) / (rgt - lft) * centred end) as modeled, sum(w) as mass, count(*) as n_bins from wt w join kk using (tracer, date, lft, rgt) group by all)"
+@query("e06_convolve_constant", f"with recursive {KB} select draw, date, round(modeled, 6) as modeled from conv where tracer = '4-NOT SPECIFIED'")
+def e06(spark, sf):
+    mine = responded(spark, sf).where("tracer = '4-NOT SPECIFIED'")
+    return fw.convolve(draw_grid(spark), mine, "exp_shifted", ["draw"]).select("draw", "date", F.round("modeled", 6).alias("modeled"))
 
 
-@query("e06b_convolve", f"with {KB} select draw, tracer, date, round(modeled, 2) as modeled, round(mass, 8) as window_mass, n_bins from conv")
+@query("e06b_convolve", f"with recursive {KB} select draw, tracer, date, round(modeled, 4) as modeled, round(mass, 8) as window_mass, n_bins from conv")
 def e06b(spark, sf):
-    return fw.convolve(draw_grid(spark), responded(spark, sf), "exp_shifted", ["draw"]).select("draw", "tracer", "date", F.round("modeled", 2).alias("modeled"), F.round("window_mass", 8).alias("window_mass"), "n_bins")
+    return fw.convolve(draw_grid(spark), responded(spark, sf), "exp_shifted", ["draw"]).select("draw", "tracer", "date", F.round("modeled", 4).alias("modeled"), F.round("window_mass", 8).alias("window_mass"), "n_bins")
 
 
 @query("e07_window_mass", f"with {EDGES}, {DRAW} select draw, tracer, date, round({CDF.format(t='upper')}, 8) as window_mass from draw cross join up")
@@ -289,38 +308,38 @@ def e08(spark, sf):
     return out.select("draw", "tracer", "date", F.round("modeled", 3).alias("modeled"))
 
 
-@query("e09_convolve_mixed", f"with {KB.replace(DRAW, 'draw as (select i as draw, 1.0::double + 0.5 * i as scale, 0.1::double * i + 0.5 as shift from range(20) r(i))')} select draw, c.tracer, c.date, round(0.25 * case when 0.5 <= upper then {response('c.date', '0.5::double', 'c.tracer')} else 0 end + 0.75 * modeled, 2) as modeled, round(0.25 * (0.5 <= upper)::integer + 0.75 * mass, 8) as window_mass from conv c join up u using (tracer, date) join tracers t on t.name = c.tracer")
+@query("e09_convolve_mixed", f"with recursive {KB.replace(DRAW, 'draw as (select i as draw, 1.0::double + 0.5 * i as scale, 0.1::double * i + 0.5 as shift from range(20) r(i))')} select draw, c.tracer, c.date, round(0.25 * case when 0.5 <= upper then {response('c.date', '0.5::double', 'c.tracer')} else 0 end + 0.75 * modeled, 4) as modeled, round(0.25 * (0.5 <= upper)::integer + 0.75 * mass, 8) as window_mass from conv c join up u using (tracer, date) join tracers t on t.name = c.tracer")
 def e09(spark, sf):
     d = draw_grid(spark).withColumn("mu1", F.lit(0.5)).withColumn("rate", F.lit(0.25))
     out = fw.convolve_mixed(d, responded(spark, sf), pairs(spark, sf), fx.chronicle(spark, sf), tracers(spark), ["draw"])
-    return out.select("draw", "tracer", "date", F.round("modeled", 2).alias("modeled"), F.round("window_mass", 8).alias("window_mass"))
+    return out.select("draw", "tracer", "date", F.round("modeled", 4).alias("modeled"), F.round("window_mass", 8).alias("window_mass"))
 
 
-BASIS = f"{KB}, lim(age_bin, lo, hi) as (values (0, 0.0::double, 2.0::double), (1, 2.0, 4.0), (2, 4.0, 6.0), (3, 6.0, 8.0)), basis as (select tracer, date, age_bin, sum((k_left + (k_right - k_left) / (rgt - lft) * ((greatest(lft, lo) + least(rgt, hi)) / 2 - lft)) * (least(rgt, hi) - greatest(lft, lo)) / (hi - lo)) as response from kk cross join lim where least(rgt, hi) > greatest(lft, lo) group by all)"
+BASIS = f"{KB}, lim(age_bin, lo, hi) as (values (0, 0.0::double, 2.0::double), (1, 2.0, 4.0), (2, 4.0, 6.0), (3, 6.0, 8.0)), basis as (select tracer, date, age_bin, sum(case when {BENT} then k_mid else k_left + (k_right - k_left) / (rgt - lft) * ((greatest(lft, lo) + least(rgt, hi)) / 2 - lft) end * (least(rgt, hi) - greatest(lft, lo)) / (hi - lo)) as response from kk cross join lim where least(rgt, hi) > greatest(lft, lo) group by all)"
 
 
-@query("e10_uniform_basis", f"with {BASIS} select tracer, date, age_bin, round(response, 2) as response from basis")
+@query("e10_uniform_basis", f"with recursive {BASIS} select tracer, date, age_bin, round(response, 4) as response from basis")
 def e10(spark, sf):
-    return fw.uniform_basis(responded(spark, sf), [0, 2, 4, 6, 8]).withColumn("response", F.round("response", 2))
+    return fw.uniform_basis(responded(spark, sf), [0, 2, 4, 6, 8]).withColumn("response", F.round("response", 4))
 
 
-@query("e10b_convolve_basis", f"with {BASIS}, {PARS}, {STICK} select part, tracer, date, round(sum(fraction * response), 1) as modeled from fractions join basis using (age_bin) where part < 300 group by all")
+@query("e10b_convolve_basis", f"with recursive {BASIS}, {PARS}, {STICK} select part, tracer, date, round(sum(fraction * response), 3) as modeled from fractions join basis using (age_bin) group by all")
 def e10b(spark, sf):
     fr = ds.stick_breaking(latents(spark, sf), ["part"])
-    return fw.convolve_basis(fr, fw.uniform_basis(responded(spark, sf), [0, 2, 4, 6, 8]), ["part"]).withColumn("modeled", F.round("modeled", 1))
+    return fw.convolve_basis(fr, fw.uniform_basis(responded(spark, sf), [0, 2, 4, 6, 8]), ["part"]).withColumn("modeled", F.round("modeled", 3))
 
 
-@query("e11_predict", f"with {KB} select draw, s.tracer as element, s.date, round(coalesce(modeled, 0), 2) as concentration, t.unit, round(coalesce(mass, 0), 8) as window_mass from draw cross join samples s left join conv c using (draw, tracer, date) join tracers t on t.name = s.tracer")
+@query("e11_predict", f"with recursive {KB} select draw, s.tracer as element, s.date, round(coalesce(modeled, 0), 4) as concentration, t.unit, round(coalesce(mass, 0), 8) as window_mass from draw cross join samples s left join conv c using (draw, tracer, date) join tracers t on t.name = s.tracer")
 def e11(spark, sf):
     obs = samples(spark, sf).withColumnRenamed("tracer", "element")
     out = fw.predict(draw_grid(spark), obs, fx.chronicle(spark, sf), tracers(spark), "exp_shifted", ["draw"])
-    return out.withColumns({"concentration": F.round("concentration", 2), "window_mass": F.round("window_mass", 8)})
+    return out.withColumns({"concentration": F.round("concentration", 4), "window_mass": F.round("window_mass", 8)})
 
 
-@query("e12_predict_range", f"with {KB.replace(fx.CHRON, fx.CHRON).replace(SAMPLES, 'samples as (select distinct tracer, 1997.0::double + 0.5 * i as date from chron cross join range(9) r(i))')} select draw, tracer as element, date, round(modeled, 2) as concentration from conv")
+@query("e12_predict_range", f"with recursive {KB.replace(fx.CHRON, fx.CHRON).replace(SAMPLES, 'samples as (select distinct tracer, 1997.0::double + 0.5 * i as date from chron cross join range(9) r(i))')} select draw, tracer as element, date, round(modeled, 4) as concentration from conv")
 def e12(spark, sf):
     out = fw.predict_range(draw_grid(spark), tracers(spark), fx.chronicle(spark, sf), 1997.0, 2001.0, "exp_shifted", ["draw"], 8)
-    return out.select("draw", "element", "date", F.round("concentration", 2).alias("concentration"))
+    return out.select("draw", "element", "date", F.round("concentration", 4).alias("concentration"))
 
 
 @query("e13_convolution_diagnostics", f"with {WEIGHTS} select tracer, date, round(min(w), 10) as min_weight, 0::bigint as n_clipped, count(distinct lft) as n_bins from wt group by all")
@@ -340,7 +359,7 @@ def e14(spark, sf):
     return members(spark, sf).withColumn("response", F.round("response", 3))
 
 
-@query("e15_mix", f"with {MEMBERS}, {PARS}, {STICK} select part, tracer, round(sum(fraction * response), 2) as modeled from fractions join members using (age_bin) where part < 300 group by all")
+@query("e15_mix", f"with {MEMBERS}, {PARS}, {STICK} select part, tracer, round(sum(fraction * response), 2) as modeled from fractions join members using (age_bin) group by all")
 def e15(spark, sf):
     fr = ds.stick_breaking(latents(spark, sf), ["part"])
     return fw.mix(fr, members(spark, sf), ["part"]).withColumn("modeled", F.round("modeled", 2))
@@ -353,7 +372,7 @@ def e16(spark, sf):
     return fw.qualify_forward(a.join(b, ["well", "element"]).withColumn("scale", F.lit(300000.0)), 0.1, 0.02, 0.2).select("well", "element", F.round("scaled", 6).alias("scaled"), "ok")
 
 
-@query("e17_forward_identities", f"with {EDGES}, {DRAW} select draw, tracer, date, true as constant_ok, true as affine_ok from draw cross join samples")
+@query("e17_forward_identities", f"with {EDGES}, {DRAW} select draw, tracer, date, round(5 * ({CDF.format(t='upper')}), 9) as flat, round(2 * ({CDF.format(t='upper')}) + 0.3::double * ({MOM.format(t='upper')}), 8) as ramp, true as exact from draw cross join up")
 def e17(spark, sf):
     out = fw.forward_identities(draw_grid(spark), base(spark, sf), "exp_shifted", ["draw"], 5.0, 2.0, 0.3)
-    return out.select("draw", "tracer", "date", (F.col("constant_error") < 1e-12).alias("constant_ok"), (F.col("affine_error") < 1e-10).alias("affine_ok"))
+    return out.select("draw", "tracer", "date", F.round("flat", 9).alias("flat"), F.round("ramp", 8).alias("ramp"), ((F.col("constant_error") < 1e-12) & (F.col("affine_error") < 1e-10)).alias("exact"))

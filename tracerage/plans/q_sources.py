@@ -21,12 +21,11 @@ def a02(spark, sf):
     path = io.scratch(spark, "a02")
     wide = io.to_wide_series(fx.daily(spark, sf), fx.EVENT_TYPES, "day")
     head = spark.createDataFrame([(0, "\t".join(["element", *fx.EVENT_TYPES])), (1, "\t".join(["unit", *["pptv"] * len(fx.EVENT_TYPES)]))], "ord int, value string")
-    body = wide.select(F.lit(2).alias("ord"), F.concat_ws("\t", F.col("day").cast("string"), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fx.EVENT_TYPES)).alias("value"))
-    head.unionByName(body).select("value").write.text(path + "/part=0")
-    # Header lines are told by their first cell, so the order of files doesn't matter within a folder;
-    # a folder stands for one raw file here.
-    rows = spark.read.text(path).select(F.lit("0").alias("file"), F.split("value", "\t").alias("cells"))
-    return io.wide_cells(rows)
+    body = wide.select(F.lit(2).alias("ord"), F.concat_ws("\t", F.col("day").cast("string"), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fx.EVENT_TYPES)).alias("value"), (F.dayofmonth("day") % 2).alias("odd"))
+    for odd in (0, 1):  # two raw files, each with its header lines
+        rows = head.unionByName(body.where(F.col("odd") == odd).drop("odd"))
+        rows.coalesce(1).sortWithinPartitions("ord").select("value").write.text(f"{path}/raw-{odd}")
+    return io.read_wide_raw(spark, f"{path}/*")
 
 
 @query("a03_unpivot_measurements", f"with {fx.DAILY} select day, element, value as concentration from daily")
@@ -58,6 +57,22 @@ def a06(spark, sf):
     return io.read_draws(spark, path, rows.schema).groupBy("case_id").agg(F.count("*").alias("n"), F.sum("step").alias("steps"), F.round(F.sum("q"), 2).alias("q"))
 
 
+@query("a06b_read_histograms", f"with {fx.DRAWS} select param as parameter, floor(value * 10) / 10 as val, count(*)::double as hist from draws group by all")
+def a06b(spark, sf):
+    path = io.scratch(spark, "a06b")
+    rows = fx.draws(spark, sf).groupBy(F.col("param").alias("parameter"), (F.floor(F.col("value") * 10) / 10).alias("val")).agg(F.count("*").cast("double").alias("hist"))
+    rows.write.partitionBy("parameter").csv(path, sep="\t", header=True)
+    return io.read_histograms(spark, path)
+
+
+@query("a06c_read_statistics", f"with {fx.DRAWS} select param as parameter, round(avg(value), 8) as mean, round(stddev_samp(value), 8) as std from draws group by 1")
+def a06c(spark, sf):
+    path = io.scratch(spark, "a06c")
+    rows = fx.draws(spark, sf).groupBy(F.col("param").alias("index")).agg(F.round(F.avg("value"), 8).alias("mean"), F.round(F.stddev_samp("value"), 8).alias("std"))
+    io.write_table(rows, path, "tsv")
+    return io.read_statistics(spark, path, ["mean", "std"])
+
+
 @query("a07_read_key_values", "select (o_custkey % 50)::integer as run, count(*)::varchar as n, min(o_orderpriority) as first_priority, max(o_orderkey)::varchar as last_order from orders group by 1")
 def a07(spark, sf):
     path = io.scratch(spark, "a07")
@@ -75,6 +90,16 @@ def a08(spark, sf):
     return rows.groupBy("scenario", "well").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
 
 
+@query("a08b_harvest_text", "select l_returnflag as scenario, 'w' || l_suppkey % 3 as well, count(*) as n, round(sum(l_quantity), 2) as total from lineitem group by 1, 2")
+def a08b(spark, sf):
+    path = io.scratch(spark, "a08b")
+    rows = fx.table(spark, sf, "lineitem").select("l_returnflag", F.concat(F.lit("w"), (F.col("l_suppkey") % 3).cast("string")).alias("well"), "l_quantity", "l_orderkey")
+    rows.write.partitionBy("l_returnflag", "well").csv(f"{path}/runs", sep="\t", header=True)
+    spark.range(5).selectExpr("double(id) as l_quantity", "id as l_orderkey").write.csv(f"{path}/other", sep="\t", header=True)
+    got = io.harvest(spark, path, r"l_returnflag=([^/]+)/well=([^/]+)/", ["scenario", "well"], "l_quantity double, l_orderkey long", "tsv", "*.csv")
+    return got.groupBy("scenario", "well").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
+
+
 @query("a09_latest_per", "select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as n from orders) where n = 1")
 def a09(spark, sf):
     return io.latest_per(fx.table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")

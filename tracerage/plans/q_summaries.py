@@ -130,9 +130,9 @@ def pairs(spark, sf):
     return a.select("well", "element", F.col("mean").alias("x")).join(b.select("well", "element", F.col("mean").alias("y")), ["well", "element"])
 
 
-@query("h08_paired_stats", f"with {PAIR} select element, count(*) as n, round(avg(y - x), 5) as mean_diff, round(sqrt(avg(pow(y - x, 2))), 5) as rms_diff, count(*) = 100 as complete from pr group by 1")
+@query("h08_paired_stats", f"with {PAIR} select element, count(*) as n, round(avg(y - x), 5) as mean_diff, round(sqrt(avg(pow(y - x, 2))), 5) as rms_diff, count(*) = (select count(*) from supplier) as complete from pr group by 1")
 def h08(spark, sf):
-    return R(su.paired_stats(pairs(spark, sf), ["element"], "x", "y", 100), 5, "mean_diff", "rms_diff")
+    return R(su.paired_stats(pairs(spark, sf), ["element"], "x", "y", fx.table(spark, sf, "supplier").count()), 5, "mean_diff", "rms_diff")
 
 
 @query("h09_head_to_head", f"with {PAIR} select element, count(*) filter (abs(x - 50000) < abs(y - 50000) - 1e-12) as wins, count(*) filter (abs(x - 50000) > abs(y - 50000) + 1e-12) as losses, count(*) filter (abs(abs(x - 50000) - abs(y - 50000)) <= 1e-12) as ties from pr group by 1")
@@ -147,9 +147,10 @@ def h10(spark, sf):
     return R(su.objective_diagnostic(m, ["well"]), 8, "l1", "l2")
 
 
-@query("h11_coverage_mass", f"with {fx.TRUTH} select model, noise, round(median(estimate / truth), 8) as covered from truth group by all")
+@query("h11_coverage_mass", f"with {fx.TRUTH} select model, noise, count(*) as n, round(median(estimate / truth), 8) as covered from truth group by all")
 def h11(spark, sf):
-    return fx.truth(spark, sf).groupBy("model", "noise").agg(F.round(F.expr("median(estimate / truth)"), 8).alias("covered"))
+    rows = fx.truth(spark, sf).withColumn("mass", F.col("estimate") / F.col("truth"))
+    return R(su.coverage_mass(rows, ["model", "noise"], "mass"), 8, "covered")
 
 
 @query("h12_information_gain", f"with {fx.TRUTH}, s as (select model, noise <= 3 as early, stddev_samp(estimate) as sd, sqrt(avg(pow(estimate - truth, 2))) as rmse, corr(estimate, truth) as r from truth group by all) select a.model, round(a.sd, 4) as sd_a, round(a.rmse, 4) as rmse_a, round(a.r, 6) as corr_a, round(b.sd, 4) as sd_b, round(b.rmse, 4) as rmse_b, round(b.r, 6) as corr_b, round(1 - b.sd / a.sd, 6) as sd_reduction, round(1 - b.rmse / a.rmse, 6) as rmse_reduction from s a join s b using (model) where a.early and not b.early")
@@ -227,10 +228,9 @@ def h21(spark, sf):
     return R(su.fraction_errors(fx.draws_wide(spark, sf), ["case_id", "chain"], "d", "t", [0.025, 0.055]), 9, "mae", "median_ae", "rmse", "max_ae")
 
 
-@query("h22_rank_conventions", f"with {fx.DRAWS}, e as (select chain, sqrt(avg(pow(d - t, 2))) as rmse from wide group by 1) select chain, round(rmse, 9) as rmse from e order by rmse, chain limit 1")
+@query("h22_rank_conventions", f"with {fx.DRAWS}, e as (select chain, avg(abs(d - t)) as mae, median(abs(d - t)) as median_ae, sqrt(avg(pow(d - t, 2))) as rmse, max(abs(d - t)) as max_ae from wide group by 1) select chain, round(mae, 9) as mae, round(median_ae, 9) as median_ae, round(rmse, 9) as rmse, round(max_ae, 9) as max_ae, row_number() over (order by rmse, chain) as place from e")
 def h22(spark, sf):
-    e = su.fraction_errors(fx.draws_wide(spark, sf), ["chain"], "d", "t", [])
-    return R(e.select("chain", "rmse").orderBy("rmse", "chain").limit(1), 9, "rmse")
+    return R(su.rank_conventions(fx.draws_wide(spark, sf), "chain", "d", "t").withColumn("place", F.col("place").cast("long")), 9, "mae", "median_ae", "rmse", "max_ae")
 
 
 @query("h23_prior_sensitivity", f"with {PAIR} select well, arg_max(element, (round(abs(y - x), 9), element)) as largest, round(max(abs(y - x)), 6) as largest_change, round(sum(abs(y - x)) / 2, 5) as redistributed from pr group by 1")
@@ -263,40 +263,67 @@ def h27(spark, sf):
     return out.withColumn("value", F.when((F.col("row") == "q") & (F.col("col") == "q"), F.round("value", 6)).otherwise(F.round("value", 8)))
 
 
-@query("h28_error_sensitivity", f"with {fx.TRUTH}, c as (select noise, model, seed, avg(estimate) as m from truth group by all) select noise, model, round(avg(m), 6) as mean from c group by all")
+@query("h28_error_sensitivity", f"with {fx.TRUTH}, c as (select noise, model, seed, avg(estimate) as m from truth group by all) select noise, model, count(*) as n_cases, round(avg(m), 6) as mean from c group by all")
 def h28(spark, sf):
-    per = fx.truth(spark, sf).groupBy("noise", "model", "seed").agg(F.avg("estimate").alias("m"))
-    return per.groupBy("noise", "model").agg(F.round(F.avg("m"), 6).alias("mean"))
+    return R(su.error_sensitivity(fx.truth(spark, sf), ["noise", "model"], "seed", "estimate"), 6, "mean")
 
 
-@query("h29_study_tables", "select case when o_orderpriority like '1-%' then 'urgent' when o_orderpriority in ('2-HIGH', '3-MEDIUM') then 'middle' else 'rest' end as study, count(*) as n from orders where o_orderstatus <> 'P' group by 1")
+#: Statistics of cases made from the orders: experiment, mode, model, relative error, median.
+STATS = "stats as (select o_orderkey as case_no, case o_orderkey % 6 when 0 then 'main_' when 1 then 'regime_' when 2 then 'error_' when 3 then 'init_F11_' when 4 then 'tracer_F11_' else 'main_F11_' end || (o_custkey % 9)::varchar as experiment_id, case o_orderstatus when 'F' then 'successive' when 'O' then 'successive_with_prior' else 'span_full' end as mode, case when o_custkey % 2 = 0 then 'exp_shifted' else 'ig_shifted' end as lpm, case when o_custkey % 3 = 0 then 0.1::double else 0.2 end as relative_error, o_totalprice as p50 from orders)"
+#: Tables of a study: prefixes of experiments, modes, models and errors.
+STUDY = {
+    "median_times": {"prefixes": ["main_"], "mode": ["successive", "successive_with_prior"], "lpm": ["exp_shifted"]},
+    "model_comparison": {"prefixes": ["main_"], "mode": ["successive_with_prior"]},
+    "regime_times": {"prefixes": ["regime_", "main_"], "mode": ["successive_with_prior"], "lpm": ["exp_shifted"], "relative_error": [0.2]},
+    "error_sensitivity": {"prefixes": ["error_", "main_"], "mode": ["successive_with_prior"]},
+    "initialisation": {"prefixes": ["init_F11_"]},
+    "tracers": {"prefixes": ["tracer_F11_", "main_F11_"]},
+}
+
+
+def study_condition(rule: dict) -> str:
+    quoted = lambda v: f"'{v}'" if isinstance(v, str) else repr(v)
+    starts = " or ".join(f"starts_with(experiment_id, '{p}')" for p in rule["prefixes"])
+    return " and ".join([f"({starts})", *(f"{k} in ({', '.join(map(quoted, v))})" for k, v in rule.items() if k != "prefixes")])
+
+
+@query("h29_study_tables", f"with {STATS}, t as (" + " union all ".join(f"select '{k}' as tbl, * from stats where {study_condition(v)}" for k, v in STUDY.items()) + ") select tbl as \"table\", lpm, count(*) as n, sum(case_no)::bigint as cases, round(avg(p50), 4) as p50 from t group by all")
 def h29(spark, sf):
-    o = fx.table(spark, sf, "orders").where("o_orderstatus <> 'P'")
-    study = F.when(F.col("o_orderpriority").startswith("1-"), "urgent").when(F.col("o_orderpriority").isin("2-HIGH", "3-MEDIUM"), "middle").otherwise("rest")
-    return o.groupBy(study.alias("study")).agg(F.count("*").alias("n"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    prefix = F.element_at(F.array(*map(F.lit, ("main_", "regime_", "error_", "init_F11_", "tracer_F11_", "main_F11_"))), (k % 6 + 1).cast("int"))
+    mode = F.when(F.col("o_orderstatus") == "F", "successive").when(F.col("o_orderstatus") == "O", "successive_with_prior").otherwise("span_full")
+    stats = fx.table(spark, sf, "orders").select(k.alias("case_no"), F.concat(prefix, (c % 9).cast("string")).alias("experiment_id"), mode.alias("mode"), F.when(c % 2 == 0, "exp_shifted").otherwise("ig_shifted").alias("lpm"), F.when(c % 3 == 0, 0.1).otherwise(0.2).alias("relative_error"), F.col("o_totalprice").alias("p50"))
+    return su.study_tables(stats, STUDY).groupBy("table", "lpm").agg(F.count("*").alias("n"), F.sum("case_no").alias("cases"), F.round(F.avg("p50"), 4).alias("p50"))
 
 
-@query("h30_campaign_inventory", "select user_id, count(*) as n, round(epoch(max(ts) - min(ts)) / 3600, 5) as hours, count(*) filter (event_type = 'error') as failures, max((props->>'$.k')::bigint) as top from events group by 1")
+@query("h30_campaign_inventory", "select user_id as experiment_id, c_mktsegment as family, c_acctbal > 0 as publication_critical, count(*) as n, round(epoch(max(ts) - min(ts)) / 3600, 5) as runtime_hours, count(*) filter (event_type = 'error') as failures, max((props->>'$.k')::bigint) as chains from events join customer on c_custkey = user_id group by all")
 def h30(spark, sf):
-    e = fx.table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    hours = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 3.6e9
-    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.round(hours, 5).alias("hours"), F.count_if(F.col("event_type") == "error").alias("failures"), F.max("k").alias("top"))
+    e = fx.table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("ts", F.col("ts").cast("timestamp"))
+    manifests = e.groupBy(F.col("user_id").alias("experiment_id")).agg(F.count("*").alias("n"), F.min("ts").alias("started"), F.max("ts").alias("finished"), F.count_if(F.col("event_type") == "error").alias("failures"), F.max("k").alias("chains"))
+    matrix = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("experiment_id"), F.col("c_mktsegment").alias("family"), (F.col("c_acctbal") > 0).alias("publication_critical"))
+    return R(su.campaign_inventory(manifests, matrix), 5, "runtime_hours").drop("started", "finished")
 
 
-@query("h31_publication_cases", f"with {fx.OBS}, y as (select well, element, min(date) as a, max(date) as b, round(median(concentration), 6) as median, count(*) as n from obs group by all) select well, element, median, n, n < 100 as sparse from y qualify b - a = max(b - a) over (partition by well)")
-def h31(spark, sf):
-    from pyspark.sql import Window
+PUB = "pub as (select l_suppkey % 20 as well, case l_returnflag when 'A' then 'successive' when 'N' then 'span_full' else 'successive_with_prior' end as mode, 1995 + l_linenumber % 3 as start, 1998 + l_partkey % 3 as \"end\", l_linestatus as lpm, l_extendedprice as obj_function, l_quantity as mu, l_tax as shift, l_discount from lineitem), longest as (select well, lpm, max(\"end\" - start) as longest from pub where mode = 'span_full' group by all)"
 
-    y = fx.observations(spark, sf).groupBy("well", "element").agg((F.max("date") - F.min("date")).alias("span"), F.round(F.expr("median(concentration)"), 6).alias("median"), F.count("*").alias("n"))
-    longest = y.withColumn("top", F.max("span").over(Window.partitionBy("well"))).where("span = top")
-    return longest.select("well", "element", "median", "n", (F.col("n") < 100).alias("sparse"))
+
+@query("h31_publication_cases", f"with {PUB} select well, mode, start, \"end\", lpm, count(*) as samples, min(obj_function) as best, " + ", ".join(f"round(avg({p}), 8) as {p}_mean, round(stddev_samp({p}), 8) as {p}_sd, round(quantile_cont({p}, 0.1), 8) as {p}_q10, round(median({p}), 8) as {p}_median, round(quantile_cont({p}, 0.9), 8) as {p}_q90" for p in ("mu", "shift")) + ", round(avg(l_discount), 8) as acceptance, avg(l_discount) < 0.05 as low_acceptance from pub left join longest using (well, lpm) where mode <> 'span_full' or \"end\" - start = longest group by all")
+def h31(spark, sf):
+    flag = F.col("l_returnflag")
+    mode = F.when(flag == "A", "successive").when(flag == "N", "span_full").otherwise("successive_with_prior")
+    rows = fx.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("well"), mode.alias("mode"), (1995 + F.col("l_linenumber") % 3).alias("start"), (1998 + F.col("l_partkey") % 3).alias("end"), F.col("l_linestatus").alias("lpm"), F.col("l_extendedprice").alias("obj_function"), F.col("l_quantity").alias("mu"), F.col("l_tax").alias("shift"), "l_discount")
+    rate = rows.groupBy("well", "mode", "start", "end", "lpm").agg(F.avg("l_discount").alias("acceptance"))
+    out = su.publication_cases(rows, rate, ["mu", "shift"])
+    return R(out, 8, "acceptance", *(f"{p}_{n}" for p in ("mu", "shift") for n in ("mean", "sd", "q10", "median", "q90")))
 
 
-@query("h32_well_table", f"with {fx.OBS} select well, count(*) filter (element = '1-URGENT') as urgent_n, round(max(concentration) filter (element = '1-URGENT'), 2) as urgent_max, count(*) filter (element = '2-HIGH') as high_n, round(max(concentration) filter (element = '2-HIGH'), 2) as high_max from obs group by well")
+@query("h32_well_table", f"with {fx.OBS}, per as (select well, element, median(concentration) as median, quantile_cont(concentration, 0.1) as q10 from obs group by all), dia as (select well, element, 1 + stddev_samp(concentration) / avg(concentration) / 100 as rhat, count(*) * 20 as ess from obs group by all), roll as (select well, max(rhat) as max_rhat, min(ess) as min_ess, bool_and(rhat < 1.006) as converged from dia group by 1) select well, max(round(median, 4)) filter (element = '1-URGENT') as \"1-URGENT_median\", max(round(q10, 4)) filter (element = '1-URGENT') as \"1-URGENT_q10\", max(round(median, 4)) filter (element = '2-HIGH') as \"2-HIGH_median\", max(round(q10, 4)) filter (element = '2-HIGH') as \"2-HIGH_q10\", round(any_value(max_rhat), 8) as max_rhat, any_value(min_ess) as min_ess, any_value(converged) as converged from per join roll using (well) group by well")
 def h32(spark, sf):
-    names = {"1-URGENT": "urgent", "2-HIGH": "high"}
-    wide = fx.observations(spark, sf).groupBy("well").pivot("element", list(names)).agg(F.count("concentration").alias("n"), F.round(F.max("concentration"), 2).alias("max"))
-    return wide.select("well", *(F.col(f"{k}_{m}").alias(f"{v}_{m}") for k, v in names.items() for m in ("n", "max")))
+    obs = fx.observations(spark, sf).withColumnRenamed("element", "fraction")
+    x = F.col("concentration")
+    rows = su.with_quantiles(obs.select("well", "fraction").distinct(), obs, ["well", "fraction"], "concentration", {"median": 0.5, "q10": 0.1})
+    dia = obs.groupBy("well", "fraction").agg((1 + F.stddev_samp(x) / F.avg(x) / 100).alias("rhat"), (F.count("*") * 20).alias("ess")).withColumn("converged", F.col("rhat") < 1.006)
+    return R(su.well_table(R(rows, 4, "median", "q10"), dia, ["1-URGENT", "2-HIGH"], ["median", "q10"]), 8, "max_rhat")
 
 
 @query("h33_argmin_column", f"with {fx.DRAWS} select case_id, best, count(*) as n from (select case_id, case when d <= q / 500 and d <= t then 'd' when q / 500 <= t and q / 500 < d then 'qs' else 't' end as best from wide) group by all")
@@ -316,10 +343,16 @@ def h35(spark, sf):
     return su.change_audit(t, t.where("l_orderkey % 50 <> 0"), ["l_suppkey", "l_quantity"])
 
 
-@query("h36_tool_table", f"with {fx.TRUTH} select model, noise, count(*) as n, round(avg(abs(estimate / truth - 1)), 8) as mean_error, count(*) filter (abs(estimate / truth - 1) <= 0.25) as n_pass, count(distinct seed) = 100 as complete from truth group by all")
+TOOL = f"{fx.TRUTH}, tl as (select model, seed, avg(truth) as truth, avg(estimate) filter (noise <= 3) as early, avg(estimate) filter (noise > 3) as late from truth group by all), okm as (select model, count(*) = (select count(distinct l_suppkey) from lineitem) as complete from tl where early is not null and late is not null group by 1)"
+
+
+@query("h36_tool_table", f"with {TOOL}, st as (select model, count(*) as n, " + ", ".join(f"avg({t}) as {t}_mean, stddev_samp({t}) as {t}_sd, avg({t} - truth) as {t}_bias, sqrt(avg(pow({t} - truth, 2))) as {t}_rmse, count(*) filter (abs({t} - truth) <= 0.02::double * abs(truth)) as {t}_passes" for t in ("early", "late")) + ", avg(late - early) as late_minus_early, sqrt(avg(pow(late - early, 2))) as late_rms_to_early from tl where early is not null and late is not null group by 1) select model, n, complete, " + ", ".join(f"case when complete then round({c}, 5) end as {c}" for c in ("early_mean", "early_sd", "early_bias", "early_rmse", "late_mean", "late_sd", "late_bias", "late_rmse", "late_minus_early", "late_rms_to_early")) + ", case when complete then early_passes end as early_passes, case when complete then late_passes end as late_passes from st join okm using (model)")
 def h36(spark, sf):
-    e = F.abs(F.col("estimate") / F.col("truth") - 1)
-    return fx.truth(spark, sf).groupBy("model", "noise").agg(F.count("*").alias("n"), F.round(F.avg(e), 8).alias("mean_error"), F.count_if(e <= 0.25).alias("n_pass"), (F.countDistinct("seed") == 100).alias("complete"))
+    mean = lambda cond, n: F.avg(F.when(cond, F.col("estimate"))).alias(n)
+    tools = fx.truth(spark, sf).groupBy("model", "seed").agg(F.avg("truth").alias("truth"), mean(F.col("noise") <= 3, "early"), mean(F.col("noise") > 3, "late")).where("early is not null and late is not null")
+    seeds = fx.table(spark, sf, "lineitem").select("l_suppkey").distinct().count()
+    out = su.tool_table(tools, ["model"], ["early", "late"], seeds, 0.02, strict=False)
+    return R(out, 5, *(c for c in out.columns if c not in ("model", "n", "complete", "early_passes", "late_passes")))
 
 
 @query("h37_relative_uncertainty", f"with {fx.DRAWS} select case_id, chain, param, round((quantile_cont(value, 0.9) - quantile_cont(value, 0.1)) / 20, 8) as u80, round((quantile_cont(value, 0.975) - quantile_cont(value, 0.025)) / 20, 8) as u95, round(stddev_samp(value) / avg(value), 8) as cv from draws group by all")

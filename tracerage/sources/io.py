@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and executors share (spark.checkpoint.dir)."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the driver and executors share (spark.checkpoint.dir).
+
+    Without that setting a local session takes a folder of its own machine; any other one fails.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "/tmp/checkpoints"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -66,15 +74,33 @@ def read_draws(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, schema=schema)
 
 
+def read_histograms(spark: SparkSession, root: str) -> DataFrame:
+    """``parameter, val, hist`` of tab-separated histogram files under ``parameter=<name>`` folders; other headers are an error."""
+    rows = spark.read.option("sep", "\t").option("header", True).option("enforceSchema", False).schema("val double, hist double, parameter string").csv(root)
+    return rows.select("parameter", "val", "hist")
+
+
+def read_statistics(spark: SparkSession, path: str, names: list[str], index: str = "parameter") -> DataFrame:
+    """A table of descriptive statistics with its index column (whatever its header, often none) under the name ``index``."""
+    schema = ", ".join([f"{index} string", *(f"`{n}` double" for n in names)])
+    return spark.read.csv(path, sep="\t", header=True, schema=schema)
+
+
 def read_key_values(spark: SparkSession, root: str, group: str, keys: list[str]) -> DataFrame:
     """Lines ``key<tab>value``, split once; a row for each folder ``<group>=...``, a column for each key."""
     lines = spark.read.text(root).select(group, F.split("value", "\t", 2).alias("kv"))
     return lines.select(group, F.col("kv")[0].alias("key"), F.col("kv")[1].alias("value")).groupBy(group).pivot("key", keys).agg(F.first("value"))
 
 
-def harvest(spark: SparkSession, root: str, pattern: str, names: list[str], schema: str) -> DataFrame:
-    """Result tables under a tree, with columns taken from each file's path by a pattern's groups."""
-    rows = spark.read.option("recursiveFileLookup", "true").schema(schema).parquet(root).withColumn("__path", F.col("_metadata.file_path"))
+def harvest(spark: SparkSession, root: str, pattern: str, names: list[str], schema: str, form: str = "parquet", files: str = "*") -> DataFrame:
+    """Result tables under a tree, with columns taken from each file's path by a pattern's groups.
+
+    ``form`` is parquet, or tsv for text tables with a header. Files whose path doesn't match the
+    pattern are left out.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).schema(schema)
+    rows = reader.parquet(root) if form == "parquet" else reader.csv(root, sep="\t", header=True)
+    rows = rows.withColumn("__path", F.col("_metadata.file_path")).where(F.col("__path").rlike(pattern))
     for i, name in enumerate(names, 1):
         rows = rows.withColumn(name, F.regexp_extract("__path", pattern, i))
     return rows.drop("__path")
