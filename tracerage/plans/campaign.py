@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import forward as fw
 from ..operators import posterior as po
-from ..sources import fixtures as fx
-from .q_forward import responded, tracers
+from ..sources.io import stored
+from .q_forward import responded
 from .q_posterior import observed
 
 
@@ -18,7 +18,7 @@ def grid(spark: SparkSession, steps: int) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf: str, steps: int = 40) -> DataFrame:
-    """``grid_id, tracer, date, modeled``: the bins are made once and broadcast, draws are dealt over tasks."""
+    """``grid_id, tracer, date, modeled``: the refined bins are made once, draws are dealt over tasks and meet them."""
     got = fw.convolve(grid(spark, steps).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), responded(spark, sf), "exp_shifted", ["grid_id"])
     return got.select("grid_id", "tracer", "date", "modeled")
 
@@ -26,15 +26,12 @@ def predictions(spark: SparkSession, sf: str, steps: int = 40) -> DataFrame:
 def fit(spark: SparkSession, sf: str, steps: int = 40) -> DataFrame:
     """Per well: best point, posterior mean and deviation of the scale, evidence.
 
-    Observations are the large side at scale: predictions (bounded by grid times sampling dates)
-    meet them by tracer and date, and sums per well and point combine in each task.
+    Observations are the large side at scale and stay where they are: predictions (bounded by grid
+    times sampling dates, stored) are sent to them below the session's broadcast threshold, and sums
+    per well and point combine in each task.
     """
     ob = observed(spark, sf).withColumnRenamed("well", "case_id")
-    rows = predictions(spark, sf, steps).join(ob.select("case_id", "tracer", "date", "concentration", "error"), ["tracer", "date"])
-    r = (F.col("modeled") - F.col("concentration")) / F.col("error")
-    surface = rows.groupBy("case_id", "grid_id").agg(F.sum(r * r).alias("chi2"))
-    weights = po.grid_posterior(surface).join(F.broadcast(grid(spark, steps)), "grid_id")
+    surface = po.misfit(predictions(spark, sf, steps), ob, ["tracer", "date"], ["case_id", "grid_id"])
+    weights = po.grid_posterior(stored(surface, "surface")).join(grid(spark, steps), "grid_id")
     return weights.groupBy("case_id").agg(F.min_by("grid_id", F.struct("chi2", "grid_id")).alias("best"), F.sum(F.col("weight") * F.col("scale")).alias("scale_mean"), F.max("evidence").alias("evidence"))
 
-
-__all__ = ["fit", "fx", "grid", "predictions", "tracers"]

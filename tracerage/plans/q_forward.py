@@ -292,9 +292,9 @@ def e06(spark, sf):
     return fw.convolve(draw_grid(spark), mine, "exp_shifted", ["draw"]).select("draw", "date", F.round("modeled", 6).alias("modeled"))
 
 
-@query("e06b_convolve", f"with recursive {KB} select draw, tracer, date, round(modeled, 4) as modeled, round(mass, 8) as window_mass, n_bins from conv")
+@query("e06b_convolve", f"with recursive {KB} select draw, tracer, date, round(modeled, 3) as modeled, round(mass, 8) as window_mass, n_bins from conv")
 def e06b(spark, sf):
-    return fw.convolve(draw_grid(spark), responded(spark, sf), "exp_shifted", ["draw"]).select("draw", "tracer", "date", F.round("modeled", 4).alias("modeled"), F.round("window_mass", 8).alias("window_mass"), "n_bins")
+    return fw.convolve(draw_grid(spark), responded(spark, sf), "exp_shifted", ["draw"]).select("draw", "tracer", "date", F.round("modeled", 3).alias("modeled"), F.round("window_mass", 8).alias("window_mass"), "n_bins")
 
 
 @query("e07_window_mass", f"with {EDGES}, {DRAW} select draw, tracer, date, round({CDF.format(t='upper')}, 8) as window_mass from draw cross join up")
@@ -308,19 +308,19 @@ def e08(spark, sf):
     return out.select("draw", "tracer", "date", F.round("modeled", 3).alias("modeled"))
 
 
-@query("e09_convolve_mixed", f"with recursive {KB.replace(DRAW, 'draw as (select i as draw, 1.0::double + 0.5 * i as scale, 0.1::double * i + 0.5 as shift from range(20) r(i))')} select draw, c.tracer, c.date, round(0.25 * case when 0.5 <= upper then {response('c.date', '0.5::double', 'c.tracer')} else 0 end + 0.75 * modeled, 4) as modeled, round(0.25 * (0.5 <= upper)::integer + 0.75 * mass, 8) as window_mass from conv c join up u using (tracer, date) join tracers t on t.name = c.tracer")
+@query("e09_convolve_mixed", f"with recursive {KB.replace(DRAW, 'draw as (select i as draw, 1.0::double + 0.5 * i as scale, 0.1::double * i + 0.5 as shift from range(20) r(i))')} select draw, c.tracer, c.date, round(0.25 * case when 0.5 <= upper then {response('c.date', '0.5::double', 'c.tracer')} else 0 end + 0.75 * modeled, 3) as modeled, round(0.25 * (0.5 <= upper)::integer + 0.75 * mass, 8) as window_mass from conv c join up u using (tracer, date) join tracers t on t.name = c.tracer")
 def e09(spark, sf):
     d = draw_grid(spark).withColumn("mu1", F.lit(0.5)).withColumn("rate", F.lit(0.25))
     out = fw.convolve_mixed(d, responded(spark, sf), pairs(spark, sf), fx.chronicle(spark, sf), tracers(spark), ["draw"])
-    return out.select("draw", "tracer", "date", F.round("modeled", 4).alias("modeled"), F.round("window_mass", 8).alias("window_mass"))
+    return out.select("draw", "tracer", "date", F.round("modeled", 3).alias("modeled"), F.round("window_mass", 8).alias("window_mass"))
 
 
 BASIS = f"{KB}, lim(age_bin, lo, hi) as (values (0, 0.0::double, 2.0::double), (1, 2.0, 4.0), (2, 4.0, 6.0), (3, 6.0, 8.0)), basis as (select tracer, date, age_bin, sum(case when {BENT} then k_mid else k_left + (k_right - k_left) / (rgt - lft) * ((greatest(lft, lo) + least(rgt, hi)) / 2 - lft) end * (least(rgt, hi) - greatest(lft, lo)) / (hi - lo)) as response from kk cross join lim where least(rgt, hi) > greatest(lft, lo) group by all)"
 
 
-@query("e10_uniform_basis", f"with recursive {BASIS} select tracer, date, age_bin, round(response, 4) as response from basis")
+@query("e10_uniform_basis", f"with recursive {BASIS} select tracer, date, age_bin, round(response, 3) as response from basis")
 def e10(spark, sf):
-    return fw.uniform_basis(responded(spark, sf), [0, 2, 4, 6, 8]).withColumn("response", F.round("response", 4))
+    return fw.uniform_basis(responded(spark, sf), [0, 2, 4, 6, 8]).withColumn("response", F.round("response", 3))
 
 
 @query("e10b_convolve_basis", f"with recursive {BASIS}, {PARS}, {STICK} select part, tracer, date, round(sum(fraction * response), 3) as modeled from fractions join basis using (age_bin) group by all")
@@ -329,17 +329,17 @@ def e10b(spark, sf):
     return fw.convolve_basis(fr, fw.uniform_basis(responded(spark, sf), [0, 2, 4, 6, 8]), ["part"]).withColumn("modeled", F.round("modeled", 3))
 
 
-@query("e11_predict", f"with recursive {KB} select draw, s.tracer as element, s.date, round(coalesce(modeled, 0), 4) as concentration, t.unit, round(coalesce(mass, 0), 8) as window_mass from draw cross join samples s left join conv c using (draw, tracer, date) join tracers t on t.name = s.tracer")
+@query("e11_predict", f"with recursive {KB} select draw, s.tracer as element, s.date, round(coalesce(modeled, 0), 3) as concentration, t.unit, round(coalesce(mass, 0), 8) as window_mass from draw cross join samples s left join conv c using (draw, tracer, date) join tracers t on t.name = s.tracer")
 def e11(spark, sf):
     obs = samples(spark, sf).withColumnRenamed("tracer", "element")
     out = fw.predict(draw_grid(spark), obs, fx.chronicle(spark, sf), tracers(spark), "exp_shifted", ["draw"])
-    return out.withColumns({"concentration": F.round("concentration", 4), "window_mass": F.round("window_mass", 8)})
+    return out.withColumns({"concentration": F.round("concentration", 3), "window_mass": F.round("window_mass", 8)})
 
 
-@query("e12_predict_range", f"with recursive {KB.replace(fx.CHRON, fx.CHRON).replace(SAMPLES, 'samples as (select distinct tracer, 1997.0::double + 0.5 * i as date from chron cross join range(9) r(i))')} select draw, tracer as element, date, round(modeled, 4) as concentration from conv")
+@query("e12_predict_range", f"with recursive {KB.replace(fx.CHRON, fx.CHRON).replace(SAMPLES, 'samples as (select distinct tracer, 1997.0::double + 0.5 * i as date from chron cross join range(9) r(i))')} select draw, tracer as element, date, round(modeled, 3) as concentration from conv")
 def e12(spark, sf):
     out = fw.predict_range(draw_grid(spark), tracers(spark), fx.chronicle(spark, sf), 1997.0, 2001.0, "exp_shifted", ["draw"], 8)
-    return out.select("draw", "element", "date", F.round("concentration", 4).alias("concentration"))
+    return out.select("draw", "element", "date", F.round("concentration", 3).alias("concentration"))
 
 
 @query("e13_convolution_diagnostics", f"with {WEIGHTS} select tracer, date, round(min(w), 10) as min_weight, 0::bigint as n_clipped, count(distinct lft) as n_bins from wt group by all")
