@@ -22,8 +22,11 @@ FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``; only a local session does without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or FALLBACK_DIR
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -201,15 +201,17 @@ class Crf:
         return Crf({n: tuple(w[i]) for n, i in index.items()}, moves)
 
 
-#: Elements and names whose text is no article, as labels go: the guide for labelling pages.
+#: Elements and names whose text is no article, as labels go: the guide for labelling pages. Fixed values.
 OTHER_TAGS = {"nav", "aside", "footer", "form", "button", "select", "dialog", "menu"}
+OTHER_NAMES = re.compile(r"(?:^|[-_])(?:comments?|commentlist|repl(?:y|ies)|discussion|ads?|advert|sponsored|promo|sidebar|widget|related|share|newsletter|subscribe|cookie|consent|gdpr|popup)(?:$|[-_])", re.I)
+MARKED = r"(?i)<(article|main)[\s>]"
 
 
 def labelled(blocks: list[Block]) -> list[int] | None:
-    """Labels of a page that marks its article; None if it doesn't."""
+    """Labels of a page that marks its article; None if it doesn't. Reader comments in an article are none of it."""
     if not any(t in ("article", "main") for b in blocks for t in b.tags):
         return None
-    return [int(any(t in ("article", "main") for t in b.tags) and not OTHER_TAGS & set(b.tags)) for b in blocks]
+    return [int(any(t in ("article", "main") for t in b.tags) and not OTHER_TAGS & set(b.tags) and not any(OTHER_NAMES.search(n) for name in b.names for n in name.split())) for b in blocks]
 
 
 #: Ways in which pages set their parts: containers by role, as (tag, class). Fixed values.
@@ -266,25 +268,29 @@ def laid_out(main: list[str], other: list[str], rng: np.random.Generator) -> tup
     return blocks, labels
 
 
-def fit(pages: DataFrame, most: int = 120, layouts: int = 6) -> Crf:
+def fit(pages: DataFrame, most: int = 120, layouts: int = 6, longest: int = 400) -> Crf:
     """A CRF trained on about ``most`` pages (its bound) that mark their article, drawn by a hash.
 
     Each is taken as it is and in ``layouts`` random layouts of its own texts, so that the model
-    also knows menus, notices, forms and comments that these pages don't have. Runs in one task.
+    also knows menus, notices, forms and comments that these pages don't have. Where no page marks
+    its article, long blocks of other pages stand for articles, in random layouts only. Runs in one
+    task; of a drawn page with more than ``longest`` blocks the first so many are taken.
     """
-    rows = doc_columns(pages, "page_id", "html").where("html is not null")
-    total = rows.count()
-    bound = int(min(1.0, most / max(total, 1)) * (1 << 20))
+    rows = doc_columns(pages, "page_id", "html").where("html is not null").withColumn("marked", F.col("html").rlike(MARKED))
+    counts = {r["marked"]: r["count"] for r in rows.groupBy("marked").count().collect()}
+    rows = rows.where("marked" if True in counts else "not marked")
+    bound = int(min(1.0, most / max(counts.get(True) or counts.get(False) or 0, 1)) * (1 << 20))
     drawn = rows.where(F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 20)) < bound).select("html", F.lit(0).alias("g"))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         rng, examples = np.random.default_rng(11), []
         for source in sorted(pdf["html"]):
-            blocks = leaf_blocks(source)
+            blocks = leaf_blocks(source)[:longest]
             labels = labelled(blocks)
-            if labels is None or len(blocks) > 400:
-                continue
-            examples.append((block_features(blocks), labels))
+            if labels is not None:
+                examples.append((block_features(blocks), labels))
+            else:
+                labels = [int(len(b.text.split()) >= 15 and not b.linked) for b in blocks]
             main = [b.text for b, y in zip(blocks, labels, strict=True) if y]
             other = [b.text for b, y in zip(blocks, labels, strict=True) if not y] or ["-"]
             for _ in range(layouts if main else 0):

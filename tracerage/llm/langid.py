@@ -161,7 +161,11 @@ def fit(docs: DataFrame, per_language: int = 1000) -> Model:
         w = train_svm(stack(pdf["vector"]), pdf["y"].to_numpy(np.float32))
         return pd.DataFrame({"task": [pdf["task"].iloc[0]], "weights": [w.tobytes()]})
 
+    # A family's task would get the samples of all languages: each gives it no more than its part of
+    # eight languages' samples, drawn by a hash, so that a task's size has a bound.
+    part = int(min(1.0, 8 / len(names)) * (1 << 20))
     dealt = sample.join(F.broadcast(spark.createDataFrame(tasks, "task string, lang string, y int")), "lang")
+    dealt = dealt.where(~F.col("task").startswith("f") | (F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < part))
     for row in dealt.groupBy("task").applyInPandas(train, "task string, weights binary").collect():
         w, at = np.frombuffer(row["weights"], np.float32), int(row["task"][1:])
         if row["task"][0] == "f":
@@ -172,12 +176,12 @@ def fit(docs: DataFrame, per_language: int = 1000) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``lang_pred, score`` beside all columns of ``docs`` (which must have none of these names).
+    """``lang_pred, score`` beside all columns of ``docs``, in place of any of these names.
 
     A null text or one without a letter is ``und`` with score 0. The model sees the whole text and
     nothing else. Repeated rows give repeated rows; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("lang_pred", "score")
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -203,7 +207,11 @@ def identify(docs: DataFrame, per_language: int = 1000) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least_score: float = 0.25) -> DataFrame:
-    """All columns of ``docs``, without documents that have no letter or score below chance."""
+    """All columns of ``docs``, without documents that have no letter or score below chance.
+
+    A missing ``lang`` is filled with the prediction; what a document says of itself stays. Null
+    texts go. Repeated rows stay as they are; an empty table gives an empty table.
+    """
     plain = docs.drop("lang_pred", "score")
-    found = predict(plain, fit(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*plain.columns)
+    found = predict(plain, fit(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*plain.columns) if "lang" in plain.columns else found.select(*plain.columns)

@@ -121,8 +121,11 @@ def jpeg_length(data: memoryview) -> int:
         frame |= 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
         at += 2 + n
         if mark == 0xDA:
-            end = bytes(data[at:]).find(b"\xff\xd9")
-            return at + end + 2 if frame and end >= 0 else 0
+            # The end mark, looked for piece by piece: no copy of what follows.
+            for lo in range(at, len(data) if frame else 0, 1 << 16):
+                if (end := bytes(data[lo : lo + (1 << 16) + 1]).find(b"\xff\xd9")) >= 0:
+                    return lo + end + 2
+            return 0
     return 0
 
 
@@ -187,7 +190,8 @@ def sniff_media(df: DataFrame, key: str, content: str = "content", declared: str
     ``key, part, start, length, declared_type, media_type, corrected, media``: part 0, 1, ... in
     order of place; media_type is what the bytes are; corrected if the column's declared type says
     otherwise. Content without a valid medium gives one row with part -1 and type
-    ``application/octet-stream`` over all of it; null content is empty.
+    ``application/octet-stream`` over all of it; null content is empty. Repeated rows give repeated
+    rows, an empty table none; the key must not be named like another output column.
     """
     names = ["key", "part", "start", "length", "declared_type", "media_type", "corrected", "media"]
 
@@ -237,23 +241,28 @@ def read_back(stored: DataFrame) -> DataFrame:
     """Digests and features of stored samples: sniffed, validated, carved, decoded.
 
     ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature, media_type``. A row whose content holds no valid WAV fails the job: the column is
-    damaged.
+    feature, media_type, corrected``: corrected if the declared type isn't what the bytes are. A row
+    whose content is null or holds no valid WAV (anywhere: it is carved) has nulls from payload_bytes
+    to feature and the type ``application/octet-stream``. Repeated rows and null ids are kept; an
+    empty table gives none.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
         found = automaton()
         for batch in batches:
             rows = []
-            for doc_id, n_bytes, content in zip(*(batch.column(c) for c in ("doc_id", "n_bytes", "content")), strict=True):
-                data = content.as_py()
-                start, size, kind = sniff(data, found)[0]
+            for doc_id, n_bytes, said, content in zip(*(batch.column(c) for c in ("doc_id", "n_bytes", "declared_type", "content")), strict=True):
+                data = content.as_py() or b""
+                start, size, kind = next((x for x in sniff(data, found) if x[2] == "audio/wav"), (0, 0, "application/octet-stream"))
+                if not size:
+                    rows.append((doc_id.as_py(), n_bytes.as_py(), *[None] * 6, kind, said.as_py() != kind))
+                    continue
                 media = data[start : start + size]
                 samples = from_wav(media)
-                rows.append((doc_id.as_py(), n_bytes.as_py(), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(samples), kind))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                rows.append((doc_id.as_py(), n_bytes.as_py(), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(samples), kind, said.as_py() != kind))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string")
+    return stored.select("doc_id", "n_bytes", "declared_type", "content").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, corrected boolean")

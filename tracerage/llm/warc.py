@@ -44,32 +44,76 @@ def clean(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value).strip()
 
 
-def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record; gzip, member by member or not, is undone."""
+def members(data: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """Plain bytes of WARC data, gzip member by member, each with what is wrong with it (None: nothing)."""
     while data[:2] == b"\x1f\x8b":
-        stream = zlib.decompressobj(31)
-        part = stream.decompress(data) + stream.flush()
-        yield from read_records(part)
-        data = stream.unused_data
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        headers: dict[str, str] = {}
-        last = ""
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            if line[:1] in " \t" and last:  # a folded line goes on
-                headers[last] += " " + line.strip()
-                continue
-            name, _, value = line.partition(":")
-            last = name.strip().lower()
-            headers[last] = value.strip()
-        size = int(headers.get("content-length", 0))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        stream, part, problem = zlib.decompressobj(31), b"", None
+        try:
+            part = stream.decompress(data) + stream.flush()
+            if not stream.eof:
+                problem = "truncated gzip"
+        except zlib.error:
+            # What a damaged member holds before the damage, in small steps.
+            stream, part, problem = zlib.decompressobj(31), b"", "damaged gzip"
+            try:
+                for i in range(0, len(data), 512):
+                    part += stream.decompress(data[i : i + 512])
+            except zlib.error:
+                pass
+        yield part, problem
+        if problem == "damaged gzip":  # the next member begins at the next magic bytes
+            at = data.find(b"\x1f\x8b\x08", 2)
+            data = data[at:] if at >= 0 else b""
+        else:
+            data = stream.unused_data if stream.eof else b""
+    if data:
+        yield data, None
+
+
+def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Headers (names in lower case) and block of each record, and what is wrong with it.
+
+    Damage is told and stays within its record or gzip member: ``truncated gzip``, ``damaged gzip``,
+    ``cut header``, ``bad length`` (the block then goes up to the next record) or ``truncated block``.
+    """
+    for part, flaw in members(data):
+        at, seen = 0, False
+        while (at := part.find(b"WARC/", at)) >= 0:
+            seen = True
+            end = part.find(b"\r\n\r\n", at)
+            if end < 0:
+                yield {}, part[at:], flaw or "cut header"
+                break
+            headers: dict[str, str] = {}
+            last = ""
+            for line in part[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+                if line[:1] in " \t" and last:  # a folded line goes on
+                    headers[last] += " " + line.strip()
+                    continue
+                name, _, value = line.partition(":")
+                last = name.strip().lower()
+                headers[last] = value.strip()
+            size, begin, problem = headers.get("content-length", ""), end + 4, None
+            if size.isascii() and size.isdigit():
+                stop = begin + int(size)
+                if stop > len(part):
+                    stop, problem = len(part), flaw or "truncated block"
+            else:
+                stop = part.find(b"\r\n\r\nWARC/", begin)
+                stop, problem = stop if stop >= 0 else len(part), "bad length"
+            yield headers, part[begin:stop], problem
+            at = stop
+        if not seen and (part or flaw):
+            yield {}, part, flaw or "no record"
+
+
+def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record that is whole."""
+    return ((headers, block) for headers, block, problem in records(data) if problem is None)
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """Status line, headers and body of an HTTP response."""
+    """Status line, headers and body of an HTTP response, as it was sent."""
     head, gap, body = block.partition(b"\r\n\r\n")
     if not gap or not head.startswith(b"HTTP/"):
         return "", [], block
@@ -77,6 +121,59 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [tuple(x.strip() for x in line.split(":", 1)) for line in lines[1:] if ":" in line], body
 
 
+def _header(http: list[tuple[str, str]], name: str) -> str:
+    return next((v for k, v in http if k.lower() == name), "").lower()
+
+
+def joined_chunks(body: bytes) -> bytes:
+    """A chunked body put together; from a chunk on that has no size, the rest as it is."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(b"[0-9A-Fa-f]{1,15}", size):
+            break
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join([*out, body[at:]])
+
+
+def entity(http: list[tuple[str, str]], body: bytes) -> bytes:
+    """The page's bytes: chunks joined, gzip or deflate undone as far as it goes. Other encodings stay."""
+    if "chunked" in _header(http, "transfer-encoding"):
+        body = joined_chunks(body)
+    for coding in reversed([c.strip() for c in _header(http, "content-encoding").split(",")]):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+            try:
+                body = zlib.decompressobj(bits).decompress(body)
+                break
+            except zlib.error:
+                continue
+    return body
+
+
+def decoded(http: list[tuple[str, str]], page: bytes) -> str:
+    """A page's text in the charset that its headers or its first 2,048 bytes name; UTF-8 without a known one."""
+    said = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", _header(http, "content-type")) or re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", page[:2048].decode("latin-1"), re.I)
+    try:
+        return page.decode(said[1] if said else "utf-8", "replace")
+    except (LookupError, UnicodeError):
+        return page.decode("utf-8", "replace")
+
+
+def digest_holds(said: str, *contents: bytes) -> bool | None:
+    """Whether a digest header is that of one of the contents; null for an algorithm that isn't known."""
+    name, _, value = said.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    value = value.strip().rstrip("=")
+    made = [hashlib.new(name, c).digest() for c in contents]
+    return any(value.upper() == base64.b32encode(d).decode().rstrip("=") or value.lower() == d.hex() or value == base64.b64encode(d).decode().rstrip("=") for d in made)
+
+
 def response_of(page_id: int | None, url: str | None, source: str | None, date: str = DATE) -> bytes:
     """A response record around a page."""
     body = (source or "").encode("utf-8", "replace")
@@ -85,10 +182,8 @@ def response_of(page_id: int | None, url: str | None, source: str | None, date:
     return write_record(headers, http)
 
 
-def describe(headers: dict[str, str], block: bytes) -> dict:
+def describe(headers: dict[str, str], status: str, http: list[tuple[str, str]], content: bytes, page: str) -> dict:
     """What a metadata record says of a response: its headers, the HTTP headers, title, metas and links."""
-    status, http, body = split_http(block)
-    page = body.decode("utf-8", "replace")
     title = TITLE.search(page)
     links = [{"path": f"{t.lower()}@{a.lower()}", "url": html.unescape(x or y or z)} for t, a, x, y, z in LINK.findall(page)]
     metas = [{"name": n if k.lower() != "charset" else "charset", "content": n if k.lower() == "charset" else html.unescape(x or y)} for k, n, x, y in META.findall(page)]
@@ -99,8 +194,8 @@ def describe(headers: dict[str, str], block: bytes) -> dict:
                 "HTTP-Response-Metadata": {
                     "Response-Message": status,
                     "Headers": dict(http),
-                    "Entity-Length": len(body),
-                    "Entity-Digest": sha1_digest(body),
+                    "Entity-Length": len(content),
+                    "Entity-Digest": sha1_digest(content),
                     "HTML-Metadata": {"Title": " ".join(html.unescape(title[1]).split()) if title else None, "Metas": metas, "Links": links},
                 }
             },
@@ -110,7 +205,12 @@ def describe(headers: dict[str, str], block: bytes) -> dict:
 
 def plain_text(block: bytes) -> str:
     """Visible text of a response's page, a line for each block."""
-    return "\n".join(b.text for b in leaf_blocks(split_http(block)[2].decode("utf-8", "replace")))
+    _, http, body = split_http(block)
+    return text_of(decoded(http, entity(http, body)))
+
+
+def text_of(page: str) -> str:
+    return "\n".join(b.text for b in leaf_blocks(page))
 
 
 def derive(headers: dict[str, str], block: bytes) -> list[tuple[str, str, bytes, bytes]]:
@@ -119,15 +219,18 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[str, str, bytes,
     Both refer to the response by id and keep its target, date and payload digest.
     """
     source = headers.get("warc-record-id", "")
+    status, http, body = split_http(block)
+    content = entity(http, body)
+    page = decoded(http, content)
     out = []
-    for kind, data, content_type in (("metadata", json.dumps(describe(headers, block), ensure_ascii=False, sort_keys=True).encode(), "application/json"), ("conversion", plain_text(block).encode("utf-8", "replace"), "text/plain")):
+    for kind, data, content_type in (("metadata", json.dumps(describe(headers, status, http, content, page), ensure_ascii=False, sort_keys=True).encode("utf-8", "replace"), "application/json"), ("conversion", text_of(page).encode("utf-8", "replace"), "text/plain")):
         own = record_id(kind, source)
         fields = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source), ("WARC-Target-URI", headers.get("warc-target-uri", "")), ("WARC-Date", headers.get("warc-date", DATE)), ("WARC-Source-Payload-Digest", headers.get("warc-payload-digest", "")), ("WARC-Block-Digest", sha1_digest(data)), ("Content-Type", content_type)]
         out.append((kind, own, data, write_record([(k, v) for k, v in fields if v], data)))
     return out
 
 
-RECORDS = "key {kind}, response_id string, target_uri string, warc_date string, payload_digest string, digest_ok boolean, record_type string, record_id string, refers_to string, block_digest string, content_length long, record binary"
+RECORDS = "key {kind}, response_id string, target_uri string, warc_date string, payload_digest string, digest_ok boolean, record_type string, record_id string, refers_to string, block_digest string, content_length long, problem string, record binary"
 
 
 def build_derivatives(warcs: DataFrame, key: str, content: str = "content") -> DataFrame:
@@ -135,25 +238,34 @@ def build_derivatives(warcs: DataFrame, key: str, content: str = "content") -> D
 
     Two rows (metadata, conversion) for each response, with the linking headers as columns and the
     whole record as bytes. digest_ok tells whether the response's payload digest holds (null if it
-    has none). Records of other types and null content give nothing.
+    has none or of an unknown kind), as sent or with its chunks joined. ``problem`` tells damage: a
+    response whose block is cut or has no length still gives both rows of what there is; what can't
+    be told to be a response gives one row with its problem and no record. Records of other types
+    and null content give nothing. Repeated rows give repeated rows, an empty table none; the key
+    must not be named like an output column.
     """
-    kind = df_kind = warcs.schema[key].dataType.simpleString()
-    schema = RECORDS.format(kind=df_kind)
+    kind = warcs.schema[key].dataType.simpleString()
+    schema = RECORDS.format(kind=kind)
+    names = [x.split()[0] for x in schema.split(", ")]
+    if key in names[1:]:
+        raise ValueError(f"the key column can't be named {key}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
         for batch in batches:
             rows = []
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for headers, block in read_records(data.as_py() or b""):
+                for headers, block, problem in records(data.as_py() or b""):
                     if headers.get("warc-type") != "response":
+                        if problem and "warc-type" not in headers:
+                            rows.append((k, *[None] * 10, problem, None))
                         continue
                     said = headers.get("warc-payload-digest")
-                    ok = None if not said else said == sha1_digest(split_http(block)[2])
+                    _, http, body = split_http(block)
+                    ok = None if not said else digest_holds(said, body, joined_chunks(body)) if "chunked" in _header(http, "transfer-encoding") else digest_holds(said, body)
                     for what, own, made, record in derive(headers, block):
-                        rows.append((k, headers.get("warc-record-id"), headers.get("warc-target-uri"), headers.get("warc-date"), said, ok, what, own, headers.get("warc-record-id"), sha1_digest(made), len(made), record))
-            kinds = [batch.column(0).type, *[pa.string()] * 4, pa.bool_(), *[pa.string()] * 4, pa.int64(), pa.binary()]
-            names = [x.split()[0] for x in schema.split(", ")]
+                        rows.append((k, headers.get("warc-record-id"), headers.get("warc-target-uri"), headers.get("warc-date"), said, ok, what, own, headers.get("warc-record-id"), sha1_digest(made), len(made), problem, record))
+            kinds = [batch.column(0).type, *[pa.string()] * 4, pa.bool_(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
     return warcs.select(F.col(key).cast(kind).alias("key"), F.col(content).alias("content")).mapInArrow(run, schema).withColumnRenamed("key", key)
