@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,19 +17,28 @@ from .heavy import heavy_hitters
 SHINGLE = 5
 #: A pair links when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Bits of a bitmap for each element of its set, and the least and the most bits of one.
-BITS_EACH, LEAST_BITS, MOST_BITS = 2, 512, 1 << 17
+#: Bits of a leaf's bitmap for each element of the largest set in its tree.
+LEAF_BITS = 32
+#: Bits for each element of a set that a node one level up has, times this for each level more: as a
+#: node has FAN_OUT times the elements, chance overlaps of two nodes stay a small share of a set.
+NODE_BITS, LEVEL_FACTOR = 128, 16
+#: The most bits of a bitmap, and the height above which nodes are too full to tell anything.
+MOST_BITS, HEIGHT = 1 << 22, 3
 #: Least hashes of a set by which most links are found, before all of its keys are looked at.
 HEAD = 4
 #: Leaders of a slice: its most typical members, which meet all other slices of their block.
 LEADERS = 4
-#: Documents that one tree holds; a larger block is cut into slices, and all pairs of slices meet.
-SLICE = 1024
+#: Sets and elements that one slice of a block holds; slices of a larger block meet each other.
+SLICE, SLICE_ELEMENTS = 2048, 1 << 21
+#: Sets of up to so many elements go to their tiles whole, others by one part in so many of them.
+WHOLE, PART = 32, 3
+#: Tiles of so few sets, of parts with so few elements, get 16 bits of each element, others 32.
+FEW, SHORT = 256, 1 << 12
+#: Rows of 64-bit numbers that may be sent to all tasks (32 MB of keys).
+MOST_SENT = 1 << 22
 #: Shingles that may be told to be frequent (ordered last, which never changes a result).
 FREQUENT = 1 << 14
 FAN_OUT = 4
-#: Broadcast a table of 64-bit keys up to this many (64 MB); join by shuffle beyond.
-BROADCAST_KEYS = 8_000_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -73,31 +83,47 @@ def node_of(found: np.ndarray) -> int:
         return int(mix64(np.array([np.add.reduce(mix64(found)) + np.uint64(len(found)) * _ODD[1]], np.uint64)).view(np.int64)[0])
 
 
-def width(n: int) -> int:
-    """Bits of the bitmap of a set of n elements: a power of two, so sets that may link differ by one step at most."""
-    return min(max(1 << (BITS_EACH * n - 1).bit_length(), LEAST_BITS), MOST_BITS)
+def size_class(sizes: np.ndarray) -> np.ndarray:
+    """Linked sets are of the same class or of neighbouring ones."""
+    return np.floor(np.log(sizes) / SIZE_STEP).astype(np.int64)
 
 
-def bitmap(found: np.ndarray) -> np.ndarray:
-    """A bit for each value of an element's low bits, in 64-bit words."""
-    bits = np.zeros(width(len(found)), np.uint8)
-    bits[(found & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.uint64)
+#: Logarithm of the ratio of sizes that a class spans, a little above the greatest of linked sets.
+SIZE_STEP = math.log(100 / PERCENT + 1e-6)
 
 
-def candidate_pairs(sizes: np.ndarray, maps: list[np.ndarray], groups: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of members that may link and aren't in one group: a tree for each width of bitmaps.
+def bitmap(members: list[np.ndarray], bits: int) -> np.ndarray:
+    """The OR of the members' bitmaps: a bit for each value of an element's low bits, in 64-bit words."""
+    flags = np.zeros(bits, bool)
+    for m in members:
+        flags[(m & np.uint64(bits - 1)).view(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(np.uint64)
 
-    It holds the sets of that width and those of twice the width, folded: all pairs in which one
-    set has the width itself. Members should come in an order that has similar ones side by side.
+
+def by_similarity(sets: list[np.ndarray], sizes: np.ndarray | None = None) -> list[int]:
+    """An order in which similar sets stand side by side: by three independent least hashes, within narrow ranges of sizes if given."""
+    keys = [[int(mix64(s ^ salt).min()) for s in sets] for salt in _ODD[2::-1]]
+    if sizes is not None:
+        keys.append(np.floor(np.log(sizes) / math.log(1.03)).tolist())
+    return np.lexsort(keys).tolist() if sets else []
+
+
+def candidate_pairs(sets: list[np.ndarray], groups: np.ndarray, sizes: np.ndarray | None = None, sides: np.ndarray | None = None, least: int | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs of members that may link and aren't in one group: a tree for each class of sizes.
+
+    It holds the sets of that class and of the next: all pairs in which one set is of the class
+    itself. With ``sizes``, members are parts of sets of these sizes; with ``sides``, pairs within a
+    side are left out; with ``least``, other classes are.
     """
-    words = np.array([len(m) for m in maps])
-    for w in np.unique(words).tolist():
-        here = np.flatnonzero((words == w) | (words == 2 * w))
-        if len(here) < 2:
+    full = np.array([len(s) for s in sets], np.int64) if sizes is None else sizes
+    classes = size_class(full)
+    for c in np.unique(classes).tolist() if least is None else [least]:
+        here = np.flatnonzero((classes == c) | (classes == c + 1))
+        if len(here) < 2 or not (classes[here] == c).any():
             continue
-        stacked = np.stack([maps[k] if len(maps[k]) == w else maps[k][:w] | maps[k][w:] for k in here.tolist()])
-        a, b = Tree(sizes[here], stacked, groups[here]).pairs(words[here] == w)
+        here = here[by_similarity([sets[k] for k in here.tolist()], None if sizes is None else full[here])]
+        tree = Tree([sets[k] for k in here.tolist()], groups[here], classes[here] == c, full[here], None if sides is None else sides[here])
+        a, b = tree.pairs()
         yield from zip(here[a].tolist(), here[b].tolist(), strict=True)
 
 
@@ -120,52 +146,81 @@ class Groups:
 
 
 class Tree:
-    """Members in clusters of FAN_OUT, clusters in clusters, up to one root.
+    """Members in clusters of FAN_OUT, clusters in clusters, up to HEIGHT.
 
     A node has the OR of its members' bitmaps, the range of their sizes, the most elements that a
-    member has beyond its bits (elements that share a bit), and its members' group if it is one.
+    member has beyond its bits (elements that share a bit) and that it lacks (members may be first
+    parts of their sets), and its members' group and side if they have one. The higher a node, the
+    wider its bitmap: it is as sparse as a leaf's.
     """
 
-    def __init__(self, sizes: np.ndarray, maps: np.ndarray, groups: np.ndarray):
-        bits = np.bitwise_count(maps).sum(1).astype(np.int64)
-        self.levels = [(maps, sizes, sizes, sizes - bits, groups)]
-        while len(self.levels[-1][0]) > 1:
-            maps, low, high, slack, groups = self.levels[-1]
-            starts = np.arange(0, len(maps), FAN_OUT)
-            first, last = np.minimum.reduceat(groups, starts), np.maximum.reduceat(groups, starts)
-            self.levels.append((np.bitwise_or.reduceat(maps, starts, axis=0), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(slack, starts), np.where(first == last, first, -1)))
-
-    def pairs(self, cross: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Members i < j that may link and aren't in one group, by dual traversal from the root.
-
-        A pair of nodes goes if its sizes can't link, if the most overlap that its bitmaps allow is
-        less than the least sizes need, or if both are of the same group.
+    def __init__(self, sets: list[np.ndarray], groups: np.ndarray, own: np.ndarray, sizes: np.ndarray | None = None, sides: np.ndarray | None = None):
+        held = np.array([len(s) for s in sets], np.int64)
+        sizes = held if sizes is None else sizes
+        sides = np.full(len(sets), -1) if sides is None else sides
+        most = int(held.max())
+        leaf = self.bits(LEAF_BITS * most)
+        maps = np.stack([bitmap([s], leaf) for s in sets])
+        low, high, slack, gone = sizes, sizes, held - np.bitwise_count(maps).sum(1).astype(np.int64), sizes - held
+        self.met: list[tuple[int, int]] = []  # pairs of nodes looked at and kept, from the top
+        self.levels = [(maps, low, high, slack, gone, groups, own, sides)]
+        for level in range(1, HEIGHT + 1):
+            if len(low) <= 1:
+                break
+            starts, each = np.arange(0, len(low), FAN_OUT), FAN_OUT**level
+            bits = self.bits(NODE_BITS * LEVEL_FACTOR ** (level - 1) * most)
+            maps = np.stack([bitmap(sets[i : i + each], bits) for i in range(0, len(sets), each)])
+            low, high, slack, gone = np.minimum.reduceat(low, starts), *(np.maximum.reduceat(x, starts) for x in (high, slack, gone))
+            groups, sides = self.same(groups, starts), self.same(sides, starts)
+            own = np.logical_or.reduceat(own, starts)
+            self.levels.append((maps, low, high, slack, gone, groups, own, sides))
+
+    @staticmethod
+    def bits(n: int) -> int:
+        return min(max(1 << (n - 1).bit_length(), 64), MOST_BITS)
+
+    @staticmethod
+    def same(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        first, last = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
+        return np.where(first == last, first, -1)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Members i < j that may link, aren't in one group or side, and of which one is ``own``, by dual traversal.
+
+        A pair of nodes goes if its sizes can't link, if both are of one group or side, if neither
+        has an own member, or if the most overlap that its bitmaps allow is less than its least
+        sizes need. Elements that share a leaf's low bits bound those that share a wider map's.
         """
-        a = b = np.zeros(1, np.int64)
+        n = len(self.levels[-1][1])
+        a, b = np.triu_indices(n)
+        self.met = []
         for level in range(len(self.levels) - 1, -1, -1):
-            maps, low, high, slack, groups = self.levels[level]
+            maps, low, high, slack, gone, groups, own, sides = self.levels[level]
             if level < len(self.levels) - 1:
-                n = len(maps)
+                n = len(low)
                 step = np.arange(FAN_OUT)
                 a = np.repeat((a[:, None] * FAN_OUT + step).ravel(), FAN_OUT)
                 b = np.tile((b[:, None] * FAN_OUT + step)[:, None, :], (1, FAN_OUT, 1)).ravel()
                 keep = (a < n) & (b < n) & (a <= b)
                 a, b = a[keep], b[keep]
+            looked = len(a)
             keep = (100 * high[a] >= PERCENT * low[b]) & (100 * high[b] >= PERCENT * low[a])
             keep &= (groups[a] != groups[b]) | (groups[a] < 0)
+            keep &= ((sides[a] != sides[b]) | (sides[a] < 0)) & (own[a] | own[b])
             if not level:
                 keep &= a < b
-                if cross is not None:
-                    keep &= cross[a] | cross[b]
             a, b = a[keep], b[keep]
-            parts = []
-            for lo in range(0, len(a), 1 << 14):
-                x, y = a[lo : lo + (1 << 14)], b[lo : lo + (1 << 14)]
-                shared = np.bitwise_count(maps[x] & maps[y]).sum(1).astype(np.int64) + np.minimum(slack[x], slack[y])
-                most = np.minimum(shared, np.minimum(high[x], high[y]))
-                parts.append((100 + PERCENT) * most >= PERCENT * (low[x] + low[y]))
+            parts, each = [], max(1, (1 << 21) // maps.shape[1])
+            for lo in range(0, len(a), each):
+                x, y = a[lo : lo + each], b[lo : lo + each]
+                shared = np.bitwise_count(maps[x] & maps[y]).sum(1, dtype=np.int64) + np.minimum(slack[x], slack[y])
+                # Of linked sets' overlap a first part may lack as much as it lacks of its set.
+                most = np.minimum(shared, np.minimum(high[x], high[y])) + np.maximum(gone[x], gone[y])
+                # A node beside itself has all overlaps; its members are looked at one level down.
+                parts.append((x == y) | ((100 + PERCENT) * most >= PERCENT * (low[x] + low[y])))
             keep = np.concatenate(parts) if parts else np.zeros(0, bool)
             a, b = a[keep], b[keep]
+            self.met.append((looked, len(a)))
         return a, b
 
 
@@ -176,31 +231,70 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    return overlap(a, b) >= needed(len(a), len(b))
+    need = needed(len(a), len(b))
+    return need <= min(len(a), len(b)) and overlap(a, b) >= need
 
 
-def tree_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between members that span the components of all links among them (all, not a sample).
+def spanning(sets: list[np.ndarray], meet: Callable[[int, int], bool], known: np.ndarray | None = None, sizes: np.ndarray | None = None, sides: np.ndarray | None = None, least: int | None = None) -> list[tuple[int, int]]:
+    """Pairs of members that ``meet`` and span the groups that all such pairs make (all, not a sample).
 
-    Neighbours in the order of their least elements are tried first, so that near copies are one
-    group before the traversal, which then leaves pairs within a group alone.
+    ``known`` are groups that are one already. Neighbours in the order of similarity are tried
+    first, so that most members are in their group before the traversal, which then leaves pairs
+    within a group alone. The other arguments are as in candidate_pairs().
     """
-    order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))
     groups, out = Groups(len(sets)), []
-    for i, j in zip(order, order[1:], strict=False):
-        if linked(sets[i], sets[j]) and groups.join(i, j):
-            out.append((i, j))
-    found = np.array([groups.find(i) for i in order], np.int64)
-    if (found == found[0]).all():
-        return out
-    for x, y in candidate_pairs(np.array([len(sets[i]) for i in order], np.int64), [bitmap(sets[i]) for i in order], found):
-        i, j = order[x], order[y]
-        if groups.find(i) != groups.find(j) and linked(sets[i], sets[j]):
+    if known is not None:
+        first: dict[int, int] = {}
+        for i, g in enumerate(known.tolist()):
+            groups.join(first.setdefault(g, i), i)
+
+    def tried(i: int, j: int) -> None:
+        if (sides is None or sides[i] != sides[j]) and groups.find(i) != groups.find(j) and meet(i, j):
             groups.join(i, j)
             out.append((i, j))
+
+    if len(sets) <= FAN_OUT:  # one node: its members are compared as they are
+        for j in range(len(sets)):
+            for i in range(j):
+                tried(i, j)
+        return out
+    order = by_similarity(sets)
+    for i, j in zip(order, order[1:], strict=False):
+        tried(i, j)
+    found = np.array([groups.find(i) for i in range(len(sets))], np.int64)
+    if not (found == found[0]).all():
+        for i, j in candidate_pairs(sets, found, sizes, sides, least):
+            tried(i, j)
     return out
 
 
+def tree_links(sets: list[np.ndarray], known: np.ndarray | None = None, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between members that span the components of all links among them."""
+    return spanning(sets, lambda i, j: linked(sets[i], sets[j]), known, None, sides)
+
+
+def part_size(n: int) -> int:
+    """How many of a set's elements, first in the order that all sets follow, go to its tiles."""
+    return n if n <= WHOLE else n // PART + 1
+
+
+def part_candidates(parts: list[np.ndarray], sizes: np.ndarray, known: np.ndarray, sides: np.ndarray | None, least: int) -> list[tuple[int, int]]:
+    """Pairs of sets that may link by their first parts (elements may be cut to low bits), spanning the groups that all of them make.
+
+    Linked sets of sizes a and b share needed(a, b) elements; a part lacks the last ones of its set,
+    so parts share at least what is left of that when the larger lack is taken off.
+    """
+    unique = [np.unique(p) for p in parts]
+    twice = np.array([len(p) - len(u) for p, u in zip(parts, unique, strict=True)])
+    lacks = sizes - np.array([len(p) for p in parts])
+
+    def may_link(i: int, j: int) -> bool:
+        need = needed(int(sizes[i]), int(sizes[j]))
+        return need <= min(sizes[i], sizes[j]) and overlap(unique[i], unique[j]) + min(twice[i], twice[j]) >= need - max(lacks[i], lacks[j])
+
+    return spanning(parts, may_link, known, sizes, sides, least)
+
+
 def by_tile(batches: Iterator[pa.RecordBatch], work: Callable[[list[pa.RecordBatch]], tuple[list, list]]) -> Iterator[pa.RecordBatch]:
     """Work on each run of rows with the same first column ``tile``; a run may span batches."""
     held: list[pa.RecordBatch] = []
@@ -242,26 +336,37 @@ def _head_work(parts: list[pa.RecordBatch]) -> tuple[list, list]:
     return [nodes[i] for i, _ in got], [nodes[j] for _, j in got]
 
 
-def _rest_work(parts: list[pa.RecordBatch]) -> tuple[list, list]:
-    nodes, comps, sizes, sides = (_numpy(parts, n) for n in ("node", "comp", "n", "side"))
-    maps = [np.frombuffer(m.as_buffer(), np.uint64) for p in parts for m in p.column("bits")]
-    order = np.lexsort((nodes, comps, sizes))
-    nodes, comps, sizes, sides = nodes[order], comps[order], sizes[order].astype(np.int64), sides[order]
-    _, groups = np.unique(comps, return_inverse=True)
-    # Pairs of two rows of the largest component are in one group; with two slices (sides 1 and 2)
-    # pairs within a slice are another tile's.
-    two = bool((sides == 2).any())
-    a, b = [], []
-    for i, j in candidate_pairs(sizes, [maps[k] for k in order.tolist()], groups.astype(np.int64)):
-        if not two or sides[i] != sides[j]:
-            a.append(int(nodes[i]))
-            b.append(int(nodes[j]))
-    return a, b
+def _groups_and_sides(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Components, each member's number of its own, and sides: with two slices (sides 1 and 2) pairs within one are another tile's."""
+    comps, sides = _numpy(parts, "comp"), _numpy(parts, "side")
+    return comps, np.unique(comps, return_inverse=True)[1].astype(np.int64), sides if (sides == 2).any() else None
+
+
+def _part_work(parts: list[pa.RecordBatch]) -> tuple[list, list]:
+    """Pairs of components with sets that may link."""
+    comps, known, sides = _groups_and_sides(parts)
+    kind = np.uint32 if parts[0].column("wide")[0].as_py() else np.uint16
+    held = [np.frombuffer(m.as_buffer(), kind).astype(np.uint64) for p in parts for m in p.column("part")]
+    got = part_candidates(held, _numpy(parts, "n").astype(np.int64), known, sides, parts[0].column("class")[0].as_py()) if len(held) > 1 else []
+    return [int(comps[i]) for i, _ in got], [int(comps[j]) for _, j in got]
+
+
+def _family_work(parts: list[pa.RecordBatch]) -> tuple[list, list]:
+    """Links between components."""
+    comps, known, sides = _groups_and_sides(parts)
+    sets = [np.frombuffer(m.as_buffer(), np.uint64) for p in parts for m in p.column("found")]
+    got = tree_links(sets, known, sides) if len(sets) > 1 else []
+    return [int(comps[i]) for i, _ in got], [int(comps[j]) for _, j in got]
+
+
+def _sized(table: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row: sent to all tasks if it has at most MOST_SENT rows, joined by shuffle beyond."""
+    return F.broadcast(table) if table.count() <= MOST_SENT else table
 
 
 def _keyed(df: DataFrame, keys: DataFrame, on: str, how: str = "leftsemi") -> DataFrame:
-    """Join with a table of distinct keys: broadcast if few, by shuffle if not."""
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
+    """Join with a table of distinct keys, stored first."""
+    return df.join(_sized(materialise(keys, "keys")), on, how)
 
 
 def _hashes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -289,63 +394,67 @@ def _hashes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return rows, np.sort(np.array([k for k, _ in frequent], np.int64).view(np.uint64))
 
 
-def _one_of_each(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, bool]:
-    """``docs`` without further documents of a set, if doc_ids tell documents apart; and whether they do.
+def in_order(found: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """A set in the order that all sets follow: ascending, frequent elements last."""
+    if not len(late):
+        return found
+    hot = late[np.minimum(np.searchsorted(late, found), len(late) - 1)] == found
+    return np.concatenate([found[~hot], found[hot]]) if hot.any() else found
+
+
+def _told_apart(rows: DataFrame) -> bool:
+    """Whether doc_ids tell documents apart: none is null and none comes twice."""
+    return not (rows.where("doc_id is null").limit(1).count() or rows.groupBy("doc_id").count().where("count > 1").limit(1).count())
 
-    Copies are left out by their ids, so that no profile is shuffled.
-    """
-    if rows.where("doc_id is null").limit(1).count() or rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return docs, False
-    known = rows.where("node is not null")
-    first = known.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = materialise(known.join(first.select("node", "first"), "node").where("doc_id <> first").select("doc_id"), "copies")
-    return _keyed(docs, copies, "doc_id", "leftanti"), True
 
+def _profiles(docs: DataFrame, rows: DataFrame, frequent: np.ndarray, apart: bool) -> DataFrame:
+    """``node, n, head, keys`` of every distinct set: its least hashes and its prefix.
 
-def _profiles(docs: DataFrame, rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``node, n, head, keys, bits`` of every distinct set: its first keys, its prefix, its bitmap."""
-    docs, single = _one_of_each(docs, rows)
+    Where doc_ids tell documents apart, copies are left out by their ids and no profile is shuffled.
+    """
+    if apart:
+        known = rows.where("node is not null")
+        first = known.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+        docs = _keyed(docs, known.join(first.select("node", "first"), "node").where("doc_id <> first").select("doc_id"), "doc_id", "leftanti")
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
         late = sent.value
         for batch in batches:
-            nodes, sizes, heads, keys, maps = [], [], [], [], []
+            nodes, sizes, heads, keys = [], [], [], []
             for _, _, data, offsets in text_chunks(batch.column("text")):
                 for s in shingle_sets(data, offsets):
                     if not len(s):
                         continue
-                    first = s
-                    if len(late):
-                        hot = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-                        if hot.any():
-                            first = np.concatenate([s[~hot], s[hot]])
-                    first = first[: prefix_size(len(s))]
+                    first = in_order(s, late)[: prefix_size(len(s))]
                     nodes.append(node_of(s))
                     sizes.append(len(s))
                     heads.append(s[:HEAD])
                     keys.append(first)
-                    maps.append(bitmap(s).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), long_lists(heads), long_lists(keys), pa.array(maps, pa.binary())], ["node", "n", "head", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), long_lists(heads), long_lists(keys)], ["node", "n", "head", "keys"])
+
+    made = docs.select("text").mapInArrow(run, "node long, n long, head array<long>, keys array<long>")
+    return made if apart else made.dropDuplicates(["node"])
 
-    made = docs.select("text").mapInArrow(run, "node long, n long, head array<long>, keys array<long>, bits binary")
-    return made if single else made.dropDuplicates(["node"])
 
+def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, apart: bool, cut: Callable[[np.ndarray], np.ndarray] = lambda s: s) -> DataFrame:
+    """``node, found``: the whole sets of the given nodes, or what ``cut`` makes of each, hashed again from one document.
 
-def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, found``: the whole sets of the given nodes, hashed again from one document of each."""
-    wanted = materialise(_keyed(rows.where("node is not null"), nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    Nothing but the documents' ids is shuffled where these tell documents apart.
+    """
+    wanted = materialise(_keyed(rows.where("node is not null"), nodes.distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column("text")):
                 sets = [s for s in shingle_sets(data, offsets) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([cut(s).tobytes() for s in sets], pa.binary())], ["node", "found"])
 
-    known = docs.where("doc_id is not null")
-    found = _keyed(known, wanted.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(run, "node long, found binary")
+    found = _keyed(docs.where("doc_id is not null"), wanted.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(run, "node long, found binary")
+    if apart:
+        return found
     if wanted.where("doc_id is null").limit(1).count():
         found = found.unionByName(docs.where("doc_id is null").select("text").mapInArrow(run, "node long, found binary"))
     # Two texts may share a doc_id, so others than the wanted come too, and some twice.
@@ -371,7 +480,7 @@ def _in_tiles(members: DataFrame, sets: DataFrame, work: Callable) -> DataFrame:
     return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: by_tile(batches, work), "a long, b long")
 
 
-def _head_links(docs: DataFrame, rows: DataFrame, profiles: DataFrame) -> DataFrame:
+def _head_links(docs: DataFrame, rows: DataFrame, profiles: DataFrame, apart: bool) -> DataFrame:
     """Links among sets that share one of their least hashes.
 
     Blocks are cut in slices, which are trees of their own. The leaders of all slices of a block
@@ -385,11 +494,11 @@ def _head_links(docs: DataFrame, rows: DataFrame, profiles: DataFrame) -> DataFr
     blocks = materialise(blocks.groupBy("c", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / SLICE).alias("slices")), "head-blocks")
     members = keyed.join(blocks, "key").withColumn("slice", F.pmod(F.xxhash64("node", "key"), F.col("slices")))
     members = materialise(members.select("key", "slices", F.xxhash64("key", "slice").alias("tile"), "node"), "head-members")
-    links = _in_tiles(members.select("tile", "node"), _sets_of(docs, rows, members.select("node").distinct()), _head_work)
+    links = _in_tiles(members.select("tile", "node"), _sets_of(docs, rows, members.select("node"), apart), _head_work)
     large = members.where("slices > 1")
     if large.limit(1).count() == 0:
         return links
-    sets = materialise(_sets_of(docs, rows, large.select("node").distinct()), "large-sets")
+    sets = materialise(_sets_of(docs, rows, large.select("node"), apart), "large-sets")
     leaders = _in_tiles(large.select("tile", "node"), sets, _leader_work).select(F.col("a").alias("node"), F.col("b").alias("tile"))
     slices = large.select("key", "tile").distinct()
     everywhere = leaders.join(slices, "tile").select("key", "node").distinct().join(slices, "key").select("tile", "node")
@@ -397,22 +506,70 @@ def _head_links(docs: DataFrame, rows: DataFrame, profiles: DataFrame) -> DataFr
     return links.unionByName(again)
 
 
-def _other_pairs(profiles: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of sets that share a prefix key, may link and aren't in one component yet."""
-    marked = profiles.select("node", "n", "keys", "bits").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    marked = materialise(marked, "marked")
-    keyed = marked.select("node", "comp", F.explode("keys").alias("key"))
-    open_keys = materialise(keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "open-keys")
-    rows = materialise(_keyed(keyed, open_keys, "key"), "open-rows")
+def _other_links(docs: DataFrame, rows: DataFrame, profiles: DataFrame, comps: DataFrame, frequent: np.ndarray, apart: bool) -> DataFrame:
+    """Links (``a, b``: nodes, by which their components are named) between components among sets that share a prefix key.
+
+    First parts of sets tell which components may link; those that do, directly or by others, are
+    a family. Each set of a family then goes whole to the tiles of its family, which are few.
+    """
+    members, marked = _other_tiles(profiles, comps)
+    # Sets of a class have at most so many elements, so all of a tile are of the same width.
+    members = members.withColumn("wide", ~F.col("few") | (F.exp((F.col("class") + 2) * SIZE_STEP) > PART * (SHORT - 2)))
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    none, full = docs.sparkSession.createDataFrame([], "a long, b long"), None
+    for wide, kind in ((False, np.uint16), (True, np.uint32)):
+        here = members.where("wide" if wide else "not wide")
+        if here.limit(1).count():
+            parts = materialise(_sets_of(docs, rows, here.select("node"), apart, lambda s, kind=kind: in_order(s, sent.value)[: part_size(len(s))].astype(kind)), "set-parts")
+            dealt = here.join(marked.select("node", "comp", "n"), "node").join(parts.withColumnRenamed("found", "part"), "node").select("tile", "node", "comp", "n", "side", "class", "wide", "part")
+            full = dealt if full is None else full.unionByName(dealt)
+    if full is None:
+        return none
+    near = materialise(_by_tiles(full, _part_work), "near-components")
+    if near.limit(1).count() == 0:
+        return none
+    families = components(near).select(F.col("node").alias("comp"), F.col("comp").alias("family"))
+    known = members.select("node").distinct().join(marked.select("node", "comp", "n"), "node").join(families, "comp")
+    tiles = materialise(_dealt(materialise(known, "families"), ["family"]), "family-tiles")
+    sets = materialise(_sets_of(docs, rows, tiles.select("node"), apart), "family-sets")
+    return _by_tiles(tiles.join(sets, "node").select("tile", "comp", "side", "found"), _family_work)
+
+
+def _by_tiles(rows: DataFrame, work: Callable) -> DataFrame:
+    """``work`` on each tile of ``rows``: distinct pairs ``a, b``."""
+    pairs = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: by_tile(batches, work), "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _other_tiles(profiles: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``tile, node, side, class, few`` of sets that share a prefix key and may link across components, and ``node, comp, n`` of all.
+
+    Blocks are of a key and a class of sizes: sets of the class and of the next one. Only blocks
+    in which components still meet are looked at, and one of those with the same company.
+    """
+    marked = materialise(profiles.select("node", "n", "keys").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "marked")
+    keyed = marked.select("node", "comp", "n", F.explode("keys").alias("key"))
+    open_keys = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rows = _keyed(keyed, open_keys, "key").withColumn("own", F.floor(F.log("n") / F.lit(SIZE_STEP)))
+    rows = materialise(rows.withColumn("class", F.explode(F.array(F.col("own"), F.col("own") - 1))), "open-rows")
     sign = [F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x")]
-    once = rows.groupBy("key").agg(*sign).groupBy("c", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", "c")
-    largest = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"), F.col("m.count").alias("most"))
-    most, rest = F.ceil(F.col("most") / SLICE).cast("int"), F.ceil((F.col("c") - F.col("most")) / SLICE).cast("int")
-    blocks = once.join(largest, "key").select("key", "main", most.alias("mains"), rest.alias("slices"))
-    members = rows.join(blocks, "key")
-    # Each slice of the largest component meets every slice of the others, its first one (side 0)
-    # where a slice of the others meets itself; slices of the others meet each other. No tile holds
-    # more than two slices.
+    open_ = rows.groupBy("key", "class").agg(*sign, F.min("comp").alias("one"), F.max("comp").alias("other"), F.count_if(F.col("own") == F.col("class")).alias("owns")).where("one <> other and owns > 0")
+    once = materialise(open_.groupBy("c", "lo", "hi", "x", "class").agg(F.min("key").alias("key")).select("key", "class", (F.col("c") <= FEW).alias("few")), "blocks")
+    return materialise(_dealt(materialise(rows.drop("own").join(_sized(once), ["key", "class"]), "block-rows"), ["key", "class"]).select("tile", "node", "side", "class", "few"), "tiles"), marked
+
+
+def _dealt(rows: DataFrame, block: list[str]) -> DataFrame:
+    """Rows (``node, comp, n``) of blocks with ``tile, side``: a block's sets in slices, which meet in tiles.
+
+    Each slice of the largest component meets every slice of the others, its first one (side 0)
+    where a slice of the others meets itself; slices of the others meet each other. No tile holds
+    more than two slices, or three where one is of the largest component.
+    """
+    each = rows.groupBy(*block, "comp").agg(F.count("*").alias("count"), F.sum("n").alias("sum"))
+    sums = each.groupBy(*block).agg(F.max(F.struct("count", "comp", "sum")).alias("m"), F.sum("count").alias("c"), F.sum("sum").alias("elements"))
+    cut = lambda n, elements: F.ceil(F.greatest(n / SLICE, elements / SLICE_ELEMENTS)).cast("int")
+    blocks = sums.select(*block, F.col("m.comp").alias("main"), cut(F.col("m.count"), F.col("m.sum")).alias("mains"), cut(F.col("c") - F.col("m.count"), F.col("elements") - F.col("m.sum")).alias("slices"))
+    members = rows.join(blocks, block)
     is_main = F.col("comp") == F.col("main")
     own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("mains")).otherwise(F.col("slices"))).cast("int")
     others = F.sequence(F.lit(0), F.col("slices") - 1)
@@ -421,25 +578,7 @@ def _other_pairs(profiles: DataFrame, comps: DataFrame) -> DataFrame:
     met = F.transform(others, lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"), F.when(own <= i, 1).otherwise(2).alias("side")))
     later = F.filter(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: m > 0)
     tiles = tiles.otherwise(F.concat(met, F.transform(later, lambda m: F.struct((-m).alias("i"), own.alias("j"), F.lit(2).alias("side")))))
-    members = members.withColumn("t", F.explode(tiles)).select(F.xxhash64("key", "t.i", "t.j").alias("tile"), "node", "t.side")
-    full = members.join(marked.select("node", "comp", "n", "bits"), "node").select("tile", "node", "comp", "n", "side", "bits")
-    dealt = full.repartition("tile").sortWithinPartitions("tile")
-    pairs = dealt.mapInArrow(lambda batches: by_tile(batches, _rest_work), "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose whole sets link."""
-    sets = materialise(_sets_of(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "pair-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache()
-        for batch in batches:
-            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("fa"), batch.column("fb"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
+    return members.withColumn("t", F.explode(tiles)).select(*rows.columns, F.xxhash64(*block, "t.i", "t.j").alias("tile"), "t.side")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -449,8 +588,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     element of their prefixes (a fifth of a set, frequent elements last), so blocks of sets by
     prefix element hold all links. A block's sets stand in a signature tree whose dual traversal
     prunes pairs of nodes by sizes, by the most overlap that OR-combined bitmaps allow, and by
-    component: first by a few keys, with verification in place, where near copies become one
-    component; then by all keys, but only where components still meet.
+    component: first by a few keys, with comparison in place, where near copies become one
+    component; then by all keys and classes of sizes, but only where components still meet, by
+    first parts of sets, which tell the families in which sets are then compared whole.
 
     Words, shingles and the empty case are as the contract has them: a null text is empty, has no
     shingles and is its own component. Repeated rows get equal results, a row each; among equal
@@ -459,10 +599,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     docs = doc_columns(docs, "doc_id", "text")
     rows, frequent = _hashes(docs)
-    profiles = materialise(_profiles(docs, rows, frequent), "profiles")
-    near = materialise(_head_links(docs, rows, profiles), "head-links")
-    pairs = materialise(_other_pairs(profiles, components(near)), "pairs")
-    rest = _verified(docs, rows, pairs)
+    apart = _told_apart(rows)
+    profiles = materialise(_profiles(docs, rows, frequent, apart), "profiles")
+    near = materialise(_head_links(docs, rows, profiles, apart), "head-links")
+    rest = materialise(_other_links(docs, rows, profiles, components(near), frequent, apart), "other-links")
     comps = components(near.unionByName(rest))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
