@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: How many summaries meet in one task.
 FAN_IN = 32
 
@@ -53,7 +55,7 @@ def heavy_hitters(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable[di
 
     schema = f"slot long, keys array<{kind}>, counts array<long>"
     left = df.rdd.getNumPartitions()
-    summaries = df.mapInArrow(gather, schema)
+    summaries = df.mapInArrow(lean(gather), schema)
     while True:
         summaries = summaries.groupBy(F.expr(f"slot div {FAN_IN}").alias("g")).applyInPandas(merge, schema)
         left = -(-left // FAN_IN)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_columns, materialise, small_batches, text_chunks, worker_cache
+from .common import doc_columns, lean, materialise, small_batches, text_chunks, worker_cache
 
 DIM = 4096
 UNKNOWN = "und"
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, per_language: int = 1000) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column("lang")[at : at + len(x)], pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "vector"])
                 at += len(x)
 
-    sample = materialise(drawn.select("lang", "text").mapInArrow(embed, "lang string, vector binary"), "langid-sample")
+    sample = materialise(drawn.select("lang", "text").mapInArrow(lean(embed), "lang string, vector binary"), "langid-sample")
 
     def stack(column: pd.Series) -> np.ndarray:
         return np.frombuffer(b"".join(column), np.float32).reshape(len(column), DIM)
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             lang[blank], score[blank] = UNKNOWN, 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def identify(docs: DataFrame, per_language: int = 1000) -> DataFrame:

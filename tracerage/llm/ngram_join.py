@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, long_lists, lower_ascii, materialise, mix64, split_rows, text_chunks, word_hashes, worker_cache
+from .common import doc_columns, lean, long_lists, lower_ascii, materialise, mix64, split_rows, text_chunks, word_hashes, worker_cache
 from .components import components
 from .heavy import heavy_hitters
 
@@ -390,7 +390,7 @@ def _hashes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             yield dict(zip(keys[many].view(np.int64).tolist(), counts[many].tolist(), strict=True))
 
     frequent = heavy_hitters(docs.select("text"), keys_of, "long", FREQUENT)
-    rows = materialise(docs.mapInArrow(run, "doc_id long, n long, node long"), "ngram-nodes")
+    rows = materialise(docs.mapInArrow(lean(run), "doc_id long, n long, node long"), "ngram-nodes")
     return rows, np.sort(np.array([k for k, _ in frequent], np.int64).view(np.uint64))
 
 
@@ -434,7 +434,7 @@ def _profiles(docs: DataFrame, rows: DataFrame, frequent: np.ndarray, apart: boo
                     keys.append(first)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), long_lists(heads), long_lists(keys)], ["node", "n", "head", "keys"])
 
-    made = docs.select("text").mapInArrow(run, "node long, n long, head array<long>, keys array<long>")
+    made = docs.select("text").mapInArrow(lean(run), "node long, n long, head array<long>, keys array<long>")
     return made if apart else made.dropDuplicates(["node"])
 
 
@@ -452,11 +452,11 @@ def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, apart: bool, cu
                 sets = [s for s in shingle_sets(data, offsets) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([cut(s).tobytes() for s in sets], pa.binary())], ["node", "found"])
 
-    found = _keyed(docs.where("doc_id is not null"), wanted.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(run, "node long, found binary")
+    found = _keyed(docs.where("doc_id is not null"), wanted.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(lean(run), "node long, found binary")
     if apart:
         return found
     if wanted.where("doc_id is null").limit(1).count():
-        found = found.unionByName(docs.where("doc_id is null").select("text").mapInArrow(run, "node long, found binary"))
+        found = found.unionByName(docs.where("doc_id is null").select("text").mapInArrow(lean(run), "node long, found binary"))
     # Two texts may share a doc_id, so others than the wanted come too, and some twice.
     return _keyed(found, wanted.select("node"), "node").dropDuplicates(["node"])
 
@@ -477,7 +477,7 @@ def _leader_work(parts: list[pa.RecordBatch]) -> tuple[list, list]:
 def _in_tiles(members: DataFrame, sets: DataFrame, work: Callable) -> DataFrame:
     """``work`` on each tile of ``members`` (tile, node) with its sets: rows ``a, b``."""
     tiles = members.join(sets, "node").select("tile", "node", "found")
-    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: by_tile(batches, work), "a long, b long")
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lean(lambda batches: by_tile(batches, work)), "a long, b long")
 
 
 def _head_links(docs: DataFrame, rows: DataFrame, profiles: DataFrame, apart: bool) -> DataFrame:
@@ -537,7 +537,7 @@ def _other_links(docs: DataFrame, rows: DataFrame, profiles: DataFrame, comps: D
 
 def _by_tiles(rows: DataFrame, work: Callable) -> DataFrame:
     """``work`` on each tile of ``rows``: distinct pairs ``a, b``."""
-    pairs = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: by_tile(batches, work), "a long, b long")
+    pairs = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lean(lambda batches: by_tile(batches, work)), "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP, doc_columns, hash_order, materialise, range_slot, running_sum, slices, worker_cache
+from .common import GROUP, doc_columns, hash_order, lean, materialise, range_slot, running_sum, slices, worker_cache
 from .token_counts import tokenizer_path
 
 #: The id that ends each document.
@@ -54,7 +54,7 @@ class WordIds:
     #: About what a key takes beside its characters: two objects, their places, some ids.
     EACH = 200
 
-    def __init__(self, path: str, most: int = 128 << 20):
+    def __init__(self, path: str, most: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.model, self.most = Tokenizer.from_file(path), most
@@ -108,8 +108,9 @@ class WordIds:
                 splits[w] = (low[:-1], low[-1])
             else:
                 splits[w] = SPLIT.findall(low)
-        new = list({p for parts in splits.values() for p in parts if p not in self.slots})
-        if new:
+        unknown = list({p for parts in splits.values() for p in parts if p not in self.slots})
+        for lo in range(0, len(unknown), 4096):  # what the library makes of a text is many times its size
+            new = unknown[lo : lo + 4096]
             ids = self.encode(" ".join(new))
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(new):
@@ -147,7 +148,7 @@ class WordIds:
         return ids, np.diff(ends)
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int, chunk: int = 4 << 20) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, size: int, chunk: int = 2 << 20) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: documents' ids and an id 0, cut if longer than a sequence.
 
     Texts are taken in chunks of about ``chunk`` bytes, which bounds the memory of a worker by that
@@ -176,7 +177,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, chunk: int = 4 << 20) ->
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(cut(part.column("doc_id"), *words.ids(part.column("text"))), names)
 
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(histogram: dict[int, int], size: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:

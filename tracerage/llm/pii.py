@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_columns, materialise, small_batches, worker_cache
+from .common import doc_columns, lean, materialise, small_batches, worker_cache
 
 #: Session setting that holds the secret key of surrogates.
 KEY_SETTING = "spark.tracerage.surrogates.key"
@@ -351,7 +351,7 @@ def detect(docs: DataFrame) -> DataFrame:
                     out.append([{"start": a, "length": b - a, "kind": k, "value": text[a:b]} for a, b, k in spans])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, _ENTITY_TYPE)], ["doc_id", "entities"])
 
-    return doc_columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id long, entities {ENTITY}")
+    return doc_columns(docs, "doc_id", "text").mapInArrow(lean(run), f"doc_id long, entities {ENTITY}")
 
 
 DRAWN = "doc_id long, kind string, value binary, drawn binary, attempt int, free boolean"
@@ -383,7 +383,7 @@ def drawn_units(docs: DataFrame, key: bytes, make=draw) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "kind", "value", "drawn", "attempt", "free"])
 
-    return read.mapInArrow(run, DRAWN)
+    return read.mapInArrow(lean(run), DRAWN)
 
 
 def _tries(text: str | None) -> dict[bytes, int]:
@@ -468,4 +468,4 @@ def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lists, _ENTITY_TYPE)], [*names, "entities"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
