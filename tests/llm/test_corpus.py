@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracerage.llm import html_text, langid, media, mixing, ngram_join, packing, pii, token_counts, warc, winnowing
+from tracerage.llm.common import hash_order
 from tracerage.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string, n_tokens string"
@@ -183,15 +184,14 @@ def test_long_shared_passages_share_a_fingerprint():
 
 
 def test_fingerprints_pair_each_document_with_the_next(docs, rows, empty):
-    ordered = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or ""))
-    nulls = [r for r in rows if r[0] is None]
-    chain = nulls + ordered
+    tie = {r.text: r.tie for r in docs.selectExpr("coalesce(text, '') as text").distinct().select("text", hash_order("text").alias("tie")).collect()}
+    chain = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1] or ""]))
     got = {}
     for r in winnowing.fingerprints(docs).collect():
         got.setdefault((r.doc_id, r.n_chars, r.edited_sha256), r)
     assert winnowing.fingerprints(docs).count() == len(rows)
     for i, r in enumerate(chain):
-        text, following = r[1] or "", (chain[i + 1] if i + 1 < len(chain) else ordered[0])[1] or ""
+        text, following = r[1] or "", chain[(i + 1) % len(chain)][1] or ""
         edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
         row = got[r[0], len(text), hashlib.sha256(edited.encode()).hexdigest()]
         assert row.fingerprint == winnowing.as_text(winnowing.winnow(text))
@@ -199,6 +199,20 @@ def test_fingerprints_pair_each_document_with_the_next(docs, rows, empty):
     assert winnowing.fingerprints(empty).count() == 0
 
 
+def test_every_row_has_a_successor_whatever_ids_are_null_or_repeated(spark):
+    """Few rows with every pattern of ids, then many rows of a hot id, of none and of ids that doubles can't tell apart."""
+    rng = random.Random(1)
+    tables = [[(i, f"text number {j} of all") for j, i in enumerate(ids)] for ids in [(None,), (None, None), (1,), (None, 1, 2, 3), (None, None, 1), (1, 1, 2), (None, 1, 1, 3, 3)]]
+    tables.append([(rng.choice([None, 5, 5, 5, rng.randint(0, 1000), 2**53 + rng.randint(0, 9)]), f"text {rng.randint(0, 300)} words here") for _ in range(600)])
+    for rows in tables:
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        tie = {r.text: r.tie for r in df.select("text", hash_order("text").alias("tie")).collect()}
+        chain = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
+        edited = [winnowing.half_replaced(r[1], chain[(i + 1) % len(chain)][1]) for i, r in enumerate(chain)]
+        want = sorted(((r[0] or -1, hashlib.sha256(e.encode()).hexdigest()) for r, e in zip(chain, edited, strict=True)))
+        assert sorted((r.doc_id or -1, r.edited_sha256) for r in winnowing.fingerprints(df).collect()) == want
+
+
 # WARC
 
 
@@ -460,7 +474,8 @@ def test_word_ids_equal_the_library_on_odd_texts():
     rng = random.Random(9)
     texts = ["It's DON'T x²½ ÀÉ <|endoftext|> a", "ΑΣ Σ", "İ", "áb", "a\x0bb\x1cc", "a\xa0b", "!!'s 12 ŉ ª", "''ss 'RE", ""]
     texts += ["".join(rng.choice("aB'sStTdD !.1é²\n\t-ßÞ") for _ in range(rng.randint(0, 12))) for _ in range(800)]
-    texts += ["one. Two, Two... x?. y.), ΑΣ. É. <|endoftext|>. a.b c'. d.'s", "z" * 5000, None]
+    texts += ["".join(rng.choice("aBİÜş. ,!?ß" + packing.LONGER) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    texts += ["İSTANBUL ÜNİVERSİTESİ. Yeni", "ÜNİVERSİTESİ, bir", "one. Two, Two... x?. y.), ΑΣ. É. <|endoftext|>. a.b c'. d.'s", "z" * 5000, None]
     for lo in range(0, len(texts), 64):
         got, counts = ids.ids(pa.array(texts[lo : lo + 64], pa.string()))
         for text, part in zip(texts[lo : lo + 64], np.split(got, np.cumsum(counts)[:-1]), strict=True):

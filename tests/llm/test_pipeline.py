@@ -15,7 +15,7 @@ def test_stages_and_queries_are_registered():
     import __spark_entry__
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "n-gram Jaccard join", "PII", "mixing", "packing"]
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14)) and set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
 
 

@@ -31,8 +31,10 @@ SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_set('L')}]+|[{_set('N')}]|[^\\s{
 #: A word with anything else goes to the library as it is: other scripts, marks, controls, a capital whose
 #: lower case is two characters, and what may be a special token.
 ODD = re.compile("[^!-~\xa1-įı-ſ]|<\\|")
-#: A letter, then stops up to white space: between them is always a border of pre-tokens.
-STOPS = r"(\pL)([.,;:!?]+)(\s|$)"
+#: A letter, then stops up to white space: between them is always a border of pre-tokens. Not after a
+#: letter whose lower case ends in a combining mark, which joins the stops.
+LONGER = "".join(c for c in map(chr, range(0x10000)) if c.isalpha() and len(c.lower()) > 1)
+STOPS = rf"([^\PL{LONGER}])([.,;:!?]+)(\s|$)"
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, mix64, worker_cache
+from .common import doc_columns, hash_order, mix64, range_slot, worker_cache
 
 GRAM, WINDOW = 24, 64
 
@@ -88,42 +89,57 @@ def half_replaced(text: str, following: str) -> str:
 
 
 def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows dealt over buckets that are ranges of the key: ``bucket, ghost``, key and text.
-
-    A bucket also gets, as a ghost, the first row of the next bucket that has rows (the last
-    bucket gets the first row of all), so each row's successor is in its own bucket and every text
-    is shuffled once. Buckets are cut at quantiles; the driver only sees those and one least key a
-    bucket. Rows of one key stay together.
+    """Rows dealt over buckets that follow each other: ``bucket, ghost, tie``, key and text.
+
+    Rows go by key, null keys first, rows of one key by a hash of their text (``tie``). A bucket
+    also gets, as a ghost, the first row of the next bucket that has rows (the last bucket that of
+    the first one), so each row's successor is in its own bucket and every text is shuffled once.
+    Buckets are cut at quantiles of the key; a key that fills several of them, and the rows without
+    one, are cut by ranges of the hash too. The driver only sees the cuts and each bucket's least
+    key and hash.
     """
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
-    edges = np.unique(np.array(cuts or [0.0]))
-
-    @F.pandas_udf("int")
-    def bucket_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.where(keys.isna(), 0, np.searchsorted(edges, keys.astype("float64"), side="right")).astype("int32"))
-
-    rows = docs.withColumn("bucket", bucket_of(F.col(key).cast("double")))
-    least = sorted((r["bucket"], r["k"]) for r in docs.select(bucket_of(F.col(key).cast("double")).alias("bucket"), key).groupBy("bucket").agg(F.min(key).alias("k")).collect())
-    if not least:
+    many = Counter(int(np.clip(c, -(2.0**63), 2.0**63 - 1024)) for c in cuts)
+    edges = sorted(many)
+    # Keys from edge i on fill the slots from base i + 1 on; the edge itself all but the last of them.
+    base = np.cumsum([buckets, 1, *(many[e] for e in edges)])[:-1].tolist()
+    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    at = F.size(F.filter(longs(edges), lambda e: e <= F.col(key))) if edges else F.lit(0)
+    rows = docs.withColumn("tie", hash_order("text")).withColumn("__at", at)
+    width = F.when(F.col(key).isNull(), buckets)
+    start = F.when(F.col(key).isNull(), 0)
+    if edges:
+        edge = F.get(longs(edges), F.col("__at") - 1)
+        width = width.when(F.col(key) == edge, F.get(longs([many[e] for e in edges]), F.col("__at") - 1))
+        last = F.get(longs([many[e] - 1 for e in edges]), F.col("__at") - 1)
+        start = start.when((F.col(key) == edge) | (F.col("__at") == 0), F.get(longs(base), F.col("__at"))).otherwise(F.get(longs(base), F.col("__at")) + last)
+    else:
+        start = start.otherwise(F.lit(buckets))
+    rows = rows.withColumn("__width", width.otherwise(1)).withColumn("__start", start)
+    rows = rows.withColumn("bucket", (F.col("__start") + range_slot("tie", "__width")).cast("int")).drop("__at", "__width", "__start")
+    least = rows.groupBy("bucket").agg(F.min(F.struct(F.col(key).isNotNull().alias("has"), F.col(key).alias("k"), "tie")).alias("least")).select("bucket", "least.k", "least.tie").collect()
+    ordered = sorted((tuple(r) for r in least), key=lambda r: r[0])
+    if not ordered:
         return rows.withColumn("ghost", F.lit(False))
-    before = {b: least[i - 1][0] for i, (b, _) in enumerate(least)}
-    first = spark.createDataFrame([(b, k, before[b]) for b, k in least if k is not None] or [(0, None, 0)], f"bucket int, {key} long, home int")
+    first = spark.createDataFrame([(b, k, tie, ordered[i - 1][0]) for i, (b, k, tie) in enumerate(ordered)], "b int, k long, t long, home int")
     # One row for each bucket: bounded by their number, so it is broadcast.
-    marked = rows.join(F.broadcast(first), ["bucket", key], "left")
-    homes = F.when(F.col("home").isNull(), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ghost")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ghost")), F.struct(F.col("home").alias("b"), F.lit(True).alias("ghost"))))
-    return marked.withColumn("x", F.explode(homes)).select(F.col("x.b").alias("bucket"), F.col("x.ghost").alias("ghost"), *docs.columns)
+    marked = rows.join(F.broadcast(first), (F.col("bucket") == F.col("b")) & F.col(key).eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t")), "left")
+    own = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ghost"))
+    homes = F.when(F.col("home").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("home").alias("b"), F.lit(True).alias("ghost"))))
+    return marked.withColumn("x", F.explode(homes)).select(F.col("x.b").alias("bucket"), F.col("x.ghost").alias("ghost"), "tie", *docs.columns)
 
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Winnowed fingerprints of every whole text and of its half-replaced text, with likenesses.
 
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
-    The next document is the one with the next larger doc_id (of equal ones, by text), after the
-    last the first. A null text is empty; its fingerprint is the empty string and is like another
-    empty one (1.0) and unlike any other (0.0). Null doc_ids come first. A single document is its
-    own successor. An empty table gives an empty table; other columns are ignored.
+    The next document is the one with the next larger doc_id, after the last the first. Null
+    doc_ids come first, so where there is one it follows the last document; rows of one doc_id go by
+    a hash of their text. A null text is empty; its fingerprint is the empty string and is like
+    another empty one (1.0) and unlike any other (0.0). A single document is its own successor. Every
+    row gives a row. An empty table gives an empty table; other columns are ignored.
     """
     docs = doc_columns(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
 
@@ -136,7 +152,7 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
             edited = half_replaced(text, following[2])
             again = winnow(edited, gram, window)
             sets = [np.unique(x >> np.uint64(32)) for x in (chosen, again, following[3])]
-            return doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), as_text(chosen), as_text(again), likeness(sets[0], sets[1]), likeness(sets[0], sets[2])
+            return doc_id and int(doc_id), len(text), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), as_text(chosen), as_text(again), likeness(sets[0], sets[1]), likeness(sets[0], sets[2])
 
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         for pdf in batches:
@@ -157,11 +173,12 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
 
     dealt = with_next(docs)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_first(), "tie", "text").drop("tie")
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))  # as strings, ids keep all their digits beside nulls in pandas
     return dealt.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=names)
-    out["doc_id"] = out["doc_id"].astype("Int64")
+    out["doc_id"] = pd.array([r[0] for r in rows], "Int64")
     return out
