@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.laws import get_law
 from ..functions.special import normal_inverse
 from ..sources.io import stored
+from .distributions import MOMENTS, add_moments
 from .order import quantiles, value_places
 
 KEYS = ["case_id", "param"]
@@ -157,7 +159,14 @@ def _monotone(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.sum(F.when(F.col("positive") == 1, F.col("mono")).otherwise(0.0)).alias("t"), (F.min("positive") == 0).alias("stopped"))
 
 
-def _in_rounds(draws: DataFrame, by: list[str], keys: list[str], pairs_of, max_lag: int | None) -> DataFrame:
+def _to_crossing(lags: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, t, stopped``: sums ``s`` of single lags (``pair``) up to the first that isn't positive."""
+    run = Window.partitionBy(*keys).orderBy("pair").rowsBetween(Window.unboundedPreceding, 0)
+    lags = lags.withColumn("positive", F.min(F.when(F.col("s") > 0, 1).otherwise(0)).over(run))
+    return lags.groupBy(*keys).agg(F.sum(F.when(F.col("positive") == 1, F.col("s")).otherwise(0.0)).alias("t"), (F.min("positive") == 0).alias("stopped"))
+
+
+def _in_rounds(draws: DataFrame, by: list[str], keys: list[str], pairs_of, max_lag: int | None, state_of=_monotone) -> DataFrame:
     """``keys, t, stopped`` from pair sums of lags in rounds: those of a group whose sums are still positive go on.
 
     Rounds double, so there are few even for chains that mix slowly; without ``max_lag`` they end
@@ -174,7 +183,7 @@ def _in_rounds(draws: DataFrame, by: list[str], keys: list[str], pairs_of, max_l
         sums = lagged(rows, [*by, "n"], first, last).where("lag < n").select(*by, "n", "lag", (F.col("products") / F.col("n")).alias("acov"))
         more = pairs_of(sums, rows)
         pairs = stored(more if pairs is None else pairs.unionByName(more), "pair-sums")
-        state = _monotone(pairs, keys)
+        state = state_of(pairs, keys)
         first, width = last + 1, 2 * width
         if first > limit:
             return state
@@ -211,44 +220,124 @@ def bulk_ess(draws: DataFrame, max_lag: int | None = None) -> DataFrame:
     return ess(rank_normalize(split_chains(draws)), max_lag).withColumnsRenamed({"ess": "bulk_ess", "truncated": "bulk_truncated"})
 
 
-def tail_ess(draws: DataFrame, max_lag: int | None = None) -> DataFrame:
-    """The smaller effective size of being at or under the 5 % and the 95 % quantile."""
+def tail_ess(draws: DataFrame, max_lag: int | None = None, upper: str = "at_most") -> DataFrame:
+    """The smaller effective size of being at or under the 5 % and the 95 % quantile.
+
+    With ``upper`` = ``at_least`` the second one is of being at or over the 95 % quantile.
+    """
     s = stored(split_chains(draws), "split-chains")
     rows = s.join(quantiles(s, KEYS, "value", {"lo": 0.05, "hi": 0.95}), KEYS)
-    parts = [ess(rows.withColumn("value", (F.col("value") <= F.col(q)).cast("double")), max_lag).toDF(*KEYS, q, f"{q}_truncated") for q in ("lo", "hi")]
+    over = {"at_most": F.col("value") <= F.col("hi"), "at_least": F.col("value") >= F.col("hi")}[upper]
+    parts = [ess(rows.withColumn("value", inside.cast("double")), max_lag).toDF(*KEYS, q, f"{q}_truncated") for q, inside in (("lo", F.col("value") <= F.col("lo")), ("hi", over))]
     return parts[0].join(parts[1], KEYS).select(*KEYS, F.least("lo", "hi").alias("tail_ess"), (F.col("lo_truncated") | F.col("hi_truncated")).alias("tail_truncated"))
 
 
 def mcse(draws: DataFrame, max_lag: int | None = None) -> DataFrame:
-    """``mcse, sd, mcse_truncated`` of the mean: deviation over the square root of the effective size."""
+    """``mcse, sd, mcse_truncated`` of the mean: deviation over the square root of the effective size.
+
+    0 of a constant quantity, infinite where chains are constant each but differ.
+    """
     s = stored(split_chains(draws), "split-chains")
-    return ess(s, max_lag).join(s.groupBy(*KEYS).agg(F.stddev_samp("value").alias("sd")), KEYS).select(*KEYS, (F.col("sd") / F.sqrt("ess")).alias("mcse"), "sd", F.col("truncated").alias("mcse_truncated"))
+    return ess(s, max_lag).join(s.groupBy(*KEYS).agg(F.stddev_samp("value").alias("sd")), KEYS).select(*KEYS, F.when(F.col("sd") == 0, 0.0).when(F.col("ess") == 0, float("inf")).otherwise(F.try_divide(F.col("sd"), F.sqrt("ess"))).alias("mcse"), "sd", F.col("truncated").alias("mcse_truncated"))
 
 
 def iact(draws: DataFrame, max_lag: int | None = None) -> DataFrame:
-    """``tau, ess, truncated`` of each chain: twice the monotone positive pair sums of its autocorrelations, less one."""
+    """``tau, ess, truncated, constant`` of each chain: twice the monotone positive pair sums of its autocorrelations, less one.
+
+    A constant chain has no autocorrelation: its row is marked, tau is null and ess 0.
+    """
     chain = [*KEYS, "chain"]
-    zero = stored(draws.groupBy(*chain).agg(F.var_pop("value").alias("c0"), F.count("*").alias("n")).where("c0 > 0"), "chain-variances")
+    every, zero = _chain_variances(draws, chain)
 
     def pairs_of(cov: DataFrame, _: DataFrame) -> DataFrame:
         rows = cov.join(zero.drop("n"), chain).withColumn("rho", F.col("acov") / F.col("c0"))
         return rows.groupBy(*chain, F.floor(F.col("lag") / 2).alias("pair")).agg(F.sum("rho").alias("s"), F.count("*").alias("c")).where("c = 2").drop("c")
 
-    out = zero.join(_in_rounds(draws, chain, chain, pairs_of, max_lag), chain)
-    tau = F.greatest(2 * F.col("t") - 1, F.lit(1e-3))
-    return out.select(*chain, tau.alias("tau"), (F.col("n") / tau).alias("ess"), (~F.col("stopped")).alias("truncated"))
+    out = every.join(_in_rounds(draws, chain, chain, pairs_of, max_lag), chain, "left")
+    tau = F.when(~F.col("constant"), F.greatest(2 * F.coalesce("t", F.lit(0.0)) - 1, F.lit(1e-3)))
+    return out.select(*chain, tau.alias("tau"), F.when(F.col("constant"), 0.0).otherwise(F.col("n") / tau).alias("ess"), (~F.col("constant") & ~F.coalesce("stopped", F.lit(False))).alias("truncated"), "constant")
+
+
+def _chain_variances(draws: DataFrame, chain: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``c0, n, constant`` of all chains, and those that aren't constant."""
+    every = stored(draws.groupBy(*chain).agg(F.var_pop("value").alias("c0"), F.count("*").alias("n"), (F.min("value") == F.max("value")).alias("constant")), "chain-variances")
+    return every, every.where("not constant").drop("constant")
+
+
+def first_crossing(draws: DataFrame, max_lag: int | None = 1000) -> DataFrame:
+    """``acf1, tau, ess, truncated, constant`` of each chain: autocorrelations added up to the first that isn't positive.
+
+    Each is over as many products as its lag leaves; tau is 1 + 2 times their sum, 1 at least, and
+    ess no more than the draws. Lags come in doubling rounds, and a chain leaves them at its crossing.
+    A constant chain, or one of fewer than three draws, has no acf1 and as many effective draws as draws.
+    """
+    chain = [*KEYS, "chain"]
+    every, zero = _chain_variances(draws, chain)
+    zero = zero.where("n >= 3")
+
+    def lags_of(cov: DataFrame, _: DataFrame) -> DataFrame:
+        rho = F.col("acov") * F.col("n") / ((F.col("n") - F.col("lag")) * F.col("c0"))
+        return cov.where("lag > 0").join(zero.drop("n"), chain).select(*chain, F.col("lag").alias("pair"), rho.alias("s"))
+
+    def state_of(lags: DataFrame, keys: list[str]) -> DataFrame:
+        return _to_crossing(lags, keys).join(lags.where("pair = 1").select(*keys, F.col("s").alias("acf1")), keys)
+
+    out = every.join(_in_rounds(draws, chain, chain, lags_of, max_lag, state_of), chain, "left")
+    tau = F.greatest(1 + 2 * F.coalesce("t", F.lit(0.0)), F.lit(1.0))
+    return out.select(*chain, "acf1", tau.alias("tau"), (F.col("n") / tau).alias("ess"), (F.col("t").isNotNull() & ~F.coalesce("stopped", F.lit(False))).alias("truncated"), "constant")
+
+
+def min_ess_per_second(sizes: DataFrame, seconds: DataFrame) -> DataFrame:
+    """``case_id, param, min_ess, ess_per_second``: the least of a case's summed effective sizes, by its run time.
+
+    ``sizes`` has ``ess`` of each chain, ``seconds`` a case's ``seconds``; no run time gives null.
+    """
+    per = sizes.groupBy(*KEYS).agg(F.sum("ess").alias("ess"))
+    least = per.groupBy("case_id").agg(F.min_by("param", F.struct("ess", "param")).alias("param"), F.min("ess").alias("min_ess"))
+    return least.join(seconds, "case_id", "left").select("case_id", "param", "min_ess", F.when(F.col("seconds") > 0, F.col("min_ess") / F.col("seconds")).alias("ess_per_second"))
+
+
+def quantities(draws: DataFrame, model: str, names: dict[str, str] | None = None) -> DataFrame:
+    """``case_id, chain, step, param, value, native``: parameters of a law and its seven moments, in long form.
+
+    ``draws`` has ``case_id, chain, step`` and a column for each parameter (``names``: law's name to
+    column). The result feeds every diagnostic here.
+    """
+    law = get_law(model)
+    names = names or {n: n for n in law.parameters}
+    wide = add_moments(draws.select("case_id", "chain", "step", *(F.col(c).alias(n) for n, c in names.items())), model)
+    long = wide.unpivot(["case_id", "chain", "step"], [*law.parameters, *MOMENTS], "param", "value")
+    return long.withColumn("native", F.col("param").isin(*law.parameters))
 
 
 def diagnostic_quantities(draws: DataFrame) -> DataFrame:
-    """Per quantity whether it is included (isn't constant) and whether all chains have as many draws."""
-    chains = draws.groupBy(*KEYS, "chain").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return chains.groupBy(*KEYS).agg((F.min("lo") != F.max("hi")).alias("included"), (F.min("n") == F.max("n")).alias("equal_counts"), F.min("n").alias("min_n"))
+    """Per quantity whether it is constant, whether it is included, and whether all chains have as many draws.
+
+    A sampled parameter (``native``; all are where there is no such column) is always included: a
+    stuck one is evidence against convergence. A derived moment is included unless it is constant.
+    """
+    native = F.col("native") if "native" in draws.columns else F.lit(True)
+    chains = draws.withColumn("__native", native).groupBy(*KEYS, "chain").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.max("__native").alias("native"))
+    constant = F.min("lo") == F.max("hi")
+    return chains.groupBy(*KEYS).agg(F.max("native").alias("native"), constant.alias("constant"), (F.max("native") | ~constant).alias("included"), (F.min("n") == F.max("n")).alias("equal_counts"), F.min("n").alias("min_n"), F.count("*").alias("n_chains"))
+
+
+def diagnose(draws: DataFrame, max_lag: int | None = None) -> DataFrame:
+    """Everything that qualify() needs of each quantity: ``rhat, ess, mcse`` beside the columns of diagnostic_quantities().
+
+    ``ess`` is the smaller one of bulk and tail. A stuck quantity has an infinite R-hat, no effective
+    draws and an error of 0.
+    """
+    info = diagnostic_quantities(draws)
+    rows = info.join(split_rhat(draws), KEYS, "left").join(bulk_ess(draws, max_lag), KEYS, "left").join(tail_ess(draws, max_lag), KEYS, "left").join(mcse(draws, max_lag), KEYS, "left")
+    stuck = F.col("constant")
+    return rows.select(*info.columns, F.when(stuck, float("inf")).otherwise(F.col("rhat")).alias("rhat"), F.when(stuck, 0.0).otherwise(F.least("bulk_ess", "tail_ess")).alias("ess"), F.when(stuck, 0.0).otherwise(F.col("mcse")).alias("mcse"))
 
 
 def qualify(diag: DataFrame, max_rhat: float, min_ess: float) -> tuple[DataFrame, DataFrame]:
     """``(quantities with qualified, run status per case)`` from ``rhat, ess, mcse, included, n_chains``."""
     finite = ~F.isnan("mcse") & (F.abs("mcse") < float("inf"))
-    ok = (F.col("rhat") < max_rhat) & (F.col("ess") >= min_ess) & finite
+    ok = (F.abs("rhat") < float("inf")) & (F.col("rhat") < max_rhat) & (F.col("ess") >= min_ess) & finite
     rows = diag.withColumn("qualified", F.when(F.col("included"), F.coalesce(ok, F.lit(False))))
     status = rows.groupBy("case_id").agg(F.max("n_chains").alias("k"), F.bool_and("qualified").alias("all"), F.count_if(F.col("included") & F.col("rhat").isNull()).alias("gone"))
     word = F.when(F.col("k") < 2, "not_applicable").when(F.col("gone") > 0, "diagnostics_unavailable").when(F.col("all"), "qualified").otherwise("not_qualified")

@@ -36,6 +36,25 @@ def value_places(df: DataFrame, keys: list[str], value: str, weight: str | None
     return placed.select(*keys, "value", "count", (F.col("before") + F.col("__ahead")).alias("before"), "total")
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "rank") -> DataFrame:
+    """Rows with their place ``out`` (from 1) in order within the keys, and the group's size ``__n``.
+
+    Rows are dealt in ranges of (keys, order), stored, and numbered within a range; sizes of the
+    ranges before are added. A group of any size is spread over tasks; only rows that agree in
+    everything that orders them stay together.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(df.repartitionByRange(tasks, *keys, *order).withColumn("__slot", F.spark_partition_id()), "ranked")
+    w = Window.partitionBy(*keys)
+    slots = rows.groupBy(*keys, "__slot").agg(F.count("*").alias("__c"))
+    slots = slots.withColumn("__ahead", F.coalesce(F.sum("__c").over(w.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.sum("__c").over(w)).drop("__c")
+    slots = slots.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__slot").alias("__s"), "__ahead", "__n")
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    placed = rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "__slot").orderBy(*order)))
+    placed = placed.join(slots, [*same, F.col("__slot") == F.col("__s")])
+    return placed.withColumn(out, F.col(out) + F.col("__ahead")).drop("__slot", "__s", "__ahead", *(f"__k{i}" for i in range(len(keys))))
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """``keys`` and a column for each share: exact quantiles, linear between neighbouring values.
 
@@ -60,8 +79,7 @@ def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "rank")
 
 def even_sample(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
     """k rows of each group evenly spaced in order: places rint(i * (n - 1) / (k - 1)), halves to even."""
-    w = Window.partitionBy(*keys)
-    rows = df.withColumn("__at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(w))
+    rows = ranked(df, keys, order, "__at").withColumn("__at", F.col("__at") - 1)
     places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.rint(i * (F.col("__n") - 1) / (k - 1)).cast("long")))
     return rows.where(F.array_contains(places, F.col("__at").cast("long"))).drop("__at", "__n")
 

@@ -12,6 +12,7 @@ from ..functions.scalar import uniform
 from ..functions.special import normal_cdf, normal_inverse
 from ..sources.io import stored
 from .clean import duplicate_keys
+from .order import ranked, value_places
 
 
 def parameter_grid(catalogue: DataFrame, n: int, params: list[str]) -> DataFrame:
@@ -164,21 +165,122 @@ def weighted_summary(weights: DataFrame, params: list[str], case: str = "case_id
 
 def weighted_quantile(weights: DataFrame, param: str, p: float, case: str = "case_id") -> DataFrame:
     """The least value whose cumulative weight reaches p."""
-    sums = weights.groupBy(case, param).agg(F.sum("weight").alias("weight"))
-    w = Window.partitionBy(case).orderBy(param).rowsBetween(Window.unboundedPreceding, 0)
-    return sums.withColumn("__c", F.sum("weight").over(w)).where(F.col("__c") >= p - 1e-12).groupBy(case).agg(F.min(param).alias("quantile"))
+    places = value_places(weights, [case], param, "weight")
+    return places.where(F.col("before") + F.col("count") >= p - 1e-12).groupBy(case).agg(F.min("value").alias("quantile"))
 
 
 def posterior_draws(weights: DataFrame, n: int, seed: int, case: str = "case_id") -> DataFrame:
     """n reproducible draws of whole grid rows per case, by where a hashed uniform falls in the cumulative weights."""
-    w = Window.partitionBy(case).orderBy("grid_id")
-    cum = weights.withColumn("hi", F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("lo", F.col("hi") - F.col("weight"))
+    places = value_places(weights, [case], "grid_id", "weight").select(case, F.col("value").alias("grid_id"), F.col("before").alias("lo"), (F.col("before") + F.col("count")).alias("hi"))
+    cum = weights.join(places, [case, "grid_id"])
     cells = cum.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * 64).cast("int"), F.least(F.floor(F.col("hi") * 64), F.lit(63)).cast("int"))))
     us = weights.select(case).distinct().select(case, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")).withColumn("u", uniform("draw", seed, F.col(case), F.col("draw"))).withColumn("cell", F.floor(F.col("u") * 64).cast("int"))
     hit = us.join(cells, [case, "cell"]).where("u >= lo and u < hi")
     return hit.drop("cell", "u", "lo", "hi")
 
 
+def distinct_draws(weights: DataFrame, n: int, seed: int, case: str = "case_id", salts: int = 32) -> DataFrame:
+    """n reproducible draws of whole grid rows per case without replacement, ``draw`` from 0 in the order drawn.
+
+    Each row gets the exponential time -ln(u) / weight of its own hashed uniform; the n first ones
+    are a successive weighted draw. The first n are kept in each of ``salts`` parts of a case, then
+    of what is left: no task sees a whole case. Rows without weight are never drawn; a case with
+    fewer rows gives all it has.
+    """
+    time = -F.log(uniform("distinct", seed, F.col(case), F.col("grid_id"))) / F.col("weight")
+    rows = weights.where("weight > 0").withColumn("__time", time).withColumn("__salt", F.pmod(F.xxhash64(case, "grid_id"), F.lit(salts)))
+    first = Window.partitionBy(case, "__salt").orderBy("__time", "grid_id")
+    rows = rows.withColumn("draw", F.row_number().over(first)).where(F.col("draw") <= n).drop("draw", "__salt")
+    last = Window.partitionBy(case).orderBy("__time", "grid_id")
+    return rows.withColumn("draw", F.row_number().over(last) - 1).where(F.col("draw") < n).drop("__time")
+
+
+def tabulated_priors(catalogue: DataFrame, histograms: DataFrame | None = None, cells: int = 400) -> DataFrame:
+    """``param, cell, x1, x2, d1, d2, c1, c2``: priors of a catalogue as linear densities on equal cells of their ranges.
+
+    ``uniform`` and ``normal`` (cut off at the range) from ``param, prior, mean, std, cal_lo,
+    cal_hi``; ``empirical`` ones are cells between the points of ``histograms`` (``param, x,
+    density``) within the range. c1 and c2 are cumulative shares, the last one 1.
+    """
+    x = F.col("cal_lo") + (F.col("cal_hi") - F.col("cal_lo")) * F.col("cell") / cells
+    rows = catalogue.where("prior <> 'empirical'").select("*", F.explode(F.sequence(F.lit(0), F.lit(cells))).alias("cell"))
+    shape = F.when(F.col("prior") == "normal", F.exp(-0.5 * F.pow((x - F.col("mean")) / F.col("std"), F.lit(2.0)))).otherwise(1.0)
+    points = rows.select("param", x.alias("x"), shape.alias("d"))
+    if histograms is not None:
+        ranges = catalogue.where("prior = 'empirical'").select("param", "cal_lo", "cal_hi")
+        points = points.unionByName(histograms.join(ranges, "param").where("x between cal_lo and cal_hi").select("param", "x", F.col("density").alias("d")))
+    w = Window.partitionBy("param").orderBy("x")  # as many rows as a parameter's prior has cells
+    segments = points.select("param", (F.row_number().over(w) - 1).alias("cell"), F.col("x").alias("x1"), F.col("d").alias("d1"), F.lead("x").over(w).alias("x2"), F.lead("d").over(w).alias("d2")).where("x2 is not null")
+    area = (F.col("x2") - F.col("x1")) * (F.col("d1") + F.col("d2")) / 2
+    total = F.sum(area).over(Window.partitionBy("param"))
+    shares = segments.withColumn("__total", total).withColumn("c2", F.sum(area).over(w.orderBy("x1").rowsBetween(Window.unboundedPreceding, 0)) / F.col("__total"))
+    return shares.select("param", "cell", "x1", "x2", (F.col("d1") / F.col("__total")).alias("d1"), (F.col("d2") / F.col("__total")).alias("d2"), (F.col("c2") - area / F.col("__total")).alias("c1"), "c2")
+
+
+def prior_quantiles(tables: DataFrame, wanted: DataFrame, grain: int = 64) -> DataFrame:
+    """``wanted`` (``param, p`` and others) with ``value``: where the cumulative prior reaches p.
+
+    An interval join: cells of a prior are looked up by the 1/grain of probability that they touch,
+    so a share meets the few cells there, not all of them; within a cell the linear density is
+    inverted in closed form.
+    """
+    band = lambda c: F.least(F.floor(c * grain), F.lit(grain - 1)).cast("int")
+    cells = tables.where("c2 > c1").withColumn("__band", F.explode(F.sequence(band(F.greatest(F.col("c1"), F.lit(0.0))), band(F.least(F.col("c2"), F.lit(1.0))))))
+    hit = wanted.withColumn("__band", band(F.col("p"))).join(cells, ["param", "__band"])
+    top = F.when(F.col("c2") >= 1 - 1e-12, F.col("p") <= F.col("c2") + 1e-9).otherwise(F.col("p") < F.col("c2"))
+    low = (F.col("p") >= F.col("c1")) | (F.col("c1") <= 1e-12)
+    need, slope = F.greatest(F.col("p") - F.col("c1"), F.lit(0.0)), (F.col("d2") - F.col("d1")) / (F.col("x2") - F.col("x1"))
+    step = F.try_divide(2 * need, F.col("d1") + F.sqrt(F.greatest(F.col("d1") * F.col("d1") + 2 * slope * need, F.lit(0.0))))
+    return hit.where(low & top).select(*wanted.columns, F.least(F.col("x1") + F.coalesce(step, F.lit(0.0)), F.col("x2")).alias("value"))
+
+
+def quantile_design(catalogue: DataFrame, tables: DataFrame, n: int, seed: int) -> DataFrame:
+    """``model, member, param, stratum, value``: starts in strata of equal prior probability, a permutation for each parameter."""
+    strata = stratified_design(catalogue.withColumnRenamed("param", "name"), n, seed)
+    key = uniform("jitter", seed, F.col("model"), F.col("name"), F.col("member"))
+    wanted = strata.select("model", "member", F.col("name").alias("param"), "stratum", ((F.col("stratum") + key) / n).alias("p"))
+    return prior_quantiles(tables, wanted).drop("p")
+
+
+def table_moments(tables: DataFrame) -> DataFrame:
+    """``param, prior_mean, prior_var`` of tabulated priors, exact for their linear densities."""
+    a, b, da, db = F.col("x1"), F.col("x2"), F.col("d1"), F.col("d2")
+    h = b - a
+    mass = h * (da + db) / 2
+    first = h * h * (da + 2 * db) / 6
+    second = h * h * h * (da + 3 * db) / 12
+    got = tables.groupBy("param").agg(F.sum(mass).alias("__m"), F.sum(a * mass + first).alias("__x"), F.sum(a * a * mass + 2 * a * first + second).alias("__xx"))
+    mean = F.col("__x") / F.col("__m")
+    return got.select("param", mean.alias("prior_mean"), (F.col("__xx") / F.col("__m") - mean * mean).alias("prior_var"))
+
+
+def prior_check(draws: DataFrame, tables: DataFrame) -> DataFrame:
+    """``case_id, param, n, mean, var, prior_mean, prior_var, mean_percent, var_percent, distance``: draws against their prior.
+
+    Differences in percent of the prior's moments (null of a moment that is 0), and the greatest
+    distance between the draws' and the prior's cumulative functions. Draws (``case_id, param,
+    value``, ``weight`` if there is one) are counted by value in ranges; the prior's function is
+    looked up at each distinct value in the cell that holds it, before and after the value's own step.
+    """
+    weight = "weight" if "weight" in draws.columns else None
+    own = F.col(weight) if weight else F.lit(1.0)
+    x = F.col("value")
+    moments = draws.withColumn("__w", own).groupBy("case_id", "param").agg(F.count("*").alias("n"), (F.sum(F.col("__w") * x) / F.sum("__w")).alias("mean"), (F.sum(F.col("__w") * x * x) / F.sum("__w")).alias("__xx"))
+    moments = moments.withColumn("var", F.greatest(F.col("__xx") - F.col("mean") * F.col("mean"), F.lit(0.0))).drop("__xx").join(table_moments(tables), "param")
+    places = value_places(draws, ["case_id", "param"], "value", weight)
+    # Each prior's cells are equal or bounded in number: one array for each parameter.
+    cells = tables.groupBy("param").agg(F.array_sort(F.collect_list(F.struct("x1", "x2", "d1", "d2", "c1"))).alias("cells"))
+    rows = places.join(cells, "param")
+    cell = F.try_element_at(F.filter("cells", lambda c: c["x1"] <= F.col("value")), F.lit(-1))
+    t = F.least(F.col("value"), cell["x2"]) - cell["x1"]
+    prior = F.coalesce(F.least(cell["c1"] + cell["d1"] * t + (cell["d2"] - cell["d1"]) * t * t / (2 * (cell["x2"] - cell["x1"])), F.lit(1.0)), F.lit(0.0))
+    rows = rows.withColumn("__f", prior)
+    gap = F.greatest(F.abs(F.col("before") / F.col("total") - F.col("__f")), F.abs((F.col("before") + F.col("count")) / F.col("total") - F.col("__f")))
+    far = rows.groupBy("case_id", "param").agg(F.max(gap).alias("distance"))
+    percent = lambda v, p: F.try_divide(100.0 * (F.col(v) - F.col(p)), F.abs(F.col(p)))
+    return moments.join(far, ["case_id", "param"]).select("case_id", "param", "n", "mean", "var", "prior_mean", "prior_var", percent("mean", "prior_mean").alias("mean_percent"), percent("var", "prior_var").alias("var_percent"), "distance")
+
+
 def resample_obs(obs: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
     """n resamplings of each observation from its normal error, cut off at 0."""
     rows = obs.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample"))
@@ -273,7 +375,12 @@ def job_matrix(wells: DataFrame, errors: list[float], steps: list[str], models:
 def remaining(cases: DataFrame, results: DataFrame, shards: int, group: str) -> DataFrame:
     """Cases without a successful result, cut into balanced shards within each group."""
     open_ = cases.join(results.where("success").select("case_id").distinct(), "case_id", "left_anti")
-    return open_.withColumn("shard", F.ntile(shards).over(Window.partitionBy(group).orderBy("case_id")))
+    rows = ranked(open_, [group], ["case_id"], "__at")
+    # Shards of a group differ by one case at most, the larger ones first.
+    size, more = F.floor(F.col("__n") / shards), F.col("__n") % shards
+    at = F.col("__at") - 1
+    shard = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return rows.withColumn("shard", (shard + 1).cast("int")).drop("__at", "__n")
 
 
 def stratified_design(catalogue: DataFrame, n: int, seed: int) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import stored
 from .order import quantiles as ranked_quantiles
 
 
@@ -133,6 +134,11 @@ def residuals(df: DataFrame) -> DataFrame:
     return df.withColumn("residual", r).withColumn("normalised", r / F.col("error")).withColumn("squared", F.pow(r / F.col("error"), F.lit(2.0)))
 
 
+def residual_totals(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, j, m, rms``: of residual rows the sum of squares, their number and sqrt(J / m)."""
+    return df.groupBy(*keys).agg(F.sum("squared").alias("j"), F.count("squared").alias("m")).withColumn("rms", F.sqrt(F.try_divide(F.col("j"), F.col("m"))))
+
+
 def fit_quality(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sqrt(F.avg("squared")).alias("rmse"), F.avg("normalised").alias("mean"), F.max(F.abs("normalised")).alias("max_abs"))
 
@@ -144,6 +150,28 @@ def predictive_check(pred: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("residual", F.col("median") - F.col("concentration")).withColumn("covered", F.col("concentration").between(F.col("q05"), F.col("q95")))
 
 
+def experiment_check(pred: DataFrame, keys: list[str], draw: str, observation: list[str]) -> DataFrame:
+    """Posterior predictive check of whole experiments: one row for each of ``keys``.
+
+    ``pred`` has a row for each draw and observation (``concentration, error, modeled``). A draw's
+    objective is the sum of its squared normalised residuals. Returns numbers of draws and
+    observations, the objective's mean, median, sd and 5 and 95 % quantiles, the median of its root
+    mean square, the same of the log-likelihood (minus half of it), and how many observations lie
+    between their draws' 5 and 95 % quantiles. Two aggregates: draws keep their objective before its
+    quantiles, observations their interval. Quantiles come from places of values dealt in ranges, so
+    neither an experiment's draws nor an observation's are in one buffer.
+    """
+    r = (F.col("modeled") - F.col("concentration")) / F.col("error")
+    draws = stored(pred.groupBy(*keys, draw).agg(F.sum(r * r).alias("objective"), F.count("*").alias("__m")).withColumn("rms", F.sqrt(F.try_divide(F.col("objective"), F.col("__m")))), "objectives")
+    limits = ranked_quantiles(pred, [*keys, *observation], "modeled", {"lo": 0.05, "hi": 0.95})
+    seen = pred.groupBy(*keys, *observation).agg(F.max("concentration").alias("concentration")).join(limits, [*keys, *observation])
+    covered = seen.groupBy(*keys).agg(F.count("*").alias("n_observations"), F.count_if(F.col("concentration").between(F.col("lo"), F.col("hi"))).alias("covered_n"))
+    rows = draws.groupBy(*keys).agg(F.count("*").alias("n_draws"), F.avg("objective").alias("mean"), F.stddev_samp("objective").alias("sd"))
+    rows = rows.join(ranked_quantiles(draws, keys, "objective", {"q05": 0.05, "median": 0.5, "q95": 0.95}), keys).join(ranked_quantiles(draws, keys, "rms", {"rms_median": 0.5}), keys).join(covered, keys)
+    half = {f"log_likelihood_{a}": -0.5 * F.col(b) for a, b in (("mean", "mean"), ("median", "median"), ("q05", "q95"), ("q95", "q05"))}
+    return rows.withColumns({**half, "coverage": F.col("covered_n") / F.col("n_observations")})
+
+
 def share_below(df: DataFrame, keys: list[str], value: str, limit: float) -> DataFrame:
     rows = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.avg((F.col(value) < limit).cast("int")).alias("share_below"))
     return with_quantiles(rows, df, keys, value, {"q05": 0.05, "median": 0.5})

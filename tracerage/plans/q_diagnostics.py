@@ -88,9 +88,57 @@ def j08(spark, sf):
     return dg.iact(dg.split_chains(fx.draws(spark, sf))).select("case_id", "param", "chain", F.round("tau", 7).alias("tau"), "truncated")
 
 
-@query("j09_diagnostic_quantities", f"with {fx.DRAWS}, c as (select case_id, param, chain, count(*) as n, min(value) as lo, max(value) as hi from draws group by all) select case_id, param, min(lo) <> max(hi) as included, min(n) = max(n) as equal_counts, min(n) as min_n from c group by all")
+@query("j06b_tail_at_least", f"with {SPLIT}, {TAILS.replace('value <= hi', 'value >= hi')}, {ess_sql('tl', 'zl')}, {ess_sql('th', 'zh')} select l.case_id, l.param, round(least(l.ess, h.ess), 4) as tail_ess, l.truncated or h.truncated as tail_truncated from zl_e l join zh_e h using (case_id, param)")
+def j06b(spark, sf):
+    return dg.tail_ess(fx.draws(spark, sf), upper="at_least").withColumn("tail_ess", F.round("tail_ess", 4))
+
+
+#: The draws with one chain of t stuck.
+STUCK = f"{fx.DRAWS}, st as (select case_id, chain::varchar as chain, step, param, case when param = 't' and chain = 1 then 0.05::double else value end as value from draws)"
+CROSSING = f"{STUCK}, {acov_sql('st', 'ac', 200)}, zr as (select case_id, param, chain, acov as c0 from ac where lag = 0), cs as (select case_id, param, chain, count(*) as n, min(value) = max(value) as constant from st group by all), rh as (select a.case_id, a.param, a.chain, a.lag, a.acov * a.n / ((a.n - a.lag) * c0) as rho from ac a join zr using (case_id, param, chain) join cs using (case_id, param, chain) where lag > 0 and not constant), ps as (select *, min((rho > 0)::integer) over (partition by case_id, param, chain order by lag) as pos from rh), cr as (select case_id, param, chain, max(rho) filter (lag = 1) as acf1, greatest(1 + 2 * sum(case when pos = 1 then rho else 0 end), 1) as tau from ps group by all), cx as (select cs.case_id, cs.param, cs.chain, acf1, coalesce(tau, 1.0) as tau, n / coalesce(tau, 1.0) as ess, constant from cs left join cr using (case_id, param, chain))"
+
+
+def stuck(spark, sf):
+    return fx.draws(spark, sf).withColumn("value", F.when((F.col("param") == "t") & (F.col("chain") == 1), 0.05).otherwise(F.col("value"))).withColumn("chain", F.col("chain").cast("string"))
+
+
+@query("j08b_first_crossing", f"with {CROSSING} select case_id, param, chain, round(acf1, 8) as acf1, round(tau, 7) as tau, round(ess, 3) as ess, constant from cx")
+def j08b(spark, sf):
+    return dg.first_crossing(stuck(spark, sf)).select("case_id", "param", "chain", F.round("acf1", 8).alias("acf1"), F.round("tau", 7).alias("tau"), F.round("ess", 3).alias("ess"), "constant")
+
+
+@query("j08c_min_ess_per_second", f"with {CROSSING}, pe as (select case_id, param, sum(ess) as ess from cx group by all), sec as (select l_returnflag as case_id, sum(l_quantity) / 1000 as seconds from lineitem group by 1) select case_id, arg_min(param, ess) as param, round(min(ess), 3) as min_ess, round(min(ess) / any_value(seconds), 5) as ess_per_second from pe join sec using (case_id) group by 1")
+def j08c(spark, sf):
+    seconds = fx.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("case_id")).agg((F.sum("l_quantity") / 1000).alias("seconds"))
+    return dg.min_ess_per_second(dg.first_crossing(stuck(spark, sf)), seconds).select("case_id", "param", F.round("min_ess", 3).alias("min_ess"), F.round("ess_per_second", 5).alias("ess_per_second"))
+
+
+#: Draws as a shifted exponential law's scale and shift with its moments; case A never moves its shift, case N never its scale.
+def quantity_sql(*parts: tuple[str, str, bool]) -> str:
+    return " union all ".join(f"select case_id, chain, step, '{name}' as param, {value} as value, {str(native).lower()} as native from pl" for name, value, native in parts)
+
+
+QUANTITIES = f"{fx.DRAWS.split('draws as')[0]} pl as (select case_id, chain, step, case when case_id = 'N' then 10.0::double else q end as scale, case when case_id = 'A' then 0.04::double else d end as shift from wide), draws as ({quantity_sql(('scale', 'scale', True), ('shift', 'shift', True), ('mean', 'shift + scale', False), ('std', 'scale', False), *((f'p{int(100 * p)}', f'shift - scale * ln(1 - {p}::double)', False) for p in (0.1, 0.25, 0.5, 0.75, 0.9)))}), dq as (select case_id, param, bool_or(native) as native, min(lo) = max(hi) as constant, bool_or(native) or min(lo) <> max(hi) as included, min(n) = max(n) as equal_counts, min(n) as min_n, count(*) as n_chains from (select case_id, param, chain, bool_or(native) as native, count(*) as n, min(value) as lo, max(value) as hi from draws group by all) group by all)"
+
+
+def quantity_rows(spark, sf):
+    wide = fx.draws_wide(spark, sf)
+    wide = wide.withColumn("q", F.when(F.col("case_id") == "N", 10.0).otherwise(F.col("q"))).withColumn("d", F.when(F.col("case_id") == "A", 0.04).otherwise(F.col("d")))
+    return dg.quantities(wide, "exp_shifted", {"scale": "q", "shift": "d"})
+
+
+@query("j09_diagnostic_quantities", f"with {QUANTITIES} select * from dq")
 def j09(spark, sf):
-    return dg.diagnostic_quantities(fx.draws(spark, sf))
+    return dg.diagnostic_quantities(quantity_rows(spark, sf))
+
+
+QSPLIT = SPLIT.replace(fx.DRAWS, QUANTITIES)
+RUN = f"{QSPLIT}, {FOLDED}, {scores_sql('sp', 'z')}, {scores_sql('fo', 'zf')}, {TAILS}, {ess_sql('z', 'zb')}, {ess_sql('tl', 'zl')}, {ess_sql('th', 'zh')}, rr as (select a.case_id, a.param, greatest(a.rhat, b.rhat) as rhat from {RHAT.format(t='z')} a join {RHAT.format(t='zf')} b using (case_id, param)), dg as (select q.*, case when constant then 'infinity'::double else r.rhat end as rhat, case when constant then 0 else least(b.ess, l.ess, h.ess) end as ess from dq q left join rr r using (case_id, param) left join zb_e b using (case_id, param) left join zl_e l using (case_id, param) left join zh_e h using (case_id, param))"
+
+
+@query("j10b_qualified_run", f"with {RUN} select case_id, case when bool_and(case when included then rhat < 1.5 and ess >= 100 end) then 'qualified' else 'not_qualified' end as status from dg group by 1")
+def j10b(spark, sf):
+    return dg.qualify(dg.diagnose(quantity_rows(spark, sf)), 1.5, 100.0)[1]
 
 
 GATE = "dia as (select l_suppkey as case_id, l_linenumber::varchar as param, 1 + max(l_discount) / 5 as rhat, sum(l_quantity) as ess, avg(l_tax) as mcse, l_linenumber < 7 as included, case when l_suppkey % 10 = 0 then 1 else 4 end as n_chains from lineitem group by l_suppkey, l_linenumber), qd as (select *, case when included then rhat < 1.0195 and ess >= 1800 end as qualified from dia), st as (select case_id, case when max(n_chains) < 2 then 'not_applicable' when bool_and(qualified) then 'qualified' else 'not_qualified' end as status from qd group by 1)"
@@ -131,6 +179,14 @@ def k01(spark, sf):
     return fp.fingerprint(fx.table(spark, sf, "orders"), ["o_custkey"], ["o_orderkey", "o_orderstatus", "o_orderpriority"])
 
 
+ORDERED = f"pl as (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderstatus, o_orderkey) as place from orders), h as (select o_custkey, sha256(place::varchar || chr(31) || hex(o_orderstatus) || chr(31) || hex(o_orderpriority)) as h from pl), fpr as (select o_custkey, count(*) as n, sha256('__place,o_orderstatus,o_orderpriority|' || count(*) || '|' || {part_sql(0)} || '|' || {part_sql(1)} || '|' || {part_sql(2)}) as f from h group by 1)"
+
+
+@query("k01b_ordered_fingerprint", f"with {ORDERED} select o_custkey, n, sha256('o_orderstatus:string,o_orderpriority:string|' || f) as fingerprint from fpr")
+def k01b(spark, sf):
+    return fp.ordered_fingerprint(fx.table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderstatus", "o_orderkey"], ["o_orderstatus", "o_orderpriority"])
+
+
 @query("k02_fingerprint_diff", "select o_custkey, case when bool_or(o_orderkey % 40 = 0) then 'values' when bool_or(o_orderkey % 7 = 0) then 'labels' end as differs from orders group by 1")
 def k02(spark, sf):
     o = fx.table(spark, sf, "orders")

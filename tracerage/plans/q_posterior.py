@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.laws import get_law
+from ..operators import fit as ft
 from ..operators import forward as fw
 from ..operators import posterior as po
 from ..sources import fixtures as fx
@@ -103,6 +105,23 @@ def f09(spark, sf):
     return po.prior_moments(priors(spark)).join(n, "param").select("param", F.round("prior_mean", 6).alias("prior_mean"), F.round("prior_std", 6).alias("prior_std"), "n")
 
 
+#: Priors as cells of linear density: a cut normal, a uniform one, and a histogram of the draws' own t.
+TABLES = f"{fx.DRAWS}, {PRI}, pts as (select param, cal_lo + (cal_hi - cal_lo) * i / 400 as x, case when prior = 'normal' then exp(-0.5::double * pow((cal_lo + (cal_hi - cal_lo) * i / 400 - mean) / std, 2)) else 1.0::double end as d from pri cross join range(401) r(i) where param <> 't' union all select 't', bin / 100.0::double, n::double from (select round(t * 100)::bigint as bin, count(*) as n from wide group by 1) where bin / 100.0::double between 0.0 and 0.08), seg as (select param, x as x1, d as d1, lead(x) over w as x2, lead(d) over w as d2 from pts window w as (partition by param order by x)), ar as (select *, (x2 - x1) * (d1 + d2) / 2 as area from seg where x2 is not null), tab as (select param, x1, x2, d1 / sum(area) over (partition by param) as d1, d2 / sum(area) over (partition by param) as d2, area / sum(area) over (partition by param) as m, sum(area) over (partition by param order by x1) / sum(area) over (partition by param) as c2 from ar)"
+
+
+def prior_tables(spark, sf):
+    hist = fx.draws_wide(spark, sf).groupBy(F.round(F.col("t") * 100).cast("long").alias("bin")).agg(F.count("*").cast("double").alias("density"))
+    pri = priors(spark).withColumn("prior", F.when(F.col("param") == "t", "empirical").otherwise(F.col("prior")))
+    return po.tabulated_priors(pri, hist.select(F.lit("t").alias("param"), (F.col("bin") / F.lit(100.0)).alias("x"), "density"))
+
+
+@query("f09b_prior_check", f"with {TABLES}, mo as (select param, sum(x1 * m + (x2 - x1) * (x2 - x1) * (d1 + 2 * d2) / 6) as pm, sum(x1 * x1 * m + 2 * x1 * (x2 - x1) * (x2 - x1) * (d1 + 2 * d2) / 6 + pow(x2 - x1, 3) * (d1 + 3 * d2) / 12) as pq from tab group by 1), dm as (select case_id, param, count(*) as n, avg(value) as mean, avg(value * value) - avg(value) * avg(value) as var from draws group by all), dv as (select case_id, param, value, count(*) as c from draws group by all), pl as (select *, sum(c) over (partition by case_id, param order by value) as upto, sum(c) over (partition by case_id, param) as total from dv), lk as (select pl.*, coalesce((select least(c2 - m + d1 * (least(pl.value, x2) - x1) + (d2 - d1) * pow(least(pl.value, x2) - x1, 2) / (2 * (x2 - x1)), 1.0) from tab where tab.param = pl.param and x1 <= pl.value order by x1 desc limit 1), 0.0) as f from pl), di as (select case_id, param, max(greatest(abs((upto - c) / total::double - f), abs(upto / total::double - f))) as distance from lk group by all) select case_id, param, n, round(mean, 8) as mean, round(var, 7) as var, round(pm, 8) as prior_mean, round(pq - pm * pm, 8) as prior_var, round(100 * (mean - pm) / abs(pm), 5) as mean_percent, round(100 * (var - (pq - pm * pm)) / (pq - pm * pm), 4) as var_percent, round(distance, 8) as distance from dm join mo using (param) join di using (case_id, param)")
+def f09b(spark, sf):
+    got = po.prior_check(fx.draws(spark, sf), prior_tables(spark, sf))
+    digits = {"mean": 8, "var": 7, "prior_mean": 8, "prior_var": 8, "mean_percent": 5, "var_percent": 4, "distance": 8}
+    return got.select("case_id", "param", "n", *(F.round(c, n).alias(c) for c, n in digits.items()))
+
+
 @query("f10_density_quantile", f"with {EMP}, cm as (select case_id, x, density, sum(coalesce((x - px) * (density + pd) / 2, 0)) over (partition by case_id order by x) as c from (select *, lag(x) over (partition by case_id order by x) as px, lag(density) over (partition by case_id order by x) as pd from emp)), ce as (select case_id, x as x1, density as d1, c as c1, lead(x) over w as x2, lead(density) over w as d2, lead(c) over w as c2, 0.3::double * max(c) over (partition by case_id) as want from cm window w as (partition by case_id order by x)) select case_id, round(x1 + 2 * (want - c1) / (d1 + sqrt(d1 * d1 + 2 * (d2 - d1) / (x2 - x1) * (want - c1))), 5) as quantile from ce where x2 is not null and c1 <= want and want < c2")
 def f10(spark, sf):
     emp = po.empirical_prior(histogram_density(spark, sf), -5.0, 60.0, 101, ["case_id"], 0.5)
@@ -132,6 +151,12 @@ def f12(spark, sf):
     return po.posterior_draws(weights(spark, sf).select("case_id", "grid_id", "weight", "scale"), 20, 11).select("case_id", "draw", "grid_id", "scale")
 
 
+@query("f12b_distinct_draws", f"with w as (select l_suppkey as case_id, l_orderkey * 10 + l_linenumber as grid_id, sum(l_quantity) as weight from lineitem group by all), t as (select *, -ln({U.format(k=chr(39) + 'distinct|7|' + chr(39) + ' || case_id || ' + chr(39) + '|' + chr(39) + ' || grid_id')}) / weight as t from w) select case_id, grid_id, weight, (row_number() over (partition by case_id order by t, grid_id) - 1)::integer as draw from t qualify draw < 25")
+def f12b(spark, sf):
+    w = fx.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("case_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("grid_id")).agg(F.sum("l_quantity").alias("weight"))
+    return po.distinct_draws(w, 25, 7)
+
+
 #: Noise: a uniform number of its key through the inverse normal distribution, cut off at 0.
 NOISE = f"{OBSV}, us as (select well, tracer, date, i as sample, concentration, error, {U.format(k='concat_ws(' + chr(39) + '|' + chr(39) + ', ' + chr(39) + 'noise' + chr(39) + ', 5, well, tracer, i)')} as u, {sq.normal_cdf('(-concentration / error)')} as low from ob cross join range({{n}}) r(i)), np as (select *, low + (1 - low) * u as p from us), rs as (select well, tracer, date, sample, error, greatest(concentration + error * {sq.normal_inverse('p')}, 0) as resampled from np)"
 
@@ -154,6 +179,33 @@ def f14(spark, sf):
     return po.best_fit(data, 0.0, 8.0, lambda x, at: x * at, 6, 24).select("case_id", F.round("x", 3).alias("x"))
 
 
+#: Planted shapes and scales of Weibull laws, a pair for each supplier, and their masses up to the ages of its lines.
+PLANTED = "planted as (select l_suppkey as case_id, 0.8::double + l_suppkey % 17 / 10.0::double as k, 5.0::double + round(avg(l_quantity)) as lam from lineitem group by 1)"
+
+
+def planted(spark, sf):
+    rows = fx.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("case_id")).agg((5.0 + F.round(F.avg("l_quantity"))).alias("lam"))
+    return rows.withColumn("k", 0.8 + F.col("case_id") % 17 / F.lit(10.0))
+
+
+@query("f14b_best_fit_weibull", f"with {PLANTED} select case_id, k, lam, count(*) as n, 0.0::double as objective, 0.0::double as max_relative_error, 0.0::double as k_error, 0.0::double as lam_relative_error, true as converged from planted join lineitem on l_suppkey = case_id group by all")
+def f14b(spark, sf):
+    truth = planted(spark, sf)
+    law = get_law("weibull")
+    data = fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("case_id"), F.col("l_quantity").alias("at")).join(truth, "case_id")
+    data = data.select("case_id", "at", law.cdf({"k": F.col("k"), "lam": F.col("lam")}, F.col("at")).alias("observed"), F.lit(0.01).alias("error"))
+    fits = ft.parameter_errors(ft.best_fits(data, {"k": (0.3, 4.0), "lam": (1.0, 80.0)}, law.cdf), truth, ["k", "lam"])
+    tidy = lambda c, n: (F.round(c, n) + 0.0).alias(c)
+    return fits.select("case_id", tidy("k", 6), tidy("lam", 5), "n", tidy("objective", 5), tidy("max_relative_error", 5), tidy("k_error", 6), tidy("lam_relative_error", 6), "converged")
+
+
+@query("f14c_best_fit_line", "select l_suppkey as case_id, round(regr_intercept(l_extendedprice, l_quantity), 2) as base, round(regr_slope(l_extendedprice, l_quantity), 3) as slope, count(*) as n, round(sqrt((regr_syy(l_extendedprice, l_quantity) - pow(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity)) / count(*)) / 1000, 5) as objective, true as converged from lineitem group by 1")
+def f14c(spark, sf):
+    data = fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("case_id"), F.col("l_quantity").alias("at"), F.col("l_extendedprice").alias("observed"), F.lit(1000.0).alias("error"))
+    fits = ft.best_fits(data, {"base": (-100000.0, 100000.0), "slope": (-10000.0, 10000.0)}, lambda p, at: p["base"] + p["slope"] * at, starts=1)
+    return fits.select("case_id", F.round("base", 2).alias("base"), F.round("slope", 3).alias("slope"), "n", F.round("objective", 5).alias("objective"), "converged")
+
+
 @query("f15_best_row", f"with {fx.DRAWS} select case_id, chain, step, obj_function from (select *, row_number() over (partition by case_id order by obj_function, chain, step) as n from wide) where n = 1")
 def f15(spark, sf):
     return po.best_row(fx.draws_wide(spark, sf), "case_id", ["chain", "step"]).select("case_id", "chain", "step", "obj_function")
@@ -212,6 +264,13 @@ def f21(spark, sf):
     return po.stratified_design(catalogue(spark, sf), 50, 3).select("model", "name", "member", "stratum", F.round("value", 8).alias("value"))
 
 
+@query("f21b_quantile_design", f"with {TABLES}, c as (select distinct l_returnflag as model, param, cal_lo, cal_hi from lineitem cross join pri), m as (select model, param, i::integer as member from c cross join range(200) r(i)), s as (select *, row_number() over (partition by model, param order by {ukey('order', 3, 'model', 'param', 'member')}, member) - 1 as stratum from m), p as (select *, (stratum + {ukey('jitter', 3, 'model', 'param', 'member')}) / 200 as p from s) select model, member, p.param, stratum::integer as stratum, round(least(x1 + coalesce(2 * (p - (c2 - m)) / nullif(d1 + sqrt(greatest(d1 * d1 + 2 * (p - (c2 - m)) * (d2 - d1) / (x2 - x1), 0)), 0), 0), x2), 7) as value from p join tab on tab.param = p.param and (p >= c2 - m or c2 - m <= 1e-12) and p < c2")
+def f21b(spark, sf):
+    models = fx.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("model")).distinct()
+    listed = models.join(priors(spark).select("param", "cal_lo", "cal_hi"), how="cross")
+    return po.quantile_design(listed, prior_tables(spark, sf), 200, 3).select("model", "member", "param", "stratum", F.round("value", 7).alias("value"))
+
+
 @query("f22_synthetic_cases", f"with {CATALOGUE} select model, i::integer as case_no, name, round(cal_lo + (cal_hi - cal_lo) * {ukey('truth', 9, 'model', 'name', 'i')}, 8) as value from spec cross join range(40) r(i)")
 def f22(spark, sf):
     return po.synthetic_cases(catalogue(spark, sf), 40, 9).select("model", "case_no", "name", F.round("value", 8).alias("value"))

@@ -205,6 +205,11 @@ def h17(spark, sf):
     return residual_rows(spark, sf).select("well", "obs_id", F.round("residual", 4).alias("residual"), F.round("normalised", 8).alias("normalised"))
 
 
+@query("h17b_residual_totals", f"with {RES} select well, round(sum(squared), 5) as j, count(squared) as m, round(sqrt(sum(squared) / count(squared)), 7) as rms from res group by 1")
+def h17b(spark, sf):
+    return R(R(su.residual_totals(residual_rows(spark, sf), ["well"]), 5, "j"), 7, "rms")
+
+
 @query("h18_fit_quality", f"with {RES} select well, element, count(*) as n, round(sqrt(avg(squared)), 7) as rmse, round(avg(normalised), 7) as mean, round(max(abs(normalised)), 7) as max_abs from res group by all")
 def h18(spark, sf):
     return R(su.fit_quality(residual_rows(spark, sf), ["well", "element"]), 7, "rmse", "mean", "max_abs")
@@ -218,6 +223,19 @@ def h19(spark, sf):
     return R(su.predictive_check(pred, ["well", "element"]).drop("concentration", "error"), 6, "q05", "median", "q95", "residual")
 
 
+#: A well as an experiment, its lines of one number as a draw, a tracer's mean of them as its prediction.
+EXPERIMENT = f"li as (select l_suppkey as well, l_linenumber as draw, o_orderpriority as element, l_extendedprice as concentration from lineitem join orders on l_orderkey = o_orderkey), ob as (select well, element, max(concentration) * 0.9 as concentration, 5000.0::double as error from li group by all), pr as (select well, draw, element, avg(li.concentration) as modeled from li group by all), pe as (select *, pow((modeled - concentration) / error, 2) as c from pr join ob using (well, element)), ob2 as (select well, draw, sum(c) as objective, sqrt(sum(c) / count(*)) as rms from pe group by all), cv as (select well, element, max(concentration) as x, quantile_cont(modeled, 0.05) as lo, quantile_cont(modeled, 0.95) as hi from pe group by all), cn as (select well, count(*) as n_observations, count(*) filter (x between lo and hi) as covered_n from cv group by 1)"
+
+
+@query("h19b_experiment_check", f"with {EXPERIMENT} select o.well, count(*) as n_draws, round(avg(objective), 5) as mean, round(stddev_samp(objective), 5) as sd, round(quantile_cont(objective, 0.05), 5) as q05, round(median(objective), 5) as median, round(quantile_cont(objective, 0.95), 5) as q95, round(median(rms), 6) as rms_median, any_value(n_observations) as n_observations, any_value(covered_n) as covered_n, round(-0.5 * avg(objective), 5) as log_likelihood_mean, round(-0.5 * median(objective), 5) as log_likelihood_median, round(-0.5 * quantile_cont(objective, 0.95), 5) as log_likelihood_q05, round(-0.5 * quantile_cont(objective, 0.05), 5) as log_likelihood_q95, round(any_value(covered_n) / any_value(n_observations)::double, 9) as coverage from ob2 o join cn using (well) group by o.well")
+def h19b(spark, sf):
+    rows = fx.lines(spark, sf).select(F.col("l_suppkey").alias("well"), F.col("l_linenumber").alias("draw"), F.col("o_orderpriority").alias("element"), F.col("l_extendedprice").alias("concentration"))
+    top = rows.groupBy("well", "element").agg((F.max("concentration") * 0.9).alias("concentration"), F.lit(5000.0).alias("error"))
+    pred = rows.groupBy("well", "draw", "element").agg(F.avg("concentration").alias("modeled")).join(top, ["well", "element"])
+    got = su.experiment_check(pred, ["well"], "draw", ["element"])
+    return R(R(R(got, 5, "mean", "sd", "q05", "median", "q95", "log_likelihood_mean", "log_likelihood_median", "log_likelihood_q05", "log_likelihood_q95"), 6, "rms_median"), 9, "coverage")
+
+
 @query("h20_share_below", f"with {fx.DRAWS} select case_id, count(*) as n, min(q) as min, round(quantile_cont(q, 0.05), 6) as q05, round(median(q), 6) as median, round(avg((q < 10)::integer), 8) as share_below from wide group by 1")
 def h20(spark, sf):
     return R(R(su.share_below(fx.draws_wide(spark, sf), ["case_id"], "q", 10.0), 6, "q05", "median"), 8, "share_below")
