@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -69,17 +70,25 @@ def phrase_hashes(hashes: np.ndarray, joined: np.ndarray, longest: int) -> list[
 class Scan:
     """One scan of a shard: counts of the phrases that are active at this step.
 
-    ``active[n]`` has for each slot of hashes the step from which phrases of n words in it count as
-    frequent. A longer phrase is counted for one cycle of ``shards`` steps from the step on at which
-    both its parts (all but the last word, all but the first) are frequent; single words from the
-    first step. Phrases that share a slot may start earlier than needed, never later or shorter.
+    ``reached[n]`` has for each slot of hashes the step from which phrases of n words in it count as
+    maybe frequent. A phrase both of whose parts (all but the last word, all but the first; none of
+    a single word) are so far maybe frequent is counted by hash, for one cycle of ``shards`` steps;
+    one that is maybe frequent itself is counted by its words, for one cycle from then on. Phrases
+    that share a slot may start earlier than needed, never later or for less than a cycle.
     """
 
-    def __init__(self, active: dict[int, np.ndarray], step: int, shards: int, longest: int):
-        self.active, self.step, self.shards, self.longest = active, step, shards, longest
+    def __init__(self, reached: dict[int, np.ndarray], step: int, shards: int, longest: int):
+        self.reached, self.step, self.shards, self.longest = reached, step, shards, longest
 
-    def counts(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
-        """``words, hashes, counts, rows, phrases`` of a chunk for each length that has any."""
+    def due(self, since: np.ndarray) -> np.ndarray:
+        return (since <= self.step) & (self.step < since + self.shards)
+
+    def since(self, n: int, hashes: np.ndarray) -> np.ndarray:
+        table = self.reached.get(n)
+        return np.full(len(hashes), NEVER, np.int16) if table is None else table[slot_of(hashes, len(table))].astype(np.int16)
+
+    def counts(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None, list[str] | None]]:
+        """``words, hashes, counts, rows, phrases`` of a chunk for each length, the last two None for counts by hash."""
         data = lower_ascii(data)
         starts, ends, hashes, rows, joined = words_of(data, offsets)
         if not len(starts):
@@ -88,19 +97,19 @@ class Scan:
         raw = data.tobytes()
         words = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         hashes = mix64(hashes ^ langs[rows])
-        made = phrase_hashes(hashes, joined, self.longest)
-        for n in range(1, self.longest + 1):
-            own, there = made[n - 1]
+        before = np.zeros(len(hashes), np.int16)
+        for n, (own, there) in enumerate(phrase_hashes(hashes, joined, self.longest), 1):
             if n == 1:
-                since = np.zeros(len(own), np.int16)
-            elif n - 1 not in self.active:
-                return
+                since = before
             else:
-                table = self.active[n - 1]
-                parts = table[slot_of(made[n - 2][0], len(table))].astype(np.int16)
                 since = np.full(len(own), NEVER, np.int16)
-                since[:-1] = np.maximum(parts[:-1], parts[1:])
-            due = np.flatnonzero(there & (since <= self.step) & (self.step < since + self.shards))
+                since[:-1] = np.maximum(before[:-1], before[1:])
+            maybe = np.flatnonzero(there & self.due(since))
+            if len(maybe):
+                keys, count = np.unique(own[maybe], return_counts=True)
+                yield n, keys, count, None, None
+            before = self.since(n, own)
+            due = np.flatnonzero(there & self.due(before))
             if len(due):
                 keys, at, count = np.unique(own[due], return_index=True, return_counts=True)
                 at = due[at]
@@ -112,9 +121,15 @@ def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
 
 
-def scan(docs: DataFrame, active: dict[int, np.ndarray], step: int, shards: int, longest: int) -> DataFrame:
-    """``lang, words, phrase, hash, n`` of one shard, each active phrase once."""
-    sent = docs.sparkSession.sparkContext.broadcast(active)
+def scan(docs: DataFrame, reached: dict[int, np.ndarray], step: int, shards: int, longest: int, least_here: int) -> DataFrame:
+    """``lang, words, phrase, hash, n`` of one shard: exact counts, and without lang and phrase those by hash of ``least_here`` or more.
+
+    In the first cycle also each language's number of words, as phrases of no words.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(reached)
+
+    def rows_of(lang: pa.Array, n: int, phrases: pa.Array, keys: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(keys), n, np.int32)), phrases, pa.array(keys.view(np.int64)), pa.array(count.astype(np.int64))], ["lang", "words", "phrase", "hash", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
@@ -125,11 +140,19 @@ def scan(docs: DataFrame, active: dict[int, np.ndarray], step: int, shards: int,
             codes = named.indices.to_numpy()
             own = np.array([hash_text(name) for name in names.to_pylist()], np.uint64)
             for lo, hi, data, offsets in text_chunks(batch.column("text"), 2 << 20):
-                for n, keys, count, rows, phrases in work.counts(data, offsets, own[codes[lo:hi]]):
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(codes[lo:hi][rows])), pa.array(np.full(len(keys), n, np.int32)), pa.array(phrases, pa.string()), pa.array(keys.view(np.int64)), pa.array(count.astype(np.int64))], ["lang", "words", "phrase", "hash", "n"])
+                here = codes[lo:hi]
+                for n, keys, count, rows, phrases in work.counts(data, offsets, own[here]):
+                    if phrases is not None:
+                        yield rows_of(names.take(pa.array(here[rows])), n, pa.array(phrases, pa.string()), keys, count)
+                    else:
+                        yield rows_of(pa.nulls(len(keys), pa.string()), n, pa.nulls(len(keys), pa.string()), keys, count)
+                if step < shards:
+                    starts, _, _, rows, _ = words_of(data, offsets)
+                    total = np.bincount(here[rows], minlength=len(names))
+                    yield rows_of(names, 0, pa.array([""] * len(names)), np.zeros(len(names), np.uint64), total)
 
     found = docs.select("lang", "text").mapInArrow(lean(run), "lang string, words int, phrase string, hash long, n long")
-    return found.groupBy("lang", "words", "phrase", "hash").agg(F.sum("n").alias("n"))
+    return found.groupBy("lang", "words", "phrase", "hash").agg(F.sum("n").alias("n")).where(F.col("phrase").isNotNull() | (F.col("n") >= least_here))
 
 
 def hash_text(text: str) -> int:
@@ -154,39 +177,39 @@ def sharded(docs: DataFrame, shards: int) -> list[DataFrame]:
     return [every.where(F.col("shard") == s) for s in range(shards)]
 
 
-def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: int = 4, slots: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: int = 3, slots: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
     """``lang, words, phrase, f`` of all phrases with f >= least, and ``lang, n`` of all words.
 
-    Dynamic itemset counting: shards are scanned in a cycle, all lengths at once. After each scan,
-    phrases that have reached ``least`` by now make longer ones active, which are counted from the
-    next shard on until they have seen every shard once. A phrase that is frequent in all has
-    frequent parts, so none is missed, and every count is over all shards. What is frequent is told
-    to tasks by tables of ``slots`` bytes: they bound what is sent and what the driver holds, decide
-    what is counted needlessly, never a result.
+    Dynamic itemset counting: shards are scanned in a cycle, all lengths at once. A phrase that has
+    ``least`` occurrences in all has its ``shards``-th part of them in some shard, so it is maybe
+    frequent once a scan counts that many. From the next shard on it is counted by its words until
+    it has seen every shard once, and longer phrases both of whose parts are maybe frequent are
+    counted by hash, until they have seen every shard once too. Nothing frequent is missed, and
+    counts that are kept are exact and over all shards. Rare phrases are shuffled once, as hashes,
+    and never stored.
+
+    What is maybe frequent is told to tasks by tables of ``slots`` bytes: they bound what is sent
+    and what the driver holds, decide what is counted needlessly, never a result.
     """
-    parts, tables, active = sharded(docs, shards), [], {}
-    step, until = 0, shards
+    parts, tables, reached = sharded(docs, shards), [], {}
+    step, until, bits = 0, shards, slots.bit_length() - 1
     while step < until:
-        tables.append(materialise(scan(parts[step % shards], active, step, shards, longest), f"phrases-{step}"))
-        counted = tables[0]
-        for t in tables[1:]:
-            counted = counted.unionByName(t)
-        growing = [n for n in range(1, longest) if n > 1 or step < shards]
-        bits = slots.bit_length() - 1
-        reached = counted.where(F.col("words").isin(growing)).groupBy("words", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        found = reached.select("words", F.shiftrightunsigned("hash", 64 - bits).cast("int").alias("slot")).distinct().toPandas()
-        for n in growing:
+        counted = materialise(scan(parts[step % shards], reached, step, shards, longest, -(-least // shards)), f"phrases-{step}")
+        tables.append(counted.where("phrase is not null"))
+        found = counted.where("phrase is null").select("words", F.shiftrightunsigned("hash", 64 - bits).cast("int").alias("slot")).distinct().toPandas()
+        for n in range(1, longest + 1):
             own = found["slot"][found["words"] == n].to_numpy(np.int64)
-            table = active.get(n, np.full(slots, NEVER, np.uint8))
+            table = reached.get(n, np.full(slots, NEVER, np.uint8))
             fresh = own[table[own] == NEVER]
             if len(fresh):
                 table = table.copy()
                 table[fresh] = step + 1
-                active = active | {n: table}
+                reached = reached | {n: table}
                 until = max(until, step + 1 + shards)
         step += 1
-    totals = counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    sizes = counted.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
+    counted = reduce(DataFrame.unionByName, tables)
+    totals = counted.where("words > 0").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    sizes = counted.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
     return materialise(totals, "phrases"), sizes
 
 
@@ -194,7 +217,7 @@ def _joined(first: Column | int, length: Column | int) -> Column:
     return F.array_join(F.slice("w", first, length), " ")
 
 
-def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int = 2000, share: int = 50, shards: int = 4, slots: int = 1 << 22) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int = 2000, share: int = 50, shards: int = 3, slots: int = 1 << 24) -> DataFrame:
     """Each language's ``top`` phrases: ``lang, rank, phrase, a, l, r, n, score``.
 
     Phrases of 2 to ``longest`` words within a piece of text with ``a`` >= ``least`` occurrences. A
