@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -126,14 +127,16 @@ def scan(docs: DataFrame, reached: dict[int, np.ndarray], step: int, shards: int
 
     In the first cycle also each language's number of words, as phrases of no words.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(reached)
+    # Tables are sparse, or of few values: compressed, they are small; a worker unpacks those of a step once.
+    sent = docs.sparkSession.sparkContext.broadcast({n: zlib.compress(t.tobytes(), 1) for n, t in reached.items()})
+    run_id = uuid.uuid4().hex
 
     def rows_of(lang: pa.Array, n: int, phrases: pa.Array, keys: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(keys), n, np.int32)), phrases, pa.array(keys.view(np.int64)), pa.array(count.astype(np.int64))], ["lang", "words", "phrase", "hash", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache()
-        work = Scan(sent.value, step, shards, longest)
+        tables = worker_cache(("phrases", run_id), lambda: {n: np.frombuffer(zlib.decompress(t), np.uint8) for n, t in sent.value.items()})
+        work = Scan(tables, step, shards, longest)
         for batch in batches:
             named = batch.column("lang").dictionary_encode()
             names = named.dictionary
