@@ -21,6 +21,8 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[list(GAPS)] = 1
 _KIND[list(STOPS)] = 2
 NEVER = 255
+#: Slots of one of Spark's bitmaps.
+BITS = 32_768
 #: floor(10^6 a a / (l r)) in decimals: exact below 10^16 occurrences.
 SCORE = "(cast(a as decimal(19,0)) * cast(a as decimal(19,0)) * cast(1000000 as decimal(7,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
 
@@ -72,10 +74,11 @@ class Scan:
     """One scan of a shard: counts of the phrases that are active at this step.
 
     ``reached[n]`` has for each slot of hashes the step from which phrases of n words in it count as
-    maybe frequent. A phrase both of whose parts (all but the last word, all but the first; none of
-    a single word) are so far maybe frequent is counted by hash, for one cycle of ``shards`` steps;
-    one that is maybe frequent itself is counted by its words, for one cycle from then on. Phrases
-    that share a slot may start earlier than needed, never later or for less than a cycle.
+    maybe frequent. A phrase both of whose parts (all but the last word, all but the first) are so
+    far maybe frequent is counted by hash, for one cycle of ``shards`` steps; one that is maybe
+    frequent itself is counted by its words, for one cycle from then on. Single words, few as they
+    are, are counted as such from the first step. Phrases that share a slot may start earlier than
+    needed, never later or for less than a cycle.
     """
 
     def __init__(self, reached: dict[int, np.ndarray], step: int, shards: int, longest: int):
@@ -94,27 +97,23 @@ class Scan:
         starts, ends, hashes, rows, joined = words_of(data, offsets)
         if not len(starts):
             return
-        _, first, code = np.unique(hashes, return_index=True, return_inverse=True)
         raw = data.tobytes()
-        words = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         hashes = mix64(hashes ^ langs[rows])
-        before = np.zeros(len(hashes), np.int16)
+        before = np.zeros(0, np.int16)
         for n, (own, there) in enumerate(phrase_hashes(hashes, joined, self.longest), 1):
-            if n == 1:
-                since = before
-            else:
+            if n > 1:
                 since = np.full(len(own), NEVER, np.int16)
                 since[:-1] = np.maximum(before[:-1], before[1:])
-            maybe = np.flatnonzero(there & self.due(since))
-            if len(maybe):
-                keys, count = np.unique(own[maybe], return_counts=True)
-                yield n, keys, count, None, None
+                maybe = np.flatnonzero(there & self.due(since))
+                if len(maybe):
+                    keys, count = np.unique(own[maybe], return_counts=True)
+                    yield n, keys, count, None, None
             before = self.since(n, own)
-            due = np.flatnonzero(there & self.due(before))
+            due = np.flatnonzero(there & self.due(before if n > 1 else np.zeros(len(own), np.int16)))
             if len(due):
                 keys, at, count = np.unique(own[due], return_index=True, return_counts=True)
                 at = due[at]
-                texts = [[words[c] for c in code[at + k].tolist()] for k in range(n)]
+                texts = [[raw[a:b].decode() for a, b in zip(starts[at + k].tolist(), ends[at + k].tolist(), strict=True)] for k in range(n)]
                 yield n, keys, count, rows[at], texts[0] if n == 1 else list(map(" ".join, zip(*texts, strict=True)))
 
 
@@ -123,10 +122,7 @@ def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
 
 
 def scan(docs: DataFrame, reached: dict[int, np.ndarray], step: int, shards: int, longest: int, least_here: int) -> DataFrame:
-    """``lang, words, phrase, hash, n`` of one shard: exact counts, and without lang and phrase those by hash of ``least_here`` or more.
-
-    In the first cycle also each language's number of words, as phrases of no words.
-    """
+    """``lang, words, phrase, hash, n`` of one shard: exact counts, and without lang and phrase those by hash of ``least_here`` or more."""
     # Tables are sparse, or of few values: compressed, they are small; a worker unpacks those of a step once.
     sent = docs.sparkSession.sparkContext.broadcast({n: zlib.compress(t.tobytes(), 1) for n, t in reached.items()})
     run_id = uuid.uuid4().hex
@@ -149,10 +145,6 @@ def scan(docs: DataFrame, reached: dict[int, np.ndarray], step: int, shards: int
                         yield rows_of(names.take(pa.array(here[rows])), n, pa.array(phrases, pa.string()), keys, count)
                     else:
                         yield rows_of(pa.nulls(len(keys), pa.string()), n, pa.nulls(len(keys), pa.string()), keys, count)
-                if step < shards:
-                    starts, _, _, rows, _ = words_of(data, offsets)
-                    total = np.bincount(here[rows], minlength=len(names))
-                    yield rows_of(names, 0, pa.array([""] * len(names)), np.zeros(len(names), np.uint64), total)
 
     found = docs.select("lang", "text").mapInArrow(lean(run), "lang string, words int, phrase string, hash long, n long")
     return found.groupBy("lang", "words", "phrase", "hash").agg(F.sum("n").alias("n")).where(F.col("phrase").isNotNull() | (F.col("n") >= least_here))
@@ -184,7 +176,7 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
     """``lang, words, phrase, f`` of all phrases with f >= least, and ``lang, n`` of all words.
 
     Dynamic itemset counting: shards are scanned in a cycle, all lengths at once. A phrase that has
-    ``least`` occurrences in all has its ``shards``-th part of them in some shard, so it is maybe
+    ``least`` occurrences in all has a ``shards``-th part of them in some shard, so it is maybe
     frequent once a scan counts that many. From the next shard on it is counted by its words until
     it has seen every shard once, and longer phrases both of whose parts are maybe frequent are
     counted by hash, until they have seen every shard once too. Nothing frequent is missed, and
@@ -195,24 +187,30 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
     and what the driver holds, decide what is counted needlessly, never a result.
     """
     parts, tables, reached = sharded(docs, shards), [], {}
-    step, until, bits = 0, shards, slots.bit_length() - 1
+    step, until, bits, here = 0, shards, slots.bit_length() - 1, -(-least // shards)
     while step < until:
-        counted = materialise(scan(parts[step % shards], reached, step, shards, longest, -(-least // shards)), f"phrases-{step}")
+        counted = materialise(scan(parts[step % shards], reached, step, shards, longest, here), f"phrases-{step}")
         tables.append(counted.where("phrase is not null"))
-        found = counted.where("phrase is null").select("words", F.shiftrightunsigned("hash", 64 - bits).cast("int").alias("slot")).distinct().toPandas()
-        for n in range(1, longest + 1):
-            own = found["slot"][found["words"] == n].to_numpy(np.int64)
-            table = reached.get(n, np.full(slots, NEVER, np.uint8))
-            fresh = own[table[own] == NEVER]
-            if len(fresh):
-                table = table.copy()
-                table[fresh] = step + 1
+        slot = (F.shiftrightunsigned("hash", 64 - bits) + 1).alias("slot")
+        found = counted.where(F.col("phrase").isNull() | ((F.col("words") == 1) & (F.col("n") >= here))).select("words", slot)
+        # Bitmaps of 32,768 slots each: what the driver gets is bounded by the number of slots.
+        maps = found.groupBy("words", F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+        for n in {r["words"] for r in maps}:
+            table = reached.get(n, np.full(slots, NEVER, np.uint8)).copy()
+            fresh = False
+            for r in maps:
+                if r["words"] == n:
+                    part = table[(r["bucket"] - 1) * BITS : r["bucket"] * BITS]
+                    new = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")[: len(part)].astype(bool) & (part == NEVER)
+                    part[new] = step + 1
+                    fresh |= bool(new.any())
+            if fresh:
                 reached = reached | {n: table}
                 until = max(until, step + 1 + shards)
         step += 1
     counted = reduce(DataFrame.unionByName, tables)
-    totals = counted.where("words > 0").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    sizes = counted.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
+    totals = counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    sizes = counted.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
     return materialise(totals, "phrases"), sizes
 
 
