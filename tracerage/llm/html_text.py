@@ -246,10 +246,41 @@ def laid_out(main: list[str], other: list[str], rng: np.random.Generator) -> tup
     links = lambda: "<ul>" + "".join(f'<li><a href="#">{mark(t, 0)}</a></li>' for t in draw(short, 7)) + "</ul>"
     lines = lambda most: "".join(f"<p>{mark(' '.join(t.split()[:40]), 0)}</p>" for t in draw([*other, *main], most))
     plain = lambda: mark(" ".join(draw([*other, *main], 1)[0].split()[:20]), 0)
-    inner = ""
+
+    def part(most: int) -> str:
+        """Some words of the article, marked as such."""
+        w = draw(main, 1)[0].split()
+        at = int(rng.integers(len(w)))
+        return mark(" ".join(w[at : at + int(rng.integers(1, most + 1))]), 1)
+
+    def article_block(t: str) -> str:
+        """A text of the article in one of the elements that articles have; lists, tables and captions hold parts of texts."""
+        many = lambda open_, close, most: "".join(f"{open_}{part(14)}{close}" for _ in range(int(rng.integers(2, most + 1))))
+        kind = rng.random()
+        if kind < 0.58:
+            return f"<p>{mark(t, 1)}</p>"
+        if kind < 0.67:
+            tag = ("ul", "ol")[int(rng.integers(2))]
+            return f"<{tag}>{many('<li>', '</li>', 6)}</{tag}>"
+        if kind < 0.73:
+            return "<table>" + "".join(f"<tr>{many('<td>', '</td>', 3)}</tr>" for _ in range(int(rng.integers(1, 4)))) + "</table>"
+        if kind < 0.77:
+            return f"<figure><img src='x'><figcaption>{part(16)}</figcaption></figure>"
+        if kind < 0.80:
+            return f"<dl>{many('<dt>', '</dt>', 2)}<dd>{part(20)}</dd></dl>"
+        if kind < 0.89:
+            return mark(t, 1)  # bare text in the container
+        tag = ("h2", "h3", "pre", "blockquote", "div")[int(rng.integers(5))]
+        return f"<{tag}>{part(8) if tag[0] == 'h' else mark(t, 1)}</{tag}>"
+
+    inner, bare = "", rng.random() < 0.08
     for i, t in enumerate(main):
-        tag = "h1" if not i and rng.random() < 0.8 else "p" if rng.random() < 0.85 else ("li", "blockquote", "h2", "pre")[int(rng.integers(4))]
-        inner += f"<{tag}>{mark(t, 1)}</{tag}>"
+        if bare:
+            inner += f"{mark(t, 1)}<br><br>"
+        elif not i and rng.random() < 0.8:
+            inner += f"<h1>{mark(t, 1)}</h1>"
+        else:
+            inner += article_block(t)
         if rng.random() < 0.05:
             inner += box(("advert", "side")[int(rng.integers(2))], plain())
     if rng.random() < 0.2:
