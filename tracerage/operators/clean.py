@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import c, to_num
-from .order import quantiles
+from .order import quantiles, ranked
 
 #: What units may not be, canonical labels, and other names of theirs.
 PLACEHOLDERS = ["", "0", "-", "n/a", "na", "none", "null", "unknown"]
@@ -33,11 +33,9 @@ def validate_observations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def normalize_series(df: DataFrame) -> DataFrame:
-    """Finite dated values, one element a series; ``at`` counts them by date."""
-    from pyspark.sql import Window
-
+    """Finite dated values, one element a series; ``at`` counts them by date. A series of any size is spread over tasks."""
     rows = df.select("element", to_num("date").alias("date"), to_num("concentration").alias("concentration")).where("element is not null and date is not null and concentration is not null")
-    return rows.withColumn("at", F.row_number().over(Window.partitionBy("element").orderBy("date", "concentration")).cast("long"))
+    return ranked(rows, ["element"], ["date", "concentration"], "at").drop("__n")
 
 
 def check_units(df: DataFrame, unit: str = "unit") -> DataFrame:
@@ -192,11 +190,11 @@ def quantile_sanity(df: DataFrame, group: str, tol: float = 0.01) -> DataFrame:
 
 
 def retain(draws: DataFrame, burn_in: float, thinning: int, step: str = "step") -> DataFrame:
-    """Draws after a share of their chain, every so many steps."""
-    from pyspark.sql import Window
-
-    n = F.count("*").over(Window.partitionBy("case_id", "chain"))
-    return draws.withColumn("__n", n).where((F.col(step) > burn_in * F.col("__n")) & (F.col(step) % thinning == 0)).drop("__n")
+    """Draws after a share of their chain, every so many steps. Chains are counted map-side and their sizes joined back."""
+    sizes = draws.groupBy("case_id", "chain").agg(F.count("*").alias("__n"))
+    sizes = sizes.select(F.col("case_id").alias("__case"), F.col("chain").alias("__chain"), "__n")
+    rows = draws.where(F.col(step) % thinning == 0).join(sizes, F.col("case_id").eqNullSafe(F.col("__case")) & F.col("chain").eqNullSafe(F.col("__chain")))
+    return rows.where(F.col(step) > burn_in * F.col("__n")).drop("__n", "__case", "__chain")
 
 
 def matrix_rules(matrix: DataFrame, configs: DataFrame) -> DataFrame:

@@ -53,6 +53,18 @@ def curves(draws: DataFrame, model: str, n: int, top: float = 70.0) -> DataFrame
     return rows.withColumn("cdf", law.cdf(p, F.col("t"))).withColumn("pdf", pdf)
 
 
+def curves_wide(draws: DataFrame, model: str, n: int, row: str, rows: list, kind: str = "cdf", top: float = 70.0) -> DataFrame:
+    """``t, p<row>``: the curves (``cdf`` or ``pdf``) of selected draws side by side, a row an age.
+
+    ``row`` numbers the draws, ``rows`` are those that become columns: only they are evaluated. A row
+    that isn't there has nulls, one that is there twice fails the job.
+    """
+    mine = curves(draws.where(F.col(row).isin(rows)), model, n, top)
+    twice = F.raise_error(F.lit("a draw is there twice")).cast("double")
+    of = lambda r: F.when(F.count_if(F.col(row) == r) <= 1, F.max(F.when(F.col(row) == r, F.col(kind)))).otherwise(twice)
+    return mine.groupBy("t").agg(*(of(r).alias(f"p{r}") for r in rows))
+
+
 def remap(df: DataFrame, mean: str, second: str) -> DataFrame:
     """Other parameterisations of (mean, second).
 

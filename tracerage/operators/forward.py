@@ -237,6 +237,34 @@ def endmembers(tracers: DataFrame, chronicle: DataFrame, date: float, edges: lis
     return k.groupBy("tracer", "age_bin").agg(F.avg(ch.decay(F.col("value"), F.col("decay_rate"), F.col("age"))).alias("response"))
 
 
+def composite_endmembers(parts: DataFrame, chronicle: DataFrame, date: float, edges: list[float], old_age: float, n: int = 120) -> DataFrame:
+    """``member, age_bin, lo, hi, response``: end-members made of parts of histories, and their old end.
+
+    ``parts`` has rows ``member, history, product, weight, half_life, delay, decays, before, fixed``. A
+    member is the weighted sum of its parts. A part's water enters its history's tracer ``delay``
+    years before recharge (``before`` where the history hasn't begun) and decays on the way if
+    ``decays``; after an age its ``product`` is the ``parent`` that is left or the ``daughter``
+    that has grown (none without a half-life). Each bin between ``edges`` has the mean of n ages from
+    end to end. The open bin after the last edge (``hi`` null) has ``fixed``, or ``before`` at ``old_age``.
+    """
+    last = len(edges) - 2
+    limits = F.array(*(F.struct(F.lit(i).alias("age_bin"), F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+    rate = F.log(F.lit(2.0)) / F.col("half_life")
+    wrong = F.raise_error(F.concat(F.lit("no product of a part is called "), F.col("product"))).cast("double")
+
+    def after(age: Column, entry: Column) -> Column:
+        held = entry * F.when(F.col("decays") & rate.isNotNull(), F.exp(-rate * F.col("delay"))).otherwise(1.0)
+        grown = held * F.coalesce(-F.expm1(-rate * age), F.lit(0.0))
+        return F.col("weight") * F.when(F.col("product") == "parent", ch.decay(held, rate, age)).when(F.col("product") == "daughter", grown).otherwise(wrong)
+
+    pts = parts.withColumnRenamed("history", "tracer").select("*", F.inline(limits)).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    pts = pts.withColumn("age", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / max(n - 1, 1)).withColumn("x", date - F.col("age") - F.col("delay"))
+    young = ch.interpolate_hold(pts, chronicle, F.col("before")).groupBy("member", "age_bin", "lo", "hi").agg((F.sum(after(F.col("age"), F.col("value"))) / n).alias("response"))
+    old = parts.groupBy("member").agg(F.sum(F.coalesce(F.col("weight") * F.col("fixed"), after(F.lit(float(old_age)), F.col("before")))).alias("response"))
+    open_bin = {"age_bin": F.lit(last + 1), "lo": F.lit(float(edges[-1])), "hi": F.lit(None).cast("double")}
+    return young.unionByName(old.withColumns(open_bin))
+
+
 def mix(fractions: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
     """End-member responses times fractions: ``keys, tracer, modeled``."""
     return fractions.join(members, "age_bin").groupBy(*keys, "tracer").agg(F.sum(F.col("fraction") * F.col("response")).alias("modeled"))

@@ -84,8 +84,32 @@ def even_sample(df: DataFrame, keys: list[str], order: list[str], k: int) -> Dat
     return rows.where(F.array_contains(places, F.col("__at").cast("long"))).drop("__at", "__n")
 
 
+def running(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows with a running ``sum``, ``min`` or ``max`` for each ``out: (value, fold)``, in order within the keys.
+
+    Rows are dealt in ranges of (keys, order), stored, and folded within a range; what the ranges
+    before come to is put ahead. A group of any size is spread over tasks. Nulls don't count; a
+    running value is null as long as nothing has come. Rows should differ in what orders them:
+    those that don't stay in one range, in any order.
+    """
+    folds = {"sum": F.sum, "min": F.min, "max": F.max}
+    join = {"sum": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(df.repartitionByRange(tasks, *keys, *order).withColumn("__slot", F.spark_partition_id()), "running")
+    ahead = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = rows.groupBy(*keys, "__slot").agg(*(folds[how](value).alias(f"__v{i}") for i, (value, how) in enumerate(columns.values())))
+    slots = slots.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__slot").alias("__s"), *(folds[how](f"__v{i}").over(ahead).alias(f"__a{i}") for i, (_, how) in enumerate(columns.values())))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    inner = Window.partitionBy(*keys, "__slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumns({f"__r{i}": folds[how](value).over(inner) for i, (value, how) in enumerate(columns.values())})
+    placed = placed.join(slots, [*same, F.col("__slot") == F.col("__s")])
+    placed = placed.withColumns({out: join[how](F.col(f"__r{i}"), F.col(f"__a{i}")) for i, (out, (_, how)) in enumerate(columns.items())})
+    return placed.drop("__slot", "__s", *(f"__k{i}" for i in range(len(keys))), *(f"__{x}{i}" for x in "ra" for i in range(len(columns))))
+
+
 def cummin(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.min(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    """The least value so far, in order within the keys; groups of any size."""
+    return running(df, keys, order, {out: (value, "min")})
 
 
 def ordered(df: DataFrame, column: str, order: list[str]) -> DataFrame:

@@ -67,6 +67,52 @@ def truth_surface(grid: DataFrame, truth: DataFrame, relative: float, floor: flo
     return got.groupBy("case_id").agg(F.min("chi2").alias("least"), F.min_by("grid_id", F.struct("chi2", "grid_id")).alias("best"))
 
 
+def _steps(lo: float, hi: float):
+    return lambda share: lo + F.lit(hi - lo) * share
+
+
+def _ratios(lo: float, hi: float):
+    return lambda share: lo * F.pow(F.lit(hi / lo), share)
+
+
+def axis_grid(truth: DataFrame, axes: dict[str, tuple[float, float, bool]], n: int) -> DataFrame:
+    """``case_id, grid_id, is_true`` and a column for each axis: every case's own grid, its true point among it.
+
+    An axis goes from lo to hi in n - 1 steps, in equal ratios if its flag says so (log), and has the
+    case's true value (a column of ``truth`` of the axis' name) besides; values that are there already come
+    once. ``grid_id`` counts the points of a case row-major, in ascending values.
+    """
+    rows = truth.select("case_id", *(F.col(a).alias(f"__t_{a}") for a in axes))
+    for a, (lo, hi, log) in axes.items():
+        if log and not 0 < lo < hi:
+            raise ValueError(f"axis {a} can't be in equal ratios from {lo} to {hi}")
+        share = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i / (n - 1))
+        steps = F.transform(share, _ratios(lo, hi) if log else _steps(lo, hi))
+        values = F.array_sort(F.array_distinct(F.concat(steps, F.array(F.col(f"__t_{a}").cast("double")))))
+        rows = rows.withColumn(f"__n_{a}", F.size(values)).select("*", F.posexplode(values).alias(f"__i_{a}", a))
+    grid_id = reduce(lambda acc, a: acc * F.col(f"__n_{a}") + F.col(f"__i_{a}"), axes, F.lit(0).cast("long"))
+    true = reduce(lambda acc, a: acc & (F.col(a) == F.col(f"__t_{a}")), axes, F.lit(True))
+    return rows.select("case_id", grid_id.alias("grid_id"), true.alias("is_true"), *axes)
+
+
+def case_surface(grid: DataFrame, data: DataFrame, predict, relative: float, floor: float, on: list[str]) -> DataFrame:
+    """``case_id, grid_id, is_true`` and the axes with ``chi2``: each case's data against its own grid of axis_grid().
+
+    ``predict`` gives predictions (``case_id, grid_id``, ``on``, ``modeled``) of a table of draws; residuals
+    are scaled by max(relative * observed, floor * top) of the data (``case_id``, ``on``, ``observed, top``).
+    """
+    scale = F.greatest(relative * F.abs("observed"), floor * F.col("top"))
+    rows = predict(grid).join(data, ["case_id", *on])
+    chi = rows.groupBy("case_id", "grid_id").agg(F.sum(F.pow((F.col("modeled") - F.col("observed")) / scale, F.lit(2.0))).alias("chi2"))
+    return grid.join(chi, ["case_id", "grid_id"])
+
+
+def surface_summary(surface: DataFrame, axes: list[str], digits: int = 9) -> DataFrame:
+    """``case_id, n_points, true_chi2, least`` and the axes at the least: rounded chi2 first, then grid_id."""
+    at = F.struct(F.round("chi2", digits), "grid_id")
+    return surface.groupBy("case_id").agg(F.count("*").alias("n_points"), F.max(F.when(F.col("is_true"), F.col("chi2"))).alias("true_chi2"), F.min("chi2").alias("least"), *(F.min_by(a, at).alias(a) for a in axes))
+
+
 def log_prior(draws: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, log_prior``: normal or uniform log-densities summed over parameters; minus infinity outside.
 
@@ -406,6 +452,24 @@ def add_noise(df: DataFrame, regimes: DataFrame, seed: int, keys: list[str]) ->
     return rows.withColumn("noisy", F.col("value") * (1 + F.col("sigma") * normal_inverse(F.col("__u")))).drop("__u")
 
 
+def regime_grid(regimes: DataFrame) -> DataFrame:
+    """``regime, sigma, seed``: a row for each seed of a regime (``seeds``); one without seeds has one exact row."""
+    return regimes.select("regime", "sigma", F.explode_outer("seeds").alias("seed"))
+
+
+def synthetic_observations(truth: DataFrame, regimes: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact predictions (``keys, true``) as ``observed`` in every (regime, seed), with ``relative_error`` and ``error``.
+
+    ``observed`` is true * (1 + N(0, sigma)) by a hash of regime, seed and keys: it depends on no other row. A
+    regime without a seed is exact. ``relative_error`` is what was drawn, ``error`` sigma * |true|. The regimes
+    are a parameter's few rows, sent to all tasks.
+    """
+    rows = truth.crossJoin(F.broadcast(regime_grid(regimes)))
+    rows = rows.withColumn("__u", uniform("synthetic", F.col("regime"), F.col("seed"), *(F.col(k) for k in keys)))
+    rows = rows.withColumn("relative_error", F.when(F.col("seed").isNull(), 0.0).otherwise(F.col("sigma") * normal_inverse(F.col("__u")))).drop("__u")
+    return rows.withColumns({"observed": F.col("true") * (1 + F.col("relative_error")), "error": F.col("sigma") * F.abs("true")})
+
+
 def nearest_row(grid: DataFrame, ref: DataFrame, params: list[str], key: str) -> DataFrame:
     """The grid row nearest to each reference, over the parameters that both have; not finite ones skipped."""
     rows = grid.join(ref.select(key, *(F.col(p).alias(f"r_{p}") for p in params)), key)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.io import stored
 from .order import quantiles as ranked_quantiles
+from .order import running
 
 
 def quantiles(value: str, probabilities: list[float]) -> Column:
@@ -39,6 +40,19 @@ def prediction_envelope(pred: DataFrame, by: list[str], realisation: str, value:
     return rows.select(*by, "n", *(F.col("q")[i].alias(n) for i, n in enumerate(("q10", "q25", "q50", "q75", "q90"))))
 
 
+def envelope_checks(pred: DataFrame, tracer: str, date: str, realisation: str) -> DataFrame:
+    """Whether realisations lie on one grid: ``realisation, n_tracers, n_points, tracers_missing, points_missing, duplicates, ok``.
+
+    The grid is every tracer and every (tracer, date) that any realisation has. ``duplicates`` counts
+    points that a realisation has more than once. Two aggregates and a join with their one row of totals.
+    """
+    points = pred.groupBy(realisation, tracer, date).agg(F.count("*").alias("__c"))
+    mine = points.groupBy(realisation).agg(F.countDistinct(tracer).alias("n_tracers"), F.count("*").alias("n_points"), F.count_if(F.col("__c") > 1).alias("duplicates"))
+    grid = points.select(tracer, date).distinct().agg(F.countDistinct(tracer).alias("__tracers"), F.count("*").alias("__points"))
+    rows = mine.crossJoin(F.broadcast(grid)).withColumns({"tracers_missing": F.col("__tracers") - F.col("n_tracers"), "points_missing": F.col("__points") - F.col("n_points")})
+    return rows.withColumn("ok", (F.col("points_missing") == 0) & (F.col("duplicates") == 0)).drop("__tracers", "__points")
+
+
 def histogram(draws: DataFrame, keys: list[str], n: int = 100, value: str = "value") -> DataFrame:
     """``keys, bin, left, count, density`` of n equal bins over each group's range, empty ones too.
 
@@ -85,11 +99,25 @@ def head_to_head(df: DataFrame, keys: list[str], a: str, b: str, tol: float = 1e
     return df.groupBy(*keys).agg(F.count_if(x < y - tol).alias("wins"), F.count_if(x > y + tol).alias("losses"), F.count_if(F.abs(x - y) <= tol).alias("ties"))
 
 
-def objective_diagnostic(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Relative L1 and L2 misfit from maps ``observed`` and ``modeled`` of tracers."""
+def objective_diagnostic(df: DataFrame, keys: list[str], worst: bool = False) -> DataFrame:
+    """Relative L1 and L2 misfit from maps ``observed`` and ``modeled`` of tracers; with ``worst`` the greatest too."""
     rows = df.select(*keys, F.explode("observed").alias("tracer", "obs"), "modeled").withColumn("mod", F.try_element_at("modeled", F.col("tracer")))
     r = (F.col("mod") - F.col("obs")) / F.greatest(F.abs("obs"), F.lit(1e-300))
-    return rows.groupBy(*keys).agg(F.sum(F.abs(r)).alias("l1"), F.sqrt(F.sum(r * r)).alias("l2"))
+    return rows.groupBy(*keys).agg(F.sum(F.abs(r)).alias("l1"), F.sqrt(F.sum(r * r)).alias("l2"), *([F.max(F.abs(r)).alias("worst")] if worst else []))
+
+
+def objective_comparison(a: DataFrame, b: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """How often a fits better than b though its parameter is worse: one row for each of ``by``.
+
+    Both have ``keys, l1, l2, worst, parameter_error`` (keys hold ``by``): counts of cases, of a's
+    lower L1 and L2, of its worse parameters, and of these with a lower L2 or a lower greatest misfit.
+    """
+    names = ("l1", "l2", "worst", "parameter_error")
+    side = lambda df, s: df.select(*keys, *(F.col(c).alias(f"{s}_{c}") for c in names))
+    rows = side(a, "a").join(side(b, "b"), keys)
+    lower = {c: F.col(f"a_{c}") < F.col(f"b_{c}") for c in names}
+    worse = F.col("a_parameter_error") > F.col("b_parameter_error")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(lower["l1"]).alias("lower_l1"), F.count_if(lower["l2"]).alias("lower_l2"), F.count_if(worse).alias("worse_parameter"), F.count_if(worse & lower["l2"]).alias("worse_but_lower_l2"), F.count_if(worse & lower["worst"]).alias("worse_but_lower_worst"))
 
 
 def information_gain(a: DataFrame, b: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -104,6 +132,29 @@ def variability(df: DataFrame, keys: list[str], seed: str, value: str) -> DataFr
     return per.groupBy(*keys).agg(F.countDistinct(seed).alias("n_seeds"), F.stddev_samp("m").alias("sd"), (F.max("m") - F.min("m")).alias("range"), F.min("n").alias("min_n"), F.expr("median(n)").alias("median_n"))
 
 
+def seed_variability(df: DataFrame, keys: list[str], seed: str) -> DataFrame:
+    """Over seeds (``median, q10, q90, sd, ess, ess_per_second`` of each): deviations between them, range of medians, least and median ESS."""
+    rows = df.groupBy(*keys).agg(
+        F.countDistinct(seed).alias("n_seeds"), *(F.stddev_samp(c).alias(f"{c}_between") for c in ("median", "q10", "q90", "sd")),
+        (F.max("median") - F.min("median")).alias("median_range"), F.min("ess").alias("min_ess"),
+    )
+    rows = with_quantiles(rows, df, keys, "ess", {"median_ess": 0.5})
+    return with_quantiles(rows, df, keys, "ess_per_second", {"median_ess_per_second": 0.5})
+
+
+def rank_by_convergence(df: DataFrame, config: list[str], group: list[str], limit: float = 1.01) -> DataFrame:
+    """Configurations in order of (R-hat below the limit, ESS a second, least ESS), ``place`` from 1 within ``group``.
+
+    ``df`` has rows of seed_variability() with ``rhat``; equal ones go by name. A missing or NaN
+    R-hat isn't below. The window goes over configurations, not over their cases.
+    """
+    bad = F.col("rhat").isNull() | F.isnan("rhat")
+    rows = df.groupBy(*group, *config).agg(F.max("rhat").alias("max_rhat"), F.min("min_ess").alias("min_ess"), F.max("median_between").alias("max_between"), (~F.bool_or(bad | (F.col("rhat") >= limit))).alias("converged"))
+    rows = with_quantiles(rows, df, [*group, *config], "median_ess_per_second", {"ess_per_second": 0.5})
+    order = [F.desc("converged"), F.desc_nulls_last("ess_per_second"), F.desc_nulls_last("min_ess"), *config]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
+
+
 def rank_configs(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
 
@@ -115,6 +166,27 @@ def comparability(df: DataFrame, keys: list[str], case: str, passed: str, runtim
     return with_quantiles(rows.join(any_, keys), df, keys, runtime, {"median_runtime": 0.5})
 
 
+def comparability_by_length(df: DataFrame, length: str, case: str, seed: str, passed: str, runtime: str, reference: DataFrame) -> DataFrame:
+    """A row for each length of runs: runs, those that pass in all parameters, pass rate, cases with any pass, runtimes.
+
+    ``df`` has a row for each run and parameter (``passed``; ``runtime`` is the run's), ``reference`` a row
+    for each case with its reference ``runtime``; a run's ratio is to its own case's.
+    """
+    one = df.groupBy(length, case, seed).agg(F.bool_and(passed).alias("__ok"), F.max(runtime).alias("__t"))
+    one = one.join(reference.select(case, F.col(runtime).alias("__ref")), case, "left").withColumn("__ratio", F.try_divide(F.col("__t"), F.col("__ref")))
+    any_ = one.where("__ok").groupBy(length).agg(F.countDistinct(case).alias("cases_with_pass"))
+    rows = one.groupBy(length).agg(F.count("*").alias("runs"), F.count_if("__ok").alias("passes"), F.avg("__t").alias("mean_runtime"), F.stddev_samp("__t").alias("sd_runtime"))
+    rows = rows.join(any_, length, "left").withColumn("cases_with_pass", F.coalesce("cases_with_pass", F.lit(0))).withColumn("pass_rate", F.col("passes") / F.col("runs"))
+    rows = with_quantiles(rows, one, [length], "__t", {"median_runtime": 0.5})
+    return with_quantiles(rows, one, [length], "__ratio", {"median_runtime_ratio": 0.5})
+
+
+def target_table(draws: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """All statistics of describe_table() of each parameter beside its target: difference, ratios of mean and deviation."""
+    rows = describe_table(draws, [*keys, "param"]).join(truth.select("param", "target"), "param")
+    return rows.withColumns({"difference": F.col("mean") - F.col("target"), "mean_ratio": F.try_divide("mean", "target"), "std_ratio": F.try_divide("std", "target")})
+
+
 def target_stats(draws: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     """Mean of each parameter against its target: difference, ratio, relative deviation; distance over parameters."""
     rows = draws.groupBy(*keys, "param").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")).join(truth, "param")
@@ -128,6 +200,19 @@ def trend(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return rows.withColumn("max_abs_delta", F.greatest(F.abs(F.col("__hi") - F.col("first")), F.abs(F.col("__lo") - F.col("first")))).drop("__hi", "__lo")
 
 
+def annual_trends(df: DataFrame, keys: list[str], date: str, observed: str, modeled: str) -> DataFrame:
+    """Two series side by side on calendar years: ``n_years``, slopes of both annual means, their correlation, and the mismatch.
+
+    ``median_mismatch`` is the median of |modeled - observed| / observed over rows, not years; rows
+    without an observed value or with 0 don't count in it. Rows lose their dates map-side, then one
+    aggregate over years gives all but the median.
+    """
+    rows = df.withColumn("__mismatch", F.try_divide(F.abs(F.col(modeled) - F.col(observed)), F.col(observed)))
+    years = rows.groupBy(*keys, F.floor(date).cast("double").alias("__y")).agg(F.avg(observed).alias("__o"), F.avg(modeled).alias("__m"))
+    out = years.groupBy(*keys).agg(F.count("*").alias("n_years"), F.regr_slope("__o", "__y").alias("observed_slope"), F.regr_slope("__m", "__y").alias("modeled_slope"), F.corr("__o", "__m").alias("corr"))
+    return with_quantiles(out, rows, keys, "__mismatch", {"median_mismatch": 0.5})
+
+
 def residuals(df: DataFrame) -> DataFrame:
     """Of ``concentration, error, modeled``: residual, normalised, squared."""
     r = F.col("modeled") - F.col("concentration")
@@ -192,6 +277,24 @@ def prior_sensitivity(a: DataFrame, b: DataFrame, keys: list[str], label: str, v
     return rows.withColumn("d", d).groupBy(*keys).agg(F.max_by(label, F.struct(F.round(F.abs("d"), 9), label)).alias("largest"), F.max(F.abs("d")).alias("largest_change"), (F.sum(F.abs("d")) / 2).alias("redistributed"))
 
 
+def prior_shift(a: DataFrame, b: DataFrame, keys: list[str], near_zero: float = 0.05) -> DataFrame:
+    """Per key what another prior changes (``median, q10, q90`` of both): signed, absolute, in percentage points, over the reference's width.
+
+    ``near_zero`` marks keys whose reference median is at most the limit; a width of 0 gives no ratio.
+    """
+    rows = a.select(*keys, F.col("median").alias("reference"), (F.col("q90") - F.col("q10")).alias("width")).join(b.select(*keys, F.col("median").alias("other")), keys)
+    rows = rows.withColumn("change", F.col("other") - F.col("reference")).withColumn("absolute", F.abs("change"))
+    over = F.when(F.col("width") > 0, F.col("absolute") / F.col("width"))
+    return rows.withColumns({"change_points": 100 * F.col("change"), "absolute_points": 100 * F.col("absolute"), "over_width": over, "near_zero": F.col("reference") <= near_zero})
+
+
+def prior_shift_groups(shift: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of prior_shift() by ``near_zero`` and ``by``: how many, the greatest and mean change, quantiles of the change over the width."""
+    keys = [*by, "near_zero"]
+    rows = shift.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("absolute_points").alias("mean_points"), F.max("absolute_points").alias("max_points"), F.max("over_width").alias("max_over_width"))
+    return with_quantiles(rows, shift, keys, "over_width", {"median_over_width": 0.5, "p90_over_width": 0.9})
+
+
 def diagnostics_rollup(df: DataFrame, keys: list[str]) -> DataFrame:
     """Over included rows: greatest R-hat, least ESS, greatest MCSE, and whether all qualify and are finite."""
     inc = lambda c: F.when(F.col("included"), F.col(c))
@@ -204,6 +307,25 @@ def chain_rollup(df: DataFrame, keys: list[str]) -> DataFrame:
     return last.groupBy(*keys).agg(F.avg("last").alias("mean_acceptance"), F.min("last").alias("min_acceptance"), F.max("last").alias("max_acceptance"), F.sum("runtime").alias("runtime"))
 
 
+def run_results(chains: DataFrame, diagnostics: DataFrame, keys: list[str]) -> DataFrame:
+    """chain_rollup() of each run with its chains and what its diagnostics (``included, qualified``) come to.
+
+    ``failed`` counts those that are included and not qualified, ``failed_informational`` those that
+    are neither. A run without diagnostics has zeros.
+    """
+    rows = chain_rollup(chains, keys).join(chains.groupBy(*keys).agg(F.countDistinct("chain").alias("n_chains")), keys)
+    seen = diagnostics.groupBy(*keys).agg(F.count("*").alias("n_diagnostics"), F.count_if(F.col("included") & ~F.col("qualified")).alias("failed"), F.count_if(~F.col("included") & ~F.col("qualified")).alias("failed_informational"))
+    return rows.join(seen, keys, "left").fillna(0, ["n_diagnostics", "failed", "failed_informational"])
+
+
+def running_acceptance(df: DataFrame, keys: list[str], order: list[str], accepted: str, out: str = "acceptance") -> DataFrame:
+    """Rows with the share of accepted steps so far; steps without a verdict (null) don't count. Chains of any length."""
+    known = F.col(accepted).isNotNull()
+    rows = df.withColumns({"__yes": F.when(known & F.col(accepted), 1).otherwise(0), "__known": F.when(known, 1).otherwise(0)})
+    rows = running(rows, keys, order, {"__a": ("__yes", "sum"), "__b": ("__known", "sum")})
+    return rows.withColumn(out, F.try_divide("__a", "__b")).drop("__yes", "__known", "__a", "__b")
+
+
 def trajectory_summary(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Mean and population deviation without NaN."""
     ok = lambda c: F.when(~F.isnan(c), F.col(c))
@@ -229,9 +351,9 @@ def argmin_column(df: DataFrame, columns: list[str], out: str = "best") -> DataF
     return df.withColumn(out, F.array_min(pairs)["name"])
 
 
-def representative_draw(wide: DataFrame, keys: list[str], params: list[str], order: list[str]) -> DataFrame:
-    """The draw nearest to the medians of all parameters, each scaled by its deviation."""
-    mid = wide.groupBy(*keys).agg(*(F.stddev_samp(p).alias(f"__s_{p}") for p in params))
+def representative_draw(wide: DataFrame, keys: list[str], params: list[str], order: list[str], scaled: bool = True) -> DataFrame:
+    """The draw nearest to the medians of all parameters, each scaled by its deviation unless ``scaled`` is false."""
+    mid = wide.groupBy(*keys).agg(*((F.stddev_samp(p) if scaled else F.lit(1.0)).alias(f"__s_{p}") for p in params))
     for p in params:
         mid = with_quantiles(mid, wide, keys, p, {f"__m_{p}": 0.5})
     rows = wide.join(mid, keys)
@@ -239,6 +361,18 @@ def representative_draw(wide: DataFrame, keys: list[str], params: list[str], ord
     return rows.withColumn("distance", d).groupBy(*keys).agg(F.min_by(F.struct(*order), F.struct(F.round("distance", 9), *order)).alias("draw"), F.min("distance").alias("distance")).select(*keys, "draw.*", "distance")
 
 
+def representative_residuals(draw: DataFrame, fits: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The data of each representative draw with ``residual`` (observed less modeled), ``standardised, contribution, objective_total``.
+
+    ``draw`` is what representative_draw() gives, ``fits`` has a row for each draw and datum (``observed,
+    error, modeled``). Only the chosen draws' rows are left before totals are made.
+    """
+    rows = fits.join(draw.select(*keys, *order), [*keys, *order])
+    rows = rows.withColumn("residual", F.col("observed") - F.col("modeled")).withColumn("standardised", F.try_divide("residual", "error")).withColumn("contribution", F.col("standardised") * F.col("standardised"))
+    total = rows.groupBy(*keys).agg(F.sum("contribution").alias("objective_total"))
+    return rows.join(total, keys)
+
+
 def change_audit(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Keys whose multiset counts differ between two tables."""
     a, b = old.groupBy(*keys).agg(F.count("*").alias("n_old")), new.groupBy(*keys).agg(F.count("*").alias("n_new"))
@@ -256,6 +390,14 @@ def accuracy_summary(df: DataFrame, keys: list[str], error: str, name: str) -> D
     return with_quantiles(rows, df, keys, error, {"median": 0.5, "p95": 0.95, "p99": 0.99})
 
 
+def column_summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``metric, n, median, p95, max``: a row for each numeric column; nulls and NaN don't count."""
+    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns))))
+    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    rows = long.groupBy("metric").agg(F.count("*").alias("n"), F.max("value").alias("max"))
+    return with_quantiles(rows, long, ["metric"], "value", {"median": 0.5, "p95": 0.95})
+
+
 def coverage_mass(df: DataFrame, keys: list[str], mass: str) -> DataFrame:
     """The median covered mass of each group, and how many rows it has."""
     return with_quantiles(df.groupBy(*keys).agg(F.count(mass).alias("n")), df, keys, mass, {"covered": 0.5})

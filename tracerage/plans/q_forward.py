@@ -30,6 +30,10 @@ def with_ages(df):
     return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(39), F.lit(3))).alias("t")).withColumn("t", F.col("t").cast("double"))
 
 
+def R8(df):
+    return df.withColumns({c: F.round(c, 8) for c in df.columns})
+
+
 def law_rows(df, name, p, digits=8):
     law = laws.get_law(name)
     t = F.col("t")
@@ -140,6 +144,15 @@ def d09(spark, sf):
     return ds.curves(rows, "exp_shifted", 50).select("part", F.round("t", 6).alias("t"), F.round("cdf", 8).alias("cdf"), F.round("pdf", 8).alias("pdf"))
 
 
+WIDE = [1, 2, 3, 5, 8]
+
+
+@query("d09b_curves_wide", f"with {PARS}, grid as (select 70.0::double * i / 50 as t from range(51) r(i)) select round(t, 6) as t, {', '.join(f'max(round(1 - exp(-greatest((t - b) / a, 0)), 8)) filter (part = {r}) as p{r}' for r in WIDE)} from grid left join pars on part in ({', '.join(map(str, WIDE))}) group by t")
+def d09b(spark, sf):
+    rows = pars(spark, sf).select("part", F.col("a").alias("scale"), F.col("b").alias("shift"))
+    return R8(ds.curves_wide(rows, "exp_shifted", 50, "part", WIDE)).withColumn("t", F.round("t", 6))
+
+
 @query("d10_remap", f"with {PARS} select part, round(a / (1 + b), 8) as epm_scale, round(a * b / (1 + b), 8) as epm_shift, round(a * sqrt(2 * b), 8) as dm_sigma, round(a * a * a / (b * b), 6) as ig_shape, round(3 * pow(a, 2) / (b * b), 6) as d_shape_d_mean, round(-2 * pow(a, 3) / pow(b, 3), 6) as d_shape_d_std, a > 0 and b > 0 as valid from pars")
 def d10(spark, sf):
     out = ds.remap(pars(spark, sf), "a", "b")
@@ -359,6 +372,32 @@ def e14(spark, sf):
     return members(spark, sf).withColumn("response", F.round("response", 3))
 
 
+#: Parts of members: a parent, its daughter, both together, two histories mixed with delays, one with a fixed old end.
+PARTS = [
+    ("tritium", "2-HIGH", "parent", 1.0, 12.32, 1.5, True, 50.0, None), ("helium", "2-HIGH", "daughter", 1.0, 12.32, 1.5, True, 50.0, None),
+    ("initial", "2-HIGH", "parent", 1.0, 12.32, 0.0, False, 50.0, None), ("initial", "2-HIGH", "daughter", 1.0, 12.32, 0.0, False, 50.0, None),
+    ("blend", "1-URGENT", "parent", 0.4, None, 2.0, True, 10.0, None), ("blend", "5-LOW", "parent", 0.6, 5.0, 0.5, False, 20.0, None),
+    ("argon", "3-MEDIUM", "parent", 1.0, 269.0, 0.0, False, 100.0, 7.5),
+]
+PART_COLUMNS = "member string, history string, product string, weight double, half_life double, delay double, decays boolean, before double, fixed double"
+
+
+def part_literal(v) -> str:
+    return "null" if v is None else repr(v).lower() if isinstance(v, bool) else f"{v!r}::double" if isinstance(v, float) else f"'{v}'"
+
+
+PART_ROWS = ", ".join(f"({', '.join(map(part_literal, r))})" for r in PARTS)
+HELD = "{entry} * case when decays and half_life is not null then exp(-ln(2.0::double) / half_life * delay) else 1 end"
+AFTER = f"weight * {HELD} * case when product = 'parent' then exp(-coalesce(ln(2.0::double) / half_life, 0) * {{age}}) else coalesce(1 - exp(-ln(2.0::double) / half_life * {{age}}), 0) end"
+COMPOSITE = f"{SEG}, parts({', '.join(c.split()[0] for c in PART_COLUMNS.split(', '))}) as (values {PART_ROWS}), lim(age_bin, lo, hi) as (values (0, 0.0::double, 2.0::double), (1, 2.0, 4.0), (2, 4.0, 6.0)), ends as (select tracer, min(date) mn, max(date) mx, arg_max(value, date) en from chron group by 1), mp as (select *, lo + (hi - lo) * i / 119 as age, 2001.0::double - (lo + (hi - lo) * i / 119) - delay as x from parts cross join lim cross join range(120) r(i)), mv as (select mp.*, case when x < mn or mn is null then before when x > mx then en else coalesce(v1 + (v2 - v1) * (x - d1) / (d2 - d1), 0) end as entry from mp left join ends e on e.tracer = history left join seg s on s.tracer = history and d1 <= x and (x < d2 or (x = d2 and d2 = last))), cm as (select member, age_bin, lo, hi, sum({AFTER.format(entry='entry', age='age')}) / 120 as response from mv group by all union all select member, 3, 6.0::double, null, sum(coalesce(weight * fixed, {AFTER.format(entry='before', age='60.0::double')})) from parts group by 1)"
+
+
+@query("e14b_composite_endmembers", f"with {COMPOSITE} select member, age_bin, lo, hi, round(response, 3) as response from cm")
+def e14b(spark, sf):
+    out = fw.composite_endmembers(spark.createDataFrame(PARTS, PART_COLUMNS), fx.chronicle(spark, sf), 2001.0, [0, 2, 4, 6], 60.0)
+    return out.withColumn("response", F.round("response", 3))
+
+
 @query("e15_mix", f"with {MEMBERS}, {PARS}, {STICK} select part, tracer, round(sum(fraction * response), 2) as modeled from fractions join members using (age_bin) group by all")
 def e15(spark, sf):
     fr = ds.stick_breaking(latents(spark, sf), ["part"])

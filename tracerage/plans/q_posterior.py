@@ -7,7 +7,7 @@ from ..operators import fit as ft
 from ..operators import forward as fw
 from ..operators import posterior as po
 from ..sources import fixtures as fx
-from .q_forward import KB, draw_grid, responded
+from .q_forward import BENT, KB, KS, LINES, MASS, MOM, base, draw_grid, responded, tracers
 from .q_sources import CATALOGUE, catalogue
 from . import sql as sq
 from .registry import query
@@ -283,6 +283,40 @@ def f22b(spark, sf):
     return po.add_noise(rows, regimes, 4, ["well"]).select("well", "regime", F.round("noisy", 7).alias("noisy"))
 
 
+#: Truth of nations: an exponential of their own, seen at one date, by bins that aren't refined.
+NATION = f"{LINES}, kk as (select tracer, date, lft, rgt, {KS} from sb where date = 2001.4::double)"
+MASS_AT = f"sum(case when {BENT} then k_mid * w else k_left * w + (k_right - k_left) / (rgt - lft) * centred end)"
+NOISE = [("none", 0.0, []), ("low", 0.02, [12]), ("repeated", 0.1, [31, 32, 33])]
+
+
+def nations(spark, sf):
+    k = F.col("n_nationkey")
+    return fx.table(spark, sf, "nation").select(k.alias("case_id"), (2.0 + 0.25 * k).alias("scale"), (0.5 + 0.125 * k).alias("shift"))
+
+
+def nation_bins(spark, sf):
+    return fw.with_responses(base(spark, sf).where("date = 2001.4"), fx.chronicle(spark, sf), tracers(spark))
+
+
+@query("f06b_case_surface", f"with {NATION}, tn as (select n_nationkey as case_id, 2.0::double + 0.25 * n_nationkey as ts, 0.5::double + 0.125 * n_nationkey as th from nation), ax as (select case_id, ts, th, s as scale, h as shift from tn cross join lateral (select distinct unnest(list_append(list_transform(range(6), lambda i: 1.0::double * pow(16.0::double, i / 5)), ts)) as s) cross join lateral (select distinct unnest(list_append(list_transform(range(6), lambda i: 0.25::double + 4.0 * (i / 5)), th)) as h)), wt as (select case_id, scale, shift, tracer, k_left, k_mid, k_right, lft, rgt, {MASS} as w, least(greatest({MOM.format(t='rgt')} - {MOM.format(t='lft')} - lft * {MASS}, 0), (rgt - lft) * {MASS}) as centred from ax cross join kk where tracer <> '4-NOT SPECIFIED'), pr as (select case_id, scale, shift, tracer, {MASS_AT} as modeled from wt group by all), da as (select pr.case_id, tracer, modeled * 1.02 as observed, (select max(value) from chron c where c.tracer = pr.tracer) as top from pr join tn on tn.case_id = pr.case_id and scale = ts and shift = th), su as (select case_id, scale, shift, sum(pow((modeled - observed) / greatest(0.1 * abs(observed), 0.01 * top), 2)) as chi2 from pr join da using (case_id, tracer) group by all) select case_id, count(*) as n_points, round(max(chi2) filter (scale = ts and shift = th), 5) as true_chi2, round(min(chi2), 5) as least, round(arg_min(scale, (round(chi2, 9), scale, shift)), 8) as scale, round(arg_min(shift, (round(chi2, 9), scale, shift)), 8) as shift from su join tn using (case_id) group by case_id")
+def f06b(spark, sf):
+    truth = nations(spark, sf)
+    bins = nation_bins(spark, sf).where("tracer <> '4-NOT SPECIFIED'")
+    predict = lambda draws: fw.convolve(draws, bins, "exp_shifted", ["case_id", "grid_id"])
+    grid = po.axis_grid(truth, {"scale": (1.0, 16.0, True), "shift": (0.25, 4.25, False)}, 6)
+    top = fx.chronicle(spark, sf).groupBy("tracer").agg(F.max("value").alias("top"))
+    data = predict(truth.withColumn("grid_id", F.lit(0))).select("case_id", "tracer", (F.col("modeled") * 1.02).alias("observed")).join(top, "tracer")
+    out = po.surface_summary(po.case_surface(grid, data, predict, 0.1, 0.01, ["tracer"]), ["scale", "shift"])
+    return out.withColumns({"true_chi2": F.round("true_chi2", 5), "least": F.round("least", 5), "scale": F.round("scale", 8), "shift": F.round("shift", 8)})
+
+
+@query("f22c_synthetic_observations", f"with {NATION}, ca as (select n_nationkey as case_id, 2.0::double + 0.25 * n_nationkey as scale, 0.5::double + 0.125 * n_nationkey as shift from nation), wt as (select case_id, tracer, k_left, k_mid, k_right, lft, rgt, {MASS} as w, least(greatest({MOM.format(t='rgt')} - {MOM.format(t='lft')} - lft * {MASS}, 0), (rgt - lft) * {MASS}) as centred from ca cross join kk), pr as (select case_id, tracer, {MASS_AT} as true_ from wt group by all), rg(regime, sigma, seed) as (values ('none', 0.0::double, null::integer), ('low', 0.02, 12), ('repeated', 0.1, 31), ('repeated', 0.1, 32), ('repeated', 0.1, 33)), u as (select *, {U.format(k="concat_ws('|', 'synthetic', regime, seed, case_id, tracer)")} as p from pr cross join rg), e as (select *, case when seed is null then 0 else sigma * ({sq.normal_inverse('p')}) end as rel from u) select case_id, tracer, regime, sigma, seed, round(true_, 3) as \"true\", round(rel, 9) as relative_error, round(true_ * (1 + rel), 3) as observed, round(sigma * abs(true_), 4) as error from e")
+def f22c(spark, sf):
+    truth = fw.convolve(nations(spark, sf), nation_bins(spark, sf), "exp_shifted", ["case_id"]).select("case_id", "tracer", F.col("modeled").alias("true"))
+    out = po.synthetic_observations(truth, spark.createDataFrame(NOISE, "regime string, sigma double, seeds array<int>"), ["case_id", "tracer"])
+    return out.withColumns({"true": F.round("true", 3), "relative_error": F.round("relative_error", 9), "observed": F.round("observed", 3), "error": F.round("error", 4)})
+
+
 @query("f23_nearest_row", f"with {CATALOGUE}, ax as (select model, name, i, cal_lo + (cal_hi - cal_lo) * i / 10 as v from spec cross join range(11) r(i)), g as (select a.model, a.i * 11 + b.i as grid_id, a.v as q, b.v as d from ax a join ax b using (model) where a.name = 'q' and b.name = 'd'), ref as (select l_returnflag as model, round(avg(l_quantity), 4) as q, round(avg(l_discount), 6) as d from lineitem group by 1), dist as (select g.model, grid_id, pow(g.q - ref.q, 2) + pow(g.d - ref.d, 2) as distance from g join ref using (model)) select model, arg_min(grid_id, distance) as grid_id, round(min(distance), 6) as distance from dist group by 1")
 def f23(spark, sf):
     grid = po.parameter_grid(catalogue(spark, sf), 100, ["q", "d"])

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import chronicle as ch
 from ..operators import compare as cm
 from ..operators import order as od
 from ..operators import posterior as po
 from ..operators import summaries as su
 from ..sources import fixtures as fx
+from .q_chronicle import SEG
 from .q_sources import CATALOGUE, catalogue
 from .registry import query
 
@@ -100,6 +102,12 @@ def h03(spark, sf):
     return R(su.prediction_envelope(p, ["element", "year"], "well", "v"), 6, "q10", "q25", "q50", "q75", "q90")
 
 
+@query("h03b_envelope_checks", f"with {fx.OBS}, p as (select well, element, floor(date) as year, count(*) as c from obs group by all), g as (select count(distinct element) as ts, count(*) as ps from (select distinct element, year from p)) select well, count(distinct element) as n_tracers, count(*) as n_points, count(*) filter (c > 1) as duplicates, ts - count(distinct element) as tracers_missing, ps - count(*) as points_missing, ps = count(*) and count(*) filter (c > 1) = 0 as ok from p cross join g group by well, ts, ps")
+def h03b(spark, sf):
+    p = fx.observations(spark, sf).select("well", "element", F.floor("date").alias("year"))
+    return su.envelope_checks(p, "element", "year", "well")
+
+
 @query("h04_histogram", f"with {fx.DRAWS}, sp as (select case_id, param, min(value) as lo, (max(value) - min(value)) / 20 as w, count(*) as total from draws group by all), c as (select case_id, param, least(floor((value - lo) / w) + 1, 20)::bigint as bin, count(*) as n from draws join sp using (case_id, param) group by all) select case_id, param, r.bin, round(lo + (r.bin - 1) * w, 8) as left, coalesce(n, 0) as count, round(coalesce(n, 0) / (total * w), 8) as density from sp cross join (select unnest(range(1, 21)) as bin) r left join c using (case_id, param, bin)")
 def h04(spark, sf):
     return R(su.histogram(fx.draws(spark, sf), ["case_id", "param"], 20), 8, "left", "density")
@@ -147,6 +155,19 @@ def h10(spark, sf):
     return R(su.objective_diagnostic(m, ["well"]), 8, "l1", "l2")
 
 
+SIDES = f"{PAIR}, sd as (select well, well % 5 as grp, x, y as v, 'a' as side from pr union all select well, well % 5, x, (y + 40000) / 2, 'b' from pr), sm as (select well, grp, side, sum(abs((v - x) / x)) as l1, sqrt(sum(pow((v - x) / x, 2))) as l2, max(abs((v - x) / x)) as worst, abs(avg(v) - avg(x)) as pe from sd group by all)"
+
+
+@query("h10b_objective_comparison", f"with {SIDES} select a.grp, count(*) as n, count(*) filter (a.l1 < b.l1) as lower_l1, count(*) filter (a.l2 < b.l2) as lower_l2, count(*) filter (a.pe > b.pe) as worse_parameter, count(*) filter (a.pe > b.pe and a.l2 < b.l2) as worse_but_lower_l2, count(*) filter (a.pe > b.pe and a.worst < b.worst) as worse_but_lower_worst from sm a join sm b using (well) where a.side = 'a' and b.side = 'b' group by a.grp")
+def h10b(spark, sf):
+    def side(v):
+        rows = pairs(spark, sf).withColumns({"v": v, "grp": F.col("well") % 5})
+        maps = rows.groupBy("well", "grp").agg(F.map_from_entries(F.collect_list(F.struct("element", "x"))).alias("observed"), F.map_from_entries(F.collect_list(F.struct("element", "v"))).alias("modeled"), F.abs(F.avg("v") - F.avg("x")).alias("parameter_error"))
+        return su.objective_diagnostic(maps, ["well", "grp"], worst=True).join(maps.select("well", "grp", "parameter_error"), ["well", "grp"])
+
+    return su.objective_comparison(side(F.col("y")), side((F.col("y") + 40000) / 2), ["well", "grp"], ["grp"])
+
+
 @query("h11_coverage_mass", f"with {fx.TRUTH} select model, noise, count(*) as n, round(median(estimate / truth), 8) as covered from truth group by all")
 def h11(spark, sf):
     rows = fx.truth(spark, sf).withColumn("mass", F.col("estimate") / F.col("truth"))
@@ -174,18 +195,57 @@ def h13b(spark, sf):
     return su.rank_configs(v, "model", [F.round("sd", 3), F.col("noise")]).select("model", "noise", "place")
 
 
+#: Statistics of seeds: a flag is a configuration, a line number a case, a well a seed.
+SEEDS = "se as (select l_returnflag as config, l_linenumber as case_no, l_suppkey as seed, median(l_extendedprice) as median, quantile_cont(l_extendedprice, 0.1) as q10, quantile_cont(l_extendedprice, 0.9) as q90, stddev_samp(l_extendedprice) as sd, sum(l_quantity)::double as ess, sum(l_quantity)::double / count(*) as ess_per_second from lineitem group by all), sv as (select config, case_no, count(distinct seed) as n_seeds, stddev_samp(median) as median_between, stddev_samp(q10) as q10_between, stddev_samp(q90) as q90_between, stddev_samp(sd) as sd_between, max(median) - min(median) as median_range, min(ess) as min_ess, median(ess) as median_ess, median(ess_per_second) as median_ess_per_second from se group by all)"
+
+
+def seed_variability(spark, sf):
+    q = F.expr("percentile(l_extendedprice, array(0.1, 0.5, 0.9))")
+    rows = fx.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("config"), F.col("l_linenumber").alias("case_no"), F.col("l_suppkey").alias("seed"))
+    rows = rows.agg(q.alias("q"), F.stddev_samp("l_extendedprice").alias("sd"), F.sum("l_quantity").cast("double").alias("ess"), F.count("*").alias("n"))
+    rows = rows.select("config", "case_no", "seed", F.col("q")[0].alias("q10"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q90"), "sd", "ess", (F.col("ess") / F.col("n")).alias("ess_per_second"))
+    return su.seed_variability(rows, ["config", "case_no"], "seed")
+
+
+@query("h13c_seed_variability", f"with {SEEDS} select config, case_no, n_seeds, round(median_between, 5) as median_between, round(q10_between, 5) as q10_between, round(q90_between, 5) as q90_between, round(sd_between, 5) as sd_between, round(median_range, 5) as median_range, min_ess, round(median_ess, 6) as median_ess, round(median_ess_per_second, 7) as median_ess_per_second from sv")
+def h13c(spark, sf):
+    out = R(seed_variability(spark, sf), 5, "median_between", "q10_between", "q90_between", "sd_between", "median_range")
+    return R(R(out, 6, "median_ess"), 7, "median_ess_per_second")
+
+
+@query("h13d_rank_by_convergence", f"with {SEEDS}, rh as (select l_returnflag as config, l_linenumber as case_no, round(1 + 0.02::double * avg(l_tax), 7) as rhat from lineitem group by all), c as (select config, max(rhat) as max_rhat, min(min_ess) as min_ess, max(median_between) as max_between, median(median_ess_per_second) as es, bool_and(rhat < 1.00081::double) as converged from sv join rh using (config, case_no) group by 1) select config, max_rhat, min_ess, round(max_between, 5) as max_between, round(es, 7) as ess_per_second, converged, row_number() over (order by converged desc, es desc, min_ess desc, config) as place from c")
+def h13d(spark, sf):
+    rhat = fx.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("config"), F.col("l_linenumber").alias("case_no")).agg(F.round(1 + 0.02 * F.avg("l_tax"), 7).alias("rhat"))
+    out = su.rank_by_convergence(seed_variability(spark, sf).join(rhat, ["config", "case_no"]), ["config"], [], 1.00081)
+    return R(R(out, 5, "max_between"), 7, "ess_per_second")
+
+
 @query("h14_comparability", "with r as (select l_returnflag as run, l_suppkey as case_id, l_discount < 0.08 as ok, l_quantity as runtime from lineitem), y as (select run, case_id, bool_or(ok) as any_ from r group by all) select run, bool_and(ok) as all_pass, round(avg(ok::integer), 8) as pass_rate, count(distinct case_id) as n_cases, median(runtime) as median_runtime, round(stddev_samp(runtime), 8) as sd_runtime, (select count(*) from y where y.run = r.run and any_) as cases_with_pass from r group by run")
 def h14(spark, sf):
     rows = fx.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("run"), F.col("l_suppkey").alias("case_id"), (F.col("l_discount") < 0.08).alias("ok"), F.col("l_quantity").alias("runtime"))
     return R(su.comparability(rows, ["run"], "case_id", "ok", "runtime"), 8, "pass_rate", "sd_runtime")
 
 
+@query("h14b_comparability_by_length", "with r as (select l_linenumber as length, l_suppkey as case_no, l_returnflag as seed, bool_and(l_discount < 0.08) as ok, max(l_quantity) as t from lineitem group by all), ref as (select l_suppkey as case_no, round(avg(l_quantity), 6) as ref from lineitem group by 1), o as (select *, t / ref as ratio from r join ref using (case_no)) select length, count(*) as runs, count(*) filter (ok) as passes, round(avg(t), 7) as mean_runtime, round(stddev_samp(t), 7) as sd_runtime, count(distinct case_no) filter (ok) as cases_with_pass, count(*) filter (ok) / count(*)::double as pass_rate, round(median(t), 7) as median_runtime, round(median(ratio), 7) as median_runtime_ratio from o group by length")
+def h14b(spark, sf):
+    t = fx.table(spark, sf, "lineitem")
+    rows = t.select(F.col("l_linenumber").alias("length"), F.col("l_suppkey").alias("case_no"), F.col("l_returnflag").alias("seed"), (F.col("l_discount") < 0.08).alias("ok"), F.col("l_quantity").alias("runtime"))
+    ref = rows.groupBy("case_no").agg(F.round(F.avg("runtime"), 6).alias("runtime"))
+    return R(su.comparability_by_length(rows, "length", "case_no", "seed", "ok", "runtime", ref), 7, "mean_runtime", "sd_runtime", "median_runtime", "median_runtime_ratio")
+
+
 @query("h15_target_stats", f"with {fx.DRAWS}, tg(param, target) as (values ('q', 25.0::double), ('d', 0.05), ('t', 0.04)), m as (select case_id, chain, param, avg(value) as mean, stddev_samp(value) as std, any_value(target) as target from draws join tg using (param) group by all) select case_id, chain, round(sqrt(sum(pow(mean - target, 2))), 8) as distance, round(max(abs(mean - target)), 8) as max_difference, round(avg(mean / target), 8) as mean_ratio, round(avg(std / target), 8) as std_ratio from m group by all")
 def h15(spark, sf):
     t = spark.createDataFrame([("q", 25.0), ("d", 0.05), ("t", 0.04)], "param string, target double")
     return R(su.target_stats(fx.draws(spark, sf), t, ["case_id", "chain"]), 8, "distance", "max_difference", "mean_ratio", "std_ratio")
 
 
+@query("h15b_target_table", f"with {fx.DRAWS}, tg(param, target) as (values ('q', 25.0::double), ('d', 0.05), ('t', 0.04)) select case_id, chain, param, count(value) as count, round(avg(value), 8) as mean, round(stddev_samp(value), 8) as std, min(value) as min, round(quantile_cont(value, 0.25), 8) as p25, round(quantile_cont(value, 0.5), 8) as p50, round(quantile_cont(value, 0.75), 8) as p75, max(value) as max, any_value(target) as target, round(avg(value) - any_value(target), 8) as difference, round(avg(value) / any_value(target), 8) as mean_ratio, round(stddev_samp(value) / any_value(target), 8) as std_ratio from draws join tg using (param) group by all")
+def h15b(spark, sf):
+    t = spark.createDataFrame([("q", 25.0), ("d", 0.05), ("t", 0.04)], "param string, target double")
+    return R(su.target_table(fx.draws(spark, sf), t, ["case_id", "chain"]), 8, "mean", "std", "p25", "p50", "p75", "difference", "mean_ratio", "std_ratio")
+
+
 @query("h16_trend", f"with {fx.CHRON} select tracer, round(regr_slope(value, date), 4) as slope, round(corr(date, value), 8) as corr, arg_min(value, date) as first, arg_max(value, date) as last, round(greatest(abs(max(value) - arg_min(value, date)), abs(min(value) - arg_min(value, date))), 4) as max_abs_delta from chron group by 1")
 def h16(spark, sf):
     return R(R(R(su.trend(fx.chronicle(spark, sf), ["tracer"], "date", "value"), 4, "slope", "max_abs_delta"), 8, "corr"), 4, "slope")
@@ -200,6 +260,13 @@ def residual_rows(spark, sf):
     return su.residuals(obs.withColumn("error", 1000 + F.col("error")).join(av, "element"))
 
 
+@query("h16b_annual_trends", f"with {SEG}, {fx.OBS}, mo as (select well, element, o.date, concentration, coalesce(v1 + (v2 - v1) * (o.date - d1) / (d2 - d1), 0.0) as modeled from obs o left join seg on seg.tracer = o.element and d1 <= o.date and (o.date < d2 or (o.date = d2 and d2 = last))), ye as (select well, element, floor(date) as y, avg(concentration) as o, avg(modeled) as m from mo group by all), sl as (select well, element, count(*) as n_years, round(regr_slope(o, y), 3) as observed_slope, round(regr_slope(m, y), 3) as modeled_slope, round(corr(o, m), 7) as corr from ye group by all), mm as (select well, element, round(median(abs(modeled - concentration) / concentration), 7) as median_mismatch from mo group by all) select * from sl join mm using (well, element)")
+def h16b(spark, sf):
+    obs = fx.observations(spark, sf).select("well", F.col("element").alias("tracer"), "date", "concentration")
+    rows = ch.interpolate(obs, fx.chronicle(spark, sf), "date", "modeled").withColumnRenamed("tracer", "element")
+    return R(R(su.annual_trends(rows, ["well", "element"], "date", "concentration", "modeled"), 3, "observed_slope", "modeled_slope"), 7, "corr", "median_mismatch")
+
+
 @query("h17_residuals", f"with {RES} select well, obs_id, round(residual, 4) as residual, round(normalised, 8) as normalised from res")
 def h17(spark, sf):
     return residual_rows(spark, sf).select("well", "obs_id", F.round("residual", 4).alias("residual"), F.round("normalised", 8).alias("normalised"))
@@ -257,6 +324,26 @@ def h23(spark, sf):
     return R(R(out, 6, "largest_change"), 5, "redistributed")
 
 
+#: Medians of shares of both runs.
+SHIFT = "li as (select l_suppkey as well, o_orderpriority as element, l_linenumber <= 3 as early, l_extendedprice / 100000 as v from lineitem join orders on l_orderkey = o_orderkey), qs as (select well, element, early, median(v) as median, quantile_cont(v, 0.1) as q10, quantile_cont(v, 0.9) as q90 from li group by all), sh as (select well, element, a.median as reference, a.q90 - a.q10 as width, b.median as other, b.median - a.median as change, abs(b.median - a.median) as absolute, case when a.q90 > a.q10 then abs(b.median - a.median) / (a.q90 - a.q10) end as over_width, a.median <= 0.3::double as near_zero from qs a join qs b using (well, element) where a.early and not b.early)"
+
+
+def shifts(spark, sf):
+    rows = fx.lines(spark, sf).select(F.col("l_suppkey").alias("well"), F.col("o_orderpriority").alias("element"), (F.col("l_linenumber") <= 3).alias("early"), (F.col("l_extendedprice") / 100000).alias("v"))
+    side = lambda early: od.quantiles(rows.where(F.col("early") == early), ["well", "element"], "v", {"q10": 0.1, "median": 0.5, "q90": 0.9})
+    return su.prior_shift(side(True), side(False), ["well", "element"], 0.3)
+
+
+@query("h23b_prior_shift", f"with {SHIFT} select well, element, round(reference, 9) as reference, round(width, 9) as width, round(other, 9) as other, round(change, 9) as change, round(absolute, 9) as absolute, round(100 * change, 7) as change_points, round(100 * absolute, 7) as absolute_points, round(over_width, 7) as over_width, near_zero from sh")
+def h23b(spark, sf):
+    return R(R(shifts(spark, sf), 9, "reference", "width", "other", "change", "absolute"), 7, "change_points", "absolute_points", "over_width")
+
+
+@query("h23c_prior_shift_groups", f"with {SHIFT} select element, near_zero, count(*) as n, round(avg(100 * absolute), 7) as mean_points, round(max(100 * absolute), 7) as max_points, round(max(over_width), 7) as max_over_width, round(median(over_width), 7) as median_over_width, round(quantile_cont(over_width, 0.9), 7) as p90_over_width from sh group by all")
+def h23c(spark, sf):
+    return R(su.prior_shift_groups(shifts(spark, sf), ["element"]), 7, "mean_points", "max_points", "max_over_width", "median_over_width", "p90_over_width")
+
+
 @query("h24_diagnostics_rollup", "select l_suppkey as run, max(1 + l_discount) filter (l_linenumber < 6) as max_rhat, min(l_quantity) filter (l_linenumber < 6) as min_ess, max(l_tax) filter (l_linenumber < 6) as max_mcse, bool_and(l_quantity > 1) filter (l_linenumber < 6) as all_qualified, true as all_finite from lineitem group by 1")
 def h24(spark, sf):
     rows = fx.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("run"), (1 + F.col("l_discount")).alias("rhat"), F.col("l_quantity").alias("ess"), F.col("l_tax").alias("mcse"), (F.col("l_linenumber") < 6).alias("included"), (F.col("l_quantity") > 1).alias("qualified"))
@@ -269,12 +356,25 @@ def h25(spark, sf):
     return R(su.chain_rollup(rows, ["case_id"]), 9, "mean_acceptance")
 
 
+@query("h25b_run_results", f"with {fx.DRAWS}, l as (select case_id, chain, arg_max(d, step) as last, sum(q) as runtime from wide group by all), g as (select l_returnflag as case_id, count(*) as n_diagnostics, count(*) filter (l_linenumber < 6 and l_quantity <= 5) as failed, count(*) filter (l_linenumber >= 6 and l_quantity <= 5) as failed_informational from lineitem group by 1) select case_id, round(avg(last), 9) as mean_acceptance, min(last) as min_acceptance, max(last) as max_acceptance, sum(runtime) as runtime, count(*) as n_chains, any_value(n_diagnostics) as n_diagnostics, any_value(failed) as failed, any_value(failed_informational) as failed_informational from l join g using (case_id) group by 1")
+def h25b(spark, sf):
+    chains = fx.draws_wide(spark, sf).select("case_id", "chain", "step", F.col("d").alias("acceptance"), F.col("q").alias("runtime"))
+    seen = fx.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("case_id"), (F.col("l_linenumber") < 6).alias("included"), (F.col("l_quantity") > 5).alias("qualified"))
+    return R(su.run_results(chains, seen, ["case_id"]), 9, "mean_acceptance")
+
+
 @query("h26_trajectory_summary", f"with {fx.DRAWS} select case_id, round(avg(q) filter (q <= 45), 8) as q_mean, round(stddev_pop(q) filter (q <= 45), 8) as q_std from wide group by 1")
 def h26(spark, sf):
     rows = fx.draws_wide(spark, sf).withColumn("q", F.when(F.col("q") > 45, F.lit(float("nan"))).otherwise(F.col("q")))
     return R(su.trajectory_summary(rows, ["case_id"], ["q"]), 8, "q_mean", "q_std")
 
 
+@query("h26b_running_acceptance", f"with {fx.DRAWS} select case_id, chain, step, round(avg((q > 25)::integer) filter (q <> 30) over (partition by case_id, chain order by step), 9) as acceptance from wide")
+def h26b(spark, sf):
+    rows = fx.draws_wide(spark, sf).withColumn("accepted", F.when(F.col("q") != 30, F.col("q") > 25))
+    return su.running_acceptance(rows, ["case_id", "chain"], ["step"], "accepted").select("case_id", "chain", "step", F.round("acceptance", 9).alias("acceptance"))
+
+
 @query("h27_pooled_covariance", f"with {fx.DRAWS}, m as (select count(*) - 1 as w, covar_samp(q, q) as qq, covar_samp(q, d) as qd, covar_samp(d, d) as dd from wide group by case_id, chain), p as (select sum(w * qq) / sum(w) as qq, sum(w * qd) / sum(w) as qd, sum(w * dd) / sum(w) as dd from m) select 'q' as \"row\", 'q' as col, round(qq + 1e-6 * greatest((qq + dd) / 2, 1e-12), 6) as value from p union all select 'q', 'd', round(qd, 8) from p union all select 'd', 'q', round(qd, 8) from p union all select 'd', 'd', round(dd + 1e-6 * greatest((qq + dd) / 2, 1e-12), 8) from p")
 def h27(spark, sf):
     out = su.pooled_covariance(fx.draws_wide(spark, sf), ["case_id", "chain"], ["q", "d"], 1e-6)
@@ -355,6 +455,15 @@ def h34(spark, sf):
     return R(su.representative_draw(fx.draws_wide(spark, sf), ["case_id"], ["q", "d"], ["chain", "step"]), 9, "distance")
 
 
+@query("h34b_representative_residuals", f"with {fx.DRAWS}, m as (select case_id, median(q) as mq, median(d) as md, median(t) as mt from wide group by 1), x as (select w.*, round(pow(q - mq, 2) + pow(d - md, 2) + pow(t - mt, 2), 9) as distance from wide w join m using (case_id)), r as (select * from x qualify row_number() over (partition by case_id order by distance, chain, step) = 1), f as (select case_id, chain, step, 'd' as tracer, 0.053::double as observed, 0.01::double as error, d as modeled from r union all select case_id, chain, step, 't', 0.041, 0.02, t from r) select case_id, chain, step, tracer, observed, error, modeled, round(observed - modeled, 9) as residual, round((observed - modeled) / error, 8) as standardised, round(pow((observed - modeled) / error, 2), 7) as contribution, round(sum(pow((observed - modeled) / error, 2)) over (partition by case_id), 7) as objective_total from f")
+def h34b(spark, sf):
+    wide = fx.draws_wide(spark, sf)
+    data = F.array(*(F.struct(F.lit(n).alias("tracer"), F.lit(o).alias("observed"), F.lit(e).alias("error"), F.col(n).alias("modeled")) for n, o, e in (("d", 0.053, 0.01), ("t", 0.041, 0.02))))
+    draw = su.representative_draw(wide, ["case_id"], ["q", "d", "t"], ["chain", "step"], scaled=False)
+    out = su.representative_residuals(draw, wide.select("case_id", "chain", "step", F.inline(data)), ["case_id"], ["chain", "step"])
+    return R(R(R(out, 9, "residual"), 8, "standardised"), 7, "contribution", "objective_total")
+
+
 @query("h35_change_audit", "with o as (select l_suppkey, l_quantity, count(*) as n from lineitem group by all), w as (select l_suppkey, l_quantity, count(*) as n from lineitem where l_orderkey % 50 <> 0 group by all) select l_suppkey, l_quantity, coalesce(o.n, 0) as n_old, coalesce(w.n, 0) as n_new from o full join w using (l_suppkey, l_quantity) where coalesce(o.n, 0) <> coalesce(w.n, 0)")
 def h35(spark, sf):
     t = fx.table(spark, sf, "lineitem")
@@ -385,6 +494,11 @@ def h38(spark, sf):
     return R(su.accuracy_summary(rows, ["model"], "err", "part"), 8, "median", "p95", "p99", "max")
 
 
+@query("h38b_column_summary", "with l as (select unnest([{'metric': 'l_quantity', 'value': l_quantity::double}, {'metric': 'l_extendedprice', 'value': l_extendedprice::double}, {'metric': 'l_discount', 'value': l_discount::double}, {'metric': 'l_tax', 'value': l_tax::double}]) as m from lineitem) select m.metric as metric, count(*) as n, max(m.value) as max, round(median(m.value), 8) as median, round(quantile_cont(m.value, 0.95), 8) as p95 from l group by 1")
+def h38b(spark, sf):
+    return R(su.column_summary(fx.table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), 8, "median", "p95")
+
+
 @query("i01_pair_tracers", "with r as (select ts::date as day, event_type, value, row_number() over (partition by ts::date, event_type order by event_id) as replicate from events) select a.day, a.replicate::integer as replicate, a.value as click, b.value as view from r a join r b using (day, replicate) where a.event_type = 'click' and b.event_type = 'view'")
 def i01(spark, sf):
     e = fx.table(spark, sf, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("element"), "value", "event_id")
