@@ -278,6 +278,58 @@ def test_bodies_come_out_of_chunks_codings_and_charsets():
     assert warc.digest_holds(warc.sha1_digest(page), b"x", page) and warc.digest_holds("crc:1", page) is None
 
 
+def bare_response(fields, http, body, end="\r\n"):
+    block = end.join(["HTTP/1.1 200 OK", *http]).encode() + 2 * end.encode() + body
+    return end.join(["WARC/1.1", "WARC-Type: response", *fields, f"Content-Length: {len(block)}"]).encode() + 2 * end.encode() + block + 2 * end.encode()
+
+
+def test_responses_without_ids_binary_bodies_and_repeated_headers(spark):
+    page = "<html><body><p>caf\xe9</p></body></html>".encode()
+    made = {
+        "unnamed": bare_response(["WARC-Target-URI: http://a/1"], ["Content-Type: text/html; charset=utf-8"], page) + bare_response(["WARC-Target-URI: http://a/2"], ["Content-Type: text/html; charset=utf-8"], page) * 2,
+        "image": bare_response(["WARC-Record-ID: <urn:x>"], ["Content-Type: image/png"], b"\x89PNG\r\n\x1a\n\0\0text"),
+        "untyped": bare_response(["WARC-Record-ID: <urn:y>"], [], b"\0\1binary") + bare_response(["WARC-Record-ID: <urn:z>"], [], page),
+        "coded": bare_response(["WARC-Record-ID: <urn:b>"], ["Content-Type: text/html", "Content-Encoding: br"], b"\x1b\x10\0\xf8"),
+        "repeated": bare_response(["WARC-Record-ID: <urn:r>", "WARC-Concurrent-To: <urn:1>", "WARC-Concurrent-To: <urn:2>"], ["Content-Type: text/html", "Set-Cookie: a=1", "Set-Cookie: b=2"], page),
+        "feeds": bare_response(["WARC-Record-ID: <urn:f>"], ["Content-Type: text/html"], page, "\n") + bare_response(["WARC-Record-ID: <urn:g>"], ["Content-Type: text/html"], page, "\n"),
+        "late": bare_response(["WARC-Record-ID: <urn:l>"], ["Content-Type: text/html"], b"<!--" + b"x" * 5000 + b" charset=utf-16 --><meta charset=latin-1><p>caf\xe9</p>"),
+    }
+    got = warc.build_derivatives(spark.createDataFrame([(k, bytearray(v)) for k, v in made.items()], "key string, content binary"), "key").collect()
+    of = lambda k, kind=None: [r for r in got if r.key == k and kind in (None, r.record_type)]
+    text = lambda r: next(warc.read_records(bytes(r.record)))[1].decode()
+    assert [r.record_type for r in of("unnamed")] == ["metadata", "conversion"] * 3 and {r.problem for r in of("unnamed")} == {"no record id"}
+    # Two that differ get ids of their own, a record that is there twice has one.
+    assert len({r.record_id for r in of("unnamed")}) == 4 and all(r.refers_to == r.response_id for r in of("unnamed"))
+    assert all(next(warc.read_records(bytes(r.record)))[0]["warc-refers-to"] == r.refers_to for r in of("unnamed"))
+    assert [(r.record_type, r.problem) for r in of("image")] == [("metadata", None)]
+    assert "HTML-Metadata" not in text(of("image")[0])
+    assert [(r.record_type, r.response_id) for r in of("untyped")] == [("metadata", "<urn:y>"), ("metadata", "<urn:z>"), ("conversion", "<urn:z>")]
+    assert [(r.record_type, r.problem) for r in of("coded")] == [("metadata", "unknown content coding br")]
+    said = json.loads(text(of("repeated", "metadata")[0]))["Envelope"]
+    assert said["WARC-Header-Metadata"]["warc-concurrent-to"] == ["<urn:1>", "<urn:2>"]
+    assert said["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"]["Set-Cookie"] == ["a=1", "b=2"]
+    assert [(r.response_id, r.problem, text(r)) for r in of("feeds", "conversion")] == [("<urn:f>", None, "caf\xe9"), ("<urn:g>", None, "caf\xe9")]
+    assert text(of("late", "conversion")[0]) == "caf\xe9"
+
+
+def test_records_of_mutated_warcs_against_a_plain_reader():
+    """Whole records before and after a damaged one are read as they were written, whatever was damaged within it."""
+    rng = np.random.default_rng(17)
+    whole = [warc.response_of(i, f"http://a/{i}", f"<p>page {i} {'x' * i}</p>") for i in range(3)]
+    want = [next(warc.read_records(w)) for w in whole]
+    for _ in range(3000):
+        end = whole[1].index(b"\r\n\r\n")
+        at, middle = int(rng.integers(end + 4, len(whole[1]) - 4)), bytearray(whole[1])
+        middle[at] = int(rng.integers(0, 256))  # the block changes, its length holds
+        got = list(warc.records(whole[0] + bytes(middle) + whole[2]))
+        assert [(h, b) for h, b, _ in got] == [want[0], (want[1][0], bytes(middle[end + 4 : -4])), want[2]]
+        cut = int(rng.integers(1, len(whole[2])))
+        last = list(warc.records(b"".join(whole)[:-cut]))
+        assert [(h, b) for h, b, _ in last[:2]] == want[:2] and (len(last) == 3 or cut >= len(whole[2]) - 5)
+        if len(last) == 3:
+            assert (last[2][2] is None) == (cut <= 4) and (cut > 4 or last[2][:2] == want[2])
+
+
 def test_damaged_warcs_give_flagged_rows(spark):
     whole = warc.response_of(1, "http://a/1", "<p>one</p>")
     rows = [("a", whole + whole[:-20]), ("b", b"nothing"), ("b", b"nothing"), ("c", None), (None, whole[:50])]
