@@ -695,6 +695,40 @@ def test_check_digits_and_scripts_are_kept():
     assert pii.surrogate("name", first, KEY).split()[-1] == pii.surrogate("name", later, KEY)
 
 
+def test_one_person_has_one_treatment():
+    def treat(text):
+        out, at = [], 0
+        for a, b, kind in pii.find(text):
+            out += [text[at:a], pii.surrogate(kind, text[a:b], KEY)]
+            at = b
+        return "".join([*out, text[at:]])
+
+    for names in pii.FIRST_NAMES:  # first names change, one-to-one, and keep gender and script
+        for key in (KEY, pii.SAMPLE_KEY):
+            new = [pii.surrogate("name", n, key) for n in names]
+            assert sorted(new) == sorted(names) and not any(a == b for a, b in zip(new, names, strict=True))
+    given = {n: pii.surrogate("name", n, KEY) for n in ("Anna", "Maria", "John")}
+    assert treat("Anna Maria came. Later Maria said so, and Anna left.") == f"{given['Anna']} {given['Maria']} came. Later {given['Maria']} said so, and {given['Anna']} left."
+    smith = pii.surrogate("name", "Smith", KEY)
+    assert treat("Dr SMITH met Anna Smith; ANNA SMITH's car. Smith left") == f"Dr {smith.upper()} met {given['Anna']} {smith}; {given['Anna'].upper()} {smith.upper()}'s car. {smith} left"
+    whole = {
+        "Mr O'Brien said": "O'Brien", "Ms McDonald said": "McDonald", "Dr van der Berg said": "van der Berg", "Mary Johnson said": "Mary Johnson",
+        "Susan Lee said": "Susan Lee", "Robert Brown said": "Robert Brown", "John F. Kennedy said": "John F. Kennedy", "Dr Anna Maria Schmidt said": "Anna Maria Schmidt",
+        "write to user@exämple.de now": "user@exämple.de",
+    }
+    for text, value in whole.items():
+        (a, b, _), *rest = pii.find(text)
+        assert not rest and text[a:b].endswith(value), text
+        kept = set(value.split()) & set(treat(text).split())
+        assert kept <= set(pii.PARTICLES), (text, treat(text))
+    curly, straight = treat("Mr O’Brien"), treat("Mr O'Brien")
+    assert curly == straight.replace("'", "’") and [c.isalpha() for c in straight] == [c.isalpha() for c in "Mr O'Brien"]
+    for plain in ("MAX SIZE of a block", "the max Value", "Anna, who came", "a Rosa of wines", "frank Words"):
+        assert treat(plain) == plain
+    shared = [pii.surrogate("ipv4", f"100.{64 + i}.1.{i}", KEY) for i in range(64)]
+    assert len(set(shared)) == 64 and all(ip.startswith("100.") and 64 <= int(ip.split(".")[1]) < 128 for ip in shared)
+
+
 def test_colliding_surrogates_draw_again(spark):
     docs = spark.createDataFrame([(1, "Dr Aa, Dr Bb"), (2, "Mr Cc and 10.0.0.1"), (None, "Dr Bb")], "doc_id long, text string")
     table = {("Aa", 0): "X", ("Bb", 0): "X", ("Cc", 0): "Aa"}

@@ -22,15 +22,18 @@ KEY_SETTING = "spark.tracerage.surrogates.key"
 SAMPLE_KEY = b"key of the sample tables"
 
 #: First names by gender in Latin, Cyrillic and Greek script, and titles.
-FEMALE = "Alice Anna Beatrice Carmen Charlotte Clara Elena Elisabeth Emma Eva Greta Hannah Irene Isabel Julia Karin Laura Lucia Maria Marie Martha Mia Nadia Nora Olivia Paula Petra Rosa Sara Sophie".split()
-MALE = "Adam Alexander Andreas Anton Carlos Daniel David Diego Emil Felix Frank Georg Hans Hugo Ivan Jack James John Jorge Karl Louis Luis Marc Martin Max Oscar Paul Peter Thomas Victor".split()
+FEMALE = "Alice Amanda Amy Angela Anna Barbara Beatrice Carmen Carol Charlotte Clara Deborah Donna Elena Elisabeth Elizabeth Emily Emma Eva Greta Hannah Irene Isabel Jennifer Jessica Julia Karen Karin Laura Linda Lisa Lucia Margaret Maria Marie Martha Mary Mia Michelle Nadia Nancy Nora Olivia Patricia Paula Petra Rebecca Rosa Sandra Sara Sarah Sharon Sophie Stephanie Susan".split()
+MALE = "Adam Alexander Andreas Andrew Anthony Anton Brian Carlos Charles Daniel David Diego Donald Edward Emil Eric Felix Frank Georg George Hans Hugo Ivan Jack Jacob James Jeffrey John Jonathan Jorge Joseph Karl Kenneth Kevin Louis Luis Marc Martin Matthew Max Michael Nicholas Oscar Paul Peter Richard Robert Ronald Ryan Stephen Steven Thomas Timothy Victor William".split()
 FEMALE_CYRILLIC = "Анна Дарья Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна".split()
 MALE_CYRILLIC = "Александр Алексей Андрей Дмитрий Иван Михаил Николай Олег Павел Сергей".split()
 FEMALE_GREEK = "Άννα Βασιλική Γεωργία Δήμητρα Ελένη Ειρήνη Κατερίνα Μαρία Σοφία Χριστίνα".split()
 MALE_GREEK = "Αλέξανδρος Ανδρέας Βασίλης Γιάννης Γιώργος Δημήτρης Κώστας Μιχάλης Νίκος Παύλος".split()
 FIRST_NAMES = [FEMALE, MALE, FEMALE_CYRILLIC, MALE_CYRILLIC, FEMALE_GREEK, MALE_GREEK]
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora Господин Госпожа Доктор Κύριος Κυρία Δρ".split()
+PARTICLES = "van von der den de la le du di da del dos bin al ter ten zu".split()
 _GIVEN = {name: names for names in FIRST_NAMES for name in names}
+#: First names all in capitals: short ones are left to other words, such as MAX.
+_CAPITALS = {name.upper(): name for name in [*FEMALE, *MALE] if len(name) > 3}
 
 
 def _letters(first: int, last: int, kind: str) -> str:
@@ -41,10 +44,14 @@ def _letters(first: int, last: int, kind: str) -> str:
 _LOWER = [_letters(lo, hi, "Ll") for lo, hi in ((0x61, 0x7B), (0xDF, 0x100), (0x100, 0x180), (0x3AC, 0x3CF), (0x430, 0x460))]
 _UPPER = [_letters(lo, hi, "Lu") for lo, hi in ((0x41, 0x5B), (0xC0, 0xDF), (0x100, 0x180), (0x386, 0x3AC), (0x400, 0x430))]
 _CASES = [(f"[{''.join(_UPPER[i:j])}]", f"[{''.join(_LOWER[i:j])}]+") for i, j in ((0, 3), (3, 4), (4, 5))]
-_NAME = "(?:" + "|".join(f"{u}{low}(?:-{u}{low})?" for u, low in _CASES) + ")"
+#: A name's word: "Smith", "Müller-Lüdenscheidt", "O'Brien", "McDonald".
+_WORD = "(?:" + "|".join(f"{head}{u}{low}(?:-{u}{low})?" for head, (u, low) in zip(("(?:[A-Z]['’]|Mac|Mc)?", "", ""), _CASES, strict=True)) + ")"
+#: A surname, particles and initials before it included: "van der Berg", "F. Kennedy".
+_NAME = rf"(?:(?:[A-Z]\. ){{0,2}}(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}{_WORD})"
+_LOUD = "(?:(?:[A-Z]['’])?[A-Z]{2,}(?:-[A-Z]{2,})?)"
 #: Kinds in order of precedence. A match of an earlier one hides later ones that overlap it.
 PATTERNS = [
-    ("email", r"(?<![\w.+%-])[\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"(?<![\w.+%-])[\w.+%-]+@[A-Za-z0-9\u00C0-\u024F-]+(?:\.[A-Za-z0-9\u00C0-\u024F-]+)*\.[A-Za-z]{2,}"),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:ghp|gho|ghs)_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     ("mac", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z:])"),
@@ -57,7 +64,11 @@ PATTERNS = [
         r"|(?<![\d.-])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<![\w.,-])0\d(?:[ .]\d{2}){4}(?![\d-])|(?<![\w.,-])0\d{2,4}[ /-]\d{6,8}(?![\d-])",
     ),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("name", rf"(?<!\w)(?:{'|'.join(TITLES)})\.? {_NAME}(?: {_NAME})?(?!\w)|(?<!\w)(?:{'|'.join(_GIVEN)}) {_NAME}(?!\w)"),
+    (
+        "name",
+        rf"(?<!\w)(?:{'|'.join(TITLES)})\.? (?:(?:(?:{'|'.join(_GIVEN)}) ){{1,2}}{_NAME}|{_NAME}(?: {_NAME})?|{_LOUD}(?: {_LOUD})?)(?!\w)"
+        rf"|(?<!\w)(?:{'|'.join(_GIVEN)}) (?:(?:{'|'.join(_GIVEN)}) )?{_NAME}(?!\w)|(?<!\w)(?:{'|'.join(_CAPITALS)}) {_LOUD}(?!\w)",
+    ),
 ]
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 _SIGN = re.compile(r"[\d@]|[0-9A-Fa-f]:[0-9A-Fa-f:]")
@@ -69,7 +80,7 @@ def _words():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for word in [*TITLES, *_GIVEN]:
+    for word in [*TITLES, *_GIVEN, *_CAPITALS]:
         found.add_word(word, len(word))
     found.make_automaton()
     return found
@@ -97,20 +108,33 @@ def find(text: str) -> list[tuple[int, int, str]]:
         if start >= at:
             out.append((start, end, m.lastgroup))
             at = end
-    return _with_bare_surnames(text, out)
-
-
-def _surname_of(name: str) -> str:
-    return name.split(" ")[-1]
+    return _with_bare_names(text, out)
+
+
+def _parts(name: str) -> list[tuple[str, str]]:
+    """A name's words as ``(role, word)``: title, given, initial, particle or surname."""
+    out = []
+    for i, word in enumerate(name.split(" ")):
+        if not i and word.rstrip(".") in TITLES:
+            role = "title"
+        elif word in _GIVEN or word in _CAPITALS:
+            role = "given"
+        elif len(word) == 2 and word[1] == ".":
+            role = "initial"
+        else:
+            role = "particle" if word in PARTICLES else "surname"
+        out.append((role, word))
+    return out
 
 
-def _with_bare_surnames(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """``found`` and, wherever a found person's surname stands by itself in the text, that too."""
-    surnames = {_surname_of(text[a:b]) for a, b, kind in found if kind == "name"}
-    surnames = sorted(s for s in surnames if len(s) > 2)
-    if not surnames:
+def _with_bare_names(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """``found`` and, wherever a found person's first name or surname stands by itself in the text, that too."""
+    words = {w for a, b, kind in found if kind == "name" for role, w in _parts(text[a:b]) if role in ("given", "surname")}
+    # Longest first: of "Anna" and "Anna-Lena" the whole word is met.
+    words = sorted((w for w in words if len(w) > 2), key=lambda w: (-len(w), w))
+    if not words:
         return found
-    bare = re.compile(rf"(?<![\w@.-])(?:{'|'.join(map(re.escape, surnames))})(?![\w@-])")
+    bare = re.compile(rf"(?<![\w@.-])(?:{'|'.join(map(re.escape, words))})(?![\w@-])")
     out, k = [], 0
     for m in bare.finditer(text):
         while k < len(found) and found[k][1] <= m.start():
@@ -206,7 +230,7 @@ def _walk(value, step, good):
 
 
 #: First address and number of addresses of each class that isn't public.
-_CLASSES = [(10 << 24, 1 << 24), (127 << 24, 1 << 24), (192 << 24 | 168 << 16, 1 << 16), (172 << 24 | 16 << 16, 1 << 20), (224 << 24, 1 << 29), (0, 1 << 24), (169 << 24 | 254 << 16, 1 << 16)]
+_CLASSES = [(10 << 24, 1 << 24), (100 << 24 | 64 << 16, 1 << 22), (127 << 24, 1 << 24), (192 << 24 | 168 << 16, 1 << 16), (172 << 24 | 16 << 16, 1 << 20), (224 << 24, 1 << 29), (0, 1 << 24), (169 << 24 | 254 << 16, 1 << 16)]
 
 
 def _address_class(v: int) -> tuple[int, int] | None:
@@ -242,12 +266,26 @@ def _permute_iban(text: str, key: bytes, tweak: str) -> str:
 
 
 def units(kind: str, text: str) -> list[tuple[str, str]]:
-    """What of an entity is drawn, and drawn again on a collision, as one: a name's words, else all of it."""
+    """What of an entity is drawn, and drawn again on a collision, as one: a name's surnames, else all of it.
+
+    First names and initials need no second draw: they take places in a cycle of their list.
+    """
     if kind != "name":
         return [(kind, text)]
-    words = text.split(" ")
-    words = words[1:] if words[0].rstrip(".") in TITLES else words
-    return [("surname", w) for i, w in enumerate(words) if i or w not in _GIVEN]
+    return [("surname", _plain(w)) for role, w in _parts(text) if role == "surname"]
+
+
+def _plain(surname: str) -> str:
+    """The form that all spellings of a surname share: "SMITH" is "Smith", a curly apostrophe is a straight one."""
+    surname = surname.replace("’", "'")
+    return re.sub(r"[A-Z]+", lambda m: m[0].capitalize(), surname) if surname.isascii() and surname.isupper() and len(surname) > 1 else surname
+
+
+@lru_cache(1024)
+def _cycle(items: str, key: bytes, tweak: str) -> dict[str, str]:
+    """Each of the space-separated items and its successor in a keyed order: one-to-one, none stays itself."""
+    order = sorted(items.split(" "), key=lambda x: hashlib.blake2b(f"{tweak}\0{x}".encode(), key=key[:64], digest_size=16).digest())
+    return dict(zip(order, order[1:] + order[:1], strict=True))
 
 
 def draw(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
@@ -259,7 +297,8 @@ def draw(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
     tweak = f"{kind}{attempt}"
     longer = attempt // 8
     if kind == "surname":
-        return scramble(text + text[-1] * longer, key, tweak)
+        # No surname becomes a listed first name, which would be another name's surrogate.
+        return scramble(text + text[-1] * longer, key, tweak) if longer else _walk(text, lambda x: scramble(x, key, tweak), lambda x: x not in _GIVEN or text in _GIVEN)
     if kind == "email":
         name, _, host = text.rpartition("@")
         site, _, top = host.rpartition(".")
@@ -289,19 +328,29 @@ def draw(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
 def surrogate(kind: str, text: str, key: bytes, attempts: dict[tuple[str, str], int] | None = None) -> str:
     """The replacement of an entity. The same text always gets the same one.
 
-    In a name the title stays, a listed first name gives one of the same gender and script, and a
-    surname's surrogate doesn't depend on what stands before it, so "Dr Smith" and "Anna Smith"
-    still share theirs.
+    In a name the title and particles stay, and each other word is replaced by itself: a listed first
+    name by another one of its gender and script, an initial by another letter, a surname by its own
+    surrogate. So "Dr Smith", "Anna SMITH", "Anna" and "Smith" of one person stay one person's.
     """
     tries = attempts or {}
     if kind != "name":
         return draw(kind, text, key, tries.get((kind, text), 0))
-    words = text.split(" ")
-    out = [words.pop(0)] if words[0].rstrip(".") in TITLES else []
-    if words and words[0] in _GIVEN:
-        names = _GIVEN[words[0]]
-        out.append(names[permute(names.index(words.pop(0)), 5, len(names) // 5, key, "first")])
-    return " ".join(out + [draw("surname", w, key, tries.get(("surname", w), 0)) for w in words])
+    out = []
+    for role, word in _parts(text):
+        if role == "given":
+            name = _CAPITALS.get(word, word)
+            new = _cycle(" ".join(_GIVEN[name]), key, "first")[name]
+            out.append(new if name == word else new.upper())
+        elif role == "initial":
+            out.append(_cycle(" ".join(alphabet_of(word[0])), key, "initial")[word[0]] + ".")
+        elif role == "surname":
+            plain = _plain(word)
+            new = draw("surname", plain, key, tries.get(("surname", plain), 0))
+            new = new.replace("'", "’") if "’" in word else new
+            out.append(new.upper() if plain != word.replace("’", "'") else new)
+        else:
+            out.append(word)
+    return " ".join(out)
 
 
 def unbound(kind: str, text: str) -> bool:
