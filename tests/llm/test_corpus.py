@@ -577,6 +577,35 @@ def test_texts_come_back_from_their_media(docs, rows, empty):
     assert media.read_back(media.store_texts(empty)).count() == 0
 
 
+def test_sounds_are_carved_from_behind_their_previews(spark, docs, rows):
+    stored = media.store_texts(docs, previews=True)
+    plain = sorted(media.read_back(media.store_texts(docs)).drop("media_start", "preview").collect(), key=str)
+    carved = media.read_back(stored)
+    assert sorted(carved.drop("media_start", "preview").collect(), key=str) == plain
+    assert {(r.media_start, r.preview) for r in carved.select("media_start", "preview").collect()} == {(13 + 256, "ok")}
+    parts = media.sniff_media(stored, "doc_id").collect()
+    assert len(parts) == 2 * len(rows) and all(r.corrected for r in parts)
+    assert {(r.part, r.media_type, r.start) for r in parts} == {(0, "image/x-portable-graymap", 0), (1, "audio/wav", 269)}
+    image = media.preview(b"aab")[13:]
+    assert (image[97], image[98], sum(image)) == (255, 127, 382)
+    odd = [(1, 1, None, media.preview(b"x" * 192) + media.to_wav(b"y" * 192)), (2, 1, None, media.to_wav(b"y" * 192) + media.preview(b"y" * 192))]
+    got = sorted(media.read_back(spark.createDataFrame(odd, "doc_id long, n_bytes long, declared_type string, content binary")).collect())
+    assert [(r.media_start, r.preview) for r in got] == [(269, "wrong"), (0, None)]
+
+
+def test_graymaps_by_their_definition():
+    pixels = bytes(range(6))
+    good = [b"P5\n3 2\n255\n", b"P5 3\t2 7\r", b"P5 # made by hand\n3 # wide\n 2\n# " + b"long " * 50 + b"\n255\n"]
+    for head in good:
+        data = memoryview(head + pixels + b"tail")
+        assert media.pgm_length(data) == len(head) + 6
+        assert media.sniff(b"xx" + bytes(data)) == [(2, len(head) + 6, "image/x-portable-graymap")]
+    assert media.pgm_length(memoryview(b"P5 3 1 65535\n" + pixels)) == 13 + 6
+    for bad in (b"P5\n3 2\n0\n", b"P5\n0 2\n255\n", b"P5\n3 2\n65536\n", b"P5\n3 3\n255\n", b"P5\n3 -2\n255\n", b"P53 2 255\n", b"P5 # no end"):
+        assert media.pgm_length(memoryview(bad + pixels)) == 0
+    assert media.pgm_length(memoryview(b"P5 3 2 255x" + pixels)) == 0
+
+
 def test_damaged_media_give_flagged_rows(spark):
     wav = media.to_wav(b"\x80\x90" * 96)
     rows = [(1, 5, "audio/wav", b"junk" + wav + b"junk"), (2, 5, "audio/wav", wav[:-9]), (3, 5, "image/png", None), (3, 5, None, b"")]

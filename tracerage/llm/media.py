@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ MAGIC = [
     (b"GIF89a", 0, "image/gif"),
     (b"BM", 0, "image/bmp"),
     (b"\xff\xd8\xff", 0, "image/jpeg"),
-    (b"P5\n", 0, "image/x-portable-graymap"),
+    (b"P5", 0, "image/x-portable-graymap"),
 ]
 
 BLOCK = 192
@@ -129,16 +130,17 @@ def jpeg_length(data: memoryview) -> int:
     return 0
 
 
+_GAP = rb"(?:[ \t\n\v\f\r]|#[^\r\n]*[\r\n])+"
+_GRAYMAP = re.compile(rb"P5" + _GAP + rb"([0-9]{1,9})" + _GAP + rb"([0-9]{1,9})" + _GAP + rb"([0-9]{1,5})[ \t\n\v\f\r]")
+
+
 def pgm_length(data: memoryview) -> int:
-    """Bytes of the 8-bit graymap at the start, or 0."""
-    head = bytes(data[:64]).split(b"\n", 3)
-    try:
-        width, height = map(int, head[1].split())
-        top = int(head[2])
-    except (IndexError, ValueError):
+    """Bytes of the graymap at the start, or 0: any white space and comments between numbers, one or two bytes a sample."""
+    if not (head := _GRAYMAP.match(data)):
         return 0
-    size = sum(map(len, head[:3])) + 3 + width * height
-    return size if 0 < top < 256 and width > 0 and height > 0 and size <= len(data) else 0
+    width, height, top = map(int, head.groups())
+    size = head.end() + width * height * (1 if top < 256 else 2)
+    return size if 0 < top < 65536 and width > 0 and height > 0 and size <= len(data) else 0
 
 
 VALID = {"audio/wav": wav_length, "image/png": png_length, "image/gif": gif_length, "image/bmp": bmp_length, "image/jpeg": jpeg_length, "image/x-portable-graymap": pgm_length}
@@ -184,6 +186,12 @@ def features(samples: bytes) -> str:
     return f"n={n};mean={mean:.6f};sd={max(0.0, squares / n - mean * mean) ** 0.5:.6f};crossings={crossings};peak={int(x.max())}"
 
 
+def preview(samples: bytes) -> bytes:
+    """A graymap of 16 by 16 pixels: how often each byte value is among the samples, the commonest white."""
+    counts = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
+    return b"P5\n16 16\n255\n" + (counts * 255 // max(1, counts.max())).astype(np.uint8).tobytes()
+
+
 def sniff_media(df: DataFrame, key: str, content: str = "content", declared: str = "declared_type") -> DataFrame:
     """One row for each medium carved from a binary column.
 
@@ -217,11 +225,13 @@ def payload_of(text: str | None, block: int = BLOCK) -> tuple[bytes, int]:
     return raw + b" " * (-len(raw) % block if raw else block), len(raw)
 
 
-def store_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def store_texts(docs: DataFrame, block: int = BLOCK, previews: bool = False) -> DataFrame:
     """Every whole text as a WAV column: ``doc_id, n_bytes, declared_type, content``.
 
     The UTF-8 bytes, with spaces up to a positive multiple of ``block``, are the unsigned 8-bit
-    samples. A null text is empty. The declared type is a guess that sniffing has to correct.
+    samples. A null text is empty. The declared type is a guess that sniffing has to correct. With
+    ``previews`` a small image of the samples stands before the sound in the same column, so that
+    readers have to carve both.
     """
     names = ["doc_id", "n_bytes", "declared_type", "content"]
 
@@ -232,7 +242,7 @@ def store_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             sizes = np.diff(utf8(texts)[1])
             for lo, hi in slices(sizes, 1 << 23):
                 made = [payload_of(t, block) for t in texts[lo:hi].to_pylist()]
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array([n for _, n in made], pa.int64()), pa.array(["application/octet-stream"] * len(made)), pa.array([to_wav(p) for p, _ in made], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array([n for _, n in made], pa.int64()), pa.array(["application/octet-stream"] * len(made)), pa.array([(preview(p) if previews else b"") + to_wav(p) for p, _ in made], pa.binary())], names)
 
     return doc_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, declared_type string, content binary")
 
@@ -241,12 +251,13 @@ def read_back(stored: DataFrame) -> DataFrame:
     """Digests and features of stored samples: sniffed, validated, carved, decoded.
 
     ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature, media_type, corrected``: corrected if the declared type isn't what the bytes are. A row
-    whose content is null or holds no valid WAV (anywhere: it is carved) has nulls from payload_bytes
-    to feature and the type ``application/octet-stream``. Repeated rows and null ids are kept; an
+    feature, media_type, corrected, media_start, preview``: corrected if the declared type isn't what
+    the bytes are, media_start where the sound was found in the content, preview ``ok`` if an image
+    before it was found and is that of the samples, ``wrong`` if it isn't, else null. A row whose content is null or holds no valid WAV (anywhere: it is carved) has nulls from payload_bytes
+    to feature and in the last two, and the type ``application/octet-stream``. Repeated rows and null ids are kept; an
     empty table gives none.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected", "media_start", "preview"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
@@ -255,14 +266,17 @@ def read_back(stored: DataFrame) -> DataFrame:
             rows = []
             for doc_id, n_bytes, said, content in zip(*(batch.column(c) for c in ("doc_id", "n_bytes", "declared_type", "content")), strict=True):
                 data = content.as_py() or b""
-                start, size, kind = next((x for x in sniff(data, found) if x[2] == "audio/wav"), (0, 0, "application/octet-stream"))
+                parts = sniff(data, found)
+                start, size, kind = next((x for x in parts if x[2] == "audio/wav"), (0, 0, "application/octet-stream"))
                 if not size:
-                    rows.append((doc_id.as_py(), n_bytes.as_py(), *[None] * 6, kind, said.as_py() != kind))
+                    rows.append((doc_id.as_py(), n_bytes.as_py(), *[None] * 6, kind, said.as_py() != kind, None, None))
                     continue
                 media = data[start : start + size]
                 samples = from_wav(media)
-                rows.append((doc_id.as_py(), n_bytes.as_py(), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(samples), kind, said.as_py() != kind))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+                image = next((data[lo : lo + n] for lo, n, what in parts if what == "image/x-portable-graymap" and lo < start), None)
+                seen = None if image is None else "ok" if image == preview(samples) else "wrong"
+                rows.append((doc_id.as_py(), n_bytes.as_py(), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(samples), kind, said.as_py() != kind, start, seen))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return stored.select("doc_id", "n_bytes", "declared_type", "content").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, corrected boolean")
+    return stored.select("doc_id", "n_bytes", "declared_type", "content").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, corrected boolean, media_start long, preview string")

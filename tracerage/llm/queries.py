@@ -42,7 +42,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_back(media.store_texts(table(spark, sf_dir, "documents")))
+    return media.read_back(media.store_texts(table(spark, sf_dir, "documents"), previews=True))
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
