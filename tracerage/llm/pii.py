@@ -71,7 +71,9 @@ PATTERNS = [
     ),
 ]
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
-_SIGN = re.compile(r"[\d@]|[0-9A-Fa-f]:[0-9A-Fa-f:]")
+#: For texts without any title or first name, most of them: the long lists aren't tried at each place.
+_NAMELESS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS if k != "name"))
+_DIGIT, _PAIR = re.compile(r"\d"), re.compile("[0-9A-Fa-f]:[0-9A-Fa-f:]")
 
 
 @lru_cache(1)
@@ -86,22 +88,31 @@ def _words():
     return found
 
 
-def hinted(text: str) -> bool:
-    """Any entity has a digit, an at sign, or a title or first name; this settles most texts."""
-    if _SIGN.search(text):
-        return True
+def _named(text: str) -> bool:
+    """Whether a title or first name stands in the text as a word: a name has one."""
     for last, n in _words().iter(text):
         if text[last + 1 : last + 2] in (" ", ".") and not text[max(0, last - n) : last - n + 1].isalnum():
             return True
     return False
 
 
+def _signed(text: str) -> bool:
+    """Whether the text has a digit, an at sign or hexadecimal groups: all entities but names have one."""
+    return "@" in text or bool(_DIGIT.search(text)) or (":" in text and bool(_PAIR.search(text)))
+
+
+def hinted(text: str) -> bool:
+    """Any entity has a sign, or a title or first name; this settles most texts."""
+    return _signed(text) or _named(text)
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """Spans of personal data as ``(start, end, kind)``, in order, without overlap."""
-    if not hinted(text):
+    named = _named(text)
+    if not named and not _signed(text):
         return []
     out, at = [], 0
-    for m in FINDER.finditer(text):
+    for m in (FINDER if named else _NAMELESS).finditer(text):
         start, end = m.span()
         if m.lastgroup == "email":  # a full stop or a sign before the address isn't part of it
             start += len(m[0]) - len(m[0].lstrip(".+%-"))
