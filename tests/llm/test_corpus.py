@@ -561,6 +561,23 @@ def test_languages_are_told_apart_by_family_and_pair(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_what_is_like_no_language_goes(spark):
+    import random
+
+    draw = random.Random(3)
+    words = {"aa": "the and house water green people under letter table morning".split(), "bb": "der und haus wasser gruen leute unter brief tisch morgen".split()}
+    make = lambda lang, n: " ".join(draw.choices(words[lang], k=n))
+    rows = [(i, make(lang, draw.choice((2, 8, 40, 300))), lang) for i in range(600) for lang in [("aa", "bb")[i % 2]]]
+    junk = ["0xdeadbeef 0xcafebabe 0xfeedface", "zzzz zzzz zzzz zzzz", "QXJ2 kqzx wvvk jjqx", "xxxxxxxxxxxx" * 50, "你好" * 20]
+    clean = [make("aa", 3), make("bb", 500), make("aa", 60)]
+    later = [(1000 + i, t, None) for i, t in enumerate([*junk, *clean, "ok"])]
+    docs = spark.createDataFrame(rows + later, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in langid.keep_known(docs).collect()}
+    assert len(kept & {r[0] for r in rows}) >= 0.99 * len(rows)
+    assert not kept & set(range(1000, 1000 + len(junk))) and set(range(1000 + len(junk), 1000 + len(later) - 1)) <= kept
+    assert langid.keep_known(docs.limit(0)).count() == 0
+
+
 # Media
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -76,6 +77,23 @@ class Model:
     families: dict[str, int] = field(default_factory=dict)
     rest: dict[int, np.ndarray] = field(default_factory=dict)
     pairs: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
+    #: Mean vector of each language, and the least likeness to it by class of length (see calibrate).
+    centres: dict[str, np.ndarray] = field(default_factory=dict)
+    floors: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def likeness(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest language and the cosine to its mean, of rows of vectors."""
+        names = sorted(self.centres)
+        like = x @ np.stack([self.centres[n] for n in names]).T
+        best = like.argmax(1)
+        return np.array(names, object)[best], like[np.arange(len(x)), best]
+
+    def known(self, x: np.ndarray, lengths: list[int]) -> np.ndarray:
+        """Which rows are as much like their nearest language as texts of their length are."""
+        if not self.floors:
+            return np.ones(len(x), bool)
+        names, like = self.likeness(x)
+        return np.array([v >= self.floors[n][length_class(k)] for n, v, k in zip(names, like, lengths, strict=True)], bool)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Languages and scores of rows of vectors."""
@@ -108,10 +126,29 @@ class Model:
         return out, np.clip(score, 0, 1)
 
 
+#: Texts of 2^LONGEST characters and more are one class of length.
+LONGEST = 12
+
+
+def length_class(n: int) -> int:
+    return min(max(n, 1).bit_length() - 1, LONGEST)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def _drawn(docs: DataFrame, per_language: int) -> DataFrame | None:
+    """``lang, text`` of about ``per_language`` labelled documents of each language that aren't held out, or None."""
+    usable = doc_columns(docs, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in usable.groupBy("lang").count().collect()}
+    if not share:
+        return None
+    bounds = docs.sparkSession.createDataFrame([(k, int(v * (1 << 20))) for k, v in share.items()], "lang string, most long")
+    drawn = usable.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("most"))
+    return drawn.select("lang", "text")
+
+
 def fit(docs: DataFrame, per_language: int = 1000) -> Model:
     """A model from labelled documents that are not held out.
 
@@ -119,13 +156,10 @@ def fit(docs: DataFrame, per_language: int = 1000) -> Model:
     chosen by a hash. Each SVM is trained in a task of its own from its part of the sample; the
     driver only gets one mean vector a language and the weights.
     """
-    usable = doc_columns(docs, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in usable.groupBy("lang").count().collect()}
-    if not share:
+    drawn = _drawn(docs, per_language)
+    if drawn is None:
         return Model()
     spark = docs.sparkSession
-    bounds = spark.createDataFrame([(k, int(v * (1 << 20))) for k, v in share.items()], "lang string, most long")
-    drawn = usable.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("most"))
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
@@ -135,7 +169,7 @@ def fit(docs: DataFrame, per_language: int = 1000) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column("lang")[at : at + len(x)], pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "vector"])
                 at += len(x)
 
-    sample = materialise(drawn.select("lang", "text").mapInArrow(lean(embed), "lang string, vector binary"), "langid-sample")
+    sample = materialise(drawn.mapInArrow(lean(embed), "lang string, vector binary"), "langid-sample")
 
     def stack(column: pd.Series) -> np.ndarray:
         return np.frombuffer(b"".join(column), np.float32).reshape(len(column), DIM)
@@ -146,7 +180,7 @@ def fit(docs: DataFrame, per_language: int = 1000) -> Model:
 
     means = sorted((r["lang"], np.frombuffer(r["vector"], np.float32)) for r in sample.groupBy("lang").applyInPandas(centre, "lang string, vector binary").collect())
     names = [n for n, _ in means]
-    model = Model(families_of(names, np.stack([v for _, v in means])))
+    model = Model(families_of(names, np.stack([v for _, v in means])), centres=dict(means))
     tasks = []
     kinds = sorted(set(model.families.values()))
     if len(kinds) > 1:
@@ -175,10 +209,50 @@ def fit(docs: DataFrame, per_language: int = 1000) -> Model:
     return model
 
 
+def calibrate(docs: DataFrame, model: Model, per_language: int = 1000, share: float = 0.002, margin: float = 0.9) -> Model:
+    """``model`` with the least likeness that texts of a language and length have to its mean.
+
+    From the same bounded sample: each text whole, and a window of it of 8, 16, 32, ... characters at a
+    hashed place, so short texts are judged by short ones. Of a language's and class's likenesses
+    the ``share`` quantile times ``margin`` is the floor; a class that wasn't met takes the next
+    shorter one's, and nothing is asked of texts shorter than 8 characters.
+    """
+    drawn = _drawn(docs, per_language)
+    if drawn is None or not model.centres:
+        return model
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def windows(text: str) -> list[str]:
+        out, place = [text], zlib.crc32(text.encode("utf-8", "replace"))
+        for k in range(3, LONGEST):
+            if 1 << k < len(text):
+                at = place % (len(text) - (1 << k))
+                out.append(text[at : at + (1 << k)])
+        return [t for t in out if any(map(str.isalpha, t))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                texts = windows(text)
+                found = [sent.value.likeness(x) for x in vectors(pa.array(texts, pa.string()))]
+                names, like = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([length_class(len(t)) for t in texts], pa.int32()), pa.array(like.astype(np.float64))], ["lang", "size", "likeness"])
+
+    floors = {n: np.zeros(LONGEST + 1) for n in model.centres}
+    met = drawn.select("text").mapInArrow(lean(run), "lang string, size int, likeness double").groupBy("lang", "size").agg(F.percentile("likeness", F.lit(share)).alias("least"))
+    for r in sorted(met.collect(), key=lambda r: (r["lang"], r["size"])):
+        if r["size"] >= 3:
+            floors[r["lang"]][r["size"] :] = margin * r["least"]
+    return replace(model, floors=floors)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``lang_pred, score`` beside all columns of ``docs``, in place of any of these names.
 
-    A null text or one without a letter is ``und`` with score 0. The model sees the whole text and
+    A null text or one without a letter is ``und`` with score 0, and so is, if the model is calibrated,
+    one that isn't like its nearest language. The model sees the whole text and
     nothing else. Repeated rows give repeated rows; an empty table gives an empty table.
     """
     spark, docs = docs.sparkSession, docs.drop("lang_pred", "score")
@@ -190,9 +264,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         worker_cache()
         for batch in batches:
             texts = batch.column("text")
-            found = [sent.value.predict(x) for x in vectors(texts)]
+            found, strange, at = [], [], 0
+            for x in vectors(texts):
+                found.append(sent.value.predict(x))
+                strange.append(~sent.value.known(x, [len(t or "") for t in texts[at : at + len(x)].to_pylist()]))
+                at += len(x)
             lang = np.concatenate([a for a, _ in found]) if found else np.zeros(0, object)
             score = np.concatenate([b for _, b in found]) if found else np.zeros(0)
+            strange = np.concatenate(strange) if strange else np.zeros(0, bool)
+            lang[strange], score[strange] = UNKNOWN, 0.0
             blank = np.array([not t or not any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
             lang[blank], score[blank] = UNKNOWN, 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
@@ -207,11 +287,12 @@ def identify(docs: DataFrame, per_language: int = 1000) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least_score: float = 0.25) -> DataFrame:
-    """All columns of ``docs``, without documents that have no letter or score below chance.
+    """All columns of ``docs``, without documents that have no letter, are like no language or score below chance.
 
-    A missing ``lang`` is filled with the prediction; what a document says of itself stays. Null
-    texts go. Repeated rows stay as they are; an empty table gives an empty table.
+    What is like a language is learnt from the labelled documents (see calibrate). A missing ``lang``
+    is filled with the prediction; what a document says of itself stays. Null texts go. Repeated rows
+    stay as they are; an empty table gives an empty table.
     """
     plain = docs.drop("lang_pred", "score")
-    found = predict(plain, fit(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    found = predict(plain, calibrate(docs, fit(docs))).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*plain.columns) if "lang" in plain.columns else found.select(*plain.columns)
