@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .special import gamma, gamma_p, normal_cdf, normal_log_cdf
+from .special import gamma, gamma_p, gamma_p_inverse, normal_cdf, normal_log_cdf
 
 Params = dict[str, Column]
 
@@ -114,7 +114,7 @@ def _ig_moment(p: Params, t: Column) -> Column:
 
 register_law("ig", Law(("mu", "sigma"), _ig_cdf, _ig_moment, lambda p: p["mu"], lambda p: p["sigma"]))
 register_law("ig_shifted", Law(("mu", "sigma", "shift"), _ig_cdf, _ig_moment, lambda p: p["mu"] + p["shift"], lambda p: p["sigma"]))
-register_law("gamma", Law(("k", "theta"), lambda p, t: gamma_p(p["k"], t / p["theta"]), lambda p, t: p["k"] * p["theta"] * gamma_p(p["k"] + 1, t / p["theta"]), lambda p: p["k"] * p["theta"], lambda p: F.sqrt(p["k"]) * p["theta"]))
+register_law("gamma", Law(("k", "theta"), lambda p, t: gamma_p(p["k"], t / p["theta"]), lambda p, t: p["k"] * p["theta"] * gamma_p(p["k"] + 1, t / p["theta"]), lambda p: p["k"] * p["theta"], lambda p: F.sqrt(p["k"]) * p["theta"], lambda p, q: p["theta"] * gamma_p_inverse(p["k"], q)))
 
 
 def _weibull_z(p: Params, t: Column) -> Column:
@@ -171,7 +171,10 @@ register_law(
 
 
 def bisect_quantile(law: Law, p: Params, q: Column, top: Column, steps: int = 60) -> Column:
-    """A quantile between 0 and ``top`` by halving a fixed number of times, for laws without a closed form."""
+    """A quantile between 0 and ``top`` by halving a fixed number of times, for laws without a quantile of their own.
+
+    The law's distribution is a plain expression: one of Python functions, as by gamma_p(), needs a quantile beside it.
+    """
     start = F.struct(F.lit(0.0).alias("lo"), top.cast("double").alias("hi"))
 
     def halve(acc: Column, _: Column) -> Column:
