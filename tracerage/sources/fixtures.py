@@ -80,9 +80,18 @@ tracers as (select *, case when half_life is not null then ln(2.0::double) / hal
 
 
 def draws_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``case_id, chain, step, q, d, t, obj_function``: lines as draws of three parameters."""
-    w = Window.partitionBy("l_returnflag", "l_linenumber").orderBy("l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("case_id"), F.col("l_linenumber").cast("long").alias("chain"), F.row_number().over(w).cast("long").alias("step"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"), F.col("l_extendedprice").alias("obj_function"))
+    """``case_id, chain, step, q, d, t, obj_function``: lines as draws of three parameters.
+
+    A line's step is its place within its date, over the lines of the dates before: a chain of any
+    length is spread over as many groups as it has dates.
+    """
+    lines = table(spark, sf_dir, "lineitem").withColumns({"case_id": F.col("l_returnflag"), "chain": F.col("l_linenumber").cast("long")})
+    date = ["case_id", "chain", "l_shipdate"]
+    ahead = Window.partitionBy("case_id", "chain").orderBy("l_shipdate").rowsBetween(Window.unboundedPreceding, -1)
+    dates = lines.groupBy(*date).agg(F.count("*").alias("__c")).select(*(F.col(k).alias(f"__{k}") for k in date), F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__ahead"))
+    within = Window.partitionBy(*date).orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus")
+    placed = lines.withColumn("__at", F.row_number().over(within)).join(dates, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in date])
+    return placed.select("case_id", "chain", (F.col("__at") + F.col("__ahead")).cast("long").alias("step"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"), F.col("l_extendedprice").alias("obj_function"))
 
 
 DRAWS = """wide as (
