@@ -77,8 +77,7 @@ TAILS = "tq as (select case_id, param, quantile_cont(value, 0.05) as lo, quantil
 
 @query("j06_bulk_tail_mcse", f"with {SPLIT}, {scores_sql('sp', 'z')}, {TAILS}, {ess_sql('z', 'zb')}, {ess_sql('tl', 'zl')}, {ess_sql('th', 'zh')}, {ess_sql('sp', 'zs')}, sds as (select case_id, param, stddev_samp(value) as sd from sp group by all) select b.case_id, b.param, round(b.ess, 4) as bulk_ess, round(least(l.ess, h.ess), 4) as tail_ess, round(sd / sqrt(s.ess), 10) as mcse, b.truncated or l.truncated or h.truncated or s.truncated as truncated from zb_e b join zl_e l using (case_id, param) join zh_e h using (case_id, param) join zs_e s using (case_id, param) join sds using (case_id, param)")
 def j06(spark, sf):
-    d = fx.draws(spark, sf)
-    rows = dg.bulk_ess(d).join(dg.tail_ess(d), dg.KEYS).join(dg.mcse(d), dg.KEYS)
+    rows = dg.effective_sizes(fx.draws(spark, sf))
     cut = F.col("bulk_truncated") | F.col("tail_truncated") | F.col("mcse_truncated")
     return rows.select("case_id", "param", F.round("bulk_ess", 4).alias("bulk_ess"), F.round("tail_ess", 4).alias("tail_ess"), F.round("mcse", 10).alias("mcse"), cut.alias("truncated"))
 
