@@ -3,6 +3,7 @@
 import datetime
 import random
 
+from tracerage.operators import order
 from tracerage.sources import fixtures as fx
 
 
@@ -18,3 +19,11 @@ def test_steps_are_numbered_within_dates(spark, tmp_path):
     assert sorted((r.case_id, r.chain, r.step, r.q) for r in got.collect()) == sorted((*k, i, q) for k, qs in want.items() for i, q in enumerate(qs, 1))
     numbering = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in line and "Window" in line]
     assert numbering and all("l_shipdate" in line.split("specifiedwindowframe")[-1].split("], [")[1] for line in numbering)
+
+
+def test_steps_are_compared_over_ranges(spark):
+    rows = [(c, i, (i // 3) % 5) for c in "ab" for i in range(200)]
+    got = order.step_changes(spark.createDataFrame(rows, "chain string, step long, v long").repartition(5), ["chain"], "step", ["v"])
+    assert sorted((r.chain, r.step, r.accepted) for r in got.collect()) == [(c, i, i % 3 == 0 if i else None) for c in "ab" for i in range(200)]
+    windows = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in line and "Window" in line]
+    assert windows and all("__slot" in line.split("specifiedwindowframe")[-1].split("], [")[1] for line in windows)

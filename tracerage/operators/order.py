@@ -131,9 +131,22 @@ def distinct_in_order(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def step_changes(draws: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
-    """``accepted``: whether a row differs from the one before it in its chain (null for the first)."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    """``accepted``: whether a row differs from the one before it in its chain (null for the first).
+
+    Rows are dealt in ranges of (keys, order), stored, and compared within a range; a range's first row
+    meets the last one of the range before. A chain of any length is spread over tasks.
+    """
+    tasks = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(draws.repartitionByRange(tasks, *keys, order).withColumn("__slot", F.spark_partition_id()), "steps")
+    state = F.struct(F.col(order).alias("at"), *(F.col(c).alias(f"v{i}") for i, c in enumerate(columns)))
+    slots = rows.groupBy(*keys, "__slot").agg(F.max_by(state, order).alias("__last"))
+    before = F.lag("__last").over(Window.partitionBy(*keys).orderBy("__slot"))
+    slots = slots.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__slot").alias("__s"), before.alias("__before"))
+    found = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    w = Window.partitionBy(*keys, "__slot").orderBy(order)
+    placed = rows.withColumns({"__first": F.row_number().over(w) == 1, "__lag": F.lag(state).over(w)}).join(slots, [*found, F.col("__slot") == F.col("__s")])
+    placed = placed.withColumn("__lag", F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__lag")))
     same = F.lit(True)
-    for c in columns:
-        same = same & (F.col(c) == F.lag(c).over(w))
-    return draws.withColumn("accepted", F.when(F.lag(order).over(w).isNotNull(), ~same))
+    for i, c in enumerate(columns):
+        same = same & (F.col(c) == F.col("__lag")[f"v{i}"])
+    return placed.withColumn("accepted", F.when(F.col("__lag")["at"].isNotNull(), ~same)).select(*draws.columns, "accepted")
