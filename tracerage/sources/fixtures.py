@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .io import stored
+
 ORDER = ["l_shipdate", "o_orderpriority", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
@@ -27,11 +29,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``well, obs_id, element, concentration, error, unit, date``; obs_id counts a well's rows."""
+def observations(spark: SparkSession, sf_dir: str, wells: list | None = None) -> DataFrame:
+    """``well, obs_id, element, concentration, error, unit, date``; obs_id counts a well's rows.
+
+    All wells, or the given ones: their lines are stored first, so few are sent to the orders and
+    those stay where they are.
+    """
     w = Window.partitionBy("l_suppkey").orderBy(*ORDER)
     price = F.col("l_extendedprice")
-    return lines(spark, sf_dir).select(
+    rows = lines(spark, sf_dir)
+    if wells is not None:
+        rows = stored(table(spark, sf_dir, "lineitem").where(F.col("l_suppkey").isin(wells)), "wells").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(
         F.col("l_suppkey").alias("well"),
         F.row_number().over(w).cast("long").alias("obs_id"),
         F.col("o_orderpriority").alias("element"),
