@@ -204,11 +204,12 @@ def annual_trends(df: DataFrame, keys: list[str], date: str, observed: str, mode
     """Two series side by side on calendar years: ``n_years``, slopes of both annual means, their correlation, and the mismatch.
 
     ``median_mismatch`` is the median of |modeled - observed| / observed over rows, not years; rows
-    without an observed value or with 0 don't count in it. Rows lose their dates map-side, then one
-    aggregate over years gives all but the median.
+    without an observed value or with 0 don't count in it. Rows lose their dates and are stored, so
+    what they come from is made once; one aggregate over years gives all but the median.
     """
-    rows = df.withColumn("__mismatch", F.try_divide(F.abs(F.col(modeled) - F.col(observed)), F.col(observed)))
-    years = rows.groupBy(*keys, F.floor(date).cast("double").alias("__y")).agg(F.avg(observed).alias("__o"), F.avg(modeled).alias("__m"))
+    rows = stored(df.select(*keys, F.floor(date).cast("double").alias("__y"), observed, modeled), "annual")
+    rows = rows.withColumn("__mismatch", F.try_divide(F.abs(F.col(modeled) - F.col(observed)), F.col(observed)))
+    years = rows.groupBy(*keys, "__y").agg(F.avg(observed).alias("__o"), F.avg(modeled).alias("__m"))
     out = years.groupBy(*keys).agg(F.count("*").alias("n_years"), F.regr_slope("__o", "__y").alias("observed_slope"), F.regr_slope("__m", "__y").alias("modeled_slope"), F.corr("__o", "__m").alias("corr"))
     return with_quantiles(out, rows, keys, "__mismatch", {"median_mismatch": 0.5})
 
@@ -244,8 +245,10 @@ def experiment_check(pred: DataFrame, keys: list[str], draw: str, observation: l
     mean square, the same of the log-likelihood (minus half of it), and how many observations lie
     between their draws' 5 and 95 % quantiles. Two aggregates: draws keep their objective before its
     quantiles, observations their interval. Quantiles come from places of values dealt in ranges, so
-    neither an experiment's draws nor an observation's are in one buffer.
+    neither an experiment's draws nor an observation's are in one buffer. ``pred``, read three times,
+    is stored.
     """
+    pred = stored(pred.select(*keys, draw, *observation, "concentration", "error", "modeled"), "predicted")
     r = (F.col("modeled") - F.col("concentration")) / F.col("error")
     draws = stored(pred.groupBy(*keys, draw).agg(F.sum(r * r).alias("objective"), F.count("*").alias("__m")).withColumn("rms", F.sqrt(F.try_divide(F.col("objective"), F.col("__m")))), "objectives")
     limits = ranked_quantiles(pred, [*keys, *observation], "modeled", {"lo": 0.05, "hi": 0.95})
