@@ -118,12 +118,32 @@ def log_prior(draws: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFr
 
     ``catalogue`` has ``param, prior, mean, std, cal_lo, cal_hi``.
     """
-    rows = draws.join(catalogue, "param")
-    x = F.col("value")
-    inside = x.between(F.col("cal_lo"), F.col("cal_hi"))
-    normal = -0.5 * F.pow((x - F.col("mean")) / F.col("std"), F.lit(2.0)) - F.log(F.col("std")) - 0.5 * math.log(2 * math.pi)
-    density = F.when(~inside, F.lit(float("-inf"))).when(F.col("prior") == "normal", normal).otherwise(-F.log(F.col("cal_hi") - F.col("cal_lo")))
-    return rows.groupBy(*keys).agg(F.sum(density).alias("log_prior"))
+    rows = draws.join(F.broadcast(catalogue), "param")
+    return rows.groupBy(*keys).agg(F.sum(log_density(F.col("value"), {c: F.col(c) for c in PRIOR})).alias("log_prior"))
+
+
+PRIOR = ["prior", "mean", "std", "cal_lo", "cal_hi"]
+
+
+def log_density(x: Column, p: Column | dict[str, Column]) -> Column:
+    """A prior's log-density at x, minus infinity outside of its range; ``p`` has a catalogue row's columns."""
+    inside = x.between(p["cal_lo"], p["cal_hi"])
+    normal = -0.5 * F.pow((x - p["mean"]) / p["std"], F.lit(2.0)) - F.log(p["std"]) - 0.5 * math.log(2 * math.pi)
+    return F.when(~inside, F.lit(float("-inf"))).when(p["prior"] == "normal", normal).otherwise(-F.log(p["cal_hi"] - p["cal_lo"]))
+
+
+def log_prior_wide(draws: DataFrame, catalogue: DataFrame, params: list[str]) -> DataFrame:
+    """The same for draws with a column for each parameter: a row's densities are summed in the row, nothing is shuffled.
+
+    The catalogue, a few rows, goes to all tasks as one array. As in log_prior(), null densities
+    don't count, a draw without any has null, and one without a known parameter goes.
+    """
+    known = catalogue.where(F.col("param").isin(params)).groupBy().agg(F.collect_list(F.struct("param", *PRIOR)).alias("__priors")).where(F.size("__priors") > 0)
+    value = F.create_map(*(c for p in params for c in (F.lit(p), F.col(p).cast("double"))))
+    rows = draws.crossJoin(F.broadcast(known)).withColumn("__values", value)
+    each = F.filter(F.transform("__priors", lambda p: log_density(F.try_element_at("__values", p["param"]), p)), lambda d: d.isNotNull())
+    total = F.when(F.size(each) > 0, F.aggregate(each, F.lit(0.0), lambda acc, d: acc + d))
+    return rows.withColumn("log_prior", total).drop("__priors", "__values")
 
 
 def empirical_prior(hist: DataFrame, lo: float, hi: float, n: int, keys: list[str], rate: float) -> DataFrame:

@@ -355,11 +355,15 @@ def argmin_column(df: DataFrame, columns: list[str], out: str = "best") -> DataF
 
 
 def representative_draw(wide: DataFrame, keys: list[str], params: list[str], order: list[str], scaled: bool = True) -> DataFrame:
-    """The draw nearest to the medians of all parameters, each scaled by its deviation unless ``scaled`` is false."""
+    """The draw nearest to the medians of all parameters, each scaled by its deviation unless ``scaled`` is false.
+
+    Medians, one row a key, are stored: below the session's broadcast threshold they are sent to the
+    draws, so that a key's draws stay where they are.
+    """
     mid = wide.groupBy(*keys).agg(*((F.stddev_samp(p) if scaled else F.lit(1.0)).alias(f"__s_{p}") for p in params))
     for p in params:
         mid = with_quantiles(mid, wide, keys, p, {f"__m_{p}": 0.5})
-    rows = wide.join(mid, keys)
+    rows = wide.join(stored(mid, "medians"), keys)
     d = sum((F.coalesce(F.pow(F.try_divide(F.col(p) - F.col(f"__m_{p}"), F.col(f"__s_{p}")), F.lit(2.0)), F.lit(0.0)) for p in params), F.lit(0.0))
     return rows.withColumn("distance", d).groupBy(*keys).agg(F.min_by(F.struct(*order), F.struct(F.round("distance", 9), *order)).alias("draw"), F.min("distance").alias("distance")).select(*keys, "draw.*", "distance")
 
