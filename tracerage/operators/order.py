@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.io import stored
+from ..sources.io import stored, tasks_for
 
 
 def pair_tracers(obs: DataFrame, a: str, b: str, order: str) -> DataFrame:
@@ -16,6 +16,25 @@ def pair_tracers(obs: DataFrame, a: str, b: str, order: str) -> DataFrame:
     return wide.where(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull())
 
 
+def _in_ranges(df: DataFrame, keys: list[str], order: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt in ranges of (keys, order), with ``__slot``, the range, and ``__key__slot``, keys and range as a struct, in which nulls are equal.
+
+    Rows are stored first: their number tells that of the ranges, so a range doesn't grow with the
+    table. The second frame has them dealt by ``__key__slot`` to as many tasks, where windows and joins
+    by it leave them.
+    """
+    once = stored(df, name)
+    tasks = tasks_for(once)
+    rows = stored(once.repartitionByRange(tasks, *keys, *order).withColumn("__slot", F.spark_partition_id()), name)
+    rows = rows.withColumn("__key__slot", F.struct(*keys, "__slot"))
+    return rows, rows.repartition(tasks, "__key__slot")
+
+
+def _slots(rows: DataFrame, keys: list[str], *aggs) -> tuple[DataFrame, Window]:
+    """A row for each ``__key__slot`` with sums over its rows, and the window of the ranges of a group."""
+    return rows.groupBy("__key__slot").agg(*aggs).withColumnRenamed("__key__slot", "__range"), Window.partitionBy(*(F.col("__range")[k] for k in keys))
+
+
 def value_places(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """``keys, value, count, before, total``: how often each distinct value of a group comes, and how many are less.
 
@@ -23,16 +42,13 @@ def value_places(df: DataFrame, keys: list[str], value: str, weight: str | None
     range and over ranges: a group of any size, of many or of few values, is spread over tasks.
     Nulls and NaN aren't counted. With ``weight`` a row stands for so many.
     """
-    spark = df.sparkSession
     known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     counts = known.groupBy(*keys, F.col(value).alias("value")).agg((F.count("*") if weight is None else F.sum(weight)).alias("count"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(counts.repartitionByRange(tasks, *keys, "value").withColumn("__slot", F.spark_partition_id()), "places")
-    slots = rows.groupBy(*keys, "__slot").agg(F.sum("count").alias("__sum"))
-    w = Window.partitionBy(*keys)
-    slots = slots.withColumn("__ahead", F.coalesce(F.sum("__sum").over(w.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("__sum").over(w)).drop("__sum")
-    inner = Window.partitionBy(*keys, "__slot").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("before", F.coalesce(F.sum("count").over(inner), F.lit(0))).join(slots, [*keys, "__slot"])
+    rows, dealt = _in_ranges(counts, keys, ["value"], "places")
+    slots, w = _slots(rows, keys, F.sum("count").alias("__sum"))
+    slots = slots.select("__range", F.coalesce(F.sum("__sum").over(w.orderBy("__range.__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"), F.sum("__sum").over(w).alias("total"))
+    inner = Window.partitionBy("__key__slot").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("before", F.coalesce(F.sum("count").over(inner), F.lit(0))).join(slots, F.col("__key__slot") == F.col("__range"))
     return placed.select(*keys, "value", "count", (F.col("before") + F.col("__ahead")).alias("before"), "total")
 
 
@@ -43,16 +59,11 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "rank")
     ranges before are added. A group of any size is spread over tasks; only rows that agree in
     everything that orders them stay together.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(df.repartitionByRange(tasks, *keys, *order).withColumn("__slot", F.spark_partition_id()), "ranked")
-    w = Window.partitionBy(*keys)
-    slots = rows.groupBy(*keys, "__slot").agg(F.count("*").alias("__c"))
-    slots = slots.withColumn("__ahead", F.coalesce(F.sum("__c").over(w.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.sum("__c").over(w)).drop("__c")
-    slots = slots.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__slot").alias("__s"), "__ahead", "__n")
-    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    placed = rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "__slot").orderBy(*order)))
-    placed = placed.join(slots, [*same, F.col("__slot") == F.col("__s")])
-    return placed.withColumn(out, F.col(out) + F.col("__ahead")).drop("__slot", "__s", "__ahead", *(f"__k{i}" for i in range(len(keys))))
+    rows, dealt = _in_ranges(df, keys, order, "ranked")
+    slots, w = _slots(rows, keys, F.count("*").alias("__c"))
+    slots = slots.select("__range", F.coalesce(F.sum("__c").over(w.orderBy("__range.__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"), F.sum("__c").over(w).alias("__n"))
+    placed = dealt.withColumn(out, F.row_number().over(Window.partitionBy("__key__slot").orderBy(*order))).join(slots, F.col("__key__slot") == F.col("__range"))
+    return placed.withColumn(out, F.col(out) + F.col("__ahead")).drop("__slot", "__key__slot", "__range", "__ahead")
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -94,17 +105,15 @@ def running(df: DataFrame, keys: list[str], order: list[str], columns: dict[str,
     """
     folds = {"sum": F.sum, "min": F.min, "max": F.max}
     join = {"sum": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(df.repartitionByRange(tasks, *keys, *order).withColumn("__slot", F.spark_partition_id()), "running")
-    ahead = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = rows.groupBy(*keys, "__slot").agg(*(folds[how](value).alias(f"__v{i}") for i, (value, how) in enumerate(columns.values())))
-    slots = slots.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__slot").alias("__s"), *(folds[how](f"__v{i}").over(ahead).alias(f"__a{i}") for i, (_, how) in enumerate(columns.values())))
-    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    inner = Window.partitionBy(*keys, "__slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumns({f"__r{i}": folds[how](value).over(inner) for i, (value, how) in enumerate(columns.values())})
-    placed = placed.join(slots, [*same, F.col("__slot") == F.col("__s")])
+    rows, dealt = _in_ranges(df, keys, order, "running")
+    slots, w = _slots(rows, keys, *(folds[how](value).alias(f"__v{i}") for i, (value, how) in enumerate(columns.values())))
+    ahead = w.orderBy("__range.__slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select("__range", *(folds[how](f"__v{i}").over(ahead).alias(f"__a{i}") for i, (_, how) in enumerate(columns.values())))
+    inner = Window.partitionBy("__key__slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumns({f"__r{i}": folds[how](value).over(inner) for i, (value, how) in enumerate(columns.values())})
+    placed = placed.join(slots, F.col("__key__slot") == F.col("__range"))
     placed = placed.withColumns({out: join[how](F.col(f"__r{i}"), F.col(f"__a{i}")) for i, (out, (_, how)) in enumerate(columns.items())})
-    return placed.drop("__slot", "__s", *(f"__k{i}" for i in range(len(keys))), *(f"__{x}{i}" for x in "ra" for i in range(len(columns))))
+    return placed.drop("__slot", "__key__slot", "__range", *(f"__{x}{i}" for x in "ra" for i in range(len(columns))))
 
 
 def cummin(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
@@ -136,15 +145,12 @@ def step_changes(draws: DataFrame, keys: list[str], order: str, columns: list[st
     Rows are dealt in ranges of (keys, order), stored, and compared within a range; a range's first row
     meets the last one of the range before. A chain of any length is spread over tasks.
     """
-    tasks = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(draws.repartitionByRange(tasks, *keys, order).withColumn("__slot", F.spark_partition_id()), "steps")
+    rows, dealt = _in_ranges(draws, keys, [order], "steps")
     state = F.struct(F.col(order).alias("at"), *(F.col(c).alias(f"v{i}") for i, c in enumerate(columns)))
-    slots = rows.groupBy(*keys, "__slot").agg(F.max_by(state, order).alias("__last"))
-    before = F.lag("__last").over(Window.partitionBy(*keys).orderBy("__slot"))
-    slots = slots.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__slot").alias("__s"), before.alias("__before"))
-    found = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    w = Window.partitionBy(*keys, "__slot").orderBy(order)
-    placed = rows.withColumns({"__first": F.row_number().over(w) == 1, "__lag": F.lag(state).over(w)}).join(slots, [*found, F.col("__slot") == F.col("__s")])
+    slots, ranges = _slots(rows, keys, F.max_by(state, order).alias("__last"))
+    slots = slots.select("__range", F.lag("__last").over(ranges.orderBy("__range.__slot")).alias("__before"))
+    w = Window.partitionBy("__key__slot").orderBy(order)
+    placed = dealt.withColumns({"__first": F.row_number().over(w) == 1, "__lag": F.lag(state).over(w)}).join(slots, F.col("__key__slot") == F.col("__range"))
     placed = placed.withColumn("__lag", F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__lag")))
     same = F.lit(True)
     for i, c in enumerate(columns):

@@ -372,9 +372,10 @@ def representative_residuals(draw: DataFrame, fits: DataFrame, keys: list[str],
     """The data of each representative draw with ``residual`` (observed less modeled), ``standardised, contribution, objective_total``.
 
     ``draw`` is what representative_draw() gives, ``fits`` has a row for each draw and datum (``observed,
-    error, modeled``). Only the chosen draws' rows are left before totals are made.
+    error, modeled``). Only the chosen draws' rows are left before totals are made: these, one a key, are
+    stored and, below the session's broadcast threshold, sent to the data.
     """
-    rows = fits.join(draw.select(*keys, *order), [*keys, *order])
+    rows = fits.join(stored(draw.select(*keys, *order), "chosen"), [*keys, *order])
     rows = rows.withColumn("residual", F.col("observed") - F.col("modeled")).withColumn("standardised", F.try_divide("residual", "error")).withColumn("contribution", F.col("standardised") * F.col("standardised"))
     total = rows.groupBy(*keys).agg(F.sum("contribution").alias("objective_total"))
     return rows.join(total, keys)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .io import stored
+from .io import stored, tasks_for
 
 ORDER = ["l_shipdate", "o_orderpriority", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
@@ -92,16 +92,18 @@ def draws_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``case_id, chain, step, q, d, t, obj_function``: lines as draws of three parameters.
 
     A line's step is its place within its date, over the lines of the dates before: a chain of any
-    length is spread over as many groups as it has dates. Dates are dealt over a set number of tasks,
-    which aren't merged again: what a task sorts stays a small part of the rows.
+    length is spread over as many groups as it has dates. Dates are dealt over tasks by the number of
+    lines and stay there: what a task sorts doesn't grow with the table. Dates are structs, in which
+    nulls are equal, so counts meet the lines where these are.
     """
-    date = ["case_id", "chain", "l_shipdate"]
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = table(spark, sf_dir, "lineitem").withColumns({"case_id": F.col("l_returnflag"), "chain": F.col("l_linenumber").cast("long")})
-    ahead = Window.partitionBy("case_id", "chain").orderBy("l_shipdate").rowsBetween(Window.unboundedPreceding, -1)
-    dates = lines.groupBy(*date).agg(F.count("*").alias("__c")).select(*(F.col(k).alias(f"__{k}") for k in date), F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__ahead"))
-    within = Window.partitionBy(*date).orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus")
-    placed = lines.repartition(tasks, *date).withColumn("__at", F.row_number().over(within)).join(dates, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in date])
+    day = F.struct("case_id", "chain", "l_shipdate").alias("__l_shipdate")
+    lines = table(spark, sf_dir, "lineitem")
+    tasks = tasks_for(lines)
+    lines = lines.withColumns({"case_id": F.col("l_returnflag"), "chain": F.col("l_linenumber").cast("long")}).select("*", day)
+    ahead = Window.partitionBy("__l_shipdate.case_id", "__l_shipdate.chain").orderBy("__l_shipdate.l_shipdate").rowsBetween(Window.unboundedPreceding, -1)
+    dates = lines.groupBy("__l_shipdate").agg(F.count("*").alias("__c")).select(F.col("__l_shipdate").alias("__day"), F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__ahead"))
+    within = Window.partitionBy("__l_shipdate").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus")
+    placed = lines.repartition(tasks, "__l_shipdate").withColumn("__at", F.row_number().over(within)).join(dates, F.col("__l_shipdate") == F.col("__day"))
     return placed.select("case_id", "chain", (F.col("__at") + F.col("__ahead")).cast("long").alias("step"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"), F.col("l_extendedprice").alias("obj_function"))
 
 

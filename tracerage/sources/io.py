@@ -28,6 +28,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task sorts or numbers. 200 tasks, up to which Spark deals rows out without sorting them, hold 240 million.
+TASK_ROWS = 1_200_000
+
+
+def tasks_for(table: DataFrame) -> int:
+    """Tasks to deal the rows of a stored table to: the session's number, or more where a task would get beyond TASK_ROWS."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // TASK_ROWS))
+
+
 OBSERVATION = "well long, obs_id long, element string, concentration double, error double, unit string, date double"
 
 
