@@ -578,6 +578,27 @@ def test_what_is_like_no_language_goes(spark):
     assert langid.keep_known(docs.limit(0)).count() == 0
 
 
+def test_languages_are_learnt_from_all_documents(spark):
+    rng = random.Random(8)
+    alphabets = {"aa": "abcdefgh", "ab": "abcdefgz", "ba": "стуфхцчш", "bb": "стуфхцчя"}
+    rows = [(i, words(rng, 30, alphabets[k]), k) for i, k in enumerate(list(alphabets) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(docs, per_language=20)
+    learnt = {k: [t for i, t, lang in rows if lang == k and zlib.crc32(str(i).encode()) % 4 != 2] for k in alphabets}
+    for k, texts in learnt.items():
+        mean = np.concatenate(list(langid.vectors(pa.array(texts)))).mean(0, dtype=np.float64)
+        assert len(texts) > 30 and np.allclose(model.centres[k], mean / np.linalg.norm(mean), atol=1e-6)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert sum(got[i] == k for i, _, k in rows) >= 0.95 * len(rows)
+    # The least likeness of all texts of eight characters, to a step.
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(8)), "aa") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.calibrate(docs, langid.fit(docs), share=0.0, margin=1.0)
+    texts = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    least = min(float(model.likeness(x)[1].min()) for x in langid.vectors(pa.array(texts)))
+    assert 0 <= least - model.floors["aa"][3] <= 1.001 / langid.STEPS
+
+
 # Media
 
 

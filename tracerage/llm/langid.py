@@ -9,11 +9,11 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import doc_columns, lean, materialise, small_batches, text_chunks, worker_cache
+from .common import doc_columns, lean, small_batches, text_chunks, worker_cache
 
 DIM = 4096
 UNKNOWN = "und"
@@ -44,8 +44,11 @@ def vectors(texts: pa.Array, dim: int = DIM) -> Iterator[np.ndarray]:
         yield x / np.maximum(norm, 1e-12)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, steps: int = 120) -> np.ndarray:
-    """Weights and bias of a linear SVM (squared hinge) by accelerated gradient steps; y is 1 or -1."""
+def train_svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, steps: int = 40) -> np.ndarray:
+    """Weights and bias of a linear SVM (squared hinge) by accelerated gradient steps; y is 1 or -1.
+
+    Steps are of a problem whose curvature spans a factor of about 20, so 40 leave next to nothing.
+    """
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     weight = np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1))).astype(np.float32)
     w = v = np.zeros(x.shape[1], np.float32)
@@ -138,87 +141,129 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def _drawn(docs: DataFrame, per_language: int) -> DataFrame | None:
-    """``lang, text`` of about ``per_language`` labelled documents of each language that aren't held out, or None."""
+def _usable(docs: DataFrame) -> DataFrame:
+    """``lang, text`` of the labelled documents that have a letter and aren't held out: all of them."""
     usable = doc_columns(docs, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in usable.groupBy("lang").count().collect()}
-    if not share:
-        return None
-    bounds = docs.sparkSession.createDataFrame([(k, int(v * (1 << 20))) for k, v in share.items()], "lang string, most long")
-    drawn = usable.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("most"))
-    return drawn.select("lang", "text")
+    return usable.select("lang", "text")
+
+
+def _sums(rows: pd.DataFrame, weight: str) -> pd.DataFrame:
+    """One row of summed ``vector`` and ``weight`` of the rows of a ``task``."""
+    total = np.zeros(len(rows["vector"].iloc[0]) // 8)
+    for v in rows["vector"]:
+        total += np.frombuffer(v, np.float64)
+    return pd.DataFrame({"task": [rows["task"].iloc[0]], "vector": [total.tobytes()], weight: [rows[weight].sum()]})
+
+
+def _added(parts: DataFrame) -> list[tuple[str, np.ndarray, float]]:
+    """``task``, the sum of its ``vector`` and of its ``n`` over all tasks' rows, added up in groups first."""
+    schema = "task string, vector binary, n double"
+    some = parts.withColumn("__some", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("task", "__some").applyInPandas(lambda rows: _sums(rows, "n"), schema)
+    return sorted((r["task"], np.frombuffer(r["vector"]), r["n"]) for r in some.groupBy("task").applyInPandas(lambda rows: _sums(rows, "n"), schema).collect())
+
+
+def _rows_of(tasks: dict[str, tuple[np.ndarray, float]]) -> pa.RecordBatch:
+    names = list(tasks)
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([tasks[t][0].tobytes() for t in names], pa.binary()), pa.array([float(tasks[t][1]) for t in names], pa.float64())], ["task", "vector", "n"])
 
 
 def fit(docs: DataFrame, per_language: int = 1000) -> Model:
-    """A model from labelled documents that are not held out.
+    """A model from all labelled documents that are not held out.
 
-    The training sample has about ``per_language`` documents of each language (this is its bound),
-    chosen by a hash. Each SVM is trained in a task of its own from its part of the sample; the
-    driver only gets one mean vector a language and the weights.
+    One pass gives each language's mean. In a second one every task trains SVMs on its own documents,
+    as soon as it holds ``per_language`` of a language, or four times as many in all (this bounds its
+    memory), and at its end; a
+    model's weights are the mean of those that all blocks gave, each counted by its documents. The
+    driver only gets one vector a language or SVM.
     """
-    drawn = _drawn(docs, per_language)
-    if drawn is None:
-        return Model()
-    spark = docs.sparkSession
+    usable = _usable(docs)
 
-    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
+        total: dict[str, list] = {}
         for batch in batches:
-            at = 0
+            langs, at = np.array(batch.column("lang").to_pylist(), object), 0
             for x in vectors(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("lang")[at : at + len(x)], pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "vector"])
+                for lang in set(langs[at : at + len(x)].tolist()):
+                    mine = x[langs[at : at + len(x)] == lang]
+                    kept = total.setdefault(lang, [np.zeros(DIM), 0])
+                    kept[0] += mine.sum(0, dtype=np.float64)
+                    kept[1] += len(mine)
                 at += len(x)
+        yield _rows_of(total)
 
-    sample = materialise(drawn.mapInArrow(lean(embed), "lang string, vector binary"), "langid-sample")
-
-    def stack(column: pd.Series) -> np.ndarray:
-        return np.frombuffer(b"".join(column), np.float32).reshape(len(column), DIM)
-
-    def centre(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = stack(pdf["vector"]).mean(0)
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "vector": [(m / max(np.linalg.norm(m), 1e-12)).astype(np.float32).tobytes()]})
-
-    means = sorted((r["lang"], np.frombuffer(r["vector"], np.float32)) for r in sample.groupBy("lang").applyInPandas(centre, "lang string, vector binary").collect())
-    names = [n for n, _ in means]
-    model = Model(families_of(names, np.stack([v for _, v in means])), centres=dict(means))
-    tasks = []
+    means = _added(usable.mapInArrow(lean(summed), "task string, vector binary, n double"))
+    if not means:
+        return Model()
+    centres = {lang: (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32) for lang, v, _ in means}
+    names = sorted(centres)
+    model = Model(families_of(names, np.stack([centres[n] for n in names])), centres=centres)
     kinds = sorted(set(model.families.values()))
-    if len(kinds) > 1:
-        tasks += [(f"f{k}", n, 1 if model.families[n] == k else -1) for k in kinds for n in names]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if model.families[a] == model.families[b]]
-    for i, (a, b) in enumerate(pairs):
-        tasks += [(f"p{i}", a, 1), (f"p{i}", b, -1)]
+    # An SVM's languages with their sign.
+    tasks = {f"f{k}": {n: 1 if model.families[n] == k else -1 for n in names} for k in kinds} if len(kinds) > 1 else {}
+    tasks |= {f"p{i}": {a: 1, b: -1} for i, (a, b) in enumerate(pairs)}
     if not tasks:
         return model
 
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = train_svm(stack(pdf["vector"]), pdf["y"].to_numpy(np.float32))
-        return pd.DataFrame({"task": [pdf["task"].iloc[0]], "weights": [w.tobytes()]})
-
-    # A family's task would get the samples of all languages: each gives it no more than its part of
-    # eight languages' samples, drawn by a hash, so that a task's size has a bound.
-    part = int(min(1.0, 8 / len(names)) * (1 << 20))
-    dealt = sample.join(F.broadcast(spark.createDataFrame(tasks, "task string, lang string, y int")), "lang")
-    dealt = dealt.where(~F.col("task").startswith("f") | (F.pmod(F.xxhash64("vector"), F.lit(1 << 20)) < part))
-    for row in dealt.groupBy("task").applyInPandas(train, "task string, weights binary").collect():
-        w, at = np.frombuffer(row["weights"], np.float32), int(row["task"][1:])
-        if row["task"][0] == "f":
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache()
+        total: dict[str, list] = {}
+        held: dict[str, list[np.ndarray]] = {}
+
+        def train() -> None:
+            stacks = {lang: np.stack(rows) for lang, rows in held.items()}
+            for task, signs in tasks.items():
+                mine = [lang for lang in sorted(stacks) if lang in signs]
+                y = np.concatenate([np.full(len(stacks[lang]), signs[lang], np.float32) for lang in mine]) if mine else np.zeros(0, np.float32)
+                # A block of one side alone says what that side is like: the other's mean stands against it.
+                x = [stacks[lang] for lang in mine]
+                if len(y) and (y == y[0]).all():
+                    other = [centres[lang] for lang, sign in signs.items() if sign != y[0]]
+                    x, y = [*x, np.stack(other)], np.concatenate([y, np.full(len(other), -y[0], np.float32)])
+                if not len(y):
+                    continue
+                n = sum(len(stacks[lang]) for lang in mine)
+                kept = total.setdefault(task, [np.zeros(DIM + 1), 0])
+                kept[0] += n * train_svm(np.concatenate(x), y).astype(np.float64)
+                kept[1] += n
+            held.clear()
+
+        for batch in batches:
+            langs, at = batch.column("lang").to_pylist(), 0
+            for x in vectors(batch.column("text")):
+                for lang, v in zip(langs[at : at + len(x)], x, strict=True):
+                    rows = held.setdefault(lang, [])
+                    rows.append(v.copy())
+                    if len(rows) >= per_language or sum(map(len, held.values())) >= 4 * per_language:
+                        train()
+                at += len(x)
+        train()
+        yield _rows_of(total)
+
+    for task, v, n in _added(usable.mapInArrow(lean(trained), "task string, vector binary, n double")):
+        w, at = (v / n).astype(np.float32), int(task[1:])
+        if task[0] == "f":
             model.rest[at] = w
         else:
             model.pairs[pairs[at]] = w
     return model
 
 
-def calibrate(docs: DataFrame, model: Model, per_language: int = 1000, share: float = 0.002, margin: float = 0.9) -> Model:
+#: Likenesses (0 to 1) are counted in so many steps; a floor is the lower border of its quantile's step.
+STEPS = 1 << 12
+
+
+def calibrate(docs: DataFrame, model: Model, share: float = 0.002, margin: float = 0.9) -> Model:
     """``model`` with the least likeness that texts of a language and length have to its mean.
 
-    From the same bounded sample: each text whole, and a window of it of 8, 16, 32, ... characters at a
-    hashed place, so short texts are judged by short ones. Of a language's and class's likenesses
-    the ``share`` quantile times ``margin`` is the floor; a class that wasn't met takes the next
-    shorter one's, and nothing is asked of texts shorter than 8 characters.
+    From all labelled documents that aren't held out: each text whole, and a window of it of 8, 16, 32,
+    ... characters at a hashed place, so short texts are judged by short ones. Of a language's and
+    class's likenesses the ``share`` quantile times ``margin`` is the floor, from counts of steps of
+    likeness that tasks add up; a class that wasn't met takes the next shorter one's, and nothing is
+    asked of texts shorter than 8 characters.
     """
-    drawn = _drawn(docs, per_language)
-    if drawn is None or not model.centres:
+    if not model.centres:
         return model
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -233,16 +278,25 @@ def calibrate(docs: DataFrame, model: Model, per_language: int = 1000, share: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache()
+        met: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                texts = windows(text)
-                found = [sent.value.likeness(x) for x in vectors(pa.array(texts, pa.string()))]
-                names, like = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([length_class(len(t)) for t in texts], pa.int32()), pa.array(like.astype(np.float64))], ["lang", "size", "likeness"])
+            texts = [t for text in batch.column("text").to_pylist() for t in windows(text)]
+            at = 0
+            for x in vectors(pa.array(texts, pa.string())):
+                names, like = sent.value.likeness(x)
+                steps = np.clip((like * STEPS).astype(np.int64), 0, STEPS - 1)
+                for name, text, step in zip(names.tolist(), texts[at : at + len(x)], steps.tolist(), strict=True):
+                    met.setdefault((name, length_class(len(text))), np.zeros(STEPS, np.int64))[step] += 1
+                at += len(x)
+        rows = [(name, size, step, int(c[step])) for (name, size), c in met.items() for step in np.flatnonzero(c).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], ["lang", "size", "step", "n"])
 
     floors = {n: np.zeros(LONGEST + 1) for n in model.centres}
-    met = drawn.select("text").mapInArrow(lean(run), "lang string, size int, likeness double").groupBy("lang", "size").agg(F.percentile("likeness", F.lit(share)).alias("least"))
-    for r in sorted(met.collect(), key=lambda r: (r["lang"], r["size"])):
+    counts = _usable(docs).select("text").mapInArrow(lean(run), "lang string, size int, step int, n long").groupBy("lang", "size", "step").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("lang", "size")
+    placed = counts.withColumns({"upto": F.sum("n").over(w.orderBy("step")), "total": F.sum("n").over(w)})
+    least = placed.where(F.col("upto") > (F.col("total") - 1) * share).groupBy("lang", "size").agg((F.min("step") / STEPS).alias("least"))
+    for r in sorted(least.collect(), key=lambda r: (r["lang"], r["size"])):
         if r["size"] >= 3:
             floors[r["lang"]][r["size"] :] = margin * r["least"]
     return replace(model, floors=floors)
@@ -289,7 +343,7 @@ def identify(docs: DataFrame, per_language: int = 1000) -> DataFrame:
 def keep_known(docs: DataFrame, least_score: float = 0.25) -> DataFrame:
     """All columns of ``docs``, without documents that have no letter, are like no language or score below chance.
 
-    What is like a language is learnt from the labelled documents (see calibrate). A missing ``lang``
+    What is like a language is learnt from all labelled documents (see fit and calibrate). A missing ``lang``
     is filled with the prediction; what a document says of itself stays. Null texts go. Repeated rows
     stay as they are; an empty table gives an empty table.
     """
