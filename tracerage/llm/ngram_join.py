@@ -30,10 +30,8 @@ HEAD = 4
 LEADERS = 4
 #: Sets and elements that one slice of a block holds; slices of a larger block meet each other.
 SLICE, SLICE_ELEMENTS = 2048, 1 << 21
-#: Sets of up to so many elements go to their tiles whole, others by one part in so many of them.
+#: Sets of up to so many elements are their own first part, of others it is one part in so many.
 WHOLE, PART = 32, 3
-#: Tiles of so few sets, of parts with so few elements, get 16 bits of each element, others 32.
-FEW, SHORT = 256, 1 << 12
 #: Rows of 64-bit numbers that may be sent to all tasks (32 MB of keys).
 MOST_SENT = 1 << 22
 #: Shingles that may be told to be frequent (ordered last, which never changes a result).
@@ -295,6 +293,57 @@ def part_candidates(parts: list[np.ndarray], sizes: np.ndarray, known: np.ndarra
     return spanning(parts, may_link, known, sizes, sides, least)
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Whether an odd number of elements has each value of the low bits: a bit for each, one to two bits an element.
+
+    Sets differ in as many elements as their sketches in bits, at least.
+    """
+    bits = 1 << max(6, (len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """A row of 64-bit words for each sketch, all as wide as the narrowest: a sketch's parts make a narrower one by exclusive or."""
+    width = min(map(len, sketches))
+    same = [x if len(x) == width else np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width)).tobytes() for x in sketches]
+    return np.frombuffer(b"".join(same), np.uint64).reshape(len(same), -1)
+
+
+def sketch_candidates(sketches: list[bytes], sizes: np.ndarray, known: np.ndarray | None = None, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of sets that may link by their sketches, spanning the groups that all of them make.
+
+    Linked sets of sizes a and b differ in a + b - 2 needed(a, b) elements at most. ``known`` are groups
+    that are one already; with ``sides``, pairs within a side are left out.
+    """
+    groups, out = Groups(len(sketches)), []
+    label = np.arange(len(sketches))
+    if known is not None:
+        _, first, of = np.unique(known, return_index=True, return_inverse=True)
+        label = first[of]
+        groups.up = label.tolist()
+    maps = folded(sketches)
+    each = max(1, (1 << 20) // max(1, maps.size))
+    for lo in range(0, len(maps), each):
+        if (label == label[0]).all():
+            break
+        rows = slice(lo, lo + each)
+        apart = np.bitwise_count(maps[rows, None] ^ maps[None, lo:]).sum(2, dtype=np.int64)
+        both = sizes[rows, None] + sizes[None, lo:]
+        need = -(-PERCENT * both // (100 + PERCENT))
+        keep = (apart <= both - 2 * need) & (need <= np.minimum(sizes[rows, None], sizes[None, lo:])) & (label[rows, None] != label[None, lo:])
+        if sides is not None:
+            keep &= sides[rows, None] != sides[None, lo:]
+        a, b = np.nonzero(np.triu(keep, 1))
+        before = len(out)
+        for i, j in zip((a + lo).tolist(), (b + lo).tolist(), strict=True):
+            if groups.join(i, j):
+                out.append((i, j))
+        if len(out) > before:
+            label = np.array([groups.find(i) for i in range(len(maps))])
+    return out
+
+
 def by_tile(batches: Iterator[pa.RecordBatch], work: Callable[[list[pa.RecordBatch]], tuple[list, list]]) -> Iterator[pa.RecordBatch]:
     """Work on each run of rows with the same first column ``tile``; a run may span batches."""
     held: list[pa.RecordBatch] = []
@@ -342,12 +391,31 @@ def _groups_and_sides(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarr
     return comps, np.unique(comps, return_inverse=True)[1].astype(np.int64), sides if (sides == 2).any() else None
 
 
-def _part_work(parts: list[pa.RecordBatch]) -> tuple[list, list]:
+def _cluster_work(parts: list[pa.RecordBatch]) -> tuple[list, list]:
+    """Sets that may link with others of their tile: the name of their cluster (the same wherever the same sets meet) and their node."""
+    nodes, sizes = _numpy(parts, "node"), _numpy(parts, "n")
+    sketches = [x for p in parts for x in p.column("sketch").to_pylist()]
+    groups, classes = Groups(len(nodes)), size_class(sizes)
+    for c in np.unique(classes).tolist():
+        here = np.flatnonzero((classes == c) | (classes == c + 1))
+        if len(here) > 1:
+            known = np.array([groups.find(k) for k in here.tolist()])
+            for i, j in sketch_candidates([sketches[k] for k in here.tolist()], sizes[here], known):
+                groups.join(int(here[i]), int(here[j]))
+    of = np.array([groups.find(k) for k in range(len(nodes))])
+    names, members = [], []
+    for root in np.flatnonzero(np.bincount(of) > 1).tolist():
+        mine = nodes[of == root]
+        names += [node_of(mine.view(np.uint64))] * len(mine)
+        members += mine.tolist()
+    return names, members
+
+
+def _near_work(parts: list[pa.RecordBatch]) -> tuple[list, list]:
     """Pairs of components with sets that may link."""
     comps, known, sides = _groups_and_sides(parts)
-    kind = np.uint32 if parts[0].column("wide")[0].as_py() else np.uint16
-    held = [np.frombuffer(m.as_buffer(), kind).astype(np.uint64) for p in parts for m in p.column("part")]
-    got = part_candidates(held, _numpy(parts, "n").astype(np.int64), known, sides, parts[0].column("class")[0].as_py()) if len(held) > 1 else []
+    sketches = [x for p in parts for x in p.column("sketch").to_pylist()]
+    got = sketch_candidates(sketches, _numpy(parts, "n"), known, sides) if len(sketches) > 1 else []
     return [int(comps[i]) for i, _ in got], [int(comps[j]) for _, j in got]
 
 
@@ -408,7 +476,7 @@ def _told_apart(rows: DataFrame) -> bool:
 
 
 def _profiles(docs: DataFrame, rows: DataFrame, frequent: np.ndarray, apart: bool) -> DataFrame:
-    """``node, n, head, keys`` of every distinct set: its least hashes and its prefix.
+    """``node, n, head, keys, sketch`` of every distinct set: its least hashes, its prefix and its sketch.
 
     Where doc_ids tell documents apart, copies are left out by their ids and no profile is shuffled.
     """
@@ -422,7 +490,7 @@ def _profiles(docs: DataFrame, rows: DataFrame, frequent: np.ndarray, apart: boo
         worker_cache()
         late = sent.value
         for batch in batches:
-            nodes, sizes, heads, keys = [], [], [], []
+            nodes, sizes, heads, keys, sketches = [], [], [], [], []
             for _, _, data, offsets in text_chunks(batch.column("text")):
                 for s in shingle_sets(data, offsets):
                     if not len(s):
@@ -432,14 +500,15 @@ def _profiles(docs: DataFrame, rows: DataFrame, frequent: np.ndarray, apart: boo
                     sizes.append(len(s))
                     heads.append(s[:HEAD])
                     keys.append(first)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), long_lists(heads), long_lists(keys)], ["node", "n", "head", "keys"])
+                    sketches.append(sketch(s))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), long_lists(heads), long_lists(keys), pa.array(sketches, pa.binary())], ["node", "n", "head", "keys", "sketch"])
 
-    made = docs.select("text").mapInArrow(lean(run), "node long, n long, head array<long>, keys array<long>")
+    made = docs.select("text").mapInArrow(lean(run), "node long, n long, head array<long>, keys array<long>, sketch binary")
     return made if apart else made.dropDuplicates(["node"])
 
 
-def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, apart: bool, cut: Callable[[np.ndarray], np.ndarray] = lambda s: s) -> DataFrame:
-    """``node, found``: the whole sets of the given nodes, or what ``cut`` makes of each, hashed again from one document.
+def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, apart: bool) -> DataFrame:
+    """``node, found``: the whole sets of the given nodes, hashed again from one document.
 
     Nothing but the documents' ids is shuffled where these tell documents apart.
     """
@@ -450,7 +519,7 @@ def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, apart: bool, cu
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column("text")):
                 sets = [s for s in shingle_sets(data, offsets) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([cut(s).tobytes() for s in sets], pa.binary())], ["node", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "found"])
 
     found = _keyed(docs.where("doc_id is not null"), wanted.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(lean(run), "node long, found binary")
     if apart:
@@ -483,7 +552,7 @@ def _in_tiles(members: DataFrame, sets: DataFrame, work: Callable) -> DataFrame:
 def _head_links(docs: DataFrame, rows: DataFrame, profiles: DataFrame, apart: bool) -> DataFrame:
     """Links among sets that share one of their least hashes.
 
-    Blocks are cut in slices, which are trees of their own. The leaders of all slices of a block
+    Sketches meet in tiles first; only sets that may link go whole to a tile of their cluster. Blocks are cut in slices, which are trees of their own. The leaders of all slices of a block
     then meet each of its slices: copies of one text link to it wherever it stands. What is missed
     here is found by the prefixes.
     """
@@ -494,7 +563,10 @@ def _head_links(docs: DataFrame, rows: DataFrame, profiles: DataFrame, apart: bo
     blocks = materialise(blocks.groupBy("c", "lo", "hi", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / SLICE).alias("slices")), "head-blocks")
     members = keyed.join(blocks, "key").withColumn("slice", F.pmod(F.xxhash64("node", "key"), F.col("slices")))
     members = materialise(members.select("key", "slices", F.xxhash64("key", "slice").alias("tile"), "node"), "head-members")
-    links = _in_tiles(members.select("tile", "node"), _sets_of(docs, rows, members.select("node"), apart), _head_work)
+    sketched = members.select("tile", "node").join(profiles.select("node", "n", "sketch"), "node").select("tile", "node", "n", "sketch")
+    near = sketched.repartition("tile").sortWithinPartitions("tile").mapInArrow(lean(lambda batches: by_tile(batches, _cluster_work)), "a long, b long")
+    near = materialise(near.select(F.col("a").alias("tile"), F.col("b").alias("node")).distinct(), "head-clusters")
+    links = _in_tiles(_sized(near), _sets_of(docs, rows, near.select("node"), apart), _head_work)
     large = members.where("slices > 1")
     if large.limit(1).count() == 0:
         return links
@@ -506,28 +578,17 @@ def _head_links(docs: DataFrame, rows: DataFrame, profiles: DataFrame, apart: bo
     return links.unionByName(again)
 
 
-def _other_links(docs: DataFrame, rows: DataFrame, profiles: DataFrame, comps: DataFrame, frequent: np.ndarray, apart: bool) -> DataFrame:
+def _other_links(docs: DataFrame, rows: DataFrame, profiles: DataFrame, comps: DataFrame, apart: bool) -> DataFrame:
     """Links (``a, b``: nodes, by which their components are named) between components among sets that share a prefix key.
 
-    First parts of sets tell which components may link; those that do, directly or by others, are
+    Sketches of sets tell which components may link; those that do, directly or by others, are
     a family. Each set of a family then goes whole to the tiles of its family, which are few.
     """
     members, marked = _other_tiles(profiles, comps)
-    # Sets of a class have at most so many elements, so all of a tile are of the same width.
-    members = members.withColumn("wide", ~F.col("few") | (F.exp((F.col("class") + 2) * SIZE_STEP) > PART * (SHORT - 2)))
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
-    none, full = docs.sparkSession.createDataFrame([], "a long, b long"), None
-    for wide, kind in ((False, np.uint16), (True, np.uint32)):
-        here = members.where("wide" if wide else "not wide")
-        if here.limit(1).count():
-            parts = materialise(_sets_of(docs, rows, here.select("node"), apart, lambda s, kind=kind: in_order(s, sent.value)[: part_size(len(s))].astype(kind)), "set-parts")
-            dealt = here.join(marked.select("node", "comp", "n"), "node").join(parts.withColumnRenamed("found", "part"), "node").select("tile", "node", "comp", "n", "side", "class", "wide", "part")
-            full = dealt if full is None else full.unionByName(dealt)
-    if full is None:
-        return none
-    near = materialise(_by_tiles(full, _part_work), "near-components")
+    dealt = members.join(marked.select("node", "comp", "n", "sketch"), "node").select("tile", "comp", "n", "side", "sketch")
+    near = materialise(_by_tiles(dealt, _near_work), "near-components")
     if near.limit(1).count() == 0:
-        return none
+        return docs.sparkSession.createDataFrame([], "a long, b long")
     families = components(near).select(F.col("node").alias("comp"), F.col("comp").alias("family"))
     known = members.select("node").distinct().join(marked.select("node", "comp", "n"), "node").join(families, "comp")
     tiles = materialise(_dealt(materialise(known, "families"), ["family"]), "family-tiles")
@@ -542,20 +603,28 @@ def _by_tiles(rows: DataFrame, work: Callable) -> DataFrame:
 
 
 def _other_tiles(profiles: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``tile, node, side, class, few`` of sets that share a prefix key and may link across components, and ``node, comp, n`` of all.
+    """``tile, node, side`` of sets that share a prefix key and may link across components, and the profiles with ``comp``.
 
     Blocks are of a key and a class of sizes: sets of the class and of the next one. Only blocks
-    in which components still meet are looked at, and one of those with the same company.
+    in which components still meet are looked at, and one of those with the same company. A block
+    that is no more than a slice is a tile, others are dealt over several.
     """
-    marked = materialise(profiles.select("node", "n", "keys").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "marked")
+    marked = materialise(profiles.drop("head").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "marked")
     keyed = marked.select("node", "comp", "n", F.explode("keys").alias("key"))
     open_keys = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rows = _keyed(keyed, open_keys, "key").withColumn("own", F.floor(F.log("n") / F.lit(SIZE_STEP)))
     rows = materialise(rows.withColumn("class", F.explode(F.array(F.col("own"), F.col("own") - 1))), "open-rows")
-    sign = [F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x")]
+    sign = [F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x")]
     open_ = rows.groupBy("key", "class").agg(*sign, F.min("comp").alias("one"), F.max("comp").alias("other"), F.count_if(F.col("own") == F.col("class")).alias("owns")).where("one <> other and owns > 0")
-    once = materialise(open_.groupBy("c", "lo", "hi", "x", "class").agg(F.min("key").alias("key")).select("key", "class", (F.col("c") <= FEW).alias("few")), "blocks")
-    return materialise(_dealt(materialise(rows.drop("own").join(_sized(once), ["key", "class"]), "block-rows"), ["key", "class"]).select("tile", "node", "side", "class", "few"), "tiles"), marked
+    # Sets of a class and the next have at most so many elements.
+    slight = (F.col("c") <= SLICE) & (F.col("c") * F.exp((F.col("class") + 2) * SIZE_STEP) <= SLICE_ELEMENTS)
+    once = materialise(open_.groupBy("c", "x", "class").agg(F.min("key").alias("key")).select("key", "class", slight.alias("slight")), "blocks")
+    met = rows.drop("own").join(_sized(once), ["key", "class"])
+    tiles = met.where("slight").select(F.xxhash64("key", "class").alias("tile"), "node", F.lit(1).alias("side"))
+    if once.where("not slight").limit(1).count():
+        large = materialise(met.where("not slight").drop("slight"), "block-rows")
+        tiles = tiles.unionByName(_dealt(large, ["key", "class"]).select("tile", "node", "side"))
+    return materialise(tiles, "tiles"), marked
 
 
 def _dealt(rows: DataFrame, block: list[str]) -> DataFrame:
@@ -588,9 +657,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     element of their prefixes (a fifth of a set, frequent elements last), so blocks of sets by
     prefix element hold all links. A block's sets stand in a signature tree whose dual traversal
     prunes pairs of nodes by sizes, by the most overlap that OR-combined bitmaps allow, and by
-    component: first by a few keys, with comparison in place, where near copies become one
-    component; then by all keys and classes of sizes, but only where components still meet, by
-    first parts of sets, which tell the families in which sets are then compared whole.
+    component: first by a few keys, where near copies become one component; then by all keys and
+    classes of sizes, but only where components still meet. Both times sketches of whole sets meet
+    first, which bound from below in how many elements sets differ, and only those that may link
+    are then compared whole.
 
     Words, shingles and the empty case are as the contract has them: a null text is empty, has no
     shingles and is its own component. Repeated rows get equal results, a row each; among equal
@@ -602,10 +672,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     apart = _told_apart(rows)
     profiles = materialise(_profiles(docs, rows, frequent, apart), "profiles")
     near = materialise(_head_links(docs, rows, profiles, apart), "head-links")
-    rest = materialise(_other_links(docs, rows, profiles, components(near), frequent, apart), "other-links")
-    comps = components(near.unionByName(rest))
+    comps = components(near)
+    rest = materialise(_other_links(docs, rows, profiles, comps, apart), "other-links")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    if rest.limit(1).count():  # links between components
+        further = components(rest).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+        nodes = nodes.join(further, "comp", "left").withColumn("comp", F.coalesce("whole", "comp")).drop("whole")
     names = nodes.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = nodes.join(names, "comp").select("node", "component_id")
     out = rows.join(named, "node", "left")
