@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,11 @@ STOPS = b".,;:!?\n\v\f\r"
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(GAPS)] = 1
 _KIND[list(STOPS)] = 2
+_LOWER = lower_ascii(np.arange(256, dtype=np.uint8))
+_BYTE = np.where(_KIND == 0, mix64(_LOWER.astype(np.uint64) + np.uint64(1)), np.uint64(0))
 NEVER = 255
+#: Bytes of a chunk of texts, and counts that a task holds before it hands them on.
+CHUNK, HELD = 2 << 20, 1 << 21
 #: Slots of one of Spark's bitmaps.
 BITS = 32_768
 #: floor(10^6 a a / (l r)) in decimals: exact below 10^16 occurrences.
@@ -28,7 +33,7 @@ SCORE = "(cast(a as decimal(19,0)) * cast(a as decimal(19,0)) * cast(1000000 as
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``starts, ends, hashes, rows, joined`` of the words of a chunk of lower-case texts.
+    """``starts, ends, hashes, rows, joined`` of the words of a chunk of texts; A to Z hash as a to z.
 
     ``joined`` tells whether a word and the next one stand in one piece.
     """
@@ -45,16 +50,31 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     last[:-1] &= ~inside[1:] | begins[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     rows = np.searchsorted(offsets, starts, side="right") - 1
-    stops = np.cumsum(kind == 2, dtype=np.int32)[starts]
     joined = np.zeros(len(starts), bool)
-    joined[:-1] = (stops[1:] == stops[:-1]) & (rows[1:] == rows[:-1])
-    # A polynomial in each byte's distance from its word's start.
-    at = (np.arange(len(data)) - starts[np.maximum(np.cumsum(first) - 1, 0)])[inside]
-    powers = np.ones(int(at.max()) + 1, np.uint64)
-    powers[1:] = np.cumprod(np.full(len(powers) - 1, 0x9FB21C651E98DF25, np.uint64))
-    value = np.zeros(len(data), np.uint64)
-    value[inside] = mix64(data[inside].astype(np.uint64) + np.uint64(1)) * powers[at]
-    return starts, ends, mix64(np.add.reduceat(value, starts)), rows, joined
+    joined[:-1] = rows[1:] == rows[:-1]
+    after = np.searchsorted(starts, np.flatnonzero(kind == 2))
+    joined[after[after > 0] - 1] = False
+    # A polynomial in each byte's place in the chunk, divided by that of the word's start; other bytes are 0.
+    powers, inverse = _powers(len(data))
+    return starts, ends, mix64(np.add.reduceat(_BYTE[data] * powers, starts) * inverse[starts]), rows, joined
+
+
+_known: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64; those of a usual chunk are kept."""
+    if not _known:
+        _known.append(_powers_of(CHUNK))
+    return tuple(p[:n] for p in (_known[0] if n <= CHUNK else _powers_of(n)))
+
+
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = [np.full(n, x, np.uint64) for x in (0x9FB21C651E98DF25, pow(0x9FB21C651E98DF25, -1, 1 << 64))]
+    for p in out:
+        p[0] = 1
+        np.cumprod(p, out=p)
+    return out[0], out[1]
 
 
 def phrase_hashes(hashes: np.ndarray, joined: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -91,30 +111,127 @@ class Scan:
         table = self.reached.get(n)
         return np.full(len(hashes), NEVER, np.int16) if table is None else table[slot_of(hashes, len(table))].astype(np.int16)
 
-    def counts(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None, list[str] | None]]:
-        """``words, hashes, counts, rows, phrases`` of a chunk for each length, the last two None for counts by hash."""
-        data = lower_ascii(data)
+    def counts(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> Iterator[tuple[int, np.ndarray, tuple | None]]:
+        """``words, hashes, named`` of a chunk for each length: a hash for each occurrence, or distinct ones with ``named`` = ``counts, rows, phrases``."""
         starts, ends, hashes, rows, joined = words_of(data, offsets)
         if not len(starts):
             return
-        raw = data.tobytes()
         hashes = mix64(hashes ^ langs[rows])
         before = np.zeros(0, np.int16)
         for n, (own, there) in enumerate(phrase_hashes(hashes, joined, self.longest), 1):
             if n > 1:
                 since = np.full(len(own), NEVER, np.int16)
                 since[:-1] = np.maximum(before[:-1], before[1:])
-                maybe = np.flatnonzero(there & self.due(since))
-                if len(maybe):
-                    keys, count = np.unique(own[maybe], return_counts=True)
-                    yield n, keys, count, None, None
+                maybe = there & self.due(since)
+                if maybe.any():
+                    yield n, own[maybe], None
             before = self.since(n, own)
             due = np.flatnonzero(there & self.due(before if n > 1 else np.zeros(len(own), np.int16)))
             if len(due):
-                keys, at, count = np.unique(own[due], return_index=True, return_counts=True)
-                at = due[at]
-                texts = [[raw[a:b].decode() for a, b in zip(starts[at + k].tolist(), ends[at + k].tolist(), strict=True)] for k in range(n)]
-                yield n, keys, count, rows[at], texts[0] if n == 1 else list(map(" ".join, zip(*texts, strict=True)))
+                order = np.argsort(own[due])
+                keys, count, new = runs(own[due[order]])
+                at = due[order[new]]
+                yield n, keys, (count, rows[at], phrases_at(data, starts, ends, at, n))
+
+
+def runs(ordered: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers of an ordered array, how often each comes (or its sum of weights), and where it begins."""
+    new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    count = np.diff(np.append(new, len(ordered))) if weights is None else np.add.reduceat(weights, new) if len(new) else weights[:0]
+    return ordered[new], count.astype(np.int64), new
+
+
+def phrases_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
+    """The phrases of n words that begin at the given words, in lower case, a space between words."""
+    sizes = [ends[at + k] - starts[at + k] for k in range(n)]
+    offsets = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(sum(sizes) + (n - 1), out=offsets[1:])
+    out = np.full(offsets[-1], 0x20, np.uint8)
+    to = offsets[:-1]
+    for k, size in enumerate(sizes):
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(to, size) + step] = _LOWER[data[np.repeat(starts[at + k], size) + step]]
+        to = to + size + 1
+    return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).cast(pa.string())
+
+
+class Held:
+    """Counts of a task, added up and handed on in packs: one for each range of hashes that has any.
+
+    Within a task, as within a chunk, phrases of a language with equal hashes of 64 bits are one; over
+    tasks, named ones are told apart by their words.
+    """
+
+    schema = pa.schema([("range", pa.int32()), ("lang", pa.string()), ("words", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("phrases", pa.string())])
+
+    def __init__(self, ranges: int):
+        self.ranges, self.bare, self.named, self.bare_size, self.named_size = ranges, {}, {}, 0, 0
+
+    def add(self, n: int, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.bare.setdefault(n, []).append(hashes)
+        self.bare_size += len(hashes)
+        if self.bare_size >= HELD:
+            yield from self.bare_packs()
+
+    def add_named(self, lang: str, n: int, hashes: np.ndarray, count: np.ndarray, phrases: pa.Array) -> Iterator[pa.RecordBatch]:
+        self.named.setdefault((lang, n), []).append((hashes, count, phrases))
+        # A phrase counts for its bytes too, however long it is.
+        self.named_size += len(hashes) + phrases.nbytes // 32
+        if self.named_size >= HELD:
+            yield from self.named_packs()
+
+    def bare_packs(self) -> Iterator[pa.RecordBatch]:
+        for n in list(self.bare):
+            keys, count, _ = runs(np.sort(np.concatenate(self.bare.pop(n))))
+            yield self.pack(None, n, keys, count, None)
+        self.bare_size = 0
+
+    def named_packs(self) -> Iterator[pa.RecordBatch]:
+        for lang, n in list(self.named):
+            hashes, count, phrases = zip(*self.named.pop((lang, n)), strict=True)
+            hashes = np.concatenate(hashes)
+            order = np.argsort(hashes)
+            keys, count, new = runs(hashes[order], np.concatenate(count)[order])
+            yield self.pack(lang, n, keys, count, pa.chunked_array(phrases).combine_chunks().take(pa.array(order[new])))
+        self.named_size = 0
+
+    def pack(self, lang: str | None, n: int, keys: np.ndarray, count: np.ndarray, phrases: pa.Array | None) -> pa.RecordBatch:
+        at, _, new = runs(((keys >> np.uint64(32)) * np.uint64(self.ranges)) >> np.uint64(32))
+        offsets = np.append(new, len(keys)).astype(np.int32)
+        packed = lambda x: pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets * np.int32(8)), pa.py_buffer(np.ascontiguousarray(x))])
+        # No phrase has a line feed: it ends a piece.
+        joined = pa.nulls(len(at), pa.string()) if phrases is None else pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), phrases), "\n")
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), n, np.int32)), packed(keys), packed(count), joined], schema=self.schema)
+
+
+def added_up(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """``lang, words, phrase, hash, n`` of all packs of a range: sums by phrase, and by hash those of ``least`` or more."""
+    bare, named = {}, {}
+    numbers = lambda packs, kind: np.frombuffer(b"".join(packs.to_pylist()), kind)
+    for batch in batches:
+        for n in pc.unique(batch.column("words")).to_pylist():
+            mine = batch.filter(pc.equal(batch.column("words"), n))
+            some = mine.filter(pc.is_null(mine.column("phrases")))
+            if len(some):
+                bare.setdefault(n, []).append((numbers(some.column("hashes"), np.uint64), numbers(some.column("counts"), np.int64)))
+            some = mine.filter(pc.is_valid(mine.column("phrases")))
+            if len(some):
+                phrases = pc.split_pattern(some.column("phrases"), "\n")
+                langs = some.column("lang").take(pc.list_parent_indices(phrases))
+                named.setdefault(n, []).append(pa.table([langs, phrases.flatten(), numbers(some.column("hashes"), np.int64), numbers(some.column("counts"), np.int64)], ["lang", "phrase", "hash", "n"]))
+    for n, packs in bare.items():
+        keys = np.concatenate([k for k, _ in packs])
+        order = np.argsort(keys)
+        keys, count, _ = runs(keys[order], np.concatenate([c for _, c in packs])[order])
+        much = count >= least
+        yield from counted_rows(n, pa.nulls(int(much.sum()), pa.string()), pa.nulls(int(much.sum()), pa.string()), keys[much].view(np.int64), count[much])
+    for n, packs in named.items():
+        sums = pa.concat_tables(packs).group_by(["lang", "phrase", "hash"]).aggregate([("n", "sum")]).combine_chunks()
+        yield from counted_rows(n, *(sums.column(c) for c in ("lang", "phrase", "hash", "n_sum")))
+
+
+def counted_rows(n: int, lang, phrase, hashes, count) -> list[pa.RecordBatch]:
+    return pa.table([lang, pa.array(np.full(len(lang), n, np.int32)), phrase, hashes, count], ["lang", "words", "phrase", "hash", "n"]).to_batches(max_chunksize=1 << 16)
 
 
 def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
@@ -122,32 +239,44 @@ def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
 
 
 def scan(docs: DataFrame, reached: dict[int, np.ndarray], step: int, shards: int, longest: int, least_here: int) -> DataFrame:
-    """``lang, words, phrase, hash, n`` of one shard: exact counts, and without lang and phrase those by hash of ``least_here`` or more."""
+    """``lang, words, phrase, hash, n`` of one shard: exact counts, and without lang and phrase those by hash of ``least_here`` or more.
+
+    A task adds its counts up, packs them by ranges of hashes, as many as there are tasks, and Spark
+    deals out the packs by range: rare phrases, nearly all there are, cost a few bytes each and no row.
+    """
+    spark = docs.sparkSession
     # Tables are sparse, or of few values: compressed, they are small; a worker unpacks those of a step once.
-    sent = docs.sparkSession.sparkContext.broadcast({n: zlib.compress(t.tobytes(), 1) for n, t in reached.items()})
+    sent = spark.sparkContext.broadcast({n: zlib.compress(t.tobytes(), 1) for n, t in reached.items()})
     run_id = uuid.uuid4().hex
-
-    def rows_of(lang: pa.Array, n: int, phrases: pa.Array, keys: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(keys), n, np.int32)), phrases, pa.array(keys.view(np.int64)), pa.array(count.astype(np.int64))], ["lang", "words", "phrase", "hash", "n"])
+    docs = docs.select("lang", "text")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = worker_cache(("phrases", run_id), lambda: {n: np.frombuffer(zlib.decompress(t), np.uint8) for n, t in sent.value.items()})
-        work = Scan(tables, step, shards, longest)
+        work, held = Scan(tables, step, shards, longest), Held(ranges)
         for batch in batches:
             named = batch.column("lang").dictionary_encode()
-            names = named.dictionary
+            names = named.dictionary.to_pylist()
             codes = named.indices.to_numpy()
-            own = np.array([hash_text(name) for name in names.to_pylist()], np.uint64)
-            for lo, hi, data, offsets in text_chunks(batch.column("text"), 2 << 20):
+            own = np.array([hash_text(name) for name in names], np.uint64)
+            for lo, hi, data, offsets in text_chunks(batch.column("text"), CHUNK):
                 here = codes[lo:hi]
-                for n, keys, count, rows, phrases in work.counts(data, offsets, own[here]):
-                    if phrases is not None:
-                        yield rows_of(names.take(pa.array(here[rows])), n, pa.array(phrases, pa.string()), keys, count)
-                    else:
-                        yield rows_of(pa.nulls(len(keys), pa.string()), n, pa.nulls(len(keys), pa.string()), keys, count)
-
-    found = docs.select("lang", "text").mapInArrow(lean(run), "lang string, words int, phrase string, hash long, n long")
-    return found.groupBy("lang", "words", "phrase", "hash").agg(F.sum("n").alias("n")).where(F.col("phrase").isNotNull() | (F.col("n") >= least_here))
+                for n, keys, found in work.counts(data, offsets, own[here]):
+                    if found is None:
+                        yield from held.add(n, keys)
+                        continue
+                    count, rows, phrases = found
+                    for code in np.unique(here[rows]).tolist():
+                        mine = np.flatnonzero(here[rows] == code)
+                        yield from held.add_named(names[code], n, keys[mine], count[mine], phrases.take(pa.array(mine)))
+        yield from held.bare_packs()
+        yield from held.named_packs()
+
+    def reduce_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added_up(batches, least_here)
+
+    packs = docs.mapInArrow(lean(run), "range int, lang string, words int, hashes binary, counts binary, phrases string")
+    return packs.repartitionById(ranges, F.col("range")).mapInArrow(lean(reduce_packs), "lang string, words int, phrase string, hash long, n long")
 
 
 def hash_text(text: str) -> int:
