@@ -71,7 +71,11 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
 
     The same numbers as a percentile() of the group, without any group's values in one buffer.
     """
-    rows = value_places(df, keys, value)
+    return quantiles_of(value_places(df, keys, value), keys, shares)
+
+
+def quantiles_of(places: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """quantiles() from value_places()."""
     aggs = []
     for name, p in shares.items():
         at = (F.col("total") - 1) * F.lit(float(p))
@@ -79,7 +83,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
         held = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("count")), F.col("value")))
         share = F.max(at - low)
         aggs.append((held(low) + (held(high) - held(low)) * share).alias(name))
-    return rows.groupBy(*keys).agg(*aggs)
+    return places.groupBy(*keys).agg(*aggs)
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:

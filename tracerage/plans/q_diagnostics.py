@@ -120,15 +120,18 @@ def quantity_sql(*parts: tuple[str, str, bool]) -> str:
 QUANTITIES = f"{fx.DRAWS.split('draws as')[0]} pl as (select case_id, chain, step, case when case_id = 'N' then 10.0::double else q end as scale, case when case_id = 'A' then 0.04::double else d end as shift from wide), draws as ({quantity_sql(('scale', 'scale', True), ('shift', 'shift', True), ('mean', 'shift + scale', False), ('std', 'scale', False), *((f'p{int(100 * p)}', f'shift - scale * ln(1 - {p}::double)', False) for p in (0.1, 0.25, 0.5, 0.75, 0.9)))}), dq as (select case_id, param, bool_or(native) as native, min(lo) = max(hi) as constant, bool_or(native) or min(lo) <> max(hi) as included, min(n) = max(n) as equal_counts, min(n) as min_n, count(*) as n_chains from (select case_id, param, chain, bool_or(native) as native, count(*) as n, min(value) as lo, max(value) as hi from draws group by all) group by all)"
 
 
-def quantity_rows(spark, sf):
+#: The law that the draws are parameters of.
+LAW = "exp_shifted", {"scale": "q", "shift": "d"}
+
+
+def parameter_rows(spark, sf):
     wide = fx.draws_wide(spark, sf)
-    wide = wide.withColumn("q", F.when(F.col("case_id") == "N", 10.0).otherwise(F.col("q"))).withColumn("d", F.when(F.col("case_id") == "A", 0.04).otherwise(F.col("d")))
-    return dg.quantities(wide, "exp_shifted", {"scale": "q", "shift": "d"})
+    return wide.withColumn("q", F.when(F.col("case_id") == "N", 10.0).otherwise(F.col("q"))).withColumn("d", F.when(F.col("case_id") == "A", 0.04).otherwise(F.col("d")))
 
 
 @query("j09_diagnostic_quantities", f"with {QUANTITIES} select * from dq")
 def j09(spark, sf):
-    return dg.diagnostic_quantities(quantity_rows(spark, sf))
+    return dg.diagnostic_quantities(dg.quantities(parameter_rows(spark, sf), *LAW))
 
 
 QSPLIT = SPLIT.replace(fx.DRAWS, QUANTITIES)
@@ -137,7 +140,7 @@ RUN = f"{QSPLIT}, {FOLDED}, {scores_sql('sp', 'z')}, {scores_sql('fo', 'zf')}, {
 
 @query("j10b_qualified_run", f"with {RUN} select case_id, case when bool_and(case when included then rhat < 1.5 and ess >= 100 end) then 'qualified' else 'not_qualified' end as status from dg group by 1")
 def j10b(spark, sf):
-    return dg.qualify(dg.diagnose(quantity_rows(spark, sf)), 1.5, 100.0)[1]
+    return dg.qualify(dg.diagnose_model(parameter_rows(spark, sf), *LAW), 1.5, 100.0)[1]
 
 
 GATE = "dia as (select l_suppkey as case_id, l_linenumber::varchar as param, 1 + max(l_discount) / 5 as rhat, sum(l_quantity) as ess, avg(l_tax) as mcse, l_linenumber < 7 as included, case when l_suppkey % 10 = 0 then 1 else 4 end as n_chains from lineitem group by l_suppkey, l_linenumber), qd as (select *, case when included then rhat < 1.0195 and ess >= 1800 end as qualified from dia), st as (select case_id, case when max(n_chains) < 2 then 'not_applicable' when bool_and(qualified) then 'qualified' else 'not_qualified' end as status from qd group by 1)"

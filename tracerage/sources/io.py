@@ -21,10 +21,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage."""
+def stored(df: DataFrame, name: str, most: int = 0) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts the lineage.
+
+    ``most``: rows of a file, for long rows. Spark's reader unpacks up to 4,096 rows of a file at once.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", most).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
