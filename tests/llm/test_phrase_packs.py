@@ -11,7 +11,7 @@ from tracerage.llm.common import utf8
 
 def test_a_scan_hands_on_packs_not_rows(spark):
     df = spark.createDataFrame([(f"rare{i} pair{i} common word", "en") for i in range(3000)], "text string, lang string").repartition(3)
-    counted = phrases.scan(df, {}, 0, 3, 3, 4)
+    counted = phrases.scan(df, {}, 0, 3, 3, 4, 5)
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 2 and "Aggregate" not in plan
     found = {(r.lang, r.words, r.phrase): r.n for r in counted.collect()}
@@ -54,3 +54,12 @@ def test_words_hash_alike_wherever_they_stand(monkeypatch):
     assert len(set(hashes.tolist())) == len(set(words)) and len(set(zip(hashes.tolist(), words, strict=True))) == len(set(words))
     assert joined.tolist() == [True, False, True, False, False, True, False, False]
     assert phrases.phrases_at(data, starts, ends, np.array([0, 2, 5]), 2).to_pylist() == ["über the", "the end", "the end"]
+
+
+def test_ranges_grow_with_the_texts(spark, monkeypatch):
+    asked, scan = [], phrases.scan
+    monkeypatch.setattr(phrases, "RANGE", 1000)
+    monkeypatch.setattr(phrases, "scan", lambda *a: asked.append(a[-1]) or scan(*a))
+    df = spark.createDataFrame([("über one two three", "en")] * 1000 + [(None, None)], "text string, lang string")
+    f, _ = phrases.count_phrases(df)
+    assert set(asked) == {7} and f.count() == 9 and {r.f for r in f.collect()} == {1000}

@@ -10,7 +10,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import lean, lower_ascii, materialise, mix64, shared_dir, small_batches, text_chunks, worker_cache
@@ -24,8 +24,8 @@ _KIND[list(STOPS)] = 2
 _LOWER = lower_ascii(np.arange(256, dtype=np.uint8))
 _BYTE = np.where(_KIND == 0, mix64(_LOWER.astype(np.uint64) + np.uint64(1)), np.uint64(0))
 NEVER = 255
-#: Bytes of a chunk of texts, and counts that a task holds before it hands them on.
-CHUNK, HELD = 2 << 20, 1 << 21
+#: Bytes of a chunk of texts, counts that a task holds before it hands them on, and bytes of texts whose counts make a range.
+CHUNK, HELD, RANGE = 2 << 20, 1 << 21, 32 << 20
 #: Slots of one of Spark's bitmaps.
 BITS = 32_768
 #: floor(10^6 a a / (l r)) in decimals: exact below 10^16 occurrences.
@@ -238,18 +238,15 @@ def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
 
 
-def scan(docs: DataFrame, reached: dict[int, np.ndarray], step: int, shards: int, longest: int, least_here: int) -> DataFrame:
+def scan(docs: DataFrame, reached: dict[int, np.ndarray], step: int, shards: int, longest: int, least_here: int, ranges: int) -> DataFrame:
     """``lang, words, phrase, hash, n`` of one shard: exact counts, and without lang and phrase those by hash of ``least_here`` or more.
 
-    A task adds its counts up, packs them by ranges of hashes, as many as there are tasks, and Spark
-    deals out the packs by range: rare phrases, nearly all there are, cost a few bytes each and no row.
+    A task adds its counts up and packs them by ``ranges`` of hashes, and Spark deals out the packs by
+    range: rare phrases, nearly all there are, cost a few bytes each and no row.
     """
-    spark = docs.sparkSession
     # Tables are sparse, or of few values: compressed, they are small; a worker unpacks those of a step once.
-    sent = spark.sparkContext.broadcast({n: zlib.compress(t.tobytes(), 1) for n, t in reached.items()})
+    sent = docs.sparkSession.sparkContext.broadcast({n: zlib.compress(t.tobytes(), 1) for n, t in reached.items()})
     run_id = uuid.uuid4().hex
-    docs = docs.select("lang", "text")
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = worker_cache(("phrases", run_id), lambda: {n: np.frombuffer(zlib.decompress(t), np.uint8) for n, t in sent.value.items()})
@@ -275,7 +272,7 @@ def scan(docs: DataFrame, reached: dict[int, np.ndarray], step: int, shards: int
     def reduce_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return added_up(batches, least_here)
 
-    packs = docs.mapInArrow(lean(run), "range int, lang string, words int, hashes binary, counts binary, phrases string")
+    packs = docs.select("lang", "text").mapInArrow(lean(run), "range int, lang string, words int, hashes binary, counts binary, phrases string")
     return packs.repartitionById(ranges, F.col("range")).mapInArrow(lean(reduce_packs), "lang string, words int, phrase string, hash long, n long")
 
 
@@ -287,8 +284,8 @@ def hash_text(text: str) -> int:
     return out
 
 
-def sharded(docs: DataFrame, shards: int) -> list[DataFrame]:
-    """``lang, text`` in shards of about equal size, each in a folder of its own: a scan reads its shard only."""
+def sharded(docs: DataFrame, shards: int) -> tuple[list[DataFrame], int]:
+    """``lang, text`` in shards of about equal size, each in a folder of its own (a scan reads its shard only), and all texts' bytes."""
     spark = docs.sparkSession
     small_batches(spark)
     have = {c.lower() for c in docs.columns}
@@ -296,9 +293,10 @@ def sharded(docs: DataFrame, shards: int) -> list[DataFrame]:
     picked = docs.select(lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     path = f"{shared_dir(spark).rstrip('/')}/phrase-shards-{uuid.uuid4().hex}"
     dealt = picked.withColumn("shard", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
-    dealt.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    seen = Observation("phrase-shards")
+    dealt.observe(seen, F.sum(F.octet_length("text")).alias("bytes")).write.partitionBy("shard").option("compression", "zstd").parquet(path)
     every = spark.read.schema("lang string, text string, shard int").parquet(path)
-    return [every.where(F.col("shard") == s) for s in range(shards)]
+    return [every.where(F.col("shard") == s) for s in range(shards)], seen.get.get("bytes") or 0
 
 
 def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: int = 3, slots: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
@@ -315,10 +313,11 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
     What is maybe frequent is told to tasks by tables of ``slots`` bytes: they bound what is sent
     and what the driver holds, decide what is counted needlessly, never a result.
     """
-    parts, tables, reached = sharded(docs, shards), [], {}
+    (parts, size), tables, reached = sharded(docs, shards), [], {}
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // shards // RANGE))
     step, until, bits, here = 0, shards, slots.bit_length() - 1, -(-least // shards)
     while step < until:
-        counted = materialise(scan(parts[step % shards], reached, step, shards, longest, here), f"phrases-{step}")
+        counted = materialise(scan(parts[step % shards], reached, step, shards, longest, here, ranges), f"phrases-{step}")
         tables.append(counted.where("phrase is not null"))
         slot = (F.shiftrightunsigned("hash", 64 - bits) + 1).alias("slot")
         found = counted.where(F.col("phrase").isNull() | ((F.col("words") == 1) & (F.col("n") >= here))).select("words", slot)
